@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, exact_dedup, simhash, substring_dedup, token_count, url_filter
+from . import bpe, common, exact_dedup, lang_id, quality, simhash, substring_dedup, token_count, url_filter
 
 #: Rules of op3 (fixed values): host, path, verdict.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -41,6 +41,20 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_sentences", "n_removed", "removed", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = common.remainder(F.col("doc_id"), 4) == 2
+    filters = lang_id.fit(docs.where(~out))
+    return lang_id.identify(docs, filters).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    out = common.remainder(F.col("doc_id"), 5) == 0
+    model = quality.fit(docs, labels.where(~out))
+    return quality.score_quality(docs, model).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_table(spark, sf_dir, "documents"))
 
@@ -54,7 +68,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_url_filter": op3_url_filter,
     "op4_token_count": op4_token_count,
+    "op5_language_id": op5_language_id,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_quality": op8_quality,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
