@@ -14,6 +14,7 @@ import hashlib
 import re
 from itertools import chain
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
@@ -271,13 +272,22 @@ def encode_decode(docs: DataFrame, path: str, want: tuple[str, ...] = ("ids", "d
                 tags.append(tag), ids.append(doc), numbers.append(i), texts.append(part)
         return {"tag": tags, "doc_id": ids, "number": numbers, "text": texts}
 
-    def each(batch, tok):
-        encoded = [encode_piece(tok, t) for t in batch.column(3).to_pylist()]
-        return {"tag": batch.column(0), "doc_id": batch.column(1), "number": batch.column(2), "text": batch.column(3), "ids": [p.ids for p in encoded], "starts": [[s for s, _ in p.spans] for p in encoded], "ends": [[e for _, e in p.spans] for p in encoded]}
+    def each(batches):
+        tok = load(path)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 8):  # few at a time: a token's ids and places are Python objects for a while
+                part = batch.slice(i, 8)
+                ids, places = [], []
+                for text in part.column(3).to_pylist():
+                    p = encode_piece(tok, text)
+                    ids.append(np.array(p.ids, dtype=np.int32))
+                    places.append(np.array(p.spans, dtype=np.int32).reshape(-1, 2))
+                lists = [pa.array(x, pa.list_(pa.int32())) for x in (ids, [x[:, 0] for x in places], [x[:, 1] for x in places])]
+                yield pa.RecordBatch.from_arrays([*part.columns, *lists], names=[*part.schema.names, "ids", "starts", "ends"])
 
     long = rows.where(F.length("text") > piece).select(F.monotonically_increasing_id().alias("tag"), "doc_id", "text")
     pieces = map_arrow(long, cut, f"tag bigint, doc_id {kind}, number int, text string").repartition("tag", "number")
-    encoded = map_arrow(pieces, each, f"tag bigint, doc_id {kind}, number int, text string, ids array<int>, starts array<int>, ends array<int>", lambda: load(path))
+    encoded = pieces.mapInArrow(each, f"tag bigint, doc_id {kind}, number int, text string, ids array<int>, starts array<int>, ends array<int>")
     held: dict = {}
 
     def merge(group):
@@ -285,7 +295,7 @@ def encode_decode(docs: DataFrame, path: str, want: tuple[str, ...] = ("ids", "d
             held[path] = Encoder(path)
         encoder = held[path]
         group = group.sort_values("number")
-        parts = [Piece(t, list(i), list(zip(s, e, strict=True))) for t, i, s, e in zip(group["text"], group["ids"], group["starts"], group["ends"], strict=True)]
+        parts = [Piece(t, i.tolist(), list(zip(s.tolist(), e.tolist(), strict=True))) for t, i, s, e in zip(group["text"], group["ids"], group["starts"], group["ends"], strict=True)]
         whole = concatenate(encoder.tok, parts)
         table = pd.DataFrame({"doc_id": group["doc_id"].iloc[:1].tolist()} | encoder.columns_of_ids(list(map(int, whole.ids)), want))
         return table[["doc_id", "n_tokens", *want]]

@@ -18,14 +18,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _vocabulary() -> str:
+def vocabulary() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
 
 
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_decode(_table(spark, sf_dir, "documents"), _vocabulary(), want=("ids_sha256", "decoded_sha256"))
+    return bpe.encode_decode(_table(spark, sf_dir, "documents"), vocabulary(), want=("ids_sha256", "decoded_sha256"))
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_count.count_tokens(_table(spark, sf_dir, "documents"), _vocabulary())
+    return token_count.count_tokens(_table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
