@@ -1,16 +1,35 @@
-"""Interaction edges from messages."""
+"""Interaction edges from messages: who spreads whom, in absolute (IF) and relative (WIF) weights."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def normalized_id(column):
+    """An identifier as text: integral floats without ``.0``, blanks as null."""
+    text = F.trim(column.cast("string"))
+    return F.nullif(F.regexp_replace(text, r"^(-?\d+)\.0$", "$1"), F.lit(""))
+
+
+def join_relations(relations: DataFrame, creator: str, spreader: str) -> DataFrame:
+    """Messages from a creator and a spreader relation, joined on the message id as text.
+
+    ``relations`` has message_id, user_id and relation.  Many to many: each creator row of a message meets each
+    spreader row.  Null and blank ids join nothing.
+    """
+    key = normalized_id(F.col("message_id"))
+    sides = relations.select(key.alias("message_id"), "user_id", "relation").where("message_id IS NOT NULL")
+    made = sides.where(F.col("relation") == creator).select("message_id", F.col("user_id").alias("from_id"))
+    spread = sides.where(F.col("relation") == spreader).select("message_id", F.col("user_id").alias("forwarder_id"))
+    return made.join(spread, "message_id")
+
+
 def edge_metrics(messages: DataFrame, author: str = "from_id", spreader: str = "forwarder_id") -> DataFrame:
     """source, target, total_post, shared_post, weighted_post for each pair of author and spreader.
 
     ``total_post`` counts every message of the author, those without spreader and to oneself included; such messages
-    make no edge.  One shuffle of pre-aggregated pairs and one of authors: totals are sums of the pair counts.
+    make no edge.  Totals are sums of the pre-aggregated pair counts, so messages are shuffled once.
     """
     known = messages.where(F.col(author).isNotNull())
     pairs = known.groupBy(F.col(author).alias("source"), F.col(spreader).alias("target")).agg(F.count(F.lit(1)).alias("shared_post"))
@@ -25,3 +44,99 @@ def edge_metrics(messages: DataFrame, author: str = "from_id", spreader: str = "
 def threshold(edges: DataFrame, min_total: int, min_shared: int) -> DataFrame:
     """Edges at or above both thresholds."""
     return edges.where((F.col("total_post") >= min_total) & (F.col("shared_post") >= min_shared))
+
+
+def single_author(messages: DataFrame, author_id) -> DataFrame:
+    """Spreaders of one author with their counts and shares of the author's messages."""
+    mine = messages.where(F.col("from_id") == author_id)
+    counts = mine.groupBy(F.col("forwarder_id").alias("target")).agg(F.count(F.lit(1)).alias("shared_post"))
+    total = counts.agg(F.sum("shared_post").alias("total_post"))  # one row
+    return counts.where(F.col("target").isNotNull() & (F.col("target") != author_id)).crossJoin(F.broadcast(total)).withColumn("weighted_post", F.col("shared_post") / F.col("total_post"))
+
+
+def snapshot(edges: DataFrame, data_type: str, content_type: str, month: int, year: int) -> DataFrame:
+    """The nine columns of a published interaction table."""
+    return edges.select(
+        F.lit(data_type).alias("data_type"), F.lit(content_type).alias("content_type"), F.lit(year).alias("year"), F.lit(month).alias("month"),
+        "source", "target", "total_post", "shared_post", "weighted_post",
+    )
+
+
+def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Interactions merged by pair: counts add up, the weight follows, 0 where the total is 0; no edges to oneself."""
+    both = old.select("source", "target", "total_post", "shared_post").unionByName(new.select("source", "target", "total_post", "shared_post"))
+    sums = both.where("source <> target").groupBy("source", "target").agg(F.sum("total_post").alias("total_post"), F.sum("shared_post").alias("shared_post"))
+    return sums.withColumn("weighted_post", F.when(F.col("total_post") == 0, 0.0).otherwise(F.col("shared_post") / F.col("total_post")))
+
+
+def endpoints(edges: DataFrame) -> DataFrame:
+    """Distinct nodes at either end."""
+    return edges.select(F.explode(F.array("source", "target")).alias("node")).distinct()
+
+
+def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """in_degree and out_degree of every node; parallel edges count each, nodes without edges have 0."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("source").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("target").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("x"))
+    counts = ends.groupBy(F.col("x.node").alias("node")).agg(F.sum("x.i").alias("in_degree"), F.sum("x.o").alias("out_degree"))
+    return nodes.join(counts, "node", "left").select("node", F.coalesce("in_degree", F.lit(0)).alias("in_degree"), F.coalesce("out_degree", F.lit(0)).alias("out_degree"))
+
+
+def centrality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Degree centralities, degree / (n - 1) with n nodes; with one node the centrality is 1 by convention."""
+    n = nodes.agg(F.count(F.lit(1)).alias("n"))
+    scale = F.when(F.col("n") > 1, 1.0 / (F.col("n") - 1))
+    return degrees(nodes, edges).crossJoin(F.broadcast(n)).select(
+        "node", F.coalesce(F.col("in_degree") * scale, F.lit(1.0)).alias("in_centrality"), F.coalesce(F.col("out_degree") * scale, F.lit(1.0)).alias("out_centrality")
+    )
+
+
+def centrality_summary(scores: DataFrame) -> DataFrame:
+    """Largest, smallest and mean centralities with the nodes that have them; the smallest node of those that tie."""
+    first = lambda c, sign: F.min_by("node", F.struct(sign * F.col(c), F.col("node")))
+    return scores.agg(
+        F.max("in_centrality").alias("max_in"), first("in_centrality", -1).alias("max_in_node"), F.min("in_centrality").alias("min_in"), first("in_centrality", 1).alias("min_in_node"), F.avg("in_centrality").alias("avg_in"),
+        F.max("out_centrality").alias("max_out"), first("out_centrality", -1).alias("max_out_node"), F.min("out_centrality").alias("min_out"), first("out_centrality", 1).alias("min_out_node"), F.avg("out_centrality").alias("avg_out"),
+    )
+
+
+def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges with both ends among ``nodes`` (column node)."""
+    return edges.join(nodes.select(F.col("node").alias("source")), "source", "left_semi").join(nodes.select(F.col("node").alias("target")), "target", "left_semi").select(*edges.columns)
+
+
+def graph_info(edges: DataFrame) -> DataFrame:
+    """Nodes, edges and the density m / (n (n - 1)) of a directed multigraph."""
+    n = endpoints(edges).agg(F.count(F.lit(1)).alias("nodes"))
+    m = edges.agg(F.count(F.lit(1)).alias("edges"))
+    return n.crossJoin(m).withColumn("density", F.when(F.col("nodes") > 1, F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1))).otherwise(0.0))
+
+
+def daily_statistics(messages: DataFrame, day) -> DataFrame:
+    """Messages a day over the days that occur: least, most, mean and sample deviation; the earliest day of a tie."""
+    days = messages.groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("n")).where("day IS NOT NULL")
+    return days.agg(
+        F.min("n").alias("min_messages"), F.min_by("day", F.struct("n", "day")).alias("min_day"), F.max("n").alias("max_messages"),
+        F.min_by("day", F.struct(-F.col("n"), F.col("day"))).alias("max_day"), F.stddev_samp("n").alias("std_messages"), F.avg("n").alias("mean_messages"),
+    )
+
+
+def strongest_edges(community_edges: DataFrame, n: int) -> DataFrame:
+    """The ``n`` heaviest edges; ties by community as text, source, target.  None if n is not positive."""
+    order = [F.desc("weight"), F.col("community_number").cast("string"), F.col("source"), F.col("target")]
+    return community_edges.orderBy(*order).limit(max(0, n))
+
+
+def undirected(edges: DataFrame) -> DataFrame:
+    """Edges folded by unordered pair, with the weights and counts of both directions."""
+    forward = F.col("source") <= F.col("target")
+    return edges.groupBy(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(
+        F.sum(F.when(forward, F.col("weight")).otherwise(0.0)).alias("forward_weight"),
+        F.sum(F.when(~forward, F.col("weight")).otherwise(0.0)).alias("reverse_weight"),
+        F.sum(F.when(forward, 1).otherwise(0)).alias("forward_edges"),
+        F.sum(F.when(~forward, 1).otherwise(0)).alias("reverse_edges"),
+    )
+
+
+def first_per_key(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """The first row of each key in an explicit order."""
+    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")

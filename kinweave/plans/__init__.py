@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("network",)
+MODULES = ("network", "communities", "evolution")
 
 
 def load() -> None:
