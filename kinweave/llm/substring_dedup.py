@@ -2,8 +2,8 @@
 
 A sentence ends at a line break or after a word that ends in ``.``, ``!``, ``?`` or an ellipsis; a sentence of more
 than ``LONG`` words is also cut after words picked by their own hash, so that the cuts fall alike wherever the text
-stands.  From every sentence on, the shortest run of at least ``min_sentences`` consecutive sentences with at least
-``min_words`` words is hashed.  A first pass over the corpus counts run hashes (pre-aggregated, eight bytes each); the
+stands.  The shortest run of at least ``min_sentences`` consecutive sentences with at least ``min_words`` words is hashed
+from every sentence on and up to every sentence, so that a repeated passage is covered from its first to its last.  A first pass over the corpus counts run hashes (pre-aggregated, eight bytes each); the
 second joins the runs with the repeated hashes and their first document.  Every sentence that a non-first occurrence
 covers is removed.
 """
@@ -56,17 +56,24 @@ def runs_of(texts: list[bytes], min_sentences: int = MIN_SENTENCES, min_words: i
         last = np.maximum(np.searchsorted(stop, head + min_words), np.arange(len(head)) + min_sentences - 1)
         edge = np.searchsorted(head, first)  # the first sentence of each text
         of = np.searchsorted(edge, np.arange(len(head)), side="right") - 1
-        ok = last < edge[of + 1] if len(head) else np.zeros(0, bool)
+        number = np.arange(len(head))
+        ok = last < edge[of + 1]
+        # and the first sentence of the run that ends at each sentence, unless that run starts there anyway
+        back = np.minimum(np.searchsorted(head, stop - min_words, side="right") - 1, number - min_sentences + 1)
+        more = back >= edge[of]
+        more[more] = last[back[more]] != number[more]
+        begins, lasts = np.concatenate([number[ok], back[more]]), np.concatenate([last[ok], number[more]])
+        order = np.lexsort((lasts, begins))
+        at, until = begins[order], lasts[order]
         offset = np.concatenate([[0], np.cumsum([len(t) + 1 for t in part])])
         lo, hi = starts[head] - offset[of], ends[stop - 1] - offset[of]
-        at = np.flatnonzero(ok)
-        a, b = head[at], stop[last[at]]
+        a, b = head[at], stop[until]
         run = mix((sums[b] - sums[a]) * q[a] + (b - a).astype(np.uint64)).view(np.int64)
         where = np.searchsorted(at, edge)
         for i in range(len(part)):
             s, e = edge[i], edge[i + 1]
             x, y = where[i], where[i + 1]
-            yield np.stack([lo[s:e], hi[s:e]], axis=1), run[x:y], np.stack([at[x:y] - s, last[at[x:y]] + 1 - s], axis=1)
+            yield np.stack([lo[s:e], hi[s:e]], axis=1), run[x:y], np.stack([at[x:y] - s, until[x:y] + 1 - s], axis=1)
 
 
 def _span_rows(docs: DataFrame, min_sentences: int, min_words: int, columns: bool) -> DataFrame:
@@ -123,8 +130,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 gone[s["end"]] -= 1
             if len(hashes):  # repeats within the text, all but the first
                 _, keep, back = np.unique(hashes, return_index=True, return_inverse=True)
-                hit = {s["begin"] for s in other or ()}
-                late = (keep[back] != np.arange(len(hashes))) | np.isin(own[keep[back], 0], list(hit))
+                hit = [s["begin"] << 32 | s["end"] for s in other or ()]
+                late = (keep[back] != np.arange(len(hashes))) | np.isin(own[keep[back], 0] << 32 | own[keep[back], 1], hit)
                 np.add.at(gone, own[late, 0], 1)
                 np.add.at(gone, own[late, 1], -1)
             drop = np.cumsum(gone[:-1]) > 0
