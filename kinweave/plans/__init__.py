@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("network", "communities", "evolution", "text", "vectors", "themes", "bench")
+MODULES = ("network", "communities", "evolution", "text", "vectors", "themes", "bench", "models")
 
 
 def load() -> None:

@@ -1 +1,86 @@
+"""Readers of the tables and files the platform takes in."""
 
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+RELATIONSHIP = ("source", "target", "relation")
+INTERACTION = ("source", "target", "total_post", "shared_post")
+
+
+def require(df: DataFrame, columns) -> DataFrame:
+    """``df``, or an error that names the columns it lacks."""
+    missing = [c for c in columns if c not in df.columns]
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    return df
+
+
+def relationships(spark: SparkSession, path: str) -> DataFrame:
+    """A relationship export: CSV with a header, quoted node cells that may span lines."""
+    return require(spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True), RELATIONSHIP)
+
+
+def by_suffix(spark: SparkSession, path: str) -> DataFrame:
+    """CSV or Parquet, as the path ends."""
+    end = path.rstrip("/").rpartition(".")[2].lower()
+    if end == "csv":
+        return spark.read.csv(path, header=True, inferSchema=True, quote='"', escape='"', multiLine=True)
+    if end == "parquet":
+        return spark.read.parquet(path)
+    raise ValueError(f"neither CSV nor Parquet: {path}")
+
+
+def interactions(spark: SparkSession, path: str) -> DataFrame:
+    return require(by_suffix(spark, path), INTERACTION)
+
+
+def projected(spark: SparkSession, path: str, columns=None, filters=()) -> DataFrame:
+    """Some columns and rows of a Parquet table; both reach the scan.  Filters are (column, operator, value)."""
+    ops = {"==": "__eq__", "!=": "__ne__", "<": "__lt__", "<=": "__le__", ">": "__gt__", ">=": "__ge__", "in": "isin"}
+    df = spark.read.parquet(path)
+    for column, op, value in filters:
+        df = df.where(getattr(F.col(column), ops[op])(value))
+    return df.select(*columns) if columns else df
+
+
+def monthly(spark: SparkSession, paths: list[str], lists: tuple[str, ...] = ()) -> DataFrame:
+    """Monthly tables named ``<month>_<year>.parquet`` as one, with month and year; absent list columns become empty."""
+    def one(path: str) -> DataFrame:
+        month, year = path.rstrip("/").rpartition("/")[2].removesuffix(".parquet").rsplit("_", 1)
+        df = spark.read.parquet(path).withColumns({"month": F.lit(month), "year": F.lit(int(year))})
+        return df.withColumns({c: F.array().cast("array<string>") for c in lists if c not in df.columns})
+
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(one, paths))
+
+
+def page(df: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
+    """A page of rows in a stated order."""
+    return df.orderBy(*order).offset(offset).limit(limit)
+
+
+def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines; a malformed line is an error, blank lines are skipped."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+def verified(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
+    """Files below ``folder`` held against a manifest of (path, sha256, byte_size): path and status of each entry.
+
+    Statuses: ok, changed, missing.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    found = files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("path"), F.sha2("content", 256).alias("found_sha256"), F.col("length").alias("found_size"))
+    status = F.when(F.col("found_sha256").isNull(), "missing").when((F.col("found_sha256") == F.col("sha256")) & (F.col("found_size") == F.col("byte_size")), "ok").otherwise("changed")
+    return manifest.join(found, "path", "left").select("path", status.alias("status"))
+
+
+def run_catalog(spark: SparkSession, pattern: str) -> DataFrame:
+    """Runs of all manifests that match: the newest first; run ids that occur twice and manifests without one are left out."""
+    m = spark.read.option("wholetext", "true").text(pattern)
+    parsed = m.select(F.from_json("value", "run_id string, status string, created_at string, platform string").alias("r")).select("r.*").where("run_id IS NOT NULL")
+    once = parsed.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.first("status").alias("status"), F.first("created_at").alias("created_at"), F.first("platform").alias("platform"))
+    return once.where("n = 1").drop("n").orderBy(F.desc("created_at"), "run_id")
