@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("network", "communities", "evolution", "text", "vectors", "themes", "bench", "models", "published")
+MODULES = ("network", "communities", "evolution", "text", "vectors", "themes", "bench", "models", "published", "more")
 
 
 def load() -> None:
