@@ -45,8 +45,19 @@ def to_centroid(rows: DataFrame, group: str, key: str, vector: str) -> DataFrame
     return rows.join(centroids(rows, group, vector), group).select(group, key, V.cosine(F.col(vector), F.col("centroid")).alias("cosine"))
 
 
-def neighbours(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int = 2) -> DataFrame:
-    """The ``k`` nearest rows of each query by cosine, itself excluded: a bounded query set (broadcast) against all rows."""
-    q = F.broadcast(queries.select(F.col(key).alias("query"), F.col(vector).alias("q")))
-    scored = rows.select(key, vector).join(q, F.col(key) != F.col("query")).select("query", F.col(key).alias("neighbour"), F.round(V.cosine(F.col("q"), F.col(vector)), 9).alias("cosine"), F.round(V.distance(F.col("q"), F.col(vector)), 9).alias("distance"))
+def neighbours(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int = 2, query_block: int = 512, row_block: int = 50_000) -> DataFrame:
+    """The ``k`` nearest rows of each query by cosine, itself excluded: a stated query set against all rows, in blocks.
+
+    Queries and rows are dealt into blocks of bounded size by their keys, and each block of queries meets each block of
+    rows in an equi-join on the pair of blocks.  Spark keeps only the best ``k`` of each query in a task before it
+    shuffles them.
+    """
+    n_queries, n_rows = queries.count(), rows.count()
+    q_blocks, r_blocks = -(-max(1, n_queries) // query_block), -(-max(1, n_rows) // row_block)
+    side = lambda n: F.pmod(F.xxhash64(key), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select(F.col(key).alias("query"), F.col(vector).alias("q"), side(q_blocks).cast("int").alias("qb"), every(r_blocks).alias("rb"))
+    r = rows.select(F.col(key).alias("neighbour"), F.col(vector).alias("v"), side(r_blocks).cast("int").alias("rb"), every(q_blocks).alias("qb"))
+    met = r.join(q.hint("shuffle_hash"), ["qb", "rb"]).where("query <> neighbour")
+    scored = met.select("query", "neighbour", F.round(V.cosine(F.col("q"), F.col("v")), 9).alias("cosine"), F.round(V.distance(F.col("q"), F.col("v")), 9).alias("distance"))
     return scored.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "neighbour"))).where(F.col("place") <= k)

@@ -28,12 +28,13 @@ def unit_vectors(spark, sf_dir):
     return u.select("vec_id", F.round(F.get("u", F.lit(0)), 9).alias("first"), F.round(V.dot(F.col("u"), F.col("u")), 9).alias("length"))
 
 
-@query("v01_cosine_blocks", f"WITH {UNIT} SELECT a.vec_id AS left_id, b.vec_id AS right_id, round({_dot('a.u', 'b.u')}, 9) AS cosine FROM u a JOIN u b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id % 100 = 0")
-def cosine_blocks(spark, sf_dir):
-    """Cosines within a group of a stated query set (ids divisible by 100) to all rows of the group."""
-    u = vectors(spark, sf_dir).select("vec_id", "label", V.unit(F.col("embedding")).alias("u"))
-    q = u.where("vec_id % 100 = 0").toDF("left_id", "label", "a")
-    return u.join(q, "label").where("left_id < vec_id").select("left_id", F.col("vec_id").alias("right_id"), F.round(V.dot(F.col("a"), F.col("u")), 9).alias("cosine"))
+@query("v01_cosine_matrix", f"WITH {CENTROID} SELECT a.label AS left_label, b.label AS right_label, round({_dot('a.centroid', 'b.centroid')} / sqrt({_dot('a.centroid', 'a.centroid')} * {_dot('b.centroid', 'b.centroid')}), 9) AS cosine FROM ce a, ce b")
+def cosine_matrix(spark, sf_dir):
+    """Cosines of all pairs of labels, by their centroids: as many rows as labels squared, whatever the corpus."""
+    u = vectors(spark, sf_dir).withColumn("embedding", V.unit(F.col("embedding")))
+    c = vec.centroids(u, "label", "embedding")
+    pairs = c.toDF("left_label", "a").crossJoin(c.toDF("right_label", "b"))
+    return pairs.select("left_label", "right_label", F.round(V.cosine(F.col("a"), F.col("b")), 9).alias("cosine"))
 
 
 @query("v04_nearest_neighbours", f"""WITH {UNIT}, s AS (SELECT a.vec_id AS query, b.vec_id AS neighbour, round({_dot('a.u', 'b.u')}, 9) AS cosine, round(sqrt(list_sum(list_transform(list_zip(x.embedding, y.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE)))), 9) AS distance
