@@ -119,12 +119,15 @@ def day_of(text: Column) -> Column:
     return F.coalesce(tuple_day, F.dayofmonth(F.try_to_timestamp(text)))
 
 
-def mock_embedding(text: Column, buckets: int = 16) -> Column:
-    """A deterministic vector: words counted by the first byte of their SHA-256 modulo ``buckets``, then their number."""
+def mock_embedding(text: Column) -> Column:
+    """A deterministic vector: words counted by the first byte of their SHA-256 modulo 16, then their number.
+
+    The byte modulo 16 is the second hex digit; digits are counted by what is missing once they are taken out.
+    """
     words = F.filter(F.split(F.lower(display(text)), " "), lambda w: w != "")
-    place = F.transform(words, lambda w: F.conv(F.substring(F.sha2(w.cast("binary"), 256), 1, 2), 16, 10).cast("int") % buckets)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda b: F.size(F.filter(place, lambda p: p == b)).cast("double"))
-    return F.concat(counts, F.array(F.size(words).cast("double")))
+    digits = F.array_join(F.transform(words, lambda w: F.substring(F.sha2(w.cast("binary"), 256), 2, 1)), "")
+    counts = [(F.length(digits) - F.length(F.replace(digits, F.lit(d), F.lit("")))).cast("double") for d in "0123456789abcdef"]
+    return F.array(*counts, F.length(digits).cast("double"))
 
 
 def group_themes(keywords: Column, width: int = 4) -> Column:

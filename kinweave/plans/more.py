@@ -195,14 +195,14 @@ def topic_scores(spark, sf_dir):
     return spark.range(1).select(F.lit(model.logPerplexity(counts)).alias("log_perplexity"), F.lit(model.vocabSize()).alias("vocabulary"))
 
 
-@query("g11_circular_layout", f"WITH {KEPT}, d AS (SELECT node, count(*) AS degree FROM (SELECT source AS node FROM k UNION ALL SELECT target FROM k) GROUP BY 1), v AS (SELECT node FROM d ORDER BY degree DESC, node LIMIT 1000), p AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS i, count(*) OVER () AS n FROM v) SELECT node, round(cos(2 * pi() * i / n), 6) AS x, round(sin(2 * pi() * i / n), 6) AS y FROM p")
+@query("g11_circular_layout", f"WITH {KEPT}, d AS (SELECT node, count(*) AS degree FROM (SELECT source AS node FROM k UNION ALL SELECT target FROM k) GROUP BY 1), v AS (SELECT node FROM d ORDER BY degree DESC, node LIMIT 1000), p AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS i, count(*) OVER () AS n FROM v) SELECT node, round(cos(2 * pi() * i / n), 6) + 0.0 AS x, round(sin(2 * pi() * i / n), 6) + 0.0 AS y FROM p")
 def layout(spark, sf_dir):
     """The 1,000 nodes of most edges, which is what a network view shows, on a circle in order."""
     ends = kept(spark, sf_dir).select(F.explode(F.array("source", "target")).alias("node"))
     n = ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree")).orderBy(F.desc("degree"), "node").limit(1000)
     place = n.withColumn("i", F.row_number().over(Window.orderBy("node")) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
     angle = 2 * F.pi() * F.col("i") / F.col("n")
-    return place.select("node", F.round(F.cos(angle), 6).alias("x"), F.round(F.sin(angle), 6).alias("y"))
+    return place.select("node", (F.round(F.cos(angle), 6) + 0.0).alias("x"), (F.round(F.sin(angle), 6) + 0.0).alias("y"))
 
 
 @query("v08_rounded_ratios", f"WITH {ROWS} SELECT period, round(count(DISTINCT pair_key)::DOUBLE / count(*), 6) AS ratio, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM ob), 6) AS percent FROM ob GROUP BY 1")
