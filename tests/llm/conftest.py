@@ -1,20 +1,6 @@
-import random
-
 import pytest
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
-WORDS = "the river under old stone bridge carries small boats past quiet farms where people grow apples and sell bread every morning before rain falls on green hills near town".split()
-
-
-def prose(rng: random.Random, n: int) -> str:
-    out = []
-    while len(out) < n:
-        k = min(n - len(out), rng.randrange(6, 12))
-        words = [rng.choice(WORDS) + rng.choice(["", "", "s", "ing"]) + str(rng.randrange(40)) for _ in range(k)]
-        out += [words[0].capitalize(), *words[1:-1], words[-1] + "."][:k] if k > 1 else words
-    return " ".join(out)
-
-
 @pytest.fixture
 def frame(spark):
     def make(rows):

@@ -5,7 +5,7 @@ import zlib
 from collections import Counter
 
 import pytest
-from conftest import prose
+from llm_texts import prose
 from kinweave.llm import common, decontam, lang_id, lm_score, quality
 from pyspark.sql import functions as F
 

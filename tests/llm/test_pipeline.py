@@ -4,7 +4,7 @@ import re
 
 import corpus_pipeline
 import public_tokenizers
-from conftest import prose
+from llm_texts import prose
 from kinweave.llm import bpe
 from test_simhash import brute_fingerprint
 

@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 import xxhash
-from conftest import prose
+from llm_texts import prose
 from kinweave.llm import simhash
 
 

@@ -1,6 +1,6 @@
 import random
 
-from conftest import prose
+from llm_texts import prose
 from kinweave.llm import substring_dedup as sd
 
 
