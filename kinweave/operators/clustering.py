@@ -182,6 +182,25 @@ def linked_families(rows: DataFrame, group: str, key: str, vector: str, cut: flo
     return rows.select(group, key, vector).groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {key} {kinds[key]}, family int")
 
 
+def sweep(rows: DataFrame, variants: DataFrame, group: str, key: str, vector: str) -> DataFrame:
+    """Every variant of a parameter table over every group, each in a task of its own: clusters, noise and largest share.
+
+    ``variants`` has variant, method (density or linkage), least, samples and cut; it is a table of settings.
+    """
+    kind = rows.schema[group].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, x = _stack(pdf, key, vector)
+        v = pdf.iloc[0]
+        labels = leaf_clusters(x, int(v["least"]), int(v["samples"])) if v["method"] == "density" else complete_linkage(x, float(v["cut"]))
+        sizes = np.bincount(labels[labels >= 0]) if (labels >= 0).any() else np.zeros(0, int)
+        found = {"variant": v["variant"], group: v[group], "observations": len(x), "clusters": len(sizes), "noise": int((labels < 0).sum()), "largest_share": round(float(sizes.max(initial=0)) / len(x), 6)}
+        return pd.DataFrame([found])
+
+    every = rows.select(group, key, vector).crossJoin(F.broadcast(variants))
+    return every.groupBy("variant", group).applyInPandas(run, f"variant string, {group} {kind}, observations long, clusters long, noise long, largest_share double")
+
+
 # --- cutoffs and selections
 
 

@@ -35,6 +35,24 @@ def families(spark, sf_dir):
     return cl.linked_families(e, "period", "vec_id", "embedding")
 
 
+def _sweep(spark, sf_dir, rows: str):
+    e = table(spark, sf_dir, "embeddings").withColumn("period", F.col("vec_id") % 8)
+    variants = spark.sql(f"SELECT * FROM VALUES {rows} AS t(variant, method, least, samples, cut)")
+    return cl.sweep(e, variants, "period", "vec_id", "embedding")
+
+
+@query("m12_density_sweep")
+def density_sweep(spark, sf_dir):
+    rows = ", ".join(f"('size {n}, samples {m}', 'density', {n}, {m}, 0.0D)" for n in (2, 3) for m in (1, 2, 3))
+    return _sweep(spark, sf_dir, rows)
+
+
+@query("m11_linkage_sweep")
+def linkage_sweep(spark, sf_dir):
+    rows = ", ".join(f"('similarity {1 - c:.2f}', 'linkage', 0, 0, {c}D)" for c in (0.25, 0.3, 0.35, 0.4, 0.45))
+    return _sweep(spark, sf_dir, rows)
+
+
 def _words(spark, sf_dir):
     cleaned = T.clean(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", F.filter(F.split(cleaned, " "), lambda w: F.length(w) > 2).alias("words"))
