@@ -41,10 +41,9 @@ def clean(text: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
         (r"(?U)\b(?:(?:ah)+a?|(?:ha)+|(?:ja)+)\b", " "), ("[^a-z A-Z]", ""),
     ):
         x = F.regexp_replace(x, pattern, by)
-    words = F.filter(F.split(x, " +"), lambda w: (w != "") & ~F.array_contains(F.lit(list(stopwords)), w))
+    words = F.array_join(F.filter(F.split(x, " +"), lambda w: (w != "") & ~w.isin(*stopwords)), " ")
     # a word equal to the one before goes
-    pairs = F.arrays_zip(words.alias("w"), F.concat(F.array(F.lit("")), words).alias("p"))
-    return F.array_join(F.transform(F.filter(pairs, lambda s: s["w"].isNotNull() & (s["w"] != s["p"])), lambda s: s["w"]), " ")
+    return F.regexp_replace(words, r"\b(\w+)(?: \1\b)+", "$1")
 
 
 def tokens(text: Column) -> Column:
