@@ -1,11 +1,13 @@
 """Substring dedup over sliding spans of sentences.
 
-A sentence ends at a line break or after a word that ends in ``.``, ``!``, ``?`` or an ellipsis; a sentence of more
-than ``LONG`` words is also cut after words picked by their own hash, so that the cuts fall alike wherever the text
-stands.  The shortest run of at least ``min_sentences`` consecutive sentences with at least ``min_words`` words is hashed
-from every sentence on and up to every sentence, so that a repeated passage is covered from its first to its last.  A first pass over the corpus counts run hashes (pre-aggregated, eight bytes each); the
-second joins the runs with the repeated hashes and their first document.  Every sentence that a non-first occurrence
-covers is removed.
+A sentence ends at a line break or after a word that ends in a full stop, exclamation or question mark of any common
+script or an ellipsis, with or without closing quotes and brackets.  A sentence of more than ``LONG`` words is also cut
+after the word with the smallest hash in each ``CUT`` consecutive words of it: so no piece is longer than ``CUT`` words,
+and the cuts fall alike wherever the text stands, but for ``CUT`` words at either end of what is repeated.  The shortest
+run of at least ``min_sentences`` consecutive sentences with at least ``min_words`` words is hashed from every sentence on
+and up to every sentence, so that a repeated passage is covered from its first to its last.  A first pass over the corpus
+counts run hashes (pre-aggregated, eight bytes each); the second joins the runs with the repeated hashes and their first
+document.  Every sentence that a non-first occurrence covers is removed.
 """
 
 from __future__ import annotations
@@ -18,22 +20,55 @@ from pyspark.sql import functions as F
 from .common import _POWERS, blocks, map_arrow, materialize, mix, utf8, word_hashes, words_of
 
 MIN_SENTENCES, MIN_WORDS = 2, 20
-#: Words of a sentence beyond which it is cut, and the mask that picks the words to cut after.
-LONG, CUT_MASK = 32, np.uint64(15)
-_STOPS = np.frombuffer(b".!?", dtype=np.uint8)
+#: Words of a sentence beyond which it is cut, and the words of which the one with the smallest hash is cut after.
+LONG, CUT = 24, 8
+
+
+def _codes(signs: str) -> np.ndarray:
+    return np.array(sorted(int.from_bytes(c.encode()) for c in signs), dtype=np.int64)
+
+
+_STOPS = _codes(".!?\u2026\u203c\u2047\u2048\u2049\u3002\uff0e\uff61\uff01\uff1f\u0964\u0965\u06d4\u061f\u0589\u1362\u1367\u104b\u17d4\u0f0d")
+_CLOSERS = _codes(")]}\"'\u00bb\u00ab\u2019\u2018\u201d\u201c\u203a\u2039\uff09\uff3d\uff63\u300d\u300f\u3011\u300b\u3009")
+_LAST = np.isin(np.arange(256), np.concatenate([_STOPS, _CLOSERS]) & 255)
+
+
+def _stops(joined, starts, ends) -> np.ndarray:
+    """For each word, True if it ends in a stop, before any closing quotes and brackets."""
+    out = np.zeros(len(ends), dtype=bool)
+    at = np.flatnonzero(_LAST[joined[ends - 1]])
+    end = ends[at]
+    while len(at):
+        one, two, three = (joined[np.maximum(end - k, 0)].astype(np.int64) for k in (1, 2, 3))
+        two = two << 8 | one
+        three = three << 16 | two
+        out[at] = np.isin(one, _STOPS) | np.isin(two, _STOPS) | np.isin(three, _STOPS)
+        size = np.where(np.isin(one, _CLOSERS), 1, np.where(np.isin(two, _CLOSERS), 2, np.where(np.isin(three, _CLOSERS), 3, 0)))
+        more = (size > 0) & (end - size > starts[at])
+        at, end = at[more], (end - size)[more]
+    return out
 
 
 def _sentences(joined, starts, ends, hashes, first) -> np.ndarray:
     """For each word of a block, True if it ends a sentence."""
     newlines = np.concatenate([[0], np.cumsum(joined == 10)])
-    close = np.isin(joined[ends - 1], _STOPS) | ((joined[ends - 1] == 0xA6) & (joined[np.maximum(ends - 2, 0)] == 0x80))
+    close = _stops(joined, starts, ends)
     nxt = np.append(starts[1:], len(joined))
     close |= newlines[nxt] > newlines[ends]
     close[first[1:][first[1:] > first[:-1]] - 1] = True
     stop = np.flatnonzero(close)
     size = np.diff(stop, prepend=-1)
-    of = np.searchsorted(stop, np.arange(len(starts)))
-    close |= (size[of] > LONG) & ((hashes & CUT_MASK) == 0)
+    long = np.repeat(size > LONG, size)
+    at = np.flatnonzero(long)  # words of long sentences, one sentence after the other
+    if len(at):
+        h, of = hashes[at], np.repeat(np.arange(len(stop)), size)[at]
+        n = len(at) - CUT + 1
+        least, place = h[:n].copy(), np.arange(n)
+        for k in range(1, CUT):
+            lower = h[k : k + n] <= least
+            least[lower] = h[k : k + n][lower]
+            place[lower] = np.flatnonzero(lower) + k
+        close[at[place[of[:n] == of[CUT - 1 :]]]] = True
     return close
 
 

@@ -57,3 +57,34 @@ def test_odd_rows(frame, odd_rows, clashing):
     assert len(same) == 2 and all(r.text == "Same row." for r in same)
     assert {r.text for r in found if r.doc_id in (1, 2)} == {""}
     assert sd.remove_repeats(frame([])).count() == 0 and sd.remove_repeats(clashing).count() == 2
+
+
+def grams(text, n=51):
+    words = text.split()
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
+
+
+def test_repeats_in_unpunctuated_text_like_ngram_brute_force(frame):
+    rng = random.Random(51)
+    plain = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passages = [plain(51 + i % 10) for i in range(60)]
+    rows = [(i, " ".join([plain(rng.randrange(30, 90)), passages[i % 60], plain(rng.randrange(30, 90))])) for i in range(120)]
+    rows += [(200 + i, plain(150)) for i in range(20)]
+    rows += [(300 + i, passages[i]) for i in range(60)]  # with no text around them
+    seen, late = set(), set()
+    for i, t in rows:
+        if grams(t) & seen:
+            late.add(i)
+        seen |= grams(t)
+    found = {r.doc_id: r.text for r in sd.remove_repeats(frame(rows)).collect()}
+    assert {i for i, t in rows if found[i] != t} == late == {*range(60, 120), *range(300, 360)}
+    for i, t in rows:
+        if i in late:  # all but CUT words at either end
+            assert len(t.split()) - len(found[i].split()) >= 51 - 2 * 8
+
+
+def test_stops_before_closing_signs_and_of_other_scripts():
+    text = 'He said "go." Then (she left.) \u00bbEnde.\u00ab \u0939\u0948\u0964 \u0647\u06d4 \u6587\u3002\u300d v1.2 and 3.5) \u2026 "\u201d.'
+    ((places, _, _),) = sd.runs_of([text.encode()])
+    ends = [text.encode()[b - 12 if b > 12 else 0 : b].decode("utf-8", "ignore").split()[-1] for _, b in places]
+    assert ends == ['"go."', "left.)", "\u00bbEnde.\u00ab", "\u0939\u0948\u0964", "\u0647\u06d4", "\u6587\u3002\u300d", "\u2026", '"\u201d.']
