@@ -5,9 +5,9 @@ log P(word | before) = log P(class | before) + log P(word | class).
 The class of a word is one of its own for the most frequent words, else a hash of its last two bytes.  P(class | before) is
 a softmax over weights of hashed features: the last word, the ends of the last two words, and skip features (the ends of
 the second and the third word before).  It is trained by distributed gradient updates: in each round every partition runs mini-batches
-over a fixed share of the tokens of each of its training documents, from the same weights, and the moved weights are
-averaged by use.  P(word | class) has unigram features only, whose maximum-entropy solution is the smoothed relative
-frequency in the class.
+over its share of the tokens of each of its training documents, from the same weights, and the moved weights are averaged
+by use; the rounds together take every token of every training document once.  P(word | class) has unigram features only,
+whose maximum-entropy solution is the smoothed relative frequency in the class: within a class, context is left out.
 
 Counts of all training words are needed exactly.  Words are counted by a 64-bit hash.  Words with at least
 1 / ``HEAVY`` of the tokens (so at most ``HEAVY`` of them) are broadcast; the others of a document meet their counts in
@@ -33,8 +33,6 @@ OWN, ENDS = 8, 16
 CLASSES = OWN + ENDS
 #: Rows of the weight table (a power of two), features of a token, rounds, mini-batch, rate.
 BUCKETS, FEATURES, ROUNDS, BATCH, RATE = 1 << 15, 4, 2, 4096, 0.3
-#: One in so many tokens of every training document takes part in a gradient.
-SHARE = 8
 #: Rows of weights that move as one record.
 BLOCK = 1024
 #: The hash of the end token.
@@ -117,7 +115,7 @@ def _updates(weights: np.ndarray, bias: np.ndarray, used: np.ndarray, rows: np.n
     error[np.arange(len(label)), label] += 1
     bias += RATE * 0.1 * error.mean(axis=0)
     for r in rows:
-        order = np.argsort(r, kind="stable")
+        order = np.argsort(r.astype(np.uint16), kind="stable")  # BUCKETS is below 2^16
         s = r[order]
         cuts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
         row, sums = s[cuts], np.add.reduceat(error[order], cuts, axis=0)
@@ -199,10 +197,15 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     return model, counts.select("h", "c")
 
 
+def round_of(t: Tokens) -> np.ndarray:
+    """The round whose gradients each token takes part in, by its place in its text."""
+    place = np.arange(len(t.hashes)) - t.first[t.text]
+    return (place + 5 * (place // ROUNDS)) % ROUNDS
+
+
 def _round(docs: DataFrame, model: Model, number: int) -> None:
     """Every partition moves the weights by its mini-batches; the moves are averaged, each row by its use."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its tables don't grow with the corpus
-    every = SHARE * ROUNDS
 
     def run(batches):
         m = shared.value
@@ -213,9 +216,7 @@ def _round(docs: DataFrame, model: Model, number: int) -> None:
             texts = utf8(batch.column(0))
             for lo, hi in blocks(texts):
                 t = tokens_of(texts[lo:hi])
-                # a token takes part by its place in its text, in another round each time
-                place = np.arange(len(t.hashes)) - t.first[t.text]
-                at = np.flatnonzero((place + 5 * (place // every)) % every == number * SHARE)
+                at = np.flatnonzero(round_of(t) == number)
                 rows.append(features_of(t)[:, at])
                 labels.append(classes_of(t, m.own)[at])
                 held += len(at)

@@ -76,6 +76,27 @@ def test_class_probabilities_sum_to_one():
     assert np.allclose(p.sum(axis=1), 1, atol=1e-5)
 
 
+def test_every_training_token_enters_one_gradient(spark, frame, odd_rows, monkeypatch):
+    """The uses of weight rows that come back are those of all tokens, each in one round."""
+    import numpy as np
+
+    rng = random.Random(4)
+    docs = frame([*odd_rows, *((100 + i, prose(rng, rng.randrange(0, 90))) for i in range(80))]).select(F.coalesce("text", F.lit("")).alias("text"))
+    used = np.zeros(lm_score.BUCKETS)
+    plain = type(docs).toLocalIterator
+
+    def watch(df, *args, **kwargs):
+        for r in plain(df, *args, **kwargs):
+            if "used" in df.columns:
+                used[r["block"] * lm_score.BLOCK : (r["block"] + 1) * lm_score.BLOCK] += np.frombuffer(r["used"], np.float32)
+            yield r
+
+    monkeypatch.setattr(type(docs), "toLocalIterator", watch)
+    lm_score.fit(docs)
+    tokens = lm_score.tokens_of([r.text.encode() for r in docs.collect()])
+    assert (used == np.bincount(lm_score.features_of(tokens).ravel(), minlength=lm_score.BUCKETS)).all()
+
+
 def test_model_without_training_or_documents(frame, clashing):
     (row,) = lm_score.score(frame([(1, "a b")]), frame([])).collect()
     assert (row.n_tokens, row.n_known, row.train_tokens) == (3, 0, 0) and abs(row.base_score) < 1e-9
