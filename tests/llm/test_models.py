@@ -154,6 +154,25 @@ def test_leaks_and_paraphrases(spark, frame, odd_rows, clashing):
     assert decontam.find_leaks(clashing, groups).count() == 0
 
 
+def test_term_weights_cover_all_documents(spark, frame, odd_rows, monkeypatch):
+    """Weights and terms are those of plain counts over all passages, however small the sample is."""
+    import numpy as np
+
+    monkeypatch.setattr(decontam, "SAMPLE", 20)
+    rng = random.Random(12)
+    rows = [*odd_rows, *((100 + i, prose(rng, rng.randrange(10, 200))) for i in range(150))]
+    bench = spark.createDataFrame([(i, prose(rng, 30)) for i in range(10)], "item_id bigint, text string")
+    ((block,),) = decontam.fit(frame(rows), bench)
+    total, has = 0, Counter()
+    for _, t in rows:
+        h, _ = decontam.hashed_words([(t or "").encode()])
+        for at in range(0, len(h), decontam.STRIDE):
+            total += 1
+            has.update(set(h[at : at + decontam.WINDOW].tolist()))
+    want = np.array([math.log((1 + total) / (1 + has[t])) + 0.1 for t in block.terms.tolist()])
+    assert np.allclose(block.idf, want, atol=1e-4)
+
+
 def test_index_recall_against_brute_force(spark):
     """Every (document, item) pair with the item's words in order is found."""
     docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
