@@ -237,24 +237,27 @@ def keep_to_knee(rows: DataFrame, group: str, word: str, weight: str) -> DataFra
 def greedy_edges(edges: DataFrame, max_nodes: int = 1000, max_edges: int = 5000) -> DataFrame:
     """Walk the edges from the heaviest on and take each that keeps the nodes within ``max_nodes``, ``max_edges`` at most.
 
-    The walk depends on order, so one task makes it, over the 50 * ``max_edges`` heaviest edges: the dashboard's sample.
+    Until one node is missing every edge is taken, so the ``max_edges`` heaviest (on the driver) settle all nodes but
+    perhaps the last, which the heaviest edge that adds just one node brings.  What the walk takes are then the heaviest
+    of all edges whose two ends are chosen.
     """
-    ordered = edges.orderBy(F.desc("weight"), "source", "target")
-    schema = edges.select("source", "target", "weight").schema
-
-    def run(batches):
-        nodes: set = set()
-        taken = 0
-        for pdf in batches:
-            keep = []
-            for s, t in zip(pdf["source"], pdf["target"], strict=True):
-                ok = taken < max_edges and len(nodes | {s, t}) <= max_nodes
-                keep.append(ok)
-                if ok:
-                    nodes |= {s, t}
-                    taken += 1
-            yield pdf[keep]
-            if taken >= max_edges:
-                return
-
-    return ordered.select("source", "target", "weight").limit(50 * max_edges).coalesce(1).mapInPandas(run, schema)
+    rows = edges.select("source", "target", "weight")
+    order = [F.desc("weight"), F.asc("source"), F.asc("target")]
+    nodes: set = set()
+    for r in rows.orderBy(*order).limit(max_edges).collect():
+        if len(nodes | {r["source"], r["target"]}) <= max_nodes:
+            nodes |= {r["source"], r["target"]}
+    kind = rows.schema["source"].dataType.simpleString()
+
+    def marked(df: DataFrame) -> DataFrame:
+        chosen = df.sparkSession.createDataFrame([(n,) for n in nodes], f"node {kind}")  # at most max_nodes rows
+        for end in ("source", "target"):
+            near = F.broadcast(chosen.select(F.col("node").alias("n"), F.lit(True).alias(f"has_{end}")))
+            df = df.join(near, F.col(end).eqNullSafe(F.col("n")), "left").drop("n").fillna(False, [f"has_{end}"])
+        return df
+
+    if len(nodes) == max_nodes - 1:
+        one = (F.col("has_source") != F.col("has_target")) | (F.col("source").eqNullSafe(F.col("target")) & ~F.col("has_source"))
+        for r in marked(rows).where(one).orderBy(*order).limit(1).collect():
+            nodes |= {r["source"], r["target"]}
+    return marked(rows).where("has_source AND has_target").orderBy(*order).limit(max_edges).select("source", "target", "weight")

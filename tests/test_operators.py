@@ -168,3 +168,22 @@ def test_streamed_merge_adds_nothing_twice(spark, tmp_path):
     for _ in range(2):
         merge_batches(stream, str(tmp_path / "out"), str(tmp_path / "state"), total).trigger(availableNow=True).start().awaitTermination()
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out/v0")).collect()] == [(1, 5)]
+
+
+def test_greedy_edges_take_later_edges_between_chosen_nodes(spark):
+    import random
+
+    rng = random.Random(5)
+    for case in range(4):
+        rows = [(1, 2, 9e3), (2, 3, 8e3)] if case else [(1, 2, 9e3), (3, 4, 8e3)]
+        rows += [(10 + i, 2000 + i, 1e3 - i) for i in range(600)] + [(2, 1, 0.5), (3, 2, 0.4), (3, 1, 0.3), (1, 3, 0.2)]
+        if case > 1:
+            rows += [(rng.randrange(60), rng.randrange(60), rng.random()) for _ in range(400)]
+        most, cap = (4 if case < 3 else 9), 7
+        nodes, want = set(), []
+        for r in sorted(rows, key=lambda r: (-r[2], r[0], r[1])):
+            if len(want) < cap and len(nodes | {*r[:2]}) <= most:
+                nodes |= {*r[:2]}
+                want.append(r)
+        got = cl.greedy_edges(spark.createDataFrame(rows, "source int, target int, weight double"), most, cap).collect()
+        assert [tuple(r) for r in got] == want
