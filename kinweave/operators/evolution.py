@@ -116,20 +116,26 @@ def membership_changes(steps: DataFrame, members: DataFrame) -> DataFrame:
     )
 
 
-def components(edges: DataFrame, rounds: int) -> DataFrame:
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """Weakly connected components of (source_node, target_node): node and the smallest node reachable.
 
-    Labels spread one step a round; ``rounds`` bounds the longest way, which is the number of periods here.
+    In a round labels spread one step and then to the label of their label, until none moves.  With ``rounds``, more
+    rounds than that are an error.
     """
     both = materialize(edges.select(F.col("source_node").alias("node"), F.col("target_node").alias("other")).union(edges.select("target_node", "source_node")).distinct(), "links")
     labels = both.groupBy("node").agg(F.least(F.first("node"), F.min("other")).alias("component"))
-    for _ in range(rounds):
+    done = 0
+    while True:
         spread = both.join(labels.select(F.col("node").alias("other"), "component"), "other").groupBy("node").agg(F.min("component").alias("near"))
-        moved = materialize(labels.join(spread, "node").select("node", F.least("component", "near").alias("component"), (F.col("near") < F.col("component")).alias("moved")), "labels")
+        beyond = labels.select(F.col("node").alias("near"), F.col("component").alias("next"))
+        stepped = labels.join(spread, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("near")).join(beyond, "near")
+        moved = materialize(stepped.select("node", F.least("near", "next").alias("component"), (F.least("near", "next") < F.col("old")).alias("moved")), "labels")
         labels = moved.drop("moved")
         if moved.where("moved").isEmpty():
-            break
-    return labels
+            return labels
+        done += 1
+        if rounds is not None and done > rounds:
+            raise ValueError(f"labels still move after {rounds} rounds")
 
 
 def sankey(transition_rows: DataFrame) -> DataFrame:

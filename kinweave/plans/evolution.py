@@ -104,7 +104,7 @@ def mobility(spark, sf_dir):
 @query("g04_transition_components", f"""WITH RECURSIVE {TRANSITIONS}, bo AS (SELECT source_node AS a, target_node AS b FROM tr UNION SELECT target_node, source_node FROM tr), re AS (SELECT a AS node, a AS other FROM bo UNION SELECT node, b FROM re JOIN bo ON other = a)
 SELECT node, min(other) AS component FROM re GROUP BY 1""")
 def transition_components(spark, sf_dir):
-    return ev.components(transition_rows(spark, sf_dir), 2 * PERIODS)
+    return ev.components(transition_rows(spark, sf_dir))
 
 
 @query("g14_persistent_communities", f"WITH RECURSIVE {PATH_TABLE} SELECT path_id, duration, nodes[1] AS first_node, nodes[len(nodes)] AS last_node FROM pt WHERE duration >= 3")

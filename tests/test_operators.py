@@ -187,3 +187,9 @@ def test_greedy_edges_take_later_edges_between_chosen_nodes(spark):
                 want.append(r)
         got = cl.greedy_edges(spark.createDataFrame(rows, "source int, target int, weight double"), most, cap).collect()
         assert [tuple(r) for r in got] == want
+
+
+def test_components_of_a_long_zigzag(spark):
+    names = [f"{'AB'[i % 2]}_{i * 37 % 101:03d}" for i in range(60)]
+    e = spark.createDataFrame([(names[i + i % 2], names[i + 1 - i % 2]) for i in range(59)], "source_node string, target_node string")
+    assert {r.node: r.component for r in ev.components(e).collect()} == dict.fromkeys(names, min(names))
