@@ -1,13 +1,18 @@
 """Language-model scores: a hashed maximum-entropy model with a class-factored softmax.
 
-log P(word | before) = log P(class | before) + log P(word | class).
+log P(word | before) = log P(class | before) + log P(word | class, before).
 
-The class of a word is one of its own for the most frequent words, else a hash of its last two bytes.  P(class | before) is
-a softmax over weights of hashed features: the last word, the ends of the last two words, and skip features (the ends of
-the second and the third word before).  It is trained by distributed gradient updates: in each round every partition runs mini-batches
-over its share of the tokens of each of its training documents, from the same weights, and the moved weights are averaged
-by use; the rounds together take every token of every training document once.  P(word | class) has unigram features only,
-whose maximum-entropy solution is the smoothed relative frequency in the class: within a class, context is left out.
+The ``CLASSES * SLOTS`` most frequent words, sorted by their ends, are dealt out to ``CLASSES`` classes of ``SLOTS``
+words; all other words belong to one of ``ENDS`` classes by a hash of their last two bytes.  Both factors are softmaxes
+over weights of hashed features.  The class has the last word, the ends of the last two words, and a skip feature (the
+ends of the second and the third word before); the word within its class has the last word and the ends of the last two
+words, each together with the class.  Words outside the shortlist have their smoothed relative frequency in their
+class, in which an unseen word has an equal part of the smoothing mass; so the probabilities of all words, known and
+unseen, sum to one in every context.
+
+Training is distributed: in each round every partition runs mini-batches of AdaGrad over its share of the tokens of each
+of its training documents, from the same weights, and the moved weights are averaged by use, in levels of ``FAN``
+partitions each; the rounds together take every token of every training document once.
 
 Counts of all training words are needed exactly.  Words are counted by a 64-bit hash.  Words with at least
 1 / ``HEAVY`` of the tokens (so at most ``HEAVY`` of them) are broadcast; the others of a document meet their counts in
@@ -16,11 +21,12 @@ a shuffle, pre-aggregated per document.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,16 +34,17 @@ from .common import LOWER_AZ, blocks, map_arrow, materialize, mix, utf8, word_ha
 
 #: Bound of the broadcast words.
 HEAVY = 100_000
-#: Classes: of single frequent words, and of hashed word ends.
-OWN, ENDS = 8, 16
-CLASSES = OWN + ENDS
-#: Rows of the weight table (a power of two), features of a token, rounds, mini-batch, rate.
-BUCKETS, FEATURES, ROUNDS, BATCH, RATE = 1 << 15, 4, 2, 4096, 0.3
-#: Rows of weights that move as one record.
-BLOCK = 1024
+#: Classes of the shortlist and words in each; classes of all other words, by hashed ends (a power of two).
+CLASSES, SLOTS, ENDS = 64, 64, 16
+#: Features of either factor, and rows of weights of each feature (a power of two; together at most 2^16).
+FEATURES, BUCKETS = (3, 2), (1 << 12, 1 << 13)
+ROUNDS, BATCH, RATE = 2, 8192, 0.3
+#: Rows of weights that move as one record, and partitions whose moves one group adds up.
+BLOCK, FAN = 256, 32
 #: The hash of the end token.
 END = np.uint64(0x5851F42D4C957F2D)
 SMOOTH = 0.1
+_NEVER = np.float32(-1e9)
 
 
 @dataclass
@@ -66,22 +73,37 @@ def tokens_of(texts: list[bytes]) -> Tokens:
     return Tokens(hashes, tail, text, begin)
 
 
-def classes_of(t: Tokens, own: np.ndarray) -> np.ndarray:
-    out = OWN + (t.ends % np.uint64(ENDS)).astype(np.int64)
-    if len(own):
-        place = np.searchsorted(own, t.hashes)
-        hit = own[np.minimum(place, len(own) - 1)] == t.hashes
-        out[hit] = place[hit]
-    return out
+@dataclass
+class Model:
+    heavy: np.ndarray  # hashes of broadcast words, sorted
+    counts: np.ndarray
+    place: np.ndarray  # of each broadcast word, class * SLOTS + slot, or -1 outside the shortlist
+    bias: list[np.ndarray]  # log P0 of the classes, and of the slots of each class
+    weights: list[np.ndarray] = field(default_factory=lambda: [np.zeros((f * b, w), np.float32) for f, b, w in zip(FEATURES, BUCKETS, (CLASSES + ENDS, SLOTS), strict=True)])
+    tokens: int = 0
+    distinct: int = 0
+
+    @property
+    def total(self) -> float:
+        return self.tokens + SMOOTH * (self.distinct + 1)
 
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each word among the broadcast ones, or -1."""
+        if not len(self.heavy):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.heavy, hashes), len(self.heavy) - 1)
+        return np.where(self.heavy[at] == hashes, at, -1)
 
-def features_of(t: Tokens) -> np.ndarray:
-    """Weight rows of each token: last word, ends of the last two words, end of the second and of the third before.
+    def labels(self, t: Tokens, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Class and slot of each token (slot -1 outside the shortlist); ``at`` is what ``find`` gave."""
+        place = np.where(at >= 0, self.place[at], -1) if len(self.place) else np.full(len(at), -1)
+        short = place >= 0
+        return np.where(short, place // SLOTS, CLASSES + (t.ends % np.uint64(ENDS)).astype(np.int64)), np.where(short, place % SLOTS, -1)
 
-    The skip features and the pair use word ends, which are far fewer than words and so are seen often enough.
-    """
+
+def contexts_of(t: Tokens) -> np.ndarray:
+    """For each token hashes of the last word, of the ends of the last two words, and of the second and third before."""
     n = len(t.hashes)
-    out = np.empty((FEATURES, n), dtype=np.int64)
 
     def before(x: np.ndarray, d: int) -> np.ndarray:
         h = np.full(n, np.uint64(d), dtype=np.uint64)
@@ -91,55 +113,50 @@ def features_of(t: Tokens) -> np.ndarray:
         return h
 
     second = before(t.ends, 2)
-    combined = (before(t.hashes, 1), before(t.ends, 1) * np.uint64(3) + second * np.uint64(0x9E3779B97F4A7C15), second, before(t.ends, 3))
-    for i, h in enumerate(combined):
-        salt = np.uint64(i * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF)
-        out[i] = (mix(h + salt) % np.uint64(BUCKETS // FEATURES)).astype(np.int64) + i * (BUCKETS // FEATURES)
-    return out
+    first, golden = np.uint64(3), np.uint64(0x9E3779B97F4A7C15)
+    return np.stack([before(t.hashes, 1), before(t.ends, 1) * first + second * golden, second * first + before(t.ends, 3) * golden])
+
+
+def class_rows(contexts: np.ndarray) -> np.ndarray:
+    return np.stack([_row(h, 0, i) for i, h in enumerate(contexts)])
 
 
-def log_classes(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Log softmax over classes for tokens with the given weight rows."""
-    z = weights[rows[0]]
+def slot_rows(contexts: np.ndarray, label: np.ndarray) -> np.ndarray:
+    own = label.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
+    return np.stack([_row(contexts[i] + own, 1, i) for i in range(FEATURES[1])])
+
+
+def _row(h: np.ndarray, factor: int, feature: int) -> np.ndarray:
+    salt = np.uint64((2 * feature + factor) * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF)
+    return (mix(h + salt) % np.uint64(BUCKETS[factor])).astype(np.int64) + feature * BUCKETS[factor]
+
+
+def probabilities(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Softmax for tokens with the given weight rows; ``bias`` is one row, or a row for each token."""
+    z = weights.take(rows[0], axis=0)
     for r in rows[1:]:
-        z += weights[r]
+        z += weights.take(r, axis=0)
     z += bias
     z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+    np.exp(z, out=z)
+    z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
     return z
 
 
-def _updates(weights: np.ndarray, bias: np.ndarray, used: np.ndarray, rows: np.ndarray, label: np.ndarray, squares: np.ndarray) -> None:
-    """One mini-batch of AdaGrad on the log loss of the class."""
-    error = -np.exp(log_classes(weights, bias, rows))
+def update(weights: np.ndarray, bias: np.ndarray, used: np.ndarray, squares: np.ndarray, rows: np.ndarray, label: np.ndarray) -> None:
+    """One mini-batch of AdaGrad on the log loss, with one rate for each row of weights."""
+    error = -probabilities(weights, bias, rows)
     error[np.arange(len(label)), label] += 1
-    bias += RATE * 0.1 * error.mean(axis=0)
     for r in rows:
-        order = np.argsort(r.astype(np.uint16), kind="stable")  # BUCKETS is below 2^16
+        order = np.argsort(r.astype(np.uint16), kind="stable")
         s = r[order]
         cuts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        row, sums = s[cuts], np.add.reduceat(error[order], cuts, axis=0)
-        squares[row] += (sums**2).mean(axis=1)
-        weights[row] += RATE * sums / np.sqrt(squares[row] + 1)[:, None]
+        row, sums = s[cuts], np.add.reduceat(error.take(order, axis=0), cuts, axis=0)
+        squares[row] += np.einsum("ij,ij->i", sums, sums) / np.float32(sums.shape[1])
+        weights[row] += sums * (np.float32(RATE) / np.sqrt(squares[row] + 1))[:, None]
         used[row] += np.diff(np.append(cuts, len(s)))
 
 
-@dataclass
-class Model:
-    own: np.ndarray  # hashes of the words with a class of their own, sorted
-    weights: np.ndarray
-    bias: np.ndarray
-    gain: np.ndarray  # by class, log10 of 1 / P0(class)
-    heavy: np.ndarray  # hashes of broadcast words, sorted
-    counts: np.ndarray
-    tokens: int = 0
-    distinct: int = 0
-
-    @property
-    def total(self) -> float:
-        return self.tokens + SMOOTH * (self.distinct + 1)
-
-
 def word_counts(docs: DataFrame) -> DataFrame:
     """hash, tail and count of every word of all texts, and of the end token."""
 
@@ -175,23 +192,35 @@ def _record(columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in columns], names=["h", "tail", "c"])
 
 
+def shortlist(h: np.ndarray, c: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """For each word its class * SLOTS + slot, or -1: the most frequent words, in the order of their ends."""
+    top = np.lexsort((h, -c))[: CLASSES * SLOTS]
+    place = np.full(len(h), -1, dtype=np.int64)
+    place[top[np.lexsort((h[top], -c[top], tail[top]))]] = np.arange(len(top))
+    return place
+
+
 def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     """The model of all texts of ``docs`` (column text, no nulls) and the table of word counts (h, c)."""
     counts = materialize(word_counts(docs), "counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    heavy = counts.where(F.col("c") >= max(1.0, n / HEAVY)).select("h", "c").toArrow()
-    h, c = heavy.column(0).to_numpy().view(np.uint64), heavy.column(1).to_numpy()
+    heavy = counts.where(F.col("c") >= max(1.0, n / HEAVY)).select("h", "c", "tail").toArrow()
+    h, c, tail = heavy.column(0).to_numpy().view(np.uint64), heavy.column(1).to_numpy(), heavy.column(2).to_numpy().view(np.uint64)
     order = np.argsort(h)
-    h, c = h[order], c[order]
-    own = np.sort(h[np.lexsort((h, -c))[:OWN]])
-    # counts and words by class: own words, then hashed ends
-    number = F.when(F.col("h").isin([int(x) for x in own.view(np.int64)]) if len(own) else F.lit(False), F.col("h")).otherwise(F.lit(None))
-    by = counts.groupBy(number.alias("own"), F.col("tail").bitwiseAND(F.lit(ENDS - 1)).alias("end")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()
-    mass = np.full(CLASSES, SMOOTH / CLASSES)
-    for r in by:
-        k = OWN + r["end"] if r["own"] is None else int(np.searchsorted(own, np.int64(r["own"]).view(np.uint64)))
-        mass[k] += r["c"] + SMOOTH * r["v"]
-    model = Model(own, np.zeros((BUCKETS, CLASSES), np.float32), np.log(mass / mass.sum()).astype(np.float32), -np.log10(mass / mass.sum()), h, c, int(n), int(v))
+    h, c, tail = h[order], c[order], tail[order]
+    place = shortlist(h, c, tail)
+    short = place >= 0
+    # mass of each class: its words, smoothed; unseen words share one word's smoothing among the classes by ends
+    words = np.full((CLASSES, SLOTS), 0.0)
+    words.reshape(-1)[place[short]] = c[short] + SMOOTH
+    others = np.full(ENDS, SMOOTH / ENDS)
+    for r in counts.groupBy(F.col("tail").bitwiseAND(F.lit(ENDS - 1)).alias("end")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():
+        others[r["end"]] += r["c"] + SMOOTH * r["v"]
+    others -= np.bincount((tail[short] % np.uint64(ENDS)).astype(np.int64), weights=c[short] + SMOOTH, minlength=ENDS)
+    mass = np.concatenate([words.sum(axis=1), np.maximum(others, SMOOTH / ENDS)])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        bias = [np.log(mass / mass.sum()), np.log(words / words.sum(axis=1, keepdims=True))]
+    model = Model(h, c, place, [np.where(np.isfinite(b), b, _NEVER).astype(np.float32) for b in bias], tokens=int(n), distinct=int(v))
     for r in range(ROUNDS):
         _round(docs, model, r)
     return model, counts.select("h", "c")
@@ -203,62 +232,118 @@ def round_of(t: Tokens) -> np.ndarray:
     return (place + 5 * (place // ROUNDS)) % ROUNDS
 
 
+class _Learner:
+    """What one partition moves in a round."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.weights = [w.copy() for w in model.weights]
+        self.used = [np.zeros(len(w), np.float32) for w in self.weights]
+        self.squares = [np.zeros(len(w), np.float32) for w in self.weights]
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, t: Tokens, at: np.ndarray) -> None:
+        label, slot = self.model.labels(t, self.model.find(t.hashes))
+        self.held.append((contexts_of(t)[:, at], label[at], slot[at]))
+        self.size += len(at)
+        if self.size >= 8 * BATCH:
+            self.learn()
+
+    def learn(self) -> None:
+        if not self.size:
+            return
+        contexts, label, slot = (np.concatenate(x, axis=-1) for x in zip(*self.held, strict=True))
+        self.held, self.size = [], 0
+        order = np.random.default_rng(len(label)).permutation(len(label))
+        rows = class_rows(contexts)
+        for i in range(0, len(order), BATCH):
+            at = order[i : i + BATCH]
+            update(self.weights[0], self.model.bias[0], self.used[0], self.squares[0], rows[:, at], label[at])
+        order = order[slot[order] >= 0]
+        rows = slot_rows(contexts, label)
+        for i in range(0, len(order), BATCH):
+            at = order[i : i + BATCH]
+            update(self.weights[1], self.model.bias[1][label[at]], self.used[1], self.squares[1], rows[:, at], slot[at])
+
+    def moves(self, partition: int) -> pa.RecordBatch:
+        """The blocks of weights that were used, with the mean move of each row and its use."""
+        out: list[tuple] = []
+        for factor, (new, old, used) in enumerate(zip(self.weights, self.model.weights, self.used, strict=True)):
+            for b in range(0, len(new), BLOCK):
+                if used[b : b + BLOCK].any():
+                    out.append((factor, b // BLOCK, partition, (new[b : b + BLOCK] - old[b : b + BLOCK]).astype(np.float16).tobytes(), used[b : b + BLOCK].tobytes()))
+        columns = list(zip(*out, strict=True)) if out else [[]] * 5
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=["factor", "block", "salt", "moved", "used"])
+
+
+_MOVES = "factor int, block int, salt int, moved binary, used binary"
+
+
+def _mean(group: pd.DataFrame) -> pd.DataFrame:
+    """The moves of a block, averaged by use."""
+    used = np.zeros(BLOCK, np.float32)
+    moved = 0.0
+    for m, u in zip(group["moved"], group["used"], strict=True):
+        u = np.frombuffer(u, np.float32)
+        moved = moved + np.frombuffer(m, np.float16).astype(np.float32).reshape(BLOCK, -1) * u[:, None]
+        used += u
+    moved = (moved / np.maximum(used, 1)[:, None]).astype(np.float16)
+    return group.iloc[:1].assign(moved=[moved.tobytes()], used=[used.tobytes()])
+
+
 def _round(docs: DataFrame, model: Model, number: int) -> None:
-    """Every partition moves the weights by its mini-batches; the moves are averaged, each row by its use."""
+    """Every partition moves the weights by its mini-batches; the moves are averaged, each row by its use.
+
+    A partition gives at most the whole tables, and a group adds up the blocks of at most FAN partitions; the levels
+    grow with the logarithm of the partitions.  The averaged tables, of fixed size, come to the driver.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its tables don't grow with the corpus
 
     def run(batches):
-        m = shared.value
-        weights, bias = m.weights.copy(), m.bias.copy()
-        used, squares = np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32)
-        rows, labels, held = [], [], 0
+        learner = _Learner(shared.value)
         for batch in batches:
             texts = utf8(batch.column(0))
             for lo, hi in blocks(texts):
                 t = tokens_of(texts[lo:hi])
-                at = np.flatnonzero(round_of(t) == number)
-                rows.append(features_of(t)[:, at])
-                labels.append(classes_of(t, m.own)[at])
-                held += len(at)
-                if held >= 8 * BATCH:
-                    _learn(weights, bias, used, squares, rows, labels)
-                    rows, labels, held = [], [], 0
-        if held:
-            _learn(weights, bias, used, squares, rows, labels)
-        moved = ((weights - m.weights) * used[:, None]).astype(np.float32)
-        n = BUCKETS // BLOCK
-        salt = int(mix(np.array([int(used.sum())], dtype=np.uint64))[0] % np.uint64(16))
-        cut = lambda x, i: np.ascontiguousarray(x[i * BLOCK : (i + 1) * BLOCK]).tobytes()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(n), pa.int32()), pa.array([salt] * n, pa.int32()), pa.array([cut(moved, i) for i in range(n)], pa.binary()), pa.array([cut(used, i) for i in range(n)], pa.binary()), pa.array([((bias - m.bias) * used.sum()).tobytes()] * n, pa.binary()), pa.array([float(used.sum())] * n, pa.float64())],
-            names=["block", "salt", "moved", "used", "bias", "weight"],
-        )
-
-    schema = "block int, salt int, moved binary, used binary, bias binary, weight double"
-
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = lambda c: np.sum([np.frombuffer(x, np.float32) for x in group[c]], axis=0, dtype=np.float32).tobytes()
-        return group.iloc[:1].assign(moved=[total("moved")], used=[total("used")], bias=[total("bias")], weight=[group["weight"].sum()])
-
-    parts = docs.select("text").mapInArrow(run, schema)
-    sums = parts.groupBy("block", "salt").applyInPandas(add, schema).groupBy("block").applyInPandas(add, schema)
-    bias_sum, weight = np.zeros(CLASSES), 0.0
-    for r in sums.toLocalIterator():
-        at = slice(r["block"] * BLOCK, (r["block"] + 1) * BLOCK)
-        used = np.frombuffer(r["used"], np.float32)
-        model.weights[at] += np.frombuffer(r["moved"], np.float32).reshape(BLOCK, CLASSES) / np.maximum(used, 1)[:, None]
-        bias_sum, weight = np.frombuffer(r["bias"], np.float32), r["weight"]
-    if weight:
-        model.bias = (model.bias + bias_sum / weight).astype(np.float32)
+                learner.add(t, np.flatnonzero(round_of(t) == number))
+        learner.learn()
+        yield learner.moves(TaskContext.get().partitionId())
+
+    rows = docs.select("text")
+    left = rows.rdd.getNumPartitions()
+    moves = rows.mapInArrow(run, _MOVES)
+    while True:
+        moves = moves.withColumn("salt", F.floor(F.col("salt") / FAN).cast("int")).groupBy("factor", "block", "salt").applyInPandas(_mean, _MOVES)
+        left = -(-left // FAN)
+        if left <= 1:
+            break
+    for r in moves.toLocalIterator():
+        table = model.weights[r["factor"]]
+        table[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] += np.frombuffer(r["moved"], np.float16).astype(np.float32).reshape(BLOCK, -1)
     shared.unpersist()
 
 
-def _learn(weights, bias, used, squares, rows, labels) -> None:
-    rows, labels = np.concatenate(rows, axis=1), np.concatenate(labels)
-    order = np.random.default_rng(len(labels)).permutation(len(labels))
-    for i in range(0, len(order), BATCH):
-        at = order[i : i + BATCH]
-        _updates(weights, bias, used, rows[:, at], labels[at], squares)
+def gains(m: Model, t: Tokens, at: np.ndarray) -> np.ndarray:
+    """For each token, log10 of the model's probability over that of its frequency (over its class's, if not broadcast).
+
+    ``at`` is what ``find`` gave for the tokens.
+    """
+    label, slot = m.labels(t, at)
+    contexts, out = contexts_of(t), np.empty(len(label))
+    for i in range(0, len(out), 1 << 14):
+        part = slice(i, i + (1 << 14))
+        mine, own = label[part], slot[part]
+        p = probabilities(m.weights[0], m.bias[0], class_rows(contexts[:, part]))
+        gain = np.log(p[np.arange(len(mine)), mine]) - m.bias[0][mine]
+        short = np.flatnonzero(own >= 0)
+        if len(short):
+            c, k = mine[short], own[short]
+            p = probabilities(m.weights[1], m.bias[1][c], slot_rows(contexts[:, part][:, short], c))
+            gain[short] += np.log(p[np.arange(len(k)), k]) - m.bias[1][c, k]
+        out[part] = gain / np.log(10)
+    return out
 
 
 def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -280,15 +365,10 @@ def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: s
         texts = utf8(batch.column(1))
         for lo, hi in blocks(texts, 1 << 20):
             t = tokens_of(texts[lo:hi])
-            place = np.minimum(np.searchsorted(m.heavy, t.hashes), max(0, len(m.heavy) - 1))
-            common = m.heavy[place] == t.hashes if len(m.heavy) else np.zeros(len(t.hashes), bool)
-            known = np.where(common, np.log10((m.counts[place] if len(m.counts) else 0) + SMOOTH), 0.0)
-            label, gain = classes_of(t, m.own), np.empty(len(t.hashes))
-            features = features_of(t)
-            for i in range(0, len(gain), 1 << 15):
-                at = slice(i, i + (1 << 15))
-                z = log_classes(m.weights, m.bias, features[:, at])
-                gain[at] = z[np.arange(len(z)), label[at]] / np.log(10) + m.gain[label[at]]
+            at = m.find(t.hashes)
+            common = at >= 0
+            known = np.where(common, np.log10((m.counts[at] if len(m.counts) else 0) + SMOOTH), 0.0)
+            gain = gains(m, t, at)
             cuts = t.first[:-1]
             out["n_tokens"].append(np.diff(t.first))
             out["n_known"].append(np.add.reduceat(common.astype(np.int64), cuts))
@@ -315,11 +395,14 @@ def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: s
         F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(SMOOTH))).alias("more"),
     )
     base = F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(model.total)))
+    known = F.col("n_known") + F.coalesce("more_known", F.lit(0))
+    # an unseen word has one of ENDS parts of the smoothing mass
+    unseen = (F.col("n_tokens") - known) * F.lit(float(np.log10(ENDS)))
     return scored.join(sums, "tag", "left").select(
         "doc_id",
         "n_tokens",
-        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
+        known.alias("n_known"),
         F.lit(model.tokens).cast("bigint").alias("train_tokens"),
         base.alias("base_score"),
-        (base + F.col("gain")).alias("score"),
+        (base + F.col("gain") - unseen).alias("score"),
     )

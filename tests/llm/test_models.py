@@ -3,6 +3,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from functools import cache
 
 import pytest
 from llm_texts import prose
@@ -66,35 +67,121 @@ def test_model_beats_unigrams_on_held_out_text(spark):
     assert held.score.sum() > held.base_score.sum()
 
 
-def test_class_probabilities_sum_to_one():
+def plain_model(model, counts):
+    """log10 P(word | the words before it in its text) of the fitted weights, in plain loops over one word at a time."""
     import numpy as np
 
-    rng = np.random.default_rng(1)
-    w = rng.normal(size=(lm_score.BUCKETS, lm_score.CLASSES)).astype(np.float32)
-    t = lm_score.tokens_of([b"some words in a text", b""])
-    p = np.exp(lm_score.log_classes(w, np.zeros(lm_score.CLASSES, np.float32), lm_score.features_of(t)))
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-5)
-
+    C, S = lm_score.CLASSES, lm_score.SLOTS
+    known = {int(np.int64(r.h).view(np.uint64)): r.c for r in counts.collect()}
+    place = {int(h): int(p) for h, p in zip(model.heavy, model.place, strict=True) if p >= 0}
+    hash_of = cache(lambda w: int(lm_score.tokens_of([w.encode()]).hashes[0]) if w else int(lm_score.END))
+    end_of = cache(lambda w: int(lm_score.tokens_of([w.encode()]).ends[0]) % lm_score.ENDS if w else 0)
+    vocab = model.vocab
+    mass = [[] for _ in range(C + lm_score.ENDS)]
+    for w in vocab:
+        h = hash_of(w)
+        k = place[h] // S if h in place else C + end_of(w)
+        mass[k].append(known[h] + 0.1)
+    total = [sum(m) + (0.1 / lm_score.ENDS if k >= C else 0) for k, m in enumerate(mass)]
+
+    def softmax(rows, bias, table):
+        z = [sum(float(table[r][j]) for r in rows) + float(bias[j]) for j in range(len(bias))]
+        top = max(z)
+        e = [math.exp(x - top) for x in z]
+        return [x / sum(e) for x in e]
+
+    def distribution(before):
+        """Probability of each known word, of the end, and of an unseen word for each class by ends."""
+        t = lm_score.tokens_of([" ".join(before).encode()])
+        contexts = lm_score.contexts_of(t)[:, -1:]  # the end token's, whatever the next word is
+        classes = softmax(lm_score.class_rows(contexts)[:, 0], model.bias[0], model.weights[0])
+        out, within = {}, {}
+        for w in vocab:
+            h = hash_of(w)
+            if h in place:
+                k, slot = divmod(place[h], S)
+                if k not in within:
+                    within[k] = softmax(lm_score.slot_rows(contexts, np.array([k]))[:, 0], model.bias[1][k], model.weights[1])
+                out[w] = classes[k] * within[k][slot]
+            else:
+                k = C + end_of(w)
+                out[w] = classes[k] * (known[h] + 0.1) / total[k]
+        unseen = [classes[C + e] * (0.1 / lm_score.ENDS) / total[C + e] for e in range(lm_score.ENDS)]
+        return out, unseen
+
+    return distribution, end_of
+
+
+def test_score_like_plain_loops(frame, monkeypatch):
+    """Probabilities of all words sum to one in any context; a text's score is the sum of its tokens' logarithms."""
+    rng = random.Random(8)
+    train = [(i, prose(rng, 100) + " " + " ".join(f"w{rng.randrange(3000)}{rng.choice('abcd')}" for _ in range(60))) for i in range(90)] + [(90, ""), (91, None)]
+    texts = [(i, " ".join((t or "").split()[95:105])) for i, t in train[:3]] + [(200, "the river never Seen before."), (201, ""), (202, None), (203, prose(rng, 9))]
+    models = []
+    plain = lm_score.fit
+    monkeypatch.setattr(lm_score, "fit", lambda docs: models.append(plain(docs)) or models[-1])
+    found = {r.doc_id: r for r in lm_score.score(frame(texts), frame(train)).collect()}
+    model, counts = models[0]
+    assert any(w.any() for w in model.weights) and (model.place >= 0).sum() == 4096 < len(model.place)
+    model.vocab = sorted({w for _, t in train for w in words(t)[:-1]}) + [""]
+    distribution, end_of = plain_model(model, counts)
+    for _, text in texts:
+        for n in (0, 1, 4):
+            out, unseen = distribution(words(text)[:-1][:n])
+            assert abs(sum(out.values()) + sum(unseen) - 1) < 1e-4
+    for i, text in texts:
+        total, before = 0.0, []
+        for w in [*words(text)[:-1], ""]:
+            out, unseen = distribution(before)
+            total += math.log10(out[w] if w in out else unseen[end_of(w)])
+            before.append(w)
+        assert abs(found[i].score - total) < 1e-3 * max(1, abs(total))
+
+
+def test_mini_batch_like_plain_loops():
+    import numpy as np
 
-def test_every_training_token_enters_one_gradient(spark, frame, odd_rows, monkeypatch):
-    """The uses of weight rows that come back are those of all tokens, each in one round."""
+    rng = np.random.default_rng(1)
+    rows, labels, bias = rng.integers(0, 7, (2, 40)), rng.integers(0, 5, 40), rng.normal(size=5).astype(np.float32)
+    rows[1] += 7
+    w = rng.normal(size=(14, 5)).astype(np.float32)
+    want, squares, uses = w.astype(float), np.zeros(14), np.zeros(14)
+    grads = np.zeros((14, 5))
+    for i, y in enumerate(labels):
+        z = [sum(float(w[r, j]) for r in rows[:, i]) + float(bias[j]) for j in range(5)]
+        e = [math.exp(x) for x in z]
+        for r in rows[:, i]:
+            uses[r] += 1
+            for j in range(5):
+                grads[r, j] += (j == y) - e[j] / sum(e)
+    squares += (grads**2).mean(axis=1)
+    want += lm_score.RATE * grads / np.sqrt(squares + 1)[:, None]
+    used, held = np.zeros(14, np.float32), np.zeros(14, np.float32)
+    lm_score.update(w, bias, used, held, rows, labels)
+    assert np.allclose(w, want, atol=1e-4) and np.allclose(held, squares, atol=1e-3) and (used == uses).all()
+
+
+@pytest.mark.parametrize("fan", [2, 32])
+def test_every_training_token_enters_one_gradient(spark, frame, odd_rows, monkeypatch, fan):
+    """The uses of weight rows that come back are those of all tokens, each in one round, in any number of levels."""
     import numpy as np
 
+    monkeypatch.setattr(lm_score, "FAN", fan)
     rng = random.Random(4)
-    docs = frame([*odd_rows, *((100 + i, prose(rng, rng.randrange(0, 90))) for i in range(80))]).select(F.coalesce("text", F.lit("")).alias("text"))
-    used = np.zeros(lm_score.BUCKETS)
+    docs = frame([*odd_rows, *((100 + i, prose(rng, rng.randrange(0, 90))) for i in range(80))]).select(F.coalesce("text", F.lit("")).alias("text")).repartition(5)
+    used = np.zeros(lm_score.FEATURES[0] * lm_score.BUCKETS[0])
     plain = type(docs).toLocalIterator
 
     def watch(df, *args, **kwargs):
         for r in plain(df, *args, **kwargs):
-            if "used" in df.columns:
+            if "used" in df.columns and r["factor"] == 0:
                 used[r["block"] * lm_score.BLOCK : (r["block"] + 1) * lm_score.BLOCK] += np.frombuffer(r["used"], np.float32)
             yield r
 
     monkeypatch.setattr(type(docs), "toLocalIterator", watch)
     lm_score.fit(docs)
     tokens = lm_score.tokens_of([r.text.encode() for r in docs.collect()])
-    assert (used == np.bincount(lm_score.features_of(tokens).ravel(), minlength=lm_score.BUCKETS)).all()
+    assert (used == np.bincount(lm_score.class_rows(lm_score.contexts_of(tokens)).ravel(), minlength=len(used))).all()
 
 
 def test_model_without_training_or_documents(frame, clashing):
