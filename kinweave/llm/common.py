@@ -6,17 +6,60 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from kinweave.scratch import discard as discard
 from kinweave.scratch import materialize as materialize
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows an Arrow batch may hold on its way to a Python worker; texts can be long, so batches are kept small.
-ARROW_ROWS = 1000
+#: Rows and bytes that an Arrow batch may hold on its way to a Python worker; a batch is closed when either is reached.
+ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
+#: Buckets of the filter that ``without`` broadcasts, whatever the tables hold.
+FILTER = 1 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session by rows, for tables with very long texts."""
+    """Bound the Arrow batches of this session by rows and bytes, for tables with very long texts.
+
+    Both are settings of the session, which stay as they are afterwards, as plans are run later than they are made.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def tagged(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``docs`` written once with a number for each row, and that column's name: all later jobs agree on the numbers."""
+    tag = fresh(docs, "__row")
+    return materialize(docs.withColumn(tag, F.monotonically_increasing_id()), name), tag
+
+
+def apart(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame | None, DataFrame]:
+    """``rows`` in two: those whose ``key`` (not null) is surely not in ``keys``, a written table with that column, and the others.
+
+    A filter of at most ``FILTER`` hashed buckets is broadcast, so that only the others need to be shuffled to meet
+    ``keys`` itself.  Once ``keys`` fills half of the buckets the filter has little to say: then all rows are others.
+    """
+    name = fresh(rows, "__bucket")
+    bucket = F.pmod(F.xxhash64(key), F.lit(FILTER))
+    filled = materialize(keys.select(bucket.alias(name)).distinct(), "filter")
+    if filled.count() > FILTER // 2:
+        return None, rows
+    rows = rows.withColumn(name, bucket)
+    return rows.join(F.broadcast(filled), name, "left_anti").drop(name), rows.join(F.broadcast(filled), name, "left_semi").drop(name)
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """The rows of ``rows`` whose ``key`` (not null) is not in ``gone``, a written table of that column."""
+    stay, others = apart(rows, gone, key)
+    left = others.join(gone, key, "left_anti")
+    return left if stay is None else stay.unionByName(left)
 
 
 def remainder(doc_id: Column, mod: int) -> Column:
@@ -121,7 +164,7 @@ def word_hashes(joined: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix(value + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def blocks(texts: list[bytes], limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def blocks(texts: list[bytes], limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Ranges of texts whose bytes add up to about ``limit``, so that working arrays stay small."""
     begin, size = 0, 0
     for i, t in enumerate(texts):

@@ -11,24 +11,24 @@ from __future__ import annotations
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize
+from .common import materialize, tagged, without
 
 #: Misra-Gries counters; also the most rows that are broadcast.
 COUNTERS = 256
 WHITE = "[\\x20\\x09-\\x0D]+"
 
 
-def digest_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digest_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tag: Column | None = None) -> DataFrame:
     """doc_id, 32-byte SHA-256 of the text without [\\x20\\x09-\\x0D], code points of the text, a row tag."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
         F.col(id_col).alias("doc_id"),
         F.unhex(F.sha2(F.regexp_replace(text, WHITE, "").cast("binary"), 256)).alias("digest"),
         F.length(text).alias("points"),
-        F.monotonically_increasing_id().alias("tag"),
+        (F.monotonically_increasing_id() if tag is None else tag).alias("tag"),
     )
 
 
@@ -54,6 +54,17 @@ def _winner():
     return F.min(F.struct((-F.col("points")).alias("p"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("tag").alias("tag"))).alias("best")
 
 
+def _grouped(digests: DataFrame, counters: int) -> DataFrame:
+    """Each row of the written digest table with the size of its group and the row that stays (``best``)."""
+    candidates = frequent(digests, counters)
+    counted = digests.join(F.broadcast(candidates), "digest", "left_semi").groupBy("digest").agg(F.count(F.lit(1)).alias("size"), _winner())
+    winners = materialize(counted, "winners")  # at most ``counters`` rows
+    hot = digests.join(F.broadcast(winners), "digest")
+    rest = digests.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
+    cold = rest.join(rest.groupBy("digest").agg(F.count(F.lit(1)).alias("size"), _winner()), "digest")
+    return hot.unionByName(cold)
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -63,13 +74,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     other than the two named are not read.
     """
     digests = materialize(digest_table(docs, id_col, text_col), "digests")
-    candidates = frequent(digests, counters)
-    counted = digests.join(F.broadcast(candidates), "digest", "left_semi").groupBy("digest").agg(F.count(F.lit(1)).alias("size"), _winner())
-    winners = materialize(counted, "winners")  # at most ``counters`` rows
-    hot = digests.join(F.broadcast(winners), "digest")
-    rest = digests.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
-    cold = rest.join(rest.groupBy("digest").agg(F.count(F.lit(1)).alias("size"), _winner()), "digest")
-    return hot.unionByName(cold).select(
+    return _grouped(digests, counters).select(
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),
         F.col("size").alias("group_size"),
@@ -78,26 +83,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns.
+def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
+    """The rows that have ``kept`` in ``exact_groups``, with all their columns: one of each group of equal texts.
 
-    Rows that repeat an id together with an equal text are one document, of which one row stays.
+    Rows are told apart by a tag, not by their ids, which may be null or repeat.  The documents are written once with
+    that tag.  An empty table gives no rows.
     """
-    groups = materialize(exact_groups(docs, id_col, text_col), "groups")
-    # a row goes if its id is among the dropped; an id that is dropped in one row and kept in another is settled by row
-    both = materialize(
-        groups.groupBy("doc_id").agg(F.sum(F.col("kept").cast("int")).alias("stay"), F.count(F.lit(1)).alias("rows")).where("stay < rows"), "dropped"
-    )
-    gone = both.where("stay = 0").select(F.col("doc_id").alias("__out"))
-    torn = both.where("stay > 0").select(F.col("doc_id").alias("__out"))
-    key = F.col(id_col)
-    clear = docs.join(gone, key.eqNullSafe(F.col("__out")), "left_anti").join(torn, key.eqNullSafe(F.col("__out")), "left_anti")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    mixed = (
-        docs.join(torn, key.eqNullSafe(F.col("__out")), "left_semi")
-        .withColumn("__sha", F.sha2(F.regexp_replace(text, WHITE, "").cast("binary"), 256))
-        .dropDuplicates([id_col, "__sha"])
-    )
-    best = groups.where("kept").select(F.col("doc_id").alias("__out"), F.col("text_sha256").alias("__best"))
-    mixed = mixed.join(best, key.eqNullSafe(F.col("__out")) & (F.col("__sha") == F.col("__best")), "left_semi").drop("__sha")
-    return clear.unionByName(mixed)
+    rows, tag = tagged(docs, "exact-docs")
+    digests = materialize(digest_table(rows, id_col, text_col, F.col(tag)), "digests")
+    gone = materialize(_grouped(digests, counters).where(F.col("tag") != F.col("best.tag")).select(F.col("tag").alias(tag)), "gone")
+    return without(rows, gone, tag).drop(tag)

@@ -27,6 +27,8 @@ POSITIONS, HASHES = 1 << 21, 3
 #: An n-gram belongs to a language if this share of its sampled documents, and two at least, hold it.
 LEAST_SHARE = 0.004
 UND = "und"
+#: Characters that are looked up at once, and the most languages that a table may hold.
+CHARS, LANGUAGES = 400_000, 1024
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -38,8 +40,8 @@ def _letters() -> np.ndarray:
 _CODES = _letters()
 
 
-def ngrams(texts: list[str], n: int = N) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all n-grams of a block of texts, and where those of each text begin (one more than texts).
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Characters of a block of texts, and where each text's begin (one more than texts).
 
     Texts are lower-cased; every run of other characters than letters is one blank, which also stands at both ends.
     """
@@ -50,18 +52,28 @@ def ngrams(texts: list[str], n: int = N) -> tuple[np.ndarray, np.ndarray]:
     keep = np.ones(len(code), dtype=bool)
     keep[1:] = (code[1:] != 32) | (code[:-1] != 32)
     keep[begin[:-1]] = True
-    code = code[keep].astype(np.uint64)
-    begin = np.concatenate([[0], np.cumsum(keep)])[begin]
-    value = np.zeros(max(0, len(code) - n + 1), dtype=np.uint64)
+    return code[keep], np.concatenate([[0], np.cumsum(keep)])[begin]
+
+
+def _windows(code: np.ndarray, begin: np.ndarray, n: int, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the n-grams that start at places lo to hi, and their numbers of texts; none reaches into a next text."""
+    hi = max(lo, min(hi, len(code) - n + 1))
+    value = np.zeros(hi - lo, dtype=np.uint64)
     for i in range(n):
-        value = value * np.uint64(0x100000001B3) + code[i : i + len(value)]
-    # windows that reach into the next text don't count
-    inside = np.ones(len(value), dtype=bool)
+        value = value * np.uint64(0x100000001B3) + code[lo + i : hi + i]
+    text = np.repeat(np.arange(len(begin) - 1), np.diff(np.clip(begin, lo, hi)))
+    inside = np.ones(hi - lo, dtype=bool)
     for i in range(1, n):
-        cut = begin[1:] - i
-        inside[cut[(cut >= 0) & (cut < len(value))]] = False
-    at = np.concatenate([[0], np.cumsum(inside)])
-    return mix(value[inside]), at[np.minimum(begin, len(value))]
+        cut = begin[1:] - i - lo
+        inside[cut[(cut >= 0) & (cut < hi - lo)]] = False
+    return mix(value[inside]), text[inside]
+
+
+def ngrams(texts: list[str], n: int = N) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all n-grams of a block of texts, and where those of each text begin (one more than texts)."""
+    code, begin = _codes(texts)
+    hashes, text = _windows(code, begin, n, 0, len(code))
+    return hashes, np.searchsorted(text, np.arange(len(texts) + 1))
 
 
 def positions(hashes: np.ndarray, size: int, k: int) -> list[np.ndarray]:
@@ -82,17 +94,21 @@ class Filters:
 
     def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """n-grams of each text, and how many of them each language's filter holds."""
-        grams, at = ngrams(texts)
-        total = np.diff(at)
+        code, begin = _codes(texts)
+        total = np.zeros(len(texts), dtype=np.int64)
         held = np.zeros((len(texts), len(self.languages)))
-        where = positions(grams, len(self.planes[0]), self.hashes)
-        for p, plane in enumerate(self.planes):
-            mask = plane[where[0]]
-            for w in where[1:]:
-                mask &= plane[w]
-            for bit in range(min(self._width, len(self.languages) - p * self._width)):
-                sums = np.concatenate([[0], np.cumsum((mask >> plane.dtype.type(bit)) & plane.dtype.type(1), dtype=np.int64)])
-                held[:, p * self._width + bit] = sums[at[1:]] - sums[at[:-1]]
+        for lo in range(0, len(code), CHARS):  # a very long text in parts
+            grams, text = _windows(code, begin, N, lo, lo + CHARS)
+            at = np.searchsorted(text, np.arange(len(texts) + 1))
+            total += np.diff(at)
+            where = positions(grams, len(self.planes[0]), self.hashes)
+            for p, plane in enumerate(self.planes):
+                mask = plane[where[0]]
+                for w in where[1:]:
+                    mask &= plane[w]
+                for bit in range(min(self._width, len(self.languages) - p * self._width)):
+                    sums = np.concatenate([[0], np.cumsum((mask >> plane.dtype.type(bit)) & plane.dtype.type(1), dtype=np.int64)])
+                    held[:, p * self._width + bit] += sums[at[1:]] - sums[at[:-1]]
         return total, held
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -111,9 +127,14 @@ class Filters:
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> Filters:
-    """Learn filters from labelled documents: about ``sample`` of each language, picked by a hash of the id."""
+    """Learn filters from labelled documents: about ``sample`` of each language, picked by a hash of the id.
+
+    Null languages and null texts are not learned from.  More than ``LANGUAGES`` different values are an error.
+    """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    per = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}  # as many rows as languages
+    per = {r[0]: r[1] for r in known.groupBy(lang_col).count().limit(LANGUAGES + 1).collect()}
+    if len(per) > LANGUAGES:
+        raise ValueError(f"over {LANGUAGES} different values of {lang_col}: not a column of languages")
     languages = sorted(per)
     if not languages:
         return Filters([], [np.zeros(2, dtype=np.uint8)], np.zeros(0))
@@ -158,6 +179,19 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     return Filters(languages, planes, np.minimum(fill**HASHES, 0.99), fallback=int(np.argmax([per[x] for x in languages])))
 
 
+def _predicted(filters: Filters, texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text, some texts at a time."""
+    names, scores, begin, size = [], [np.zeros(0)], 0, 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size > CHARS or i + 1 == len(texts):
+            found, score = filters.predict(texts[begin : i + 1])
+            names += found
+            scores.append(score)
+            begin, size = i + 1, 0
+    return names, np.concatenate(scores)
+
+
 def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, lang_pred, score (0 to 1).
 
@@ -171,35 +205,24 @@ def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col
     shared = docs.sparkSession.sparkContext.broadcast(filters)  # POSITIONS entries a plane, whatever the corpus
 
     def run(batch):
-        texts, names, scores = batch.column(1).to_pylist(), [], []
-        begin, size = 0, 0
-        for i, t in enumerate(texts):
-            size += len(t)
-            if size > 400_000 or i + 1 == len(texts):
-                found, score = shared.value.predict(texts[begin : i + 1])
-                names += found
-                scores.append(score)
-                begin, size = i + 1, 0
-        return {"doc_id": batch.column(0), "lang_pred": names, "score": np.concatenate(scores)}
+        names, scores = _predicted(shared.value, batch.column(1).to_pylist())
+        return {"doc_id": batch.column(0), "lang_pred": names, "score": scores}
 
     return map_arrow(rows, run, f"doc_id {kind}, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, filters: Filters, id_col: str = "doc_id") -> DataFrame:
-    """Drops the documents that are ``und``, with all columns kept: those without text or without any letter."""
-    names = docs.columns
+def keep_known(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataFrame:
+    """The documents that are not ``und``, with all columns: those with a letter in their text.
+
+    Null and empty texts go; rows that repeat and rows with a null id are judged each; with no labelled document to
+    learn from all go; an empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(filters)
-    at = names.index("text")
+    at = docs.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            keep, begin, size = [], 0, 0
-            for i, t in enumerate(texts):
-                size += len(t)
-                if size > 400_000 or i + 1 == len(texts):
-                    keep += [n != UND for n in shared.value.predict(texts[begin : i + 1])[0]]
-                    begin, size = i + 1, 0
+            keep = [n != UND for n in _predicted(shared.value, [t or "" for t in batch.column(at).to_pylist()])[0]]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

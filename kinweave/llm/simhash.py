@@ -1,7 +1,8 @@
 """SimHash near-dedup with a hierarchical index over Gray order.
 
 Fingerprints with at most three differing bits agree in one of four blocks of 16 bits, so each different fingerprint is
-dealt out four times, keyed by one block.  Within a key, fingerprints are sorted by Gray rank, where neighbours share
+dealt out four times, keyed by one block.  A key with more than ``LARGE`` fingerprints is dealt out again by the four
+blocks of its other bits, and so on, as fingerprints within three bits agree in one of those as well.  Within a key, fingerprints are sorted by Gray rank, where neighbours share
 most bits.  Sixteen neighbours make a node; a node holds the bits that all below it share, and sixteen nodes make the
 node above.  Pairs of nodes are walked from the top: the differences in the bits that both share add up on the way
 down, and a pair with more than three is dropped with all below it; nodes whose free and differing bits are three or
@@ -13,13 +14,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, map_arrow, materialize, utf8
+from .common import LOWER_AZ, discard, map_arrow, materialize, tagged, utf8, without
 
 SHINGLE, BITS, SEED = 3, 3, 42
 FAN = 16
+#: Different fingerprints of one key beyond which it is split.
+LARGE = 1 << 20
 #: For each byte, its bits spread over eight counters of eight bits.
 _SPREAD = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], dtype=np.uint64)
 
@@ -129,13 +132,50 @@ def linked(x: np.ndarray, bits: int = BITS, chunk: int = 1 << 14) -> np.ndarray:
     return _find(parent)
 
 
-def link_keys(fps: DataFrame, bits: int = BITS) -> DataFrame:
+def _dealt(rows: DataFrame, parts: int, bits: int) -> DataFrame:
+    """Rows (fp, rest, key) once for each of ``parts`` blocks of the ``bits`` bits of ``rest``: the block joins the key."""
+    width = bits // parts
+    rest, copies = F.col("rest"), []
+    for i in range(parts):
+        low = width * i
+        value = F.shiftrightunsigned(rest, low).bitwiseAND(F.lit((1 << width) - 1)) if low else rest.bitwiseAND(F.lit((1 << width) - 1))
+        above = F.shiftleft(F.shiftrightunsigned(rest, low + width), low) if low + width < 64 else F.lit(0).cast("bigint")
+        below = rest.bitwiseAND(F.lit((1 << low) - 1)) if low else F.lit(0).cast("bigint")
+        number = F.shiftleft(F.col("key"), _index_bits(parts) + width).bitwiseOR(F.lit(i << width)).bitwiseOR(value)
+        copies.append(F.struct(number.alias("key"), above.bitwiseOR(below).alias("rest")))
+    return rows.select("fp", F.explode(F.array(*copies)).alias("x")).select("fp", F.col("x.rest").alias("rest"), F.col("x.key").alias("key"))
+
+
+def _index_bits(parts: int) -> int:
+    return max(1, (parts - 1).bit_length())
+
+
+def keyed(fps: DataFrame, bits: int = BITS, large: int = LARGE) -> DataFrame:
+    """fp and key: any two fingerprints with at most ``bits`` differing bits meet under some key.
+
+    Keys of more than ``large`` rows are split until they are smaller or the key's 59 bits are used up.
+    """
+    parts, left, used, number = bits + 1, 64, 0, 0
+    todo, done = fps.select("fp", F.col("fp").alias("rest"), F.lit(0).cast("bigint").alias("key")), None
+    while True:
+        dealt = _dealt(todo, parts, left)
+        used += _index_bits(parts) + left // parts
+        left -= left // parts
+        more = left // parts >= 4 and used + _index_bits(parts) + left // parts <= 59
+        heavy = materialize(dealt.groupBy("key").count().where(F.col("count") > large).select("key"), "heavy") if more else None
+        last = heavy is None or heavy.isEmpty()
+        small = dealt if last else dealt.join(heavy, "key", "left_anti")
+        small = small.select("fp", (F.col("key") * 8 + number).alias("key"))  # apart from keys of other rounds
+        done = small if done is None else done.unionByName(small)
+        if last:
+            return done
+        number += 1
+        todo = dealt.join(heavy, "key", "left_semi").select("fp", "rest", "key")
+
+
+def link_keys(fps: DataFrame, bits: int = BITS, large: int = LARGE) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of ``fp`` with at most ``bits`` differing bits."""
-    parts = bits + 1
-    width = 64 // parts
-    value = F.col("fp")
-    key = F.explode(F.array(*(F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(value, 64 - width * (i + 1)).bitwiseAND(F.lit((1 << width) - 1)).alias("bits")) for i in range(parts))))
-    dealt = fps.select(value, key.alias("key")).select("fp", F.shiftleft(F.col("key.block").cast("bigint"), width).bitwiseOR(F.col("key.bits")).alias("key"))
+    dealt = keyed(fps, bits, large)
     ranks = map_arrow(dealt, lambda t: {"key": t.column(1), "fp": t.column(0), "rank": gray_rank(t.column(0).to_numpy().view(np.uint64)).view(np.int64)}, "key bigint, fp bigint, rank bigint")
     sorted_keys = ranks.repartition("key").sortWithinPartitions("key", "rank")
 
@@ -195,6 +235,7 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
         joined = large.join(low, "v")
         small = joined.where("root <> best").select(F.col("best").alias("low"), F.col("root").alias("high")).union(low.select(F.col("best").alias("low"), F.col("v").alias("high"))).distinct()
         small = materialize(small, name)
+        discard(edges, least, large, low)
         if _is_star(small):
             return small.select(F.col("high").alias("node"), F.col("low").alias("root")).union(small.select(F.col("low").alias("node"), F.col("low").alias("root")).distinct())
         edges = small
@@ -207,10 +248,23 @@ def _is_star(edges: DataFrame) -> bool:
     return twice.isEmpty() and hung.isEmpty()
 
 
-def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tag: Column | None = None) -> DataFrame:
+    """doc_id, tag (0 unless one is given) and fp of each row."""
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return map_arrow(rows, lambda t: {"doc_id": t.column(0), "fp": fingerprints(utf8(t.column(1))).view(np.int64)}, f"doc_id {kind}, fp bigint")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (F.lit(0) if tag is None else tag).cast("bigint").alias("tag"))
+    return map_arrow(rows, lambda t: {"doc_id": t.column(0), "tag": t.column(2), "fp": fingerprints(utf8(t.column(1))).view(np.int64)}, f"doc_id {kind}, tag bigint, fp bigint")
+
+
+def _decided(table: DataFrame, bits: int) -> DataFrame:
+    """Each row of a written fingerprint table with the first row of its component (``best``): id, null last, then tag."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("tag").alias("tag")))
+    ids = materialize(table.groupBy("fp").agg(first.alias("own")), "ids")
+    roots = components(link_keys(ids.select("fp"), bits))
+    member = materialize(roots.join(ids, roots["node"] == ids["fp"]).select("node", "root", "own"), "members")
+    least = member.groupBy("root").agg(F.min("own").alias("least"))
+    linked_fps = member.join(least, "root").select(F.col("node").alias("fp"), "least")
+    known = materialize(ids.join(linked_fps, "fp", "left").select("fp", F.coalesce("least", "own").alias("best")), "known")
+    return table.join(known, "fp")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
@@ -222,16 +276,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     than the two named are not read.
     """
     table = materialize(fingerprint_table(docs, id_col, text_col), "fingerprints")
-    ids = materialize(table.groupBy("fp").agg(F.min("doc_id").alias("own")), "ids")
-    roots = components(link_keys(ids.select("fp"), bits))
-    member = materialize(roots.join(ids, roots["node"] == ids["fp"]).select("node", "root", "own"), "members")
-    least = member.groupBy("root").agg(F.min("own").alias("least"))
-    linked_fps = materialize(member.join(least, "root").select(F.col("node").alias("fp"), "least"), "linked")
-    known = materialize(ids.join(linked_fps, "fp", "left").select("fp", F.coalesce("least", "own").alias("component_id")), "known")
-    return table.join(known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return _decided(table, bits).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("best.id").alias("component_id"))
 
 
-def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group stays: the one whose id is the component's; rows with a null id stay."""
-    gone = near_groups(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
+    """One row of each component stays, with all its columns: the one with the smallest id.
+
+    Rows are told apart by a tag, not by their ids, which may be null (after all others) or repeat (any one of the
+    rows in question stays, the same one in every job).  The documents are written once with that tag.  Null, empty
+    and blank texts are near copies of each other.  An empty table gives no rows.
+    """
+    rows, tag = tagged(docs, "near-docs")
+    table = materialize(fingerprint_table(rows, id_col, text_col, F.col(tag)), "fingerprints")
+    gone = materialize(_decided(table, bits).where(F.col("tag") != F.col("best.tag")).select(F.col("tag").alias(tag)), "gone")
+    return without(rows, gone, tag).drop(tag)

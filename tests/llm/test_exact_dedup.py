@@ -2,7 +2,7 @@ import hashlib
 import re
 from collections import defaultdict
 
-from kinweave.llm import exact_dedup
+from kinweave.llm import common, exact_dedup
 
 
 def brute(rows):
@@ -36,6 +36,23 @@ def test_one_row_of_each_group_stays(frame, odd_rows):
     assert sorted(i for i in ids if i is not None) == [3, 6, 7, 8, 9] and None in ids
 
 
+def test_rows_are_told_apart_and_not_ids(frame):
+    """An id with two spellings of one text, ids shared by unlike texts, null ids, repeated rows."""
+    rows = [(5, "A b"), (5, "A   b"), (6, "A b"), (7, "x"), (7, "y"), (8, "y"), (None, "z"), (None, "z"), (9, "z "), (None, "q"), (None, "q"), *((20 + i, "hot") for i in range(200))]
+    for counters in (2, exact_dedup.COUNTERS):
+        left = exact_dedup.drop_exact(frame(rows).repartition(5), counters=counters).collect()
+        assert sorted((r.doc_id or 0, r.text) for r in left) == [(0, "q"), (5, "A   b"), (7, "x"), (7, "y"), (9, "z "), (20, "hot")]
+    assert exact_dedup.drop_exact(frame([])).count() == 0
+
+
+def test_a_full_filter_and_a_fair_one_agree(spark, monkeypatch):
+    rows = spark.range(1000).selectExpr("id AS tag", "id % 7 AS x")
+    gone = common.materialize(spark.range(0, 1000, 3).selectExpr("id AS tag"), "gone")
+    for size in (1 << 20, 1000, 2):
+        monkeypatch.setattr(common, "FILTER", size)
+        assert sorted(r.tag for r in common.without(rows, gone, "tag").collect()) == [i for i in range(1000) if i % 3]
+
+
 def test_empty_and_clashing(frame, clashing):
     assert exact_dedup.exact_groups(frame([])).count() == 0
     assert exact_dedup.exact_groups(clashing).count() == 2

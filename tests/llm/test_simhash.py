@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from llm_texts import prose
 from kinweave.llm import simhash
@@ -36,7 +37,7 @@ def brute_components(rows):
 
 def test_like_brute_force_with_near_copies(frame, odd_rows):
     rng = random.Random(1)
-    rows = [r for r in odd_rows if len(r[1] or "") < 40000]
+    rows = list(odd_rows)
     for k in range(12):
         base = prose(rng, 400).split()
         for i in range(6):
@@ -63,6 +64,39 @@ def test_index_links_like_brute_force():
         assert (simhash.linked(x) == simhash._unite(np.arange(len(x)), i[near], j[near])).all()
 
 
+@pytest.mark.parametrize("large", [3, 20, 1 << 20])
+def test_split_keys_lose_no_link(spark, large):
+    """Fingerprints that share a block, so that its key is split, once and again: the links are those of all pairs."""
+    rng = np.random.default_rng(large)
+    base = rng.integers(0, 1 << 62, size=12, dtype=np.uint64) & np.uint64(0xFFFFFFFFFFFF) | np.uint64(0xABCD << 48)
+    x = base[rng.integers(0, len(base), 250)]
+    for _ in range(3):
+        x = np.where(rng.random(len(x)) < 0.7, x ^ (np.uint64(1) << rng.integers(0, 48, len(x)).astype(np.uint64)), x)
+    x = np.unique(x)
+    i, j = np.triu_indices(len(x), 1)
+    near = np.bitwise_count(x[i] ^ x[j]) <= 3
+    fps = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp bigint")
+    keys = simhash.keyed(fps, large=large)
+    assert (keys.groupBy("key").count().agg({"count": "max"}).first()[0] == len(x)) == (large > len(x))
+    links = simhash.link_keys(fps, large=large).toPandas()
+    number = {v: k for k, v in enumerate(x.view(np.int64).tolist())}
+    a, b = (links[c].map(number).to_numpy() for c in ("a", "b"))
+    assert (simhash._unite(np.arange(len(x)), a, b) == simhash._unite(np.arange(len(x)), i[near], j[near])).all()
+
+
+def test_one_row_of_each_component_stays(spark, frame, odd_rows):
+    """Repeated ids, ids shared by unlike texts, null ids and repeated rows: rows are dropped, not ids."""
+    rng = random.Random(5)
+    a, b, c = (prose(rng, 80) for _ in range(3))
+    rows = [(1, a), (2, a), (2, b), (None, c), (None, c), (3, b + " "), (3, b), (4, None), (4, ""), (None, " "), (8, "long " * 60000), *((10 + i, a) for i in range(300))]
+    left = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in simhash.drop_near(frame(rows)).collect())
+    assert [(n, i, t.strip()) for n, i, t in left] == sorted([(False, 1, a), (False, 2, b), (False, 4, ""), (False, 8, ("long " * 60000).strip()), (True, 0, c)])
+    every = [r for r in odd_rows]
+    kept = [(r.doc_id, r.text or "") for r in simhash.drop_near(frame(every)).collect()]
+    assert len(kept) == len({brute_fingerprint(t) for _, t in every}) and kept.count((5, "Same row.")) == 1
+    assert simhash.drop_near(frame([])).count() == 0
+
+
 def test_long_chain_of_links(spark):
     rng = random.Random(3)
     fp, chain = rng.getrandbits(64), []
