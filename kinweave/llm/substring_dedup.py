@@ -3,11 +3,16 @@
 A sentence ends at a line break or after a word that ends in a full stop, exclamation or question mark of any common
 script or an ellipsis, with or without closing quotes and brackets.  A sentence of more than ``LONG`` words is also cut
 after the word with the smallest hash in each ``CUT`` consecutive words of it: so no piece is longer than ``CUT`` words,
-and the cuts fall alike wherever the text stands, but for ``CUT`` words at either end of what is repeated.  The shortest
-run of at least ``min_sentences`` consecutive sentences with at least ``min_words`` words is hashed from every sentence on
-and up to every sentence, so that a repeated passage is covered from its first to its last.  A first pass over the corpus
-counts run hashes (pre-aggregated, eight bytes each); the second joins the runs with the repeated hashes and their first
-document.  Every sentence that a non-first occurrence covers is removed.
+unless it repeats one word, and the cuts fall alike wherever the text stands, but for ``CUT`` words at either end of what is repeated.
+
+Every run of ``sentences`` consecutive sentences is hashed (XXH3, 128 bits of its words, joined by one space), and every
+shorter run of two pieces or more with at least ``words`` words.  So a longer repeat is a chain of hashed runs, and is covered
+from its first sentence to its last.
+
+The first pass over the corpus counts the first 64 bits of run hashes, pre-aggregated.  Those that occur in several rows
+fill a Bloom filter of at most ``BITS`` bits, which is broadcast; the second pass sends on the runs that it lets through,
+with all 128 bits, and finds their first occurrence by an ordinary aggregation and join.  A full filter lets more runs
+through and changes no result.  Every sentence that a non-first occurrence covers is removed.
 """
 
 from __future__ import annotations
@@ -17,11 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _POWERS, blocks, map_arrow, materialize, mix, utf8, word_hashes, words_of
+from .common import apart, blocks, map_arrow, materialize, mix, tagged, utf8, word_hashes, words_of
 
-MIN_SENTENCES, MIN_WORDS = 2, 20
+#: Sentences of a run; a shorter run of two pieces or more counts as well if it has so many words.
+SENTENCES, WORDS = 3, 20
 #: Words of a sentence beyond which it is cut, and the words of which the one with the smallest hash is cut after.
 LONG, CUT = 24, 8
+#: The most bits of the filter, and its hash functions.
+BITS, PROBES = 1 << 28, 2
 
 
 def _codes(signs: str) -> np.ndarray:
@@ -49,13 +57,14 @@ def _stops(joined, starts, ends) -> np.ndarray:
     return out
 
 
-def _sentences(joined, starts, ends, hashes, first) -> np.ndarray:
-    """For each word of a block, True if it ends a sentence."""
+def _sentences(joined, starts, ends, hashes, first) -> tuple[np.ndarray, np.ndarray]:
+    """For each word of a block, True if it ends a piece, and True if it ends a sentence, which ends a piece as well."""
     newlines = np.concatenate([[0], np.cumsum(joined == 10)])
     close = _stops(joined, starts, ends)
     nxt = np.append(starts[1:], len(joined))
     close |= newlines[nxt] > newlines[ends]
     close[first[1:][first[1:] > first[:-1]] - 1] = True
+    whole = close.copy()
     stop = np.flatnonzero(close)
     size = np.diff(stop, prepend=-1)
     long = np.repeat(size > LONG, size)
@@ -68,33 +77,35 @@ def _sentences(joined, starts, ends, hashes, first) -> np.ndarray:
             lower = h[k : k + n] <= least
             least[lower] = h[k : k + n][lower]
             place[lower] = np.flatnonzero(lower) + k
-        close[at[place[of[:n] == of[CUT - 1 :]]]] = True
-    return close
+        cut = place[of[:n] == of[CUT - 1 :]]
+        # not between equal words, or what repeats one word would fall into pieces of one word
+        cut = cut[(cut + 1 == len(h)) | (h[cut] != h[np.minimum(cut + 1, len(h) - 1)])]
+        close[at[cut]] = True
+    return close, whole
 
 
-def runs_of(texts: list[bytes], min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS):
-    """For each text: byte range of each sentence, and of each run its hash, first sentence and one beyond its last."""
+def runs_of(texts: list[bytes], sentences: int = SENTENCES, words: int = WORDS):
+    """For each text: byte range of each sentence, and of each run its 16-byte hash, first sentence and one beyond its last."""
+    from xxhash import xxh3_128_digest
+
     for begin, end in blocks(texts):
         part = texts[begin:end]
         joined, starts, ends, first = words_of(part)
         if not len(starts):
-            yield from ((np.zeros((0, 2), np.int64), np.zeros(0, np.uint64), np.zeros((0, 2), np.int64)) for _ in part)
+            yield from ((np.zeros((0, 2), np.int64), [], np.zeros((0, 2), np.int64)) for _ in part)
             continue
-        hashes = word_hashes(joined, starts, ends)
-        close = _sentences(joined, starts, ends, hashes, first)
+        close, whole = _sentences(joined, starts, ends, word_hashes(joined, starts, ends), first)
         stop = np.flatnonzero(close) + 1  # words up to the end of each sentence
         head = np.concatenate([[0], stop[:-1]])
-        p, q = _POWERS.upto(len(hashes) + 1)
-        sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
-        np.cumsum(hashes * p[: len(hashes)], out=sums[1:])
-        # the last sentence of the run that starts at each sentence
-        last = np.maximum(np.searchsorted(stop, head + min_words), np.arange(len(head)) + min_sentences - 1)
-        edge = np.searchsorted(head, first)  # the first sentence of each text
-        of = np.searchsorted(edge, np.arange(len(head)), side="right") - 1
         number = np.arange(len(head))
+        edge = np.searchsorted(head, first)  # the first sentence of each text
+        of = np.searchsorted(edge, number, side="right") - 1
+        upto = np.cumsum(whole[stop - 1])  # sentences that have ended with each piece
+        # the last piece of the shortest run that starts at each piece
+        last = np.minimum(np.searchsorted(upto, np.concatenate([[0], upto[:-1]]) + sentences), np.maximum(np.searchsorted(stop, head + words), number + 1))
         ok = last < edge[of + 1]
-        # and the first sentence of the run that ends at each sentence, unless that run starts there anyway
-        back = np.minimum(np.searchsorted(head, stop - min_words, side="right") - 1, number - min_sentences + 1)
+        # and the first piece of the shortest run that ends at each piece, unless that run starts there anyway
+        back = np.maximum(np.searchsorted(np.concatenate([[0], upto[:-1]]), upto - sentences, side="right") - 1, np.minimum(np.searchsorted(head, stop - words, side="right") - 1, number - 1))
         more = back >= edge[of]
         more[more] = last[back[more]] != number[more]
         begins, lasts = np.concatenate([number[ok], back[more]]), np.concatenate([last[ok], number[more]])
@@ -102,8 +113,10 @@ def runs_of(texts: list[bytes], min_sentences: int = MIN_SENTENCES, min_words: i
         at, until = begins[order], lasts[order]
         offset = np.concatenate([[0], np.cumsum([len(t) + 1 for t in part])])
         lo, hi = starts[head] - offset[of], ends[stop - 1] - offset[of]
-        a, b = head[at], stop[until]
-        run = mix((sums[b] - sums[a]) * q[a] + (b - a).astype(np.uint64)).view(np.int64)
+        # all words of the block, joined by one space, and where each begins
+        plain = b" ".join(joined.tobytes().split())
+        place = np.concatenate([[0], np.cumsum(ends - starts + 1)])
+        run = [xxh3_128_digest(plain[a:b]) for a, b in zip(place[head[at]].tolist(), (place[stop[until]] - 1).tolist(), strict=True)]
         where = np.searchsorted(at, edge)
         for i in range(len(part)):
             s, e = edge[i], edge[i + 1]
@@ -111,62 +124,98 @@ def runs_of(texts: list[bytes], min_sentences: int = MIN_SENTENCES, min_words: i
             yield np.stack([lo[s:e], hi[s:e]], axis=1), run[x:y], np.stack([at[x:y] - s, until[x:y] + 1 - s], axis=1)
 
 
-def _span_rows(docs: DataFrame, min_sentences: int, min_words: int, columns: bool) -> DataFrame:
-    """A row for each document's each different run: hash, doc_id and, with ``columns``, mark, begin and end."""
+def _firsts(hashes: list[bytes]) -> dict[bytes, int]:
+    """The first place of each different hash."""
+    out: dict[bytes, int] = {}
+    for i, h in enumerate(hashes):
+        out.setdefault(h, i)
+    return out
+
 
-    def run(batch):
-        out: dict = {"hash": [], "row": [], "begin": [], "end": []}
-        for i, (_, hashes, spans) in enumerate(runs_of(utf8(batch.column(2)), min_sentences, min_words)):
-            if len(hashes):
-                _, keep = np.unique(hashes, return_index=True)
-                out["hash"].append(hashes[keep])
-                out["row"].append(np.full(len(keep), i))
-                out["begin"].append(spans[keep, 0])
-                out["end"].append(spans[keep, 1])
-        rows = pa.array(np.concatenate(out["row"]) if out["row"] else np.zeros(0, np.int64))
-        found = {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in out.items() if k != "row"}
-        return found | {"doc_id": batch.column(0).take(rows), "mark": batch.column(1).take(rows)}
+def _run_rows(batch, column: int, sizes: tuple[int, int]):
+    """For all texts of a batch: the row, both halves of the hash, and the span of each different run."""
+    rows, digests, spans = [], [], []
+    for i, (_, hashes, places) in enumerate(runs_of(utf8(batch.column(column)), *sizes)):
+        own = _firsts(hashes)
+        rows.append(np.full(len(own), i))
+        digests += own
+        spans.append(places[list(own.values())])
+    halves = np.frombuffer(b"".join(digests), dtype=np.uint64).reshape(-1, 2)
+    return (np.concatenate(rows) if rows else np.zeros(0, np.int64)), halves, (np.concatenate(spans) if spans else np.zeros((0, 2), np.int64))
 
-    return map_arrow(docs, run, "hash bigint, doc_id bigint" + (", mark bigint, begin int, end int" if columns else ""))
 
+def _positions(h: np.ndarray, bits: int) -> list[np.ndarray]:
+    return [(mix(h + np.uint64(i * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) & np.uint64(bits - 1)).astype(np.int64) for i in range(PROBES)]
 
-def repeated_spans(rows: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, mark and spans (begin, end in sentences) of runs whose first occurrence is in an earlier document."""
-    counted = _span_rows(rows, min_sentences, min_words, False).groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("latest"))
-    repeated = materialize(counted.where("first < latest").select("hash", "first"), "repeated")
-    spans = _span_rows(rows, min_sentences, min_words, True)
-    later = spans.join(repeated, "hash").where("doc_id > first")
-    return later.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
 
+def _filter(repeated: DataFrame, most: int) -> np.ndarray:
+    """A Bloom filter of the hashes (column h): about 16 bits for each, ``most`` bits at most."""
+    bits = min(most, 1 << max(10, (16 * repeated.count() - 1).bit_length()))
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
+    def place(batch):
+        at = np.concatenate(_positions(batch.column(0).to_numpy().view(np.uint64), bits))
+        return {"word": at >> 6, "mask": np.left_shift(np.uint64(1), (at & 63).astype(np.uint64)).view(np.int64)}
+
+    words = map_arrow(repeated, place, "word bigint, mask bigint").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()  # bits / 64 rows at most
+    out = np.zeros(bits >> 6, dtype=np.int64)
+    out[words.column(0).to_numpy()] = words.column(1).to_numpy()
+    return out
+
+
+def repeated_spans(rows: DataFrame, tag: str, sentences: int = SENTENCES, words: int = WORDS, bits: int = BITS) -> DataFrame:
+    """``tag`` and spans (begin, end in sentences) of runs whose first occurrence is in another row.
+
+    ``rows`` has doc_id (bigint, no nulls), text (no nulls) and the tag of each row.  The first occurrence is in the row
+    with the smallest doc_id; among rows with the same, in any one of them.
+    """
+    sizes = (sentences, words)
+    hashes = map_arrow(rows.select("text"), lambda t: {"h": _run_rows(t, 0, sizes)[1][:, 0].view(np.int64)}, "h bigint")
+    repeated = materialize(hashes.groupBy("h").count().where("count > 1").select("h"), "repeated")
+    shared = rows.sparkSession.sparkContext.broadcast(_filter(repeated, bits))
+
+    def let_through(batch):
+        table = shared.value
+        row, halves, spans = _run_rows(batch, 2, sizes)
+        keep = np.ones(len(row), dtype=bool)
+        for at in _positions(halves[:, 0], len(table) << 6):
+            keep &= (table[at >> 6] >> (at & 63)) & 1 == 1
+        row, halves, spans = pa.array(row[keep]), halves[keep].view(np.int64), spans[keep]
+        return {"h": halves[:, 0], "g": halves[:, 1], "doc_id": batch.column(0).take(row), "tag": batch.column(1).take(row), "begin": spans[:, 0], "end": spans[:, 1]}
+
+    found = materialize(map_arrow(rows.select("doc_id", tag, "text"), let_through, "h bigint, g bigint, doc_id bigint, tag bigint, begin int, end int"), "runs")
+    first = found.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min_by("tag", "doc_id").alias("first")).where("n > 1")
+    later = found.join(materialize(first.select("h", "g", "first"), "firsts"), ["h", "g"]).where("tag <> first")
+    return later.groupBy(F.col("tag").alias(tag)).agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: int = SENTENCES, words: int = WORDS, bits: int = BITS) -> DataFrame:
     """One row per row of ``docs``: doc_id, text (what is left), n_sentences, n_removed, removed (ranges of sentences).
 
-    The first occurrence of a run is in the document with the smallest id (a null id comes before all others), and
-    there at the first place; it stays, and every sentence of any other occurrence goes, with the white space after it.
-    Rows that share an id are one document in this order: what their first occurrences cover stays in each.  Null and
-    empty texts have no sentences and give an empty text.  A text with no removed sentence is left as it is.  Ids are
-    integers; columns other than the two named are not read; an empty table gives no rows.
+    The first occurrence of a run is in the row with the smallest id (a null id comes before all others; of rows with
+    the same id any one, the same in every job), and there at the first place; it stays, and every sentence of any other
+    occurrence goes, with the white space after it.  Null and empty texts have no sentences and give an empty text.  A
+    text with no removed sentence is left as it is.  Ids are integers; columns other than the two named are not read; an
+    empty table gives no rows.
     """
     lowest = F.lit(-(1 << 63))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), lowest).alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
-    found = repeated_spans(rows, min_sentences, min_words)
-    both = rows.join(found, ["doc_id", "mark"], "left")
+    rows, tag = tagged(docs.select(F.coalesce(F.col(id_col).cast("bigint"), lowest).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "repeat-docs")
+    found = materialize(repeated_spans(rows, tag, sentences, words, bits), "spans")
+    stay, others = apart(rows, found, tag)
+    others = others.join(found, tag, "left").select("doc_id", "text", "spans")
+    both = others if stay is None else others.unionByName(stay.select("doc_id", "text", F.lit(None).cast(found.schema["spans"].dataType).alias("spans")))
 
     def cut(batch):
-        names = batch.schema.names
-        texts, spans = utf8(batch.column(names.index("text"))), batch.column(names.index("spans")).to_pylist()
+        texts, spans = utf8(batch.column(1)), batch.column(2).to_pylist()
         out: dict = {"text": [], "n_sentences": [], "n_removed": [], "removed": []}
-        for t, other, (places, hashes, own) in zip(texts, spans, runs_of(texts, min_sentences, min_words), strict=True):
+        for t, other, (places, hashes, own) in zip(texts, spans, runs_of(texts, sentences, words), strict=True):
             gone = np.zeros(len(places) + 1, dtype=np.int64)
-            for s in other or ():
-                gone[s["begin"]] += 1
-                gone[s["end"]] -= 1
-            if len(hashes):  # repeats within the text, all but the first
-                _, keep, back = np.unique(hashes, return_index=True, return_inverse=True)
-                hit = [s["begin"] << 32 | s["end"] for s in other or ()]
-                late = (keep[back] != np.arange(len(hashes))) | np.isin(own[keep[back], 0] << 32 | own[keep[back], 1], hit)
+            hit = {(s["begin"], s["end"]) for s in other or ()}
+            if len(hashes):
+                # repeats of other rows, wherever they stand here, and repeats within the text, all but the first
+                first = np.fromiter(map(_firsts(hashes).__getitem__, hashes), dtype=np.int64, count=len(hashes))
+                late = first != np.arange(len(hashes))
+                if hit:
+                    late |= np.fromiter((tuple(s) in hit for s in own[first].tolist()), dtype=bool, count=len(first))
                 np.add.at(gone, own[late, 0], 1)
                 np.add.at(gone, own[late, 1], -1)
             drop = np.cumsum(gone[:-1]) > 0
@@ -181,7 +230,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     at = int(places[b, 0]) if b < len(places) else len(t)
                 t = b"".join([*kept, t[at:]])
             out["text"].append(t.decode("utf-8", "replace"))
-        return out | {"doc_id": batch.column(names.index("doc_id"))}
+        return out | {"doc_id": batch.column(0)}
 
     done = map_arrow(both, cut, "doc_id bigint, text string, n_sentences int, n_removed int, removed array<struct<begin:int,end:int>>")
     return done.withColumn("doc_id", F.when(F.col("doc_id") != lowest, F.col("doc_id")))
