@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -29,8 +31,8 @@ PIECE = 1 << 15
 WINDOW = 48
 #: The least window that holds any special token whole, with a token beside it.
 LEAST = 32
-#: Units that a task's cache keeps for good, and units that it keeps for a while.
-HOT, RECENT = 120_000, 120_000
+#: Bytes of units that a task's cache keeps for good, and of units that it keeps for a while; longest unit that it keeps.
+HOT, RECENT, KEPT = 48 << 20, 48 << 20, 64
 #: White space that splits text in the vocabulary's own pattern (\s of the tokenizers library).
 SPLIT = re.compile("[\t-\r \x85\xa0  -     　]+")
 #: The vocabulary's own pattern for words (fixed value).
@@ -95,7 +97,8 @@ class Encoder:
         self.names = [self.tok.id_to_token(i) for i in range(self.tok.get_vocab_size(with_added_tokens=True))]
         self.hot: dict[str, tuple] = {}
         self.recent: dict[str, tuple] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, list[int]] = {}
+        self.sizes = [0, 0, 0]  # bytes held by each
 
     def _entry(self, unit: str) -> tuple:
         if "<|" in unit or not (unit.isascii() and unit.islower() or unit.islower() and _is_latin(unit)):
@@ -105,9 +108,11 @@ class Encoder:
             for w in WORDS.findall(unit):
                 if (got := self.words.get(w)) is None:
                     got = [t.id for t in self.model.tokenize(as_symbols(w))]
-                    if len(w) < len(unit):
-                        if len(self.words) >= RECENT:
+                    if len(w) < min(len(unit), KEPT):
+                        self.sizes[2] += 200 + 9 * len(got)
+                        if self.sizes[2] > RECENT:
                             self.words.clear()
+                            self.sizes[2] = 200 + 9 * len(got)
                         self.words[w] = got
                 ids += got
         return tuple(ids), " ".join(map(str, ids)), self.decode(ids)
@@ -118,12 +123,17 @@ class Encoder:
             e = hot.get(u) or recent.get(u)
             if e is None:
                 e = self._entry(u)
-                if len(hot) < HOT:
-                    hot[u] = e
-                else:
-                    if len(recent) >= RECENT:
-                        recent.clear()
-                    recent[u] = e
+                if len(u) <= KEPT:
+                    size = 350 + 9 * len(e[0]) + len(e[1]) + 2 * len(e[2])
+                    if self.sizes[0] + size <= HOT:
+                        hot[u] = e
+                        self.sizes[0] += size
+                    else:
+                        if self.sizes[1] + size > RECENT:
+                            recent.clear()
+                            self.sizes[1] = 0
+                        recent[u] = e
+                        self.sizes[1] += size
             if e[0]:
                 out.append(e)
         return out
@@ -164,78 +174,99 @@ class Encoder:
 # --- long texts
 
 
+@cache
+def _joined() -> frozenset[str]:
+    """Characters that canonical composition may join to the one before: second parts of pairs, and Hangul vowels and tails."""
+    found = {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}
+    for c in range(0x110000):
+        parts = unicodedata.decomposition(chr(c))
+        if parts and "<" not in parts and " " in parts:
+            found.add(chr(int(parts.split()[1], 16)))
+    return frozenset(found)
+
+
+def begins(c: str) -> bool:
+    """True if normalisation never joins a character to what stands before it, or moves it there."""
+    return c < "\u0300" or (not unicodedata.combining(c) and c not in _joined())
+
+
 def halves(text: str, limit: int = PIECE) -> list[str]:
     """Halve a text until no piece is over ``limit``.
 
-    A cut is moved to the next character below U+0300, before which normalisation never joins anything.
+    A cut is moved to the nearest character, before or after the middle, that ``begins``; where there is none, as in a
+    text of combining marks only, it falls in the middle all the same, and the join takes care of it.
     """
     if len(text) <= limit:
         return [text]
-    cut = len(text) // 2
-    if m := re.compile("[\x00-˿]").search(text, cut):
-        cut = m.start()
-    else:
-        return [text]
-    return [*halves(text[:cut], limit), *halves(text[cut:], limit)] if 0 < cut < len(text) else [text]
+    cut = middle = len(text) // 2
+    for d in range(middle):
+        if begins(text[middle + d]):
+            cut = middle + d
+            break
+        if middle - d > 0 and begins(text[middle - d]):
+            cut = middle - d
+            break
+    return [*halves(text[:cut], limit), *halves(text[cut:], limit)]
 
 
 class Piece:
-    """A text with its encoding: ids and the characters from where to where each token stands."""
+    """A text with its encoding: ids and the characters from where to where each token stands, as arrays."""
 
-    def __init__(self, text: str, ids: list[int], spans: list[tuple[int, int]]):
-        self.text, self.ids, self.spans = text, ids, spans
+    def __init__(self, text: str, ids, starts, ends):
+        self.text = text
+        self.ids, self.starts, self.ends = (np.asarray(x, dtype=np.int32) for x in (ids, starts, ends))
 
 
 def encode_piece(tok, text: str) -> Piece:
     e = tok.encode(text, add_special_tokens=False)
-    return Piece(text, e.ids, e.offsets)
+    spans = np.array(e.offsets, dtype=np.int32).reshape(-1, 2)
+    return Piece(text, e.ids, spans[:, 0], spans[:, 1])
 
 
-def _tail_from(p: Piece, width: int) -> int:
-    """The first token of the last ``width`` characters or more that begins where the one before it has ended."""
-    k = len(p.ids)
-    while k > 0:
-        k -= 1
-        if p.spans[k][0] <= len(p.text) - width and (k == 0 or p.spans[k - 1][1] <= p.spans[k][0]):
-            return k
-    return 0
+def _apart(p: Piece) -> np.ndarray:
+    """For each token, True if it begins where the one before it has ended, or later."""
+    return np.concatenate([[True], p.ends[:-1] <= p.starts[1:]]) if len(p.ids) else np.zeros(0, bool)
 
 
 def join(tok, a: Piece, b: Piece, width: int = WINDOW) -> Piece:
-    """The exact encoding of both texts together."""
-    n, text = len(a.text), a.text + b.text
-    width = max(width, LEAST)
+    """The exact encoding of both texts together.
+
+    The window begins with a token of the left side and ends with one of the right side, each apart from its
+    neighbours.  It is encoded again, and grows, until its first token is the left side's and some token of it that is
+    apart from its neighbours, before its last, is the right side's.
+    """
+    n, width = len(a.text), max(width, LEAST)
+    free_a, free_b = _apart(a), np.append(_apart(b)[1:], True)
     while True:
-        whole_a, whole_b = width >= n, width >= len(b.text)
-        k = 0 if whole_a else _tail_from(a, width)
-        begin = 0 if whole_a or not k else a.spans[k][0]
-        ends = [s[1] for s in b.spans]
+        k = begin = 0
+        if width < n:
+            some = np.flatnonzero(free_a & (a.starts <= n - width))
+            k = int(some[-1]) if len(some) else 0
+            begin = int(a.starts[k]) if k else 0
         stop = len(b.text)
-        if not whole_b:
-            stop = next((e for i, e in enumerate(ends) if e >= width and (i + 1 == len(ends) or b.spans[i + 1][0] >= e)), len(b.text))
-        w = encode_piece(tok, text[begin : n + stop])
-        spans = [(s + begin, e + begin) for s, e in w.spans]
+        if width < stop:
+            some = np.flatnonzero(free_b & (b.ends >= width))
+            stop = int(b.ends[some[0]]) if len(some) else stop
+        w = encode_piece(tok, a.text[begin:] + b.text[:stop])
+        starts, ends = w.starts + begin, w.ends + begin
         left = 0 if begin == 0 else None
-        if left is None and w.ids and w.ids[0] == a.ids[k] and spans[0] == a.spans[k] and spans[0][1] < n:
-            left = 1  # the window's first token is the left side's
+        if left is None and len(w.ids) and w.ids[0] == a.ids[k] and starts[0] == a.starts[k] and ends[0] == a.ends[k] and ends[0] < n:
+            left = 1
         right = None
         if stop == len(b.text):
             right = (len(w.ids), len(b.ids))
-        else:
-            at = {(s + n, e + n, i): j for j, ((s, e), i) in enumerate(zip(b.spans, b.ids, strict=True)) if e <= stop}
-            for x in range(len(w.ids) - 2, -1, -1):
-                s, e = spans[x]
-                strict = spans[x + 1][0] >= e and (x == 0 or spans[x - 1][1] <= s)
-                if s < n:
-                    break
-                if strict and (j := at.get((s, e, w.ids[x]))) is not None and j + 1 < len(b.ids):
-                    right = (x + 1, j + 1)
-                    break
+        elif len(w.ids) and len(b.ids):
+            free = _apart(w)
+            at = np.flatnonzero(free[:-1] & free[1:] & (starts[:-1] >= n))
+            j = np.minimum(np.searchsorted(b.starts, starts[at] - n), len(b.ids) - 1)
+            same = (b.starts[j] + n == starts[at]) & (b.ends[j] + n == ends[at]) & (b.ids[j] == w.ids[at]) & (b.ends[j] <= stop) & (j + 1 < len(b.ids))
+            if same.any():
+                last = np.flatnonzero(same)[-1]
+                right = (int(at[last]) + 1, int(j[last]) + 1)
         if left is not None and right is not None and left <= right[0]:
             head = k + left if begin else 0
-            ids = [*a.ids[:head], *w.ids[left : right[0]], *b.ids[right[1] :]]
-            tail = [(s + n, e + n) for s, e in b.spans[right[1] :]]
-            return Piece(text, ids, [*a.spans[:head], *spans[left : right[0]], *tail])
+            parts = lambda x, y, z: np.concatenate([x[:head], y[left : right[0]], z[right[1] :]])  # noqa: B023, E731
+            return Piece(a.text + b.text, parts(a.ids, w.ids, b.ids), parts(a.starts, starts, b.starts + n), parts(a.ends, ends, b.ends + n))
         width *= 2
 
 
@@ -277,12 +308,10 @@ def encode_decode(docs: DataFrame, path: str, want: tuple[str, ...] = ("ids", "d
         for batch in batches:
             for i in range(0, batch.num_rows, 8):  # few at a time: a token's ids and places are Python objects for a while
                 part = batch.slice(i, 8)
-                ids, places = [], []
+                places = []
                 for text in part.column(3).to_pylist():
-                    p = encode_piece(tok, text)
-                    ids.append(np.array(p.ids, dtype=np.int32))
-                    places.append(np.array(p.spans, dtype=np.int32).reshape(-1, 2))
-                lists = [pa.array(x, pa.list_(pa.int32())) for x in (ids, [x[:, 0] for x in places], [x[:, 1] for x in places])]
+                    places.append(encode_piece(tok, text))
+                lists = [pa.array(x, pa.list_(pa.int32())) for x in ([p.ids for p in places], [p.starts for p in places], [p.ends for p in places])]
                 yield pa.RecordBatch.from_arrays([*part.columns, *lists], names=[*part.schema.names, "ids", "starts", "ends"])
 
     long = rows.where(F.length("text") > piece).select(F.monotonically_increasing_id().alias("tag"), "doc_id", "text")
@@ -295,9 +324,9 @@ def encode_decode(docs: DataFrame, path: str, want: tuple[str, ...] = ("ids", "d
             held[path] = Encoder(path)
         encoder = held[path]
         group = group.sort_values("number")
-        parts = [Piece(t, i.tolist(), list(zip(s.tolist(), e.tolist(), strict=True))) for t, i, s, e in zip(group["text"], group["ids"], group["starts"], group["ends"], strict=True)]
+        parts = [Piece(*x) for x in zip(group["text"], group["ids"], group["starts"], group["ends"], strict=True)]
         whole = concatenate(encoder.tok, parts)
-        table = pd.DataFrame({"doc_id": group["doc_id"].iloc[:1].tolist()} | encoder.columns_of_ids(list(map(int, whole.ids)), want))
+        table = pd.DataFrame({"doc_id": group["doc_id"].iloc[:1].tolist()} | encoder.columns_of_ids(whole.ids.tolist(), want))
         return table[["doc_id", "n_tokens", *want]]
 
     joined = encoded.groupBy("tag").applyInPandas(merge, schema)

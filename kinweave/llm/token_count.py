@@ -10,14 +10,16 @@ word is looked up among the tokens that carry it, against the table of its prefi
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
+from dataclasses import dataclass
 from itertools import accumulate
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import SPLIT, WORDS, _is_latin, as_symbols, load, units
+from .bpe import KEPT, SPLIT, WORDS, _is_latin, as_symbols, begins, load, units
 from .common import map_arrow
 
 END = "</w>"
@@ -27,6 +29,20 @@ PREFIXES, PAIRS, WORDS_KEPT = 300_000, 400_000, 250_000
 SHARED = 40
 
 
+@dataclass
+class Counted:
+    """A text's prefix table: where its units begin and end, and the exact count of each prefix that ends with a unit."""
+
+    starts: list[int]
+    ends: list[int]
+    tokens: list[int]
+
+    def before(self, n: int) -> tuple[int, int]:
+        """Units that end at or before place ``n``, and their tokens."""
+        k = bisect_right(self.ends, n)
+        return k, self.tokens[k - 1] if k else 0
+
+
 class PrefixCounter:
     """Exact token counts of words, texts and their prefixes."""
 
@@ -35,7 +51,7 @@ class PrefixCounter:
             model = json.load(f)["model"]
         self.tok = load(path)
         self.special = sorted((str(t.content) for t in self.tok.get_added_tokens_decoder().values()), key=len, reverse=True)
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        self.cut_at = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         vocab: dict[str, int] = model["vocab"]
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
@@ -143,54 +159,105 @@ class PrefixCounter:
         """The count of a part of a text without white space."""
         if (got := self.known.get(unit)) is not None:
             return got
-        if "<|" in unit and self.cut:
-            parts = self.cut.split(unit)
+        if "<|" in unit and self.cut_at:
+            parts = self.cut_at.split(unit)
             got = len(parts) // 2 + sum(self._plain(p) for p in parts[::2] if p)
         else:
             got = self._plain(unit)
-        if len(self.known) >= WORDS_KEPT:
-            self.known.clear()
-        self.known[unit] = got
+        self._keep(unit, got)
         return got
 
+    def _keep(self, part: str, count: int) -> None:
+        if len(part) <= KEPT:
+            if len(self.known) >= WORDS_KEPT:
+                self.known.clear()
+            self.known[part] = count
+
+    def _normal(self, text: str) -> str:
+        return text.lower() if text.isascii() or _is_latin(text) else self.tok.normalizer.normalize_str(text)
+
     def _plain(self, unit: str) -> int:
-        unit = unit.lower() if unit.isascii() or _is_latin(unit) else self.tok.normalizer.normalize_str(unit)
-        total = 0
-        for w in WORDS.findall(unit):
-            if (n := self.known.get(w)) is None:
-                n = self.word(w if w.isascii() and w.isalpha() else as_symbols(w))
-                if len(w) < len(unit):
-                    self.known[w] = n
-            total += n
-        return total
+        unit = self._normal(unit)
+        return sum(self._word(w, len(w) < len(unit)) for w in WORDS.findall(unit))
+
+    def _word(self, w: str, keep: bool) -> int:
+        if (n := self.known.get(w)) is None:
+            n = self.word(w if w.isascii() and w.isalpha() else as_symbols(w))
+            if keep:
+                self._keep(w, n)
+        return n
 
     def counts(self, text: str) -> list[int]:
         """The count of each unit of a text."""
         known = self.known
         return [known[u] if u in known else self.unit(u) for u in units(text)]
 
-    def upto(self, text: str) -> list[tuple[int, int]]:
-        """For every prefix that ends where a unit does: its characters and its exact count."""
-        stops, at = [], 0
+    def counted(self, text: str) -> Counted:
+        """The prefix table of a text."""
+        starts, ends, at = [], [], 0
         for gap in SPLIT.finditer(text):
             if gap.start() > at:
-                stops.append(gap.start())
+                starts.append(at), ends.append(gap.start())
             at = gap.end()
         if at < len(text):
-            stops.append(len(text))
-        return list(zip(stops, accumulate(self.unit(u) for u in SPLIT.split(text) if u), strict=True))
+            starts.append(at), ends.append(len(text))
+        return Counted(starts, ends, list(accumulate(self.unit(text[a:b]) for a, b in zip(starts, ends, strict=True))))
+
+    def at(self, text: str, n: int, table: Counted | None = None) -> int:
+        """The exact count of the prefix of ``n`` characters: looked up for whole units, and of the unit that it cuts."""
+        table = table or self.counted(text)
+        k, tokens = table.before(n)
+        return tokens + (self.unit(text[table.starts[k] : n]) if k < len(table.starts) and table.starts[k] < n else 0)
+
+    def cut(self, text: str, limit: int, table: Counted | None = None) -> int:
+        """Characters of the longest prefix with at most ``limit`` tokens that parts no special token and no marks from their base."""
+        table = table or self.counted(text)
+        k = bisect_right(table.tokens, limit)
+        if k == len(table.tokens):
+            return len(text)
+        at, left = table.starts[k], limit - (table.tokens[k - 1] if k else 0)
+        unit = text[at : table.ends[k]]
+        for i, part in enumerate(self.cut_special(unit)):
+            n = i % 2 or (self._plain(part) if part else 0)
+            if n > left:
+                return at + (0 if i % 2 else self._cut_plain(part, left))
+            at, left = at + len(part), left - n
+        raise AssertionError("a unit that fits after all")
 
-    def at(self, text: str, n: int) -> int:
-        """The exact count of the prefix of ``n`` characters: whole units before it, then the unit it cuts."""
-        return sum(self.counts(text[:n]))
+    def cut_special(self, unit: str) -> list[str]:
+        """Text and special tokens in turn."""
+        return self.cut_at.split(unit) if self.cut_at and "<|" in unit else [unit]
+
+    def _cut_plain(self, part: str, left: int) -> int:
+        """Characters of the longest prefix of a part, which has more tokens, with at most ``left``: from the prefixes of one word."""
+        places = [k for k in range(1, len(part)) if begins(part[k])] + [len(part)]
+        chunks = [self._normal(part[a:b]) for a, b in zip([0, *places], places, strict=False)]
+        stops = list(accumulate(map(len, chunks)))  # of each place, in the normalised part
+        whole, best, total = "".join(chunks), 0, 0
+        for m in WORDS.finditer(whole):
+            w = m.group()
+            n = self._word(w, False)
+            if total + n <= left:
+                total += n
+                continue
+            if len(w) > 1 and w[0] == "'" and w[1].isalpha():  # its beginnings are words of their own
+                counts = [sum(self._word(x, False) for x in WORDS.findall(w[:c])) for c in range(len(w) + 1)]
+            else:
+                every, at = self.prefixes(as_symbols(w)), [0, *accumulate(len(c.encode()) for c in w)]
+                counts = [every[b] for b in at]
+            for k, stop in zip(places, stops, strict=True):
+                if stop <= m.start() or stop <= m.end() and total + counts[stop - m.start()] <= left:
+                    best = k
+            return best
+        return len(part)
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_tokens, over_limit, cut_chars.
 
     Counts are those of the tokenizers library without added special tokens, truncation or padding; strings of special
-    tokens in a text count as one token.  ``cut_chars`` is the length of the longest prefix, ending where white space
-    begins or at the end, with at most ``limit`` tokens.  A null text counts as empty: 0 bytes and tokens.  Rows that
+    tokens in a text count as one token.  ``cut_chars`` is the length of the longest prefix with at most ``limit`` tokens
+    that parts no special token and no combining marks from their base.  A null text counts as empty: 0 bytes and tokens.  Rows that
     repeat are counted each; columns other than the two named are not read; an empty table gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
@@ -202,7 +269,35 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
         for t in batch.column(1).to_pylist():
             total = sum(counter.counts(t))
             totals.append(total)
-            cuts.append(len(t) if total <= limit else max((n for n, c in counter.upto(t) if c <= limit), default=0))
+            cuts.append(len(t) if total <= limit else counter.cut(t, limit))
         return {"doc_id": batch.column(0), "n_bytes": batch.column(2), "n_tokens": pa.array(totals, pa.int64()), "over_limit": [n > limit for n in totals], "cut_chars": pa.array(cuts, pa.int64())}
 
     return map_arrow(rows, run, f"doc_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean, cut_chars bigint", lambda: PrefixCounter(path))
+
+
+def prefix_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, ends and tokens, the exact count of every prefix that ends with a unit.
+
+    Units are the parts of a text between white space.  Written once, the table answers questions about budgets with
+    ``tokens_upto`` and ``longest_within``, and nothing is encoded again.  Null and empty texts have empty arrays.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+    def run(batch, counter):
+        tables = [counter.counted(t) for t in batch.column(1).to_pylist()]
+        return {"doc_id": batch.column(0), "ends": [t.ends for t in tables], "tokens": [t.tokens for t in tables]}
+
+    return map_arrow(rows, run, f"doc_id {kind}, ends array<int>, tokens array<int>", lambda: PrefixCounter(path))
+
+
+def tokens_upto(n: Column, ends: Column | str = "ends", tokens: Column | str = "tokens") -> Column:
+    """Tokens of the whole units among the first ``n`` characters, from a prefix table."""
+    fits = F.size(F.filter(ends, lambda e: e <= n))
+    return F.when(fits > 0, F.element_at(tokens, fits)).otherwise(0)
+
+
+def longest_within(limit: Column, ends: Column | str = "ends", tokens: Column | str = "tokens") -> Column:
+    """Characters of the longest prefix of whole units with at most ``limit`` tokens, from a prefix table."""
+    fits = F.size(F.filter(tokens, lambda t: t <= limit))
+    return F.when(fits > 0, F.element_at(ends, fits)).otherwise(0)

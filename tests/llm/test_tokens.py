@@ -1,9 +1,11 @@
 import hashlib
 import random
+import re
 
 import public_tokenizers
 import pytest
 from kinweave.llm import bpe, token_count
+from pyspark.sql import functions as F
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 PARTS = ["a", "b", "th", "'s", "'ll", " ", "\n", "<|endoftext|>", "<|EndOfText|>", "é", "e\u0301", "ß", "İ", "Σ", "ς", "中", "文", "🙂", "1", "23", "!!", "...", "\xa0", "\x1c", "\u3000", "don't", "''s", "\u0301", "A", "K"]
@@ -33,7 +35,55 @@ def test_joined_pieces_encode_like_the_whole(tok):
         for limit in (9, 50):
             pieces = [bpe.encode_piece(tok, p) for p in bpe.halves(text, limit)]
             if len(pieces) < 300:
-                assert bpe.concatenate(tok, pieces).ids == want
+                assert bpe.concatenate(tok, pieces).ids.tolist() == want
+
+
+def test_pieces_of_any_script_are_halved(tok):
+    rng = random.Random(4)
+    han = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(40_000))
+    texts = [han, "a " * 9000 + han, han + "\u0301" * 20, "\u0301" * 500, "".join(rng.choice("\u1112\u1161\u11ab\u0915\u093f\u0e01\u0e34") for _ in range(5000))]
+    for text in texts:
+        limit = 300 if len(text) < 6000 else 1 << 12
+        parts = bpe.halves(text, limit)
+        assert "".join(parts) == text and all(0 < len(p) <= limit for p in parts)
+        assert bpe.concatenate(tok, [bpe.encode_piece(tok, p) for p in parts]).ids.tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
+def test_caches_are_bounded_by_bytes(monkeypatch, tok):
+    monkeypatch.setattr(bpe, "HOT", 5000)
+    monkeypatch.setattr(bpe, "RECENT", 5000)
+    encoder = bpe.Encoder(PATH)
+    for text in odd(300, seed=6) + ["x" * 100 + str(i) for i in range(50)]:
+        assert encoder.ids(text) == tok.encode(text, add_special_tokens=False).ids
+        assert max(encoder.sizes) <= 5000 + 2000 and all(len(u) <= bpe.KEPT for c in (encoder.hot, encoder.recent, encoder.words) for u in c)
+
+
+def test_longest_prefix_within_a_limit_like_the_library(tok):
+    counter = token_count.PrefixCounter(PATH)
+    rng = random.Random(7)
+    han = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(400))
+    special = ("<|endoftext|>", "<|startoftext|>")
+    for text in [t for t in odd(150, seed=8, size=40)[:150] if t] + [han, "don't we'll " * 9, "x" * 200, "internationalization " * 8, "a<|endoftext|>b" * 6]:
+        counts = [len(tok.encode(text[:n], add_special_tokens=False).ids) for n in range(len(text) + 1)]
+        inside = {m.start() + d for x in special for m in re.finditer(re.escape(x), text) for d in range(1, len(x))}
+        for limit in (0, 1, 5, 40):
+            fair = [n for n in range(len(text) + 1) if counts[n] <= limit and n not in inside and (n in (0, len(text)) or bpe.begins(text[n]) or bpe.SPLIT.match(text[n - 1]))]
+            assert counter.cut(text, limit) == max(fair), (text, limit)
+        table = counter.counted(text)
+        assert [counter.at(text, n, table) for n in range(len(text) + 1)] == counts
+
+
+def test_stored_prefix_counts_answer_budgets(frame, odd_rows, tok):
+    table = token_count.prefix_table(frame(odd_rows), PATH)
+    found = table.select("doc_id", token_count.tokens_upto(F.lit(9)).alias("n"), token_count.longest_within(F.lit(3)).alias("cut"), F.element_at(F.concat(F.array(F.lit(0)), "tokens"), -1).alias("all")).collect()
+    texts = {d: t or "" for d, t in odd_rows}
+    count = lambda t: len(tok.encode(t, add_special_tokens=False).ids)
+    for r in found:
+        text = texts[r.doc_id]
+        ends = [m.end() for m in re.finditer(r"\S+", text)]
+        assert r["all"] == count(text)
+        assert r.n == count(text[: max([e for e in ends if e <= 9], default=0)])
+        assert r.cut == max([e for e in ends[:40] if count(text[:e]) <= 3], default=0)
 
 
 def test_prefix_table_counts_like_the_library(tok):
