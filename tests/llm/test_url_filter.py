@@ -36,6 +36,12 @@ def test_many_nested_rules(spark):
     check(spark, urls + urls[:50], rules)
 
 
+def test_odd_pages(spark):
+    pages = spark.createDataFrame([(None, "http://a.net/x"), (None, "http://a.net/x"), (3, "http://a.net/" + "y" * 50000), (4, "http://" + "a." * 3000 + "net/")], "page_id bigint, url string")
+    found = url_filter.judge_urls(pages, url_filter.rules_from(spark, [*URL_RULES, ("net", "/y", "allow")])).collect()
+    assert sorted((r.page_id or 0, r.rule) for r in found) == [(0, "net/"), (0, "net/"), (3, "net/y"), (4, "net/")]
+
+
 def test_no_pages_and_no_rules(spark):
     none = spark.createDataFrame([], "page_id bigint, url string")
     rules = url_filter.rules_from(spark, URL_RULES)
