@@ -148,13 +148,34 @@ def update(weights: np.ndarray, bias: np.ndarray, used: np.ndarray, squares: np.
     error = -probabilities(weights, bias, rows)
     error[np.arange(len(label)), label] += 1
     for r in rows:
-        order = np.argsort(r.astype(np.uint16), kind="stable")
-        s = r[order]
-        cuts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        row, sums = s[cuts], np.add.reduceat(error.take(order, axis=0), cuts, axis=0)
+        row, times, sums = _sums(r, error)
         squares[row] += np.einsum("ij,ij->i", sums, sums) / np.float32(sums.shape[1])
-        weights[row] += sums * (np.float32(RATE) / np.sqrt(squares[row] + 1))[:, None]
-        used[row] += np.diff(np.append(cuts, len(s)))
+        sums *= (np.float32(RATE) / np.sqrt(squares[row] + 1))[:, None]
+        weights[row] += sums
+        used[row] += times
+
+
+def _sums(r: np.ndarray, error: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different rows, how often each occurs, and the sum of its errors.
+
+    Most rows of a batch occur a few times: those are added up one occurrence after the other, and only what is left of
+    the frequent ones by reduceat, which takes long over many short segments.
+    """
+    order = np.argsort(r.astype(np.uint16), kind="stable")
+    s = r[order]
+    cuts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+    times = np.diff(np.append(cuts, len(s)))
+    sums = error.take(order[cuts], axis=0)
+    more, k = np.flatnonzero(times > 1), 1
+    while k < 4 and len(more):
+        sums[more] += error.take(order[cuts[more] + k], axis=0)
+        k += 1
+        more = more[times[more] > k]
+    if len(more):
+        left = np.flatnonzero(np.arange(len(s)) - np.repeat(cuts, times) >= k)
+        begin = np.concatenate([[0], np.cumsum(times[more] - k)[:-1]])
+        sums[more] += np.add.reduceat(error.take(order[left], axis=0), begin, axis=0)
+    return s[cuts], times, sums
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
