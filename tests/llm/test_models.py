@@ -24,6 +24,49 @@ def test_language_held_out_accuracy(spark):
     assert len(found) > 100 and (found.lang == found.lang_pred).mean() > 0.97 and found.score.between(0, 1).all()
 
 
+def test_filters_like_exact_sets(spark):
+    """Against sets of n-grams counted in plain Python: no n-gram of a language is missed, and few others are let through."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    filters = lang_id.fit(docs, sample=10**9)
+    rows = [(r.lang, r.text) for r in docs.collect() if r.text]
+
+    def grams(text):
+        text = " " + "".join(c if c.isalpha() or ord(c) > 0xFFFF else " " for c in text.lower()) + " "
+        text = re.sub(" +", " ", text)
+        return [text[i : i + 4] for i in range(len(text) - 3)]
+
+    has, size = {}, Counter(x for x, _ in rows if x)
+    for lang, text in rows:
+        if lang:
+            has.setdefault(lang, Counter()).update(set(grams(text)))
+    exact = {x: {g for g, n in c.items() if n >= max(2, lang_id.LEAST_SHARE * size[x])} for x, c in has.items()}
+    assert filters.languages == sorted(exact)
+    texts = [t for _, t in rows[::9]] + ["", "x", "one two 33 drei\U00020000"]
+    total, held = filters.counts(texts)
+    agree = 0
+    for t, n, counts in zip(texts, total, held, strict=True):
+        mine = grams(t)
+        plain = [sum(g in exact[x] for g in mine) for x in filters.languages]
+        assert n == len(mine) and all(a <= b <= a + 0.05 * n + 3 for a, b in zip(plain, counts, strict=True))
+        agree += filters.languages[max(range(len(plain)), key=plain.__getitem__)] == filters.predict([t])[0][0] or not any(plain)
+    assert agree >= 0.99 * len(texts)
+
+
+def test_a_long_text_is_looked_up_in_parts(monkeypatch, frame):
+    filters = lang_id.fit(frame([(i, "the old river runs " * 5, "en") for i in range(9)] + [(20 + i, "der alte fluss " * 5, "de") for i in range(9)]))
+    texts = ["the old  river, der alte" * 40, "", "fluss", "old river" * 77]
+    whole = filters.counts(texts)
+    for size in (1, 7, 100):
+        monkeypatch.setattr(lang_id, "CHARS", size)
+        assert all((a == b).all() for a, b in zip(whole, filters.counts(texts), strict=True))
+
+
+def test_a_column_that_is_no_language_is_refused(frame, monkeypatch):
+    monkeypatch.setattr(lang_id, "LANGUAGES", 5)
+    with pytest.raises(ValueError):
+        lang_id.fit(frame([(i, "text", f"x{i}") for i in range(9)]))
+
+
 def test_language_edge_cases(frame, odd_rows, clashing):
     filters = lang_id.fit(frame([(i, "the old river " * 5, "en") for i in range(9)] + [(20 + i, "der alte fluss " * 5, "de") for i in range(9)] + [(50, None, "fr"), (51, "x", None)]))
     found = {(r.doc_id, r.lang_pred) for r in lang_id.identify(frame([*odd_rows, (30, "123 !?"), (31, "old river"), (32, "alte fluss")]), filters).collect()}
