@@ -284,6 +284,42 @@ def test_leaks_and_paraphrases(spark, frame, odd_rows, clashing):
     assert decontam.find_leaks(clashing, groups).count() == 0
 
 
+def test_recall_with_replaced_words(spark, frame):
+    """Items of which 10, 20 and 30 % of the words are replaced, each inside a text of its own; no clean text is named."""
+    rng = random.Random(15)
+    items = [(i, prose(rng, rng.randrange(25, 70))) for i in range(60)]
+    rows = [(i, prose(rng, 250)) for i in range(200)]
+    for share in (10, 20, 30):
+        for i, text in items:
+            words_ = text.split()
+            for at in rng.sample(range(len(words_)), len(words_) * share // 100):
+                words_[at] = f"other{rng.randrange(10**6)}"
+            host = prose(rng, 200).split()
+            at = rng.randrange(len(host))
+            rows.append((1000 * share + i, " ".join([*host[:at], *words_, *host[at:]])))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    docs = frame(rows)
+    found = {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs, decontam.fit(docs, bench)).collect()}
+    for share in (10, 20, 30):
+        assert len({(1000 * share + i, i) for i, _ in items} & found) >= 0.9 * len(items), share
+    assert not [d for d, _ in found if d < 1000] and len([1 for d, i in found if d % 1000 != i]) == 0
+
+
+def test_short_items_and_groups(spark, frame, odd_rows, monkeypatch):
+    """Items of one or two different words are found word for word; signs and case don't matter; groups come one at a time."""
+    monkeypatch.setattr(decontam, "BLOCK", 2)
+    monkeypatch.setattr(decontam, "AT_ONCE", 2)
+    rng = random.Random(16)
+    long = [(i, prose(rng, 30)) for i in range(9)]
+    bench = spark.createDataFrame([*long, (20, "Zebra!"), (21, "yes yes \u00d6l"), (22, "..."), (23, "")], "item_id bigint, text string")
+    rows = [*odd_rows, (100, "A \u201czebra\u201d, \u2014seen."), (101, "zebras"), (102, "Yes, yes: \u00f6l"), (103, "yes \u00f6l yes"), (104, prose(rng, 40) + " \u2018" + long[7][1].upper() + "\u2019 " + prose(rng, 40))]
+    docs = frame(rows)
+    groups = decontam.fit(docs, bench)
+    found = sorted((r.doc_id, r.item_id) for r in decontam.find_leaks(docs, groups).collect())
+    assert found == [(100, 20), (102, 21), (104, 7)] and len(list(groups)) == 3
+    assert decontam.drop_leaks(docs, groups).count() == len(rows) - 3
+
+
 def test_term_weights_cover_all_documents(spark, frame, odd_rows, monkeypatch):
     """Weights and terms are those of plain counts over all passages, however small the sample is."""
     import numpy as np
