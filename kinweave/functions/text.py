@@ -99,13 +99,22 @@ def parsed_list(cell: Column) -> Column:
     return F.coalesce(json, literal, parts)
 
 
+def first_entries(cell: Column) -> Column:
+    """Entries (key, words) of a JSON object of lists; of a key that is there twice the first counts, which a map can't tell."""
+    entry = F.lit(r'"((?:[^"\\]|\\.)*)"\s*:\s*(\[[^\]]*\])')
+    keys, lists = F.regexp_extract_all(cell, entry, F.lit(1)), F.regexp_extract_all(cell, entry, F.lit(2))
+    pairs = F.arrays_zip(keys.alias("key"), lists.alias("words"))
+    first = F.filter(pairs, lambda p, i: F.array_position(keys, p["key"]) == i + 1)
+    return F.transform(first, lambda p: F.struct(p["key"].alias("key"), F.from_json(p["words"], "array<string>").alias("words")))
+
+
 def month_number(month: Column) -> Column:
-    """1 to 12 from a number, digits or an English month name; 99 for anything else."""
+    """1 to 12 from a number, digits or an English month name; null for null, and an error for anything else."""
     names = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
     text = F.lower(F.trim(month.cast("string")))
     number = text.try_cast("int")
     at = F.array_position(F.lit(list(names)), text).cast("int")
-    return F.coalesce(F.when(number.between(1, 12), number), F.when(at > 0, at), F.lit(99))
+    return F.coalesce(F.when(number.between(1, 12), number), F.when(at > 0, at), F.when(text.isNotNull(), F.raise_error(F.concat(F.lit("not a month: "), text)).cast("int")))
 
 
 def period(year: Column, month: Column) -> Column:

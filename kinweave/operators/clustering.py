@@ -8,54 +8,64 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.scratch import materialize
+from kinweave.operators.ordering import numbered
+from kinweave.scratch import discard, materialize
 
 LARGEST = 4000
+#: Rounds that may bring no progress before fewer nodes move at once; the gain in modularity that is worth a move.
+PATIENCE, LEAST_GAIN = 3, 1e-7
 
 
 # --- modularity
 
 
-def modularity_communities(edges: DataFrame, rounds: int = 6, levels: int = 2, resolution: float = 1.0) -> DataFrame:
-    """node and community_number by local moves on directed, weighted modularity, then contraction.
+def modularity_communities(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """node and community_number by local moves on directed, weighted modularity, then contraction, until nothing moves.
 
     In each round every node computes the gain of joining each neighbouring community from sums over its edges, and the
     nodes whose turn it is (by a hash of node and round, so that neighbours don't swap for ever) move to the best one.
-    After the rounds of a level communities become nodes.  The state of each round is a written table.  Communities are
-    named by their smallest member, then numbered.
+    Once no node wants to move communities become nodes, and once contracted communities stay as they are all is done.
+    The state of each round is a written table.  Communities are named by their smallest member, then numbered.
     """
     current = materialize(edges.groupBy("source", "target").agg(F.sum("weight").alias("weight")), "edges")
     assigned = None
-    for level in range(levels):
-        labels = _move_all(current, rounds, resolution)
+    while True:
+        labels = _move_all(current, resolution)
+        merged = labels.where("node <> label").limit(1).count() > 0
         if assigned is None:
             assigned = labels
-        else:
+        elif merged:
             renamed = labels.select(F.col("node").alias("label"), F.col("label").alias("upper"))
-            assigned = assigned.join(renamed, "label").select("node", F.col("upper").alias("label"))
-        assigned = materialize(assigned, "assigned")
-        if level + 1 < levels:
-            a, b = labels.toDF("source", "ls"), labels.toDF("target", "lt")
-            current = materialize(current.join(a, "source").join(b, "target").groupBy(F.col("ls").alias("source"), F.col("lt").alias("target")).agg(F.sum("weight").alias("weight")), "edges")
+            assigned = materialize(assigned.join(renamed, "label").select("node", F.col("upper").alias("label")), "assigned")
+        if not merged:
+            break
+        a, b = labels.toDF("source", "ls"), labels.toDF("target", "lt")
+        current = materialize(current.join(a, "source").join(b, "target").groupBy(F.col("ls").alias("source"), F.col("lt").alias("target")).agg(F.sum("weight").alias("weight")), "edges")
     first = assigned.groupBy("label").agg(F.min("node").alias("first"))
-    number = first.withColumn("community_number", F.row_number().over(Window.orderBy("first")) - 1)  # a row for each community
-    return assigned.join(number, "label").select("node", "community_number")
+    return assigned.join(numbered(first, "first", name="community_number"), "label").select("node", "community_number")
+
 
+def _move_all(edges: DataFrame, resolution: float) -> DataFrame:
+    """node and label once no node wants to move.
 
-def _move_all(edges: DataFrame, rounds: int, resolution: float) -> DataFrame:
+    Nodes that move together may each be right and both be wrong.  Whenever the nodes that want to move don't get fewer
+    for ``PATIENCE`` rounds a smaller share of them has its turn, which comes to one by one moves in the end; modularity
+    grows with each of those, so they end.
+    """
     total = edges.agg(F.sum("weight").alias("m"))
     both = edges.select(F.col("source").alias("node"), F.col("target").alias("other"), "weight").unionByName(edges.select(F.col("target").alias("node"), F.col("source").alias("other"), "weight"))
-    links = materialize(both.where("node <> other"), "links")
+    links = materialize(both.where("node <> other").groupBy("node", "other").agg(F.sum("weight").alias("weight")), "links")
     ends = edges.select(F.explode(F.array(F.struct(F.col("source").alias("node"), F.col("weight").alias("o"), F.lit(0.0).alias("i")), F.struct(F.col("target").alias("node"), F.lit(0.0).alias("o"), F.col("weight").alias("i")))).alias("x"))
-    degree = materialize(ends.groupBy(F.col("x.node").alias("node")).agg(F.sum("x.o").alias("out_w"), F.sum("x.i").alias("in_w")), "degree")
-    state = degree.withColumn("label", F.col("node"))
-    for r in range(rounds):
+    degree = ends.groupBy(F.col("x.node").alias("node")).agg(F.sum("x.o").alias("out_w"), F.sum("x.i").alias("in_w"))
+    state = materialize(degree.withColumn("label", F.col("node")), "state")
+    share, fewest, stalled, r = 2, None, 0, 0
+    while True:
         sums = state.groupBy("label").agg(F.sum("out_w").alias("com_out"), F.sum("in_w").alias("com_in"))
         own = state.select("node", F.col("label").alias("own"), "out_w", "in_w")
-        near = links.join(state.select(F.col("node").alias("other"), "label"), "other").groupBy("node", "label").agg(F.sum("weight").alias("w"))
+        near = links.join(state.select(F.col("node").alias("other"), "label"), "other").select("node", "label", F.col("weight").alias("w"))
         options = near.unionByName(state.select("node", "label", F.lit(0.0).alias("w"))).groupBy("node", "label").agg(F.sum("w").alias("w"))
         joined = options.join(own, "node").join(sums, "label").crossJoin(F.broadcast(total))
         mine = F.col("label") == F.col("own")
@@ -64,13 +74,21 @@ def _move_all(edges: DataFrame, rounds: int, resolution: float) -> DataFrame:
         gain = F.col("w") / F.col("m") - F.lit(resolution) * (F.col("out_w") * rest_in + F.col("in_w") * rest_out) / (F.col("m") * F.col("m"))
         scored = joined.withColumn("gain", F.round(gain, 12))
         best = scored.groupBy("node").agg(F.min_by("label", F.struct(-F.col("gain"), F.col("label"))).alias("best"), F.max("gain").alias("top"), F.max(F.when(mine, F.col("gain"))).alias("stay"))
-        turn = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0
-        moved = state.join(best, "node").select("node", "out_w", "in_w", F.when(turn & (F.col("top") > F.col("stay")), F.col("best")).otherwise(F.col("label")).alias("label"), (F.col("top") > F.col("stay")).alias("wants"))
-        moved = materialize(moved, "state")
+        wants = F.col("top") > F.col("stay") + F.lit(LEAST_GAIN)
+        turn = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(share)) == 0
+        moved = state.join(best, "node").select("node", "out_w", "in_w", F.when(turn & wants, F.col("best")).otherwise(F.col("label")).alias("label"), wants.alias("wants"))
+        before, moved = state, materialize(moved, "state")
         state = moved.drop("wants")
-        if moved.where("wants").isEmpty():
-            break
-    return state.select("node", "label")
+        discard(before if r == 0 else held)
+        held, r = moved, r + 1
+        n = moved.where("wants").count()
+        if n == 0:
+            discard(links)
+            return state.select("node", "label")
+        stalled = 0 if fewest is None or n < fewest else stalled + 1
+        fewest = n if fewest is None else min(n, fewest)
+        if stalled >= PATIENCE:
+            share, stalled = share * 2, 0
 
 
 def modularity(edges: DataFrame, membership: DataFrame, resolution: float = 1.0) -> DataFrame:

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinweave.operators.ordering import numbered
+
 
 def prominent(membership: DataFrame, min_members: int = 3) -> DataFrame:
     """Communities with enough nodes, numbered anew from 0 in their old order."""
     sizes = membership.groupBy("community_number").agg(F.count_distinct("node").alias("size")).where(F.col("size") >= min_members)
-    # one row for each community: their order is a small window
-    numbered = sizes.withColumn("renumbered", F.row_number().over(Window.orderBy("community_number")) - 1)
-    return membership.join(numbered.select("community_number", "renumbered"), "community_number").select("node", F.col("renumbered").alias("community_number"))
+    anew = numbered(sizes, "community_number", name="renumbered")
+    return membership.join(anew.select("community_number", "renumbered"), "community_number").select("node", F.col("renumbered").alias("community_number"))
 
 
 def community_edges(edges: DataFrame, membership: DataFrame, metric: str) -> DataFrame:
@@ -104,6 +105,6 @@ def seats(sizes: DataFrame, total: int, least: int = 2) -> DataFrame:
     taken = base.agg(F.sum("base").alias("taken"))
     ranked = more.withColumn("score", F.sqrt("size") / F.col("seat"))
     best = ranked.orderBy(F.desc("score"), "community_number", "seat").limit(total)
-    numbered = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "community_number", "seat")))
-    given = numbered.crossJoin(F.broadcast(taken)).where(F.col("rank") <= F.lit(total) - F.col("taken")).groupBy("community_number").agg(F.count(F.lit(1)).alias("extra"))
+    placed = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "community_number", "seat")))
+    given = placed.crossJoin(F.broadcast(taken)).where(F.col("rank") <= F.lit(total) - F.col("taken")).groupBy("community_number").agg(F.count(F.lit(1)).alias("extra"))
     return base.join(given, "community_number", "left").select("community_number", "size", (F.col("base") + F.coalesce("extra", F.lit(0))).alias("quota"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinweave.operators.ordering import numbered
 from kinweave.scratch import materialize
 
 
@@ -85,7 +86,7 @@ def path_table(paths: DataFrame, transition_rows: DataFrame) -> DataFrame:
 def ranked_paths(table: DataFrame) -> DataFrame:
     """Display order: longest first, then most retained, then the path's text."""
     text = F.array_join("nodes", " > ")
-    return table.withColumn("display_rank", F.row_number().over(Window.orderBy(F.desc("duration"), F.desc("retained_total"), text)))
+    return numbered(table, F.desc("duration"), F.desc("retained_total"), text, name="display_rank").withColumn("display_rank", F.col("display_rank") + 1)
 
 
 def membership_changes(steps: DataFrame, members: DataFrame) -> DataFrame:
@@ -141,7 +142,7 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
 def sankey(transition_rows: DataFrame) -> DataFrame:
     """Positions of both nodes of each transition in the sorted list of all nodes."""
     nodes = transition_rows.select(F.explode(F.array("source_node", "target_node")).alias("node")).distinct()
-    place = nodes.withColumn("place", F.row_number().over(Window.orderBy("node")) - 1)  # a row for each community and period
+    place = numbered(nodes, "node", name="place")
     a, b = place.toDF("source_node", "source_index"), place.toDF("target_node", "target_index")
     return transition_rows.join(a, "source_node").join(b, "target_node").select("source_node", "target_node", "source_index", "target_index", "jaccard")
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinweave.scratch import discard, materialize
+
 
 def normalized_id(column):
     """An identifier as text: integral floats without ``.0``, blanks as null."""
@@ -140,3 +142,43 @@ def undirected(edges: DataFrame) -> DataFrame:
 def first_per_key(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key in an explicit order."""
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
+
+
+#: Cells of a layout along either side, and the steps that it takes.
+CELLS, STEPS = 16, 12
+
+
+def force_layout(edges: DataFrame, steps: int = STEPS) -> DataFrame:
+    """node, x and y by springs along edges (source, target, weight) and repulsion between all nodes.
+
+    Nodes begin at hashed places in a square.  In each step a node is drawn to its neighbours and pushed away by the
+    mean places of the CELLS x CELLS cells, each by the number of nodes in it, so that no pairs of nodes are formed; it
+    moves by no more than the step's temperature, which falls.  Cells are a row each and reach all nodes as one array of
+    bounded size.
+    """
+    both = edges.select("source", "target", "weight").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"), "weight"))
+    links = materialize(both.where("source <> target").groupBy("source", "target").agg(F.sum("weight").alias("weight")), "links")
+    hashed = lambda seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    at = materialize(endpoints(edges).select("node", hashed(1).alias("x"), hashed(2).alias("y")), "layout")
+    ideal = 1.0 / max(1, at.count()) ** 0.5
+    for step in range(steps):
+        cell = lambda c: F.least(F.greatest(F.floor(F.col(c) * CELLS), F.lit(0)), F.lit(CELLS - 1))
+        cells = at.groupBy(cell("x").alias("i"), cell("y").alias("j")).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+        crowd = cells.agg(F.array_sort(F.collect_list(F.struct("i", "j", "n", "cx", "cy"))).alias("crowd"))  # CELLS * CELLS entries
+        ends = at.select(F.col("node").alias("target"), F.col("x").alias("tx"), F.col("y").alias("ty"))
+        pulls = links.join(ends, "target").join(at.withColumnRenamed("node", "source"), "source")
+        away = F.sqrt((F.col("tx") - F.col("x")) ** 2 + (F.col("ty") - F.col("y")) ** 2)
+        drawn = pulls.groupBy("source").agg(F.sum((F.col("tx") - F.col("x")) * away / ideal).alias("px"), F.sum((F.col("ty") - F.col("y")) * away / ideal).alias("py")).withColumnRenamed("source", "node")
+
+        def push(c: str, own: str) -> Column:
+            far = lambda k: (F.col("x") - k["cx"]) ** 2 + (F.col("y") - k["cy"]) ** 2 + F.lit(ideal**2)  # noqa: E731, B023
+            return F.aggregate("crowd", F.lit(0.0), lambda sum_, k: sum_ + k["n"] * F.lit(ideal**2) * (F.col(own) - k[c]) / far(k))
+
+        moved = at.crossJoin(F.broadcast(crowd)).join(drawn, "node", "left")
+        dx, dy = push("cx", "x") + F.coalesce("px", F.lit(0.0)), push("cy", "y") + F.coalesce("py", F.lit(0.0))
+        length = F.sqrt(dx**2 + dy**2) + F.lit(1e-12)
+        reach = F.least(length, F.lit(0.1 * (1 - step / steps))) / length
+        after = materialize(moved.select("node", (F.col("x") + dx * reach).alias("x"), (F.col("y") + dy * reach).alias("y")), "layout")
+        discard(at)
+        at = after
+    return at

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.functions import vectors as V
 
 
 def centroids(rows: DataFrame, group: str, vector: str, weight: str | None = None) -> DataFrame:
-    """The (weighted) mean vector of each group, summed per dimension with partial aggregation."""
-    w = F.col(weight) if weight else F.lit(1.0)
-    long = rows.select(group, w.alias("w"), F.posexplode(vector).alias("i", "x"))
-    means = long.groupBy(group, "i").agg((F.sum(F.col("w") * F.col("x").cast("double")) / F.sum("w")).alias("m"))
-    return means.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centroid"))
+    """The (weighted) mean vector of each group: arrays are added up whole, in each task before the shuffle."""
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    return rows.groupBy(group).agg(vector_to_array(Summarizer.mean(_vector(F.col(vector)), w)).alias("centroid"))
+
+
+def _vector(array: Column) -> Column:
+    return array_to_vector(array.cast("array<double>"))
 
 
 def cohesion(rows: DataFrame, group: str, vector: str) -> DataFrame:
@@ -22,12 +26,10 @@ def cohesion(rows: DataFrame, group: str, vector: str) -> DataFrame:
     For unit vectors the sum over all pairs is (|sum|^2 - n) / 2, so one sum per dimension is enough; a group of one
     vector has cohesion 1.
     """
-    unit = rows.select(group, V.unit(F.col(vector)).alias("u"))
-    n = unit.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    sums = unit.select(group, F.posexplode("u").alias("i", "x")).groupBy(group, "i").agg(F.sum("x").alias("s"))
-    square = sums.groupBy(group).agg(F.sum(F.col("s") * F.col("s")).alias("q"))
+    sums = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), vector_to_array(Summarizer.sum(_vector(V.unit(F.col(vector))))).alias("s"))
+    square = sums.select(group, "n", V.dot(F.col("s"), F.col("s")).alias("q"))
     pairs = F.col("n") * (F.col("n") - 1)
-    return n.join(square, group).select(group, "n", F.when(F.col("n") == 1, 1.0).otherwise((F.col("q") - F.col("n")) / pairs).alias("cohesion"))
+    return square.select(group, "n", F.when(F.col("n") == 1, 1.0).otherwise((F.col("q") - F.col("n")) / pairs).alias("cohesion"))
 
 
 def medoids(rows: DataFrame, group: str, key: str, vector: str) -> DataFrame:

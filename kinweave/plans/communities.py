@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kinweave.operators import communities as com
 from kinweave.operators import network as net
+from kinweave.operators.ordering import numbered
 from kinweave.plans.network import KEPT, kept, messages
 from kinweave.registry import query, table
 
@@ -160,13 +161,10 @@ def community_list(spark, sf_dir):
 
 @query("t05_numeric_aware_order", f"WITH {MATCH}, x AS (SELECT DISTINCT CASE WHEN b > 40 THEN 'c' || b ELSE b::VARCHAR END AS id FROM mt) SELECT id, row_number() OVER (ORDER BY try_cast(id AS INT) IS NULL, try_cast(id AS INT), id) AS place FROM x")
 def numeric_order(spark, sf_dir):
-    from pyspark.sql import Window
-
     b = F.col("b")
     ids = matches(spark, sf_dir).select(F.when(b > 40, F.concat(F.lit("c"), b)).otherwise(b.cast("string")).alias("id")).distinct()
     number = F.col("id").try_cast("int")
-    # one row for each community
-    return ids.withColumn("place", F.row_number().over(Window.orderBy(number.isNull(), number, "id")))
+    return numbered(ids, number.isNull(), number, "id", name="place").withColumn("place", F.col("place") + 1)
 
 
 @query("t08_community_map", f"""WITH {PAIRS}, sz AS (SELECT community_number AS c, count(*) AS size FROM mi GROUP BY 1), top AS (SELECT c FROM sz ORDER BY size DESC, c LIMIT 10)

@@ -60,19 +60,19 @@ def _words(spark, sf_dir):
 
 @query("m04_topics")
 def dominant_topics(spark, sf_dir):
-    _, model, counts = topics.fit(_words(spark, sf_dir), topics=5, iterations=5, vocabulary=2000)
+    _, model, counts = topics.fit(_words(spark, sf_dir))
     return topics.dominant(model, counts, "doc_id")
 
 
 @query("m01_topic_keywords_to_knee")
 def topic_keywords(spark, sf_dir):
-    vectorizer, model, _ = topics.fit(_words(spark, sf_dir), topics=5, iterations=5, vocabulary=2000)
+    vectorizer, model, _ = topics.fit(_words(spark, sf_dir))
     return cl.keep_to_knee(topics.keywords(vectorizer, model), "topic", "word", "weight")
 
 
 @query("t02_greedy_edges")
 def greedy(spark, sf_dir):
-    return cl.greedy_edges(kept(spark, sf_dir).select("source", "target", F.col("weighted_post").alias("weight")), 100, 500)
+    return cl.greedy_edges(kept(spark, sf_dir).select("source", "target", F.col("weighted_post").alias("weight")))
 
 
 @query("st_windowed_activity", "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS events, round(sum(value), 6) AS value FROM events GROUP BY 1, 2")

@@ -4,29 +4,44 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
-from pyspark.sql import Window
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from kinweave.functions import text as T
+from kinweave.operators import network as net
 from kinweave.operators import topics
 from kinweave.operators import vectors as vec
-from kinweave.plans.network import KEPT, kept
+from kinweave.operators.ordering import numbered
+from kinweave.plans.network import KEPT, kept, nodes
 from kinweave.plans.themes import ROWS, dominant, observations, themes
 from kinweave.plans.vectors import CENTROID, UNIT, _dot, vectors
 from kinweave.registry import query, table
 
 
-@F.pandas_udf(StringType())
-def nfkd(text: pd.Series) -> pd.Series:
-    """Compatibility decomposition, for which Spark has no function."""
-    return text.map(lambda t: unicodedata.normalize("NFKD", t), na_action="ignore")
+def normalized(df, key: str, text: str, form: str = "NFKD"):
+    """key and the text in a Unicode normal form, for which Spark has no function; ASCII texts stay as they are."""
+    kind = df.schema[key].dataType.simpleString()
 
+    def run(batches):
+        for batch in batches:
+            plain = pc.fill_null(pc.string_is_ascii(batch.column(1)), True)
+            others = [unicodedata.normalize(form, t) for t in batch.column(1).filter(pc.invert(plain)).to_pylist()]
+            done = pc.replace_with_mask(batch.column(1), pc.invert(plain), pa.array(others, pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), done], names=[key, "normalized"])
+
+    return df.select(key, text).mapInArrow(run, f"{key} {kind}, normalized string")
 
-@query("f04_normalize_unicode")
+
+@query("f04_normalize_unicode", "SELECT doc_id, nfc_normalize(text) AS normalized FROM documents")
 def normalize_unicode(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", nfkd("text").alias("normalized"))
+    """NFC, which SQL has as well; NFKD and the other forms differ by the parameter."""
+    return normalized(table(spark, sf_dir, "documents"), "doc_id", "text", "NFC")
+
+
+@query("f04_normalize_compatible")
+def normalize_compatible(spark, sf_dir):
+    return normalized(table(spark, sf_dir, "documents"), "doc_id", "text", "NFKD")
 
 
 @query("f06_document_build", "SELECT conv_id, array_to_string(list(s ORDER BY turn), '.') AS document FROM (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS s FROM conversations) WHERE s <> '' GROUP BY 1")
@@ -50,12 +65,13 @@ def cache_keys(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select(sha(F.concat(inner, F.lit("|provider|en|v1"))).alias("translation_key"), sha(F.concat(inner, F.lit("|v1"))).alias("detection_key")).distinct()
 
 
-@query("c04_theme_map_parse", "SELECT p_partkey, p_brand AS theme, string_split(p_name, ' ') AS keywords FROM part")
+@query("c04_theme_map_parse", """SELECT p_partkey, p_brand AS theme, string_split(p_name, ' ') AS keywords FROM part
+UNION ALL SELECT p_partkey, p_type, ['second'] FROM part WHERE p_partkey % 2 = 1""")
 def theme_map_parse(spark, sf_dir):
-    """A map cell as text, parsed; with a key twice the first counts."""
-    cell = F.concat(F.lit('{"'), F.col("p_brand"), F.lit('": '), F.to_json(F.split("p_name", " ")), F.lit("}"))
-    parsed = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.from_json(cell, "map<string,array<string>>")).alias("theme", "keywords"))
-    return parsed.dropDuplicates(["p_partkey", "theme"])
+    """A map cell as text, parsed; every other cell has its key twice, and the first counts."""
+    again = F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).otherwise(F.col("p_type"))
+    cell = F.concat(F.lit('{"'), F.col("p_brand"), F.lit('": '), F.to_json(F.split("p_name", " ")), F.lit(', "'), again, F.lit('": ["second"]}'))
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(T.first_entries(cell)).alias("x")).select("p_partkey", F.col("x.key").alias("theme"), F.col("x.words").alias("keywords"))
 
 
 @query("c05_general_theme_names", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN [p_brand, p_type] ELSE [p_brand || ', ' || p_type] END AS names FROM part")
@@ -155,11 +171,13 @@ def representatives(spark, sf_dir):
     return vec.medoids(v, "label", "vec_id", "embedding").join(unit, "medoid").select("label", "medoid", F.round(F.get("u", F.lit(0)), 9).alias("first"))
 
 
-@query("j15_representative_required", f"WITH {UNIT} SELECT count(*) AS labels, count(*) FILTER (vec_id IS NULL) AS missing FROM (SELECT DISTINCT label FROM embeddings) l LEFT JOIN (SELECT label, min(vec_id) AS vec_id FROM u GROUP BY 1) r USING (label)")
+@query("j15_representative_required", f"WITH {UNIT} SELECT count(*) AS labels, count(*) FILTER (vec_id IS NULL) AS missing FROM (SELECT label, min(vec_id) AS chosen FROM embeddings GROUP BY 1) l LEFT JOIN (SELECT vec_id FROM u WHERE vec_id % 3 > 0) r ON chosen = vec_id")
 def representative_required(spark, sf_dir):
+    """Each cluster's representative against the vectors that were recorded: two of three, so that some are missing."""
     v = vectors(spark, sf_dir)
-    found = v.groupBy("label").agg(F.min("vec_id").alias("vec_id"))
-    return v.select("label").distinct().join(found, "label", "left").agg(F.count(F.lit(1)).alias("labels"), F.count_if(F.col("vec_id").isNull()).alias("missing"))
+    chosen = v.groupBy("label").agg(F.min("vec_id").alias("vec_id"))
+    recorded = v.where("vec_id % 3 > 0").select("vec_id", F.lit(True).alias("there"))
+    return chosen.join(recorded, "vec_id", "left").agg(F.count(F.lit(1)).alias("labels"), F.count_if(F.col("there").isNull()).alias("missing"))
 
 
 @query("m15_deduplicated_inference", "WITH t AS (SELECT text, length(text) AS n, len(list_filter(string_split(text, ' '), lambda w: w <> '')) AS words FROM (SELECT DISTINCT text FROM conversations)) SELECT conv_id, turn, [n::DOUBLE, words::DOUBLE] AS vector FROM conversations JOIN t USING (text)")
@@ -177,32 +195,35 @@ def inference(spark, sf_dir):
 
 @query("m02_bigram_topics")
 def bigram_topics(spark, sf_dir):
-    """Topics over words and pairs of neighbours."""
+    """Topics over words and the phrases of two and of three words."""
     words = F.filter(F.split(T.clean(F.col("text")), " "), lambda w: F.length(w) > 2)
-    both = F.arrays_zip(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))).alias("a"), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))).alias("b"))
-    d = table(spark, sf_dir, "documents").select("doc_id", words.alias("w"))
-    d = d.select("doc_id", F.concat("w", F.transform(both, lambda p: F.concat_ws("_", p["a"], p["b"]))).alias("words"))
-    _, model, counts = topics.fit(d, topics=5, iterations=3, vocabulary=3000, least_docs=3.0)
+    d = topics.with_phrases(table(spark, sf_dir, "documents").select("doc_id", words.alias("words")))
+    _, model, counts = topics.fit(d)
     return topics.dominant(model, counts, "doc_id")
 
 
 @query("m03_topic_scores")
 def topic_scores(spark, sf_dir):
-    """The bound of the log likelihood a word, one row."""
+    """The bound of the log likelihood a word, and the coherence of the topics' first words, one row."""
     words = F.filter(F.split(T.clean(F.col("text")), " "), lambda w: F.length(w) > 2)
     d = table(spark, sf_dir, "documents").select("doc_id", words.alias("words"))
-    _, model, counts = topics.fit(d, topics=5, iterations=3, vocabulary=2000)
-    return spark.range(1).select(F.lit(model.logPerplexity(counts)).alias("log_perplexity"), F.lit(model.vocabSize()).alias("vocabulary"))
+    vectorizer, model, counts = topics.fit(d)
+    coherent = topics.coherence(counts, topics.keywords(vectorizer, model, 20)).agg(F.avg("coherence").alias("coherence"))
+    return coherent.select(F.lit(model.logPerplexity(counts)).alias("log_perplexity"), "coherence", F.lit(model.vocabSize()).alias("vocabulary"))
 
 
-@query("g11_circular_layout", f"WITH {KEPT}, d AS (SELECT node, count(*) AS degree FROM (SELECT source AS node FROM k UNION ALL SELECT target FROM k) GROUP BY 1), v AS (SELECT node FROM d ORDER BY degree DESC, node LIMIT 1000), p AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS i, count(*) OVER () AS n FROM v) SELECT node, round(cos(2 * pi() * i / n), 6) + 0.0 AS x, round(sin(2 * pi() * i / n), 6) + 0.0 AS y FROM p")
+@query("g11_circular_layout", f"WITH {KEPT}, v AS (SELECT source AS node FROM k UNION SELECT target FROM k), p AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS i, count(*) OVER () AS n FROM v) SELECT node, round(cos(2 * pi() * i / n), 6) + 0.0 AS x, round(sin(2 * pi() * i / n), 6) + 0.0 AS y FROM p")
 def layout(spark, sf_dir):
-    """The 1,000 nodes of most edges, which is what a network view shows, on a circle in order."""
-    ends = kept(spark, sf_dir).select(F.explode(F.array("source", "target")).alias("node"))
-    n = ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree")).orderBy(F.desc("degree"), "node").limit(1000)
-    place = n.withColumn("i", F.row_number().over(Window.orderBy("node")) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
+    """All nodes on a circle in order."""
+    place = numbered(nodes(spark, sf_dir), "node", name="i")
+    n = place.agg(F.count(F.lit(1)).alias("n"))  # one row
     angle = 2 * F.pi() * F.col("i") / F.col("n")
-    return place.select("node", (F.round(F.cos(angle), 6) + 0.0).alias("x"), (F.round(F.sin(angle), 6) + 0.0).alias("y"))
+    return place.crossJoin(F.broadcast(n)).select("node", (F.round(F.cos(angle), 6) + 0.0).alias("x"), (F.round(F.sin(angle), 6) + 0.0).alias("y"))
+
+
+@query("g11_force_layout")
+def force_layout(spark, sf_dir):
+    return net.force_layout(kept(spark, sf_dir).select("source", "target", F.col("weighted_post").alias("weight")))
 
 
 @query("v08_rounded_ratios", f"WITH {ROWS} SELECT period, round(count(DISTINCT pair_key)::DOUBLE / count(*), 6) AS ratio, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM ob), 6) AS percent FROM ob GROUP BY 1")

@@ -153,13 +153,16 @@ def family_shares(spark, sf_dir):
     return f.crossJoin(F.broadcast(f.agg(F.sum("n").alias("t")))).select("label", "n", F.round(F.col("n") / F.col("t"), 6).alias("share"))
 
 
-@query("m13_partition_fidelity", "WITH p AS (SELECT vec_id, label AS a, 'c' || label AS b FROM embeddings), x AS (SELECT a, count(DISTINCT b) AS n FROM p GROUP BY 1), y AS (SELECT b, count(DISTINCT a) AS n FROM p GROUP BY 1) SELECT (SELECT max(n) FROM x) = 1 AND (SELECT max(n) FROM y) = 1 AS equal, (SELECT count(*) FROM x) AS groups")
+@query("m13_partition_fidelity", "WITH p AS (SELECT vec_id, label AS a, min(vec_id) OVER (PARTITION BY label, vec_id % 500 = 7) AS b FROM embeddings), x AS (SELECT a, count(DISTINCT b) AS n FROM p GROUP BY 1), y AS (SELECT b, count(DISTINCT a) AS n FROM p GROUP BY 1) SELECT (SELECT max(n) FROM x) = 1 AND (SELECT max(n) FROM y) = 1 AS equal, (SELECT count(*) FROM x) AS groups, (SELECT count(*) FROM x WHERE n > 1) AS split, (SELECT count(*) FROM y WHERE n > 1) AS merged")
 def fidelity(spark, sf_dir):
     """Two partitions are equal if each group of either meets one group of the other."""
-    p = table(spark, sf_dir, "embeddings").select(F.col("label").alias("a"), F.concat(F.lit("c"), "label").alias("b"))
-    x = p.groupBy("a").agg(F.count_distinct("b").alias("n")).agg(F.max("n").alias("x"), F.count(F.lit(1)).alias("groups"))
-    y = p.groupBy("b").agg(F.count_distinct("a").alias("n")).agg(F.max("n").alias("y"))
-    return x.crossJoin(y).select(((F.col("x") == 1) & (F.col("y") == 1)).alias("equal"), "groups")
+    e = table(spark, sf_dir, "embeddings")
+    odd = F.col("vec_id") % 500 == 7  # vectors that the other partition puts into groups of their own
+    other = e.groupBy("label", odd.alias("odd")).agg(F.min("vec_id").alias("b"))
+    p = e.select("label", odd.alias("odd")).join(other, ["label", "odd"]).select(F.col("label").alias("a"), "b")
+    x = p.groupBy("a").agg(F.count_distinct("b").alias("n")).agg(F.max("n").alias("x"), F.count(F.lit(1)).alias("groups"), F.count_if(F.col("n") > 1).alias("split"))
+    y = p.groupBy("b").agg(F.count_distinct("a").alias("n")).agg(F.max("n").alias("y"), F.count_if(F.col("n") > 1).alias("merged"))
+    return x.crossJoin(y).select(((F.col("x") == 1) & (F.col("y") == 1)).alias("equal"), "groups", "split", "merged")
 
 
 @query("v10_similarity_embedding", "SELECT p_partkey, [len(list_filter(string_split(p_type, ' '), lambda w: w IN ('STANDARD', 'SMALL', 'LARGE')))::DOUBLE, len(list_filter(string_split(p_type, ' '), lambda w: w IN ('STEEL', 'TIN', 'BRASS')))::DOUBLE, len(string_split(p_type, ' '))::DOUBLE] AS embedding FROM part")
@@ -169,9 +172,9 @@ def similarity_embedding(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array(hits(("STANDARD", "SMALL", "LARGE")), hits(("STEEL", "TIN", "BRASS")), F.size(words).cast("double")).alias("embedding"))
 
 
-@query("b01_benchmark_examples", "SELECT item_id, mode, 'ex_' || left(sha256(mode || '|' || text), 16) AS example_id FROM benchmark, (VALUES ('general'), ('absolute')) m(mode) WHERE trim(text) <> ''")
+@query("b01_benchmark_examples", "SELECT item_id, mode, 'ex_' || left(sha256(mode || '|' || text), 16) AS example_id FROM benchmark, (VALUES ('general'), ('absolute'), ('weighted')) m(mode) WHERE trim(text) <> ''")
 def examples(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").where("trim(text) <> ''").withColumn("mode", F.explode(F.lit(["general", "absolute"])))
+    b = table(spark, sf_dir, "benchmark").where("trim(text) <> ''").withColumn("mode", F.explode(F.lit(["general", "absolute", "weighted"])))
     return b.select("item_id", "mode", F.concat(F.lit("ex_"), F.substring(F.sha2(F.concat_ws("|", "mode", "text").cast("binary"), 256), 1, 16)).alias("example_id"))
 
 

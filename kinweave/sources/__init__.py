@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,10 +21,28 @@ def require(df: DataFrame, columns) -> DataFrame:
 
 
 def relationships(spark: SparkSession, path: str) -> DataFrame:
-    """A relationship export: CSV with a header, quoted node cells that may span lines."""
+    """A relationship export: CSV with a header, quoted node cells that may span lines.
+
+    Such a file is one task, as only its reader knows where a record ends.  ``relationships_once`` turns large exports
+    into Parquet, which later scans split.
+    """
     return require(spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True), RELATIONSHIP)
 
 
+def relationships_once(spark: SparkSession, path: str, kept: str) -> DataFrame:
+    """The Parquet copy of an export at ``kept``, made by the first call (a task for each file of the export)."""
+    if not exists(spark, f"{kept}/_SUCCESS"):
+        relationships(spark, path).write.mode("overwrite").parquet(kept)
+    return require(spark.read.parquet(kept), RELATIONSHIP)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """True if there is such a file or folder, wherever Spark can read."""
+    context = spark.sparkContext
+    found = context._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(context._jsc.hadoopConfiguration()).exists(found)
+
+
 def by_suffix(spark: SparkSession, path: str) -> DataFrame:
     """CSV or Parquet, as the path ends."""
     end = path.rstrip("/").rpartition(".")[2].lower()
@@ -47,14 +66,21 @@ def projected(spark: SparkSession, path: str, columns=None, filters=()) -> DataF
     return df.select(*columns) if columns else df
 
 
-def monthly(spark: SparkSession, paths: list[str], lists: tuple[str, ...] = ()) -> DataFrame:
-    """Monthly tables named ``<month>_<year>.parquet`` as one, with month and year; absent list columns become empty."""
-    def one(path: str) -> DataFrame:
-        month, year = path.rstrip("/").rpartition("/")[2].removesuffix(".parquet").rsplit("_", 1)
-        df = spark.read.parquet(path).withColumns({"month": F.lit(month), "year": F.lit(int(year))})
-        return df.withColumns({c: F.array().cast("array<string>") for c in lists if c not in df.columns})
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+
 
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(one, paths))
+def monthly(spark: SparkSession, pattern: str, lists: tuple[str, ...] = ()) -> DataFrame:
+    """All monthly tables ``<month>_<year>.parquet`` that a pattern matches, in one scan, with month, year and month_number.
+
+    Files may lack columns that others have; list columns that are absent or null are empty lists.  Names without a
+    month are left out.
+    """
+    df = spark.read.option("mergeSchema", "true").parquet(pattern)
+    name = lambda n: F.regexp_extract(F.col("_metadata.file_path"), r"([A-Za-z]+)_(\d{4})\.parquet", n)
+    df = df.select("*", F.lower(name(1)).alias("month"), name(2).try_cast("int").alias("year"))
+    df = df.withColumn("month_number", F.array_position(F.lit(list(MONTHS)), F.col("month")).cast("int")).where("month_number > 0")
+    empty = F.array().cast("array<string>")
+    return df.withColumns({c: F.coalesce(F.col(c), empty) if c in df.columns else empty for c in lists})
 
 
 def page(df: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
@@ -62,22 +88,108 @@ def page(df: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def pages(tables: list[DataFrame], order: list, offset: int, limit: int) -> DataFrame:
+    """A page over several tables, one after the other, each in a stated order, with the total of all rows."""
+    numbered = [t.withColumn("table_number", F.lit(i)) for i, t in enumerate(tables)]
+    every = reduce(lambda a, b: a.unionByName(b), numbered)
+    total = every.agg(F.count(F.lit(1)).alias("total"))
+    return page(every, ["table_number", *order], offset, limit).crossJoin(F.broadcast(total))  # one row
+
+
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines; a malformed line is an error, blank lines are skipped."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+#: The largest file whose bytes are read whole to be hashed.
+HASHED = (1 << 31) - 1
+
+
+def _below(folder: str):
+    """A file's path below a folder."""
+    plain = F.regexp_replace("path", "^[a-z0-9]+:/+", "/")
+    base = "/" + folder.split(":", 1)[-1].strip("/") + "/"
+    return F.substr(plain, F.lit(len(base) + 1))
+
+
+def files(spark: SparkSession, folder: str, hashes: bool = True) -> DataFrame:
+    """path (below ``folder``), byte_size and sha256 of all files below a folder but Spark's own marks.
+
+    A file is hashed by one task.  Files over ``HASHED`` bytes have a null hash.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    own = found.withColumn("path", _below(folder)).where(~F.col("path").rlike("(^|/)[_.][^/]*$"))
+    if not hashes:
+        return own.select("path", F.col("length").alias("byte_size"), F.lit(None).cast("string").alias("sha256"))
+    small = own.where(F.col("length") <= HASHED).select("path", F.col("length").alias("byte_size"), F.sha2("content", 256).alias("sha256"))
+    return small.unionByName(own.where(F.col("length") > HASHED).select("path", F.col("length").alias("byte_size"), F.lit(None).cast("string").alias("sha256")))
+
+
 def verified(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """Files below ``folder`` held against a manifest of (path, sha256, byte_size): path and status of each entry.
 
-    Statuses: ok, changed, missing.
+    Paths are those below the folder, so that equal names in different folders are told apart.  Statuses: ok, changed,
+    missing.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    found = files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("path"), F.sha2("content", 256).alias("found_sha256"), F.col("length").alias("found_size"))
-    status = F.when(F.col("found_sha256").isNull(), "missing").when((F.col("found_sha256") == F.col("sha256")) & (F.col("found_size") == F.col("byte_size")), "ok").otherwise("changed")
+    found = files(spark, folder).select("path", F.col("sha256").alias("found_sha256"), F.col("byte_size").alias("found_size"))
+    status = F.when(F.col("found_size").isNull(), "missing").when(F.col("found_sha256").eqNullSafe(F.col("sha256")) & (F.col("found_size") == F.col("byte_size")), "ok").otherwise("changed")
     return manifest.join(found, "path", "left").select("path", status.alias("status"))
 
 
+def digest(df: DataFrame) -> tuple[int, str]:
+    """Number of rows and a digest of them that doesn't depend on their order, for tables too large to hash as bytes."""
+    row = F.xxhash64(*(F.to_json(F.struct(c)) if kind.startswith(("map", "struct", "array")) else F.col(c) for c, kind in df.dtypes))
+    r = df.select(row.alias("h")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor("h"), F.lit(0)).alias("x"), F.coalesce(F.sum(F.col("h").cast("decimal(38,0)")), F.lit(0)).alias("s")).first()
+    return r["n"], f"{r['x']}:{r['s']}"
+
+
+def _manifest(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.option("wholetext", "true").text(path).first()["value"])
+
+
+def topic_inputs(spark: SparkSession, folder: str, metadata: dict) -> dict[str, DataFrame]:
+    """The tables of a topic-input bundle; an error if it was made for other metadata or a table has changed."""
+    manifest = _manifest(spark, f"{folder}/manifest")
+    if manifest["metadata"] != metadata:
+        raise ValueError("the bundle was made for other settings")
+    return {name: _restored(spark, f"{folder}/{name}.parquet", entry) for name, entry in manifest["tables"].items()}
+
+
+def _restored(spark: SparkSession, path: str, entry: dict) -> DataFrame:
+    stored = spark.read.parquet(path)
+    if list(digest(stored)) != [entry["rows"], entry["digest"]]:
+        raise ValueError(f"{path} is not what the manifest says")
+    return stored.withColumns({c: F.from_json(c, kind) for c, kind in entry["lists"].items()})
+
+
+def theme_inputs(spark: SparkSession, folder: str, lists: dict[str, str] | None = None) -> DataFrame:
+    """The months of a theme-input folder, with period.
+
+    Only months with a manifest are read, each held against its digest; a folder without manifests is read as it is,
+    with the list columns given.
+    """
+    if not exists(spark, f"{folder}/manifest"):
+        return spark.read.parquet(f"{folder}/rows").withColumns({c: F.from_json(c, kind) for c, kind in (lists or {}).items()})
+    months = [json.loads(r["value"]) for r in spark.read.option("wholetext", "true").text(f"{folder}/manifest/*").collect()]  # one for each month
+    parts = [_restored(spark, f"{folder}/rows/period={m['period']}", m).withColumn("period", F.lit(m["period"])) for m in sorted(months, key=lambda m: m["period"])]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def artifact_index(spark: SparkSession, folder: str, contract: dict[str, tuple[str, ...]]) -> DataFrame:
+    """What a contract (artifact and its columns) asks of a folder: artifact, n_files, byte_size, missing and status.
+
+    Statuses: ok, incomplete (columns are missing), missing.  Files are listed, not read.
+    """
+    rows = []
+    for name, columns in contract.items():
+        there = exists(spark, f"{folder}/{name}.parquet")
+        missing = [c for c in columns if c not in spark.read.parquet(f"{folder}/{name}.parquet").columns] if there else list(columns)
+        rows.append((name, ",".join(missing), "missing" if not there else "incomplete" if missing else "ok"))
+    asked = spark.createDataFrame(rows, "artifact string, missing string, status string")
+    sizes = files(spark, folder, hashes=False).groupBy(F.regexp_extract("path", r"^([^/]+)\.parquet/", 1).alias("artifact")).agg(F.count(F.lit(1)).alias("n_files"), F.sum("byte_size").alias("byte_size"))
+    return asked.join(sizes, "artifact", "left").fillna(0, ["n_files", "byte_size"])
+
+
 def run_catalog(spark: SparkSession, pattern: str) -> DataFrame:
     """Runs of all manifests that match: the newest first; run ids that occur twice and manifests without one are left out."""
     m = spark.read.option("wholetext", "true").text(pattern)

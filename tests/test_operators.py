@@ -86,7 +86,7 @@ def test_small_text_functions(spark):
     assert value(spark, T.parsed_list(F.col("t")), t='["a, b"]') == ["a, b"]
     assert value(spark, T.parsed_list(F.col("t")), t="a, b ,") == ["a", "b"]
     assert value(spark, T.strip_html(F.col("t")), t="<p>a &amp; b</p><script>x<y</script> <b> c </b>") == "a & bc"
-    assert value(spark, T.month_number(F.col("t")), t="March") == 3 and value(spark, T.month_number(F.col("t")), t="x") == 99
+    assert value(spark, T.month_number(F.col("t")), t="March") == 3 and value(spark, T.month_number(F.lit(None).cast("string")), t="x") is None
     assert value(spark, T.day_of(F.col("t")), t="(2017, 3, 9, 12)") == 9 and value(spark, T.day_of(F.col("t")), t="2017-03-08T10:00:00Z") == 8
     assert value(spark, T.distinct_keywords(F.col("t")), t=[" A", "a", "b ", ""]) == ["A", "b"]
     assert value(spark, T.legacy_multi_theme(F.col("t")), t="Trade News.Local Food") is True
@@ -102,7 +102,7 @@ def test_vectors(spark):
 def test_two_cliques_are_two_communities(spark):
     rows = [(a, b, 1.0) for g in (range(6), range(10, 16)) for a in g for b in g if a != b] + [(0, 10, 1.0)]
     e = spark.createDataFrame(rows, "source int, target int, weight double")
-    m = cl.modularity_communities(e, rounds=8)
+    m = cl.modularity_communities(e)
     groups = {}
     for r in m.collect():
         groups.setdefault(r.community_number, set()).add(r.node)
@@ -110,6 +110,125 @@ def test_two_cliques_are_two_communities(spark):
     assert cl.modularity(e, m).first()[0] > 0.45
 
 
+def best_by_single_moves(edges, start):
+    """Directed modularity of the partition that single moves reach, one node at a time, in plain Python."""
+    m = sum(w for _, _, w in edges)
+    out, into = {}, {}
+    for a, b, w in edges:
+        out[a], into[b] = out.get(a, 0) + w, into.get(b, 0) + w
+
+    def score(label):
+        inside = sum(w for a, b, w in edges if label[a] == label[b])
+        k = set(label.values())
+        return inside / m - sum(sum(out.get(n, 0) for n in label if label[n] == c) * sum(into.get(n, 0) for n in label if label[n] == c) for c in k) / m**2
+
+    label, moved = dict(start), True
+    while moved:
+        moved = False
+        for n in sorted(label):
+            options = {label[n]} | {label[b] for a, b, _ in edges if a == n} | {label[a] for a, b, _ in edges if b == n}
+            best = max(sorted(options), key=lambda c: round(score(label | {n: c}), 9))
+            if score(label | {n: best}) > score(label) + 1e-9:
+                label[n], moved = best, True
+    return score(label)
+
+
+def test_communities_against_plain_moves(spark):
+    """No single move improves what is found, and it is about as good as moving nodes one at a time."""
+    import random
+
+    for seed in (1, 2):
+        rng = random.Random(seed)
+        pairs = {(a, b) for a in range(30) for b in range(30) if a != b and rng.random() < (0.5 if a // 6 == b // 6 else 0.04)}
+        edges = [(a, b, float(rng.randrange(1, 4))) for a, b in sorted(pairs)]
+        e = spark.createDataFrame(edges, "source int, target int, weight double")
+        found = cl.modularity_communities(e)
+        label = {r.node: r.community_number for r in found.collect()}
+        got = cl.modularity(e, found).first()[0]
+        assert got > best_by_single_moves(edges, {n: n for n in label}) - 0.03
+        assert sorted(set(label.values())) == list(range(len(set(label.values()))))
+
+
+def test_numbers_in_a_total_order(spark):
+    from kinweave.operators.ordering import numbered
+
+    rows = [(i * 37 % 101, i % 3) for i in range(100)]
+    found = numbered(spark.createDataFrame(rows, "a int, b int").repartition(5), F.desc("b"), "a", name="place").collect()
+    want = {r: k for k, r in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])))}
+    assert {(r.a, r.b): r.place for r in found} == want and numbered(spark.createDataFrame([], "a int"), "a").count() == 0
+
+
+def test_layout_brings_neighbours_together(spark):
+    rows = [(a, b, 1.0) for g in (range(6), range(10, 16)) for a in g for b in g if a < b] + [(0, 10, 0.1)]
+    at = {r.node: (r.x, r.y) for r in net.force_layout(spark.createDataFrame(rows, "source int, target int, weight double")).collect()}
+    far = lambda a, b: math.dist(at[a], at[b])
+    near = np.mean([far(a, b) for a, b, w in rows if w == 1.0])
+    apart = np.mean([far(a, b) for a in range(6) for b in range(10, 16)])
+    assert len(at) == 12 and all(math.isfinite(c) for p in at.values() for c in p) and near < apart
+
+
+def test_phrases_and_coherence(spark):
+    from kinweave.operators import topics
+
+    rng = np.random.default_rng(3)
+    other = lambda n: [f"w{k}" for k in rng.integers(0, 4000, n)]
+    rows = [(i, [*other(10), "old", "stone", "bridge", *other(10)]) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id int, words array<string>")
+    more = topics.with_phrases(docs)
+    found = {r.doc_id: r.words for r in more.collect()}
+    assert more.columns == docs.columns and all(found[i] == [*w, "old_stone", "stone_bridge", "old_stone_bridge"] for i, w in rows)
+    # windows counted one by one
+    words, window = [["a", "b", "c", "a"], ["b"] * 3, [], ["c", "d", "a", "b", "d", "c"]], 3
+    seen = [set(w[i : i + window]) for w in words if w for i in range(max(1, len(w) - window + 1))]
+    described = [(0, "a"), (0, "b"), (1, "c"), (1, "d"), (1, "x")]
+    got = {r.topic: r.coherence for r in topics.coherence(spark.createDataFrame([(w,) for w in words], "words array<string>"), spark.createDataFrame(described, "topic int, word string"), window=window).collect()}
+    for topic in (0, 1):
+        own = sorted(w for t, w in described if t == topic)
+        p = lambda *ws: sum(set(ws) <= s for s in seen) / len(seen)
+        v = np.array([[np.log((p(a, b) + 1e-12) / (p(a) * p(b) + 1e-12)) / -np.log(p(a, b) + 1e-12) for b in own] for a in own])
+        s = v.sum(axis=0)
+        assert abs(got[topic] - np.mean(v @ s / (np.linalg.norm(v, axis=1) * np.linalg.norm(s) + 1e-12))) < 1e-6
+
+
+def test_bundles_tell_what_has_changed(spark, tmp_path):
+    path = str(tmp_path / "topics")
+    docs = spark.createDataFrame([(1, ["a", "b, c"]), (2, []), (3, None)], "id int, words array<string>")
+    sinks.topic_inputs({"documents": docs}, path, {"month": 3})
+    assert sorted(sources.topic_inputs(spark, path, {"month": 3})["documents"].collect()) == sorted(docs.collect())
+    with pytest.raises(ValueError, match="other settings"):
+        sources.topic_inputs(spark, path, {"month": 4})
+    sinks.table(sinks.with_json_lists(docs.limit(1)), path + "/documents.parquet")
+    with pytest.raises(ValueError, match="not what the manifest says"):
+        sources.topic_inputs(spark, path, {"month": 3})
+    themes = str(tmp_path / "themes")
+    for period in ("2017-03", "2017-04", "2017-03"):
+        sinks.theme_inputs(docs, themes, period)
+    assert sources.theme_inputs(spark, themes).groupBy("period").count().orderBy("period").collect() == [("2017-03", 3), ("2017-04", 3)]
+    calls = []
+    build = lambda: calls.append(1) or docs
+    for _ in range(2):
+        assert sinks.cached(spark, str(tmp_path / "cache"), {"a": 1}, build).count() == 3
+    assert len(calls) == 1
+    bad = spark.range(3).select(F.raise_error(F.lit("no such row")).cast("int").alias("x"))
+    with pytest.raises(Exception, match="no such row"):
+        sinks.bundle({"bad": bad}, str(tmp_path / "run"), "r2", "2024-01-01")
+    assert '"status": "failed"' in spark.read.text(str(tmp_path / "run" / "manifest")).first()[0]
+
+
+def test_first_entries_of_a_map_cell(spark):
+    got = value(spark, T.first_entries(F.col("t")), t='{"a": ["x", "y"], "b\\"c": [], "a": ["z"]}')
+    assert [(r.key, r.words) for r in got] == [("a", ["x", "y"]), ('b\\"c', [])]
+
+
+def test_one_to_one_joins_refuse_repeats(spark):
+    from kinweave.operators import published as pub
+
+    a, b = spark.createDataFrame([(1, 5), (2, 6)], "k int, x int"), spark.createDataFrame([(1, 7)], "k int, y int")
+    assert sorted(map(tuple, pub.one_to_one(a, b, "k").collect())) == [(1, 5, 7), (2, 6, None)]
+    with pytest.raises(Exception, match="twice"):
+        pub.one_to_one(a, b.union(b), "k").collect()
+
+
 def _blobs(rng, n=6):
     x = np.concatenate([c + rng.normal(0, 0.01, (n, 8)) for c in np.eye(8)[:3]])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -154,7 +273,7 @@ def test_sources_and_sinks(spark, tmp_path):
     with pytest.raises(ValueError, match="not a Parquet name"):
         sinks.table(spark.range(1), str(tmp_path / "x.csv"))
     spark.range(3).write.parquet(str(tmp_path / "march_2017.parquet"))
-    month = sources.monthly(spark, [str(tmp_path / "march_2017.parquet")], ("words",)).first()
+    month = sources.monthly(spark, str(tmp_path / "*_2017.parquet"), ("words",)).first()
     assert (month.month, month.year, month.words) == ("march", 2017, [])
     manifest = sinks.bundle({"n": spark.range(5)}, str(tmp_path / "run"), "r1", "2024-01-01")
     assert manifest.first().n_rows == 5
