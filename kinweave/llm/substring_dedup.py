@@ -18,6 +18,7 @@ through and changes no result.  Every sentence that a non-first occurrence cover
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,8 @@ SENTENCES, WORDS = 3, 20
 LONG, CUT = 24, 8
 #: The most bits of the filter, and its hash functions.
 BITS, PROBES = 1 << 28, 2
+#: Words of 64 bits that come to the driver as one record.
+_PACKED = 4096
 
 
 def _codes(signs: str) -> np.ndarray:
@@ -156,10 +159,17 @@ def _filter(repeated: DataFrame, most: int) -> np.ndarray:
         at = np.concatenate(_positions(batch.column(0).to_numpy().view(np.uint64), bits))
         return {"word": at >> 6, "mask": np.left_shift(np.uint64(1), (at & 63).astype(np.uint64)).view(np.int64)}
 
-    words = map_arrow(repeated, place, "word bigint, mask bigint").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()  # bits / 64 rows at most
-    out = np.zeros(bits >> 6, dtype=np.int64)
-    out[words.column(0).to_numpy()] = words.column(1).to_numpy()
-    return out
+    def pack(group: pd.DataFrame) -> pd.DataFrame:
+        block = np.zeros(_PACKED, dtype=np.int64)
+        block[group["word"].to_numpy() & (_PACKED - 1)] = group["mask"].to_numpy()
+        return pd.DataFrame({"block": group["word"].iloc[:1] // _PACKED, "bits": [block.tobytes()]})
+
+    words = map_arrow(repeated, place, "word bigint, mask bigint").groupBy("word").agg(F.bit_or("mask").alias("mask"))
+    packed = words.groupBy((F.col("word") / _PACKED).cast("bigint")).applyInPandas(pack, "block bigint, bits binary")
+    out = np.zeros(max(bits >> 6, _PACKED), dtype=np.int64)
+    for r in packed.toLocalIterator():  # bits / 8 bytes
+        out[r["block"] * _PACKED : (r["block"] + 1) * _PACKED] = np.frombuffer(r["bits"], np.int64)
+    return out[: bits >> 6]
 
 
 def repeated_spans(rows: DataFrame, tag: str, sentences: int = SENTENCES, words: int = WORDS, bits: int = BITS) -> DataFrame:
