@@ -15,19 +15,19 @@ from kinweave.operators.ordering import numbered
 from kinweave.scratch import discard, materialize
 
 LARGEST = 4000
-#: Rounds that may bring no progress before fewer nodes move at once; the gain in modularity that is worth a move.
-PATIENCE, LEAST_GAIN = 3, 1e-7
+#: Moves and contractions go on while modularity grows by so much; rounds that may bring less before a level ends.
+LEAST_GAIN, PATIENCE = 1e-4, 2
 
 
 # --- modularity
 
 
 def modularity_communities(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
-    """node and community_number by local moves on directed, weighted modularity, then contraction, until nothing moves.
+    """node and community_number by local moves on directed, weighted modularity, then contraction, until it stops growing.
 
     In each round every node computes the gain of joining each neighbouring community from sums over its edges, and the
     nodes whose turn it is (by a hash of node and round, so that neighbours don't swap for ever) move to the best one.
-    Once no node wants to move communities become nodes, and once contracted communities stay as they are all is done.
+    Once that brings nothing more communities become nodes, and once contracted communities stay as they are all is done.
     The state of each round is a written table.  Communities are named by their smallest member, then numbered.
     """
     current = materialize(edges.groupBy("source", "target").agg(F.sum("weight").alias("weight")), "edges")
@@ -49,11 +49,10 @@ def modularity_communities(edges: DataFrame, resolution: float = 1.0) -> DataFra
 
 
 def _move_all(edges: DataFrame, resolution: float) -> DataFrame:
-    """node and label once no node wants to move.
+    """node and label once no node wants to move, or modularity has not grown by LEAST_GAIN in PATIENCE rounds.
 
-    Nodes that move together may each be right and both be wrong.  Whenever the nodes that want to move don't get fewer
-    for ``PATIENCE`` rounds a smaller share of them has its turn, which comes to one by one moves in the end; modularity
-    grows with each of those, so they end.
+    Nodes that move together may each be right and both be wrong, so modularity can fall in a round: the labels of the
+    round with the highest are what is given back.
     """
     total = edges.agg(F.sum("weight").alias("m"))
     both = edges.select(F.col("source").alias("node"), F.col("target").alias("other"), "weight").unionByName(edges.select(F.col("target").alias("node"), F.col("source").alias("other"), "weight"))
@@ -61,7 +60,7 @@ def _move_all(edges: DataFrame, resolution: float) -> DataFrame:
     ends = edges.select(F.explode(F.array(F.struct(F.col("source").alias("node"), F.col("weight").alias("o"), F.lit(0.0).alias("i")), F.struct(F.col("target").alias("node"), F.lit(0.0).alias("o"), F.col("weight").alias("i")))).alias("x"))
     degree = ends.groupBy(F.col("x.node").alias("node")).agg(F.sum("x.o").alias("out_w"), F.sum("x.i").alias("in_w"))
     state = materialize(degree.withColumn("label", F.col("node")), "state")
-    share, fewest, stalled, r = 2, None, 0, 0
+    best_state, highest, stalled, r = state, None, 0, 0
     while True:
         sums = state.groupBy("label").agg(F.sum("out_w").alias("com_out"), F.sum("in_w").alias("com_in"))
         own = state.select("node", F.col("label").alias("own"), "out_w", "in_w")
@@ -73,22 +72,21 @@ def _move_all(edges: DataFrame, resolution: float) -> DataFrame:
         rest_out = F.col("com_out") - F.when(mine, F.col("out_w")).otherwise(0.0)
         gain = F.col("w") / F.col("m") - F.lit(resolution) * (F.col("out_w") * rest_in + F.col("in_w") * rest_out) / (F.col("m") * F.col("m"))
         scored = joined.withColumn("gain", F.round(gain, 12))
-        best = scored.groupBy("node").agg(F.min_by("label", F.struct(-F.col("gain"), F.col("label"))).alias("best"), F.max("gain").alias("top"), F.max(F.when(mine, F.col("gain"))).alias("stay"))
-        wants = F.col("top") > F.col("stay") + F.lit(LEAST_GAIN)
-        turn = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(share)) == 0
-        moved = state.join(best, "node").select("node", "out_w", "in_w", F.when(turn & wants, F.col("best")).otherwise(F.col("label")).alias("label"), wants.alias("wants"))
-        before, moved = state, materialize(moved, "state")
-        state = moved.drop("wants")
-        discard(before if r == 0 else held)
-        held, r = moved, r + 1
-        n = moved.where("wants").count()
-        if n == 0:
+        # what a node adds to modularity as things are: half of its links inside, and its part in its community's squares
+        part = F.when(mine, F.col("w") / F.col("m") / 2 - F.lit(resolution) * F.col("out_w") * F.col("com_in") / (F.col("m") * F.col("m")))
+        best = scored.groupBy("node").agg(F.min_by("label", F.struct(-F.col("gain"), F.col("label"))).alias("best"), F.max("gain").alias("top"), F.max(F.when(mine, F.col("gain"))).alias("stay"), F.max(part).alias("part"))
+        wants = F.col("top") > F.col("stay")
+        turn = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0
+        moved = state.join(best, "node").select("node", "out_w", "in_w", F.when(turn & wants, F.col("best")).otherwise(F.col("label")).alias("label"), wants.alias("wants"), "part")
+        moved, r = materialize(moved, "state"), r + 1
+        now = moved.agg(F.sum("part").alias("q"), F.count_if("wants").alias("n")).first()
+        stalled = 0 if highest is None or now["q"] > highest + LEAST_GAIN else stalled + 1
+        if highest is None or now["q"] >= highest:
+            highest, best_state = now["q"], state
+        if now["n"] == 0 or stalled >= PATIENCE:
             discard(links)
-            return state.select("node", "label")
-        stalled = 0 if fewest is None or n < fewest else stalled + 1
-        fewest = n if fewest is None else min(n, fewest)
-        if stalled >= PATIENCE:
-            share, stalled = share * 2, 0
+            return best_state.select("node", "label")
+        state = moved.drop("wants", "part")
 
 
 def modularity(edges: DataFrame, membership: DataFrame, resolution: float = 1.0) -> DataFrame:
