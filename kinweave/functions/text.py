@@ -36,8 +36,9 @@ def clean(text: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
     Line breaks and tabs are deleted like other signs, without leaving a blank.
     """
     x = F.lower(text)
+    # fixed values: what is cleaned away, in this order
     for pattern, by in (
-        (r"@\S+", " "), (r"https?://[A-Za-z0-9./]+", " "), (r"https?:\S+", " "), ("#", " "), (r"www\S+", " "), (r"[/(){}\[\]|@,;.]", " "),
+        (r"@[^ ]+", " "), (r"https?://[A-Za-z0-9./]+", " "), (r"https?:\S+", " "), ("#", " "), (r"www\S+", " "), (r"[/(){}\[\]|@,;.]", " "),
         (r"(?U)\b(?:(?:ah)+a?|(?:ha)+|(?:ja)+)\b", " "), ("[^a-z A-Z]", ""),
     ):
         x = F.regexp_replace(x, pattern, by)

@@ -9,7 +9,8 @@ from kinweave.functions import text as T
 from kinweave.registry import query, table
 
 STOP = "[" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "]"
-_STEPS = (("@\\S+", " "), ("https?://[A-Za-z0-9./]+", " "), ("https?:\\S+", " "), ("#", " "), ("www\\S+", " "), ("[/(){}\\[\\]|@,;.]", " "), ("[À-ÖØ-öø-ɏ]", "_"), ("\\b(?:(?:ah)+a?|(?:ha)+|(?:ja)+)\\b", " "), ("[^a-z A-Z]", ""))
+#: The steps of ``functions.text.clean`` as SQL writes them.
+_STEPS = (("@[^ ]+", " "), ("https?://[A-Za-z0-9./]+", " "), ("https?:\\S+", " "), ("#", " "), ("www\\S+", " "), ("[/(){}\\[\\]|@,;.]", " "), ("[À-ÖØ-öø-ɏ]", "_"), ("\\b(?:(?:ah)+a?|(?:ha)+|(?:ja)+)\\b", " "), ("[^a-z A-Z]", ""))
 
 
 def _clean_sql(column: str) -> str:
