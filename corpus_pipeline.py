@@ -1,7 +1,8 @@
 """The corpus pipeline: from raw documents to encoded, unique, uncontaminated ones.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-stage's documents.  All stages but the last return the columns of ``documents``.
+stage's documents.  All stages but the last return the columns of ``documents``; columns beyond those are kept, whatever
+their names.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -13,31 +14,46 @@ from kinweave.llm import bpe, common, decontam, exact_dedup, lang_id, queries, s
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language that can be told (no text, or no letter in it) go."""
+    """Documents without a language that can be told (no text, or no letter in it) go.
+
+    So null and empty texts go; a null id or language, repeated rows and very long texts make no difference.
+    """
     common.small_batches(spark)
     return lang_id.keep_known(docs, lang_id.fit(docs))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays."""
+    """One row of each group of equal texts stays: the most code points, then the smallest id (null last), then any one.
+
+    Null counts as the empty text.  Rows are told apart even where ids repeat.
+    """
     return exact_dedup.drop_exact(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One row of each group of near copies stays: the smallest id (null last), then any one.
+
+    Null, empty and blank texts are near copies of each other.  Rows are told apart even where ids repeat.
+    """
     common.small_batches(spark)
     return simhash.drop_near(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go.
+
+    Null and empty texts hold none; null, empty and wordless items are held by none.  Each row is judged on its own.
+    """
     common.small_batches(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontam.drop_leaks(docs, decontam.fit(docs, benchmark))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are left, encoded: token counts and digests of ids and of the decoded text."""
+    """The documents that are left, encoded: doc_id, token counts and digests of ids and of the decoded text.
+
+    One row per row, null ids and repeated rows included; a null text has no tokens.
+    """
     common.small_batches(spark)
     return bpe.encode_decode(docs, queries.vocabulary(), want=("ids_sha256", "decoded_sha256"))
 
