@@ -168,25 +168,41 @@ def density_clusters(rows: DataFrame, group: str, key: str, vector: str, least:
     return rows.select(group, key, vector).groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {key} {kinds[key]}, cluster int")
 
 
-def complete_linkage(x: np.ndarray, cut: float = 0.35) -> np.ndarray:
-    """Clusters of unit vectors in which any two have cosine distance of ``cut`` at most, merged closest first."""
+def linkage(x: np.ndarray, cut: float = 0.35, average: bool = False) -> np.ndarray:
+    """Clusters of unit vectors, merged closest first while their cosine distance is ``cut`` at most.
+
+    The distance of two clusters is the largest between their members (complete linkage), or the mean of all (average).
+    """
     n = len(x)
     d = 1 - x @ x.T
     np.fill_diagonal(d, np.inf)
-    label = np.arange(n)
+    label, size = np.arange(n), np.ones(n)
     while n > 1:
         i, j = divmod(int(np.argmin(d)), len(d))
         if not d[i, j] <= cut:
             break
         i, j = min(i, j), max(i, j)
-        far = np.maximum(d[i], d[j])
+        far = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j]) if average else np.maximum(d[i], d[j])
         d[i], d[:, i] = far, far
         d[i, i] = np.inf
         d[j], d[:, j] = np.inf, np.inf
         label[label == j] = i
+        size[i] += size[j]
     return np.unique(label, return_inverse=True)[1]
 
 
+def complete_linkage(x: np.ndarray, cut: float = 0.35) -> np.ndarray:
+    """Clusters in which any two have cosine distance of ``cut`` at most."""
+    return linkage(x, cut)
+
+
+def singletons_as_noise(labels: np.ndarray) -> np.ndarray:
+    """Clusters of one become noise (-1); the others are numbered anew in their order."""
+    out = np.where(np.bincount(labels)[labels] > 1, labels, -1)
+    kept = np.unique(out[out >= 0])
+    return np.where(out >= 0, np.searchsorted(kept, out), -1)
+
+
 def linked_families(rows: DataFrame, group: str, key: str, vector: str, cut: float = 0.35) -> DataFrame:
     """group, key and family by complete linkage within each group, numbered by their smallest key."""
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
@@ -201,14 +217,15 @@ def linked_families(rows: DataFrame, group: str, key: str, vector: str, cut: flo
 def sweep(rows: DataFrame, variants: DataFrame, group: str, key: str, vector: str) -> DataFrame:
     """Every variant of a parameter table over every group, each in a task of its own: clusters, noise and largest share.
 
-    ``variants`` has variant, method (density or linkage), least, samples and cut; it is a table of settings.
+    ``variants`` has variant, method (density, complete or average), least, samples and cut; it is a table of settings.
+    Clusters of one that linkage leaves count as noise.
     """
     kind = rows.schema[group].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, x = _stack(pdf, key, vector)
         v = pdf.iloc[0]
-        labels = leaf_clusters(x, int(v["least"]), int(v["samples"])) if v["method"] == "density" else complete_linkage(x, float(v["cut"]))
+        labels = leaf_clusters(x, int(v["least"]), int(v["samples"])) if v["method"] == "density" else singletons_as_noise(linkage(x, float(v["cut"]), v["method"] == "average"))
         sizes = np.bincount(labels[labels >= 0]) if (labels >= 0).any() else np.zeros(0, int)
         found = {"variant": v["variant"], group: v[group], "observations": len(x), "clusters": len(sizes), "noise": int((labels < 0).sum()), "largest_share": round(float(sizes.max(initial=0)) / len(x), 6)}
         return pd.DataFrame([found])

@@ -49,7 +49,7 @@ def density_sweep(spark, sf_dir):
 
 @query("m11_linkage_sweep")
 def linkage_sweep(spark, sf_dir):
-    rows = ", ".join(f"('similarity {1 - c:.2f}', 'linkage', 0, 0, {c}D)" for c in (0.25, 0.3, 0.35, 0.4, 0.45))
+    rows = ", ".join(f"('{m}, similarity {1 - c:.2f}', '{m}', 0, 0, {c}D)" for m in ("complete", "average") for c in (0.25, 0.3, 0.35, 0.4, 0.45))
     return _sweep(spark, sf_dir, rows)
 
 

@@ -251,6 +251,23 @@ def test_complete_linkage_builds_no_chains():
     assert len(set(cl.complete_linkage(_blobs(np.random.default_rng(2))))) == 3
 
 
+def test_average_linkage_like_plain_means():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(14, 3))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for cut in (0.1, 0.3, 0.6):
+        groups = [[i] for i in range(len(x))]
+        mean = lambda a, b: np.mean([1 - x[i] @ x[j] for i in a for j in b])
+        while len(groups) > 1:
+            d, i, j = min((mean(a, b), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j)
+            if d > cut:
+                break
+            groups[i] += groups.pop(j)
+        labels = cl.linkage(x, cut, average=True)
+        assert sorted(sorted(np.flatnonzero(labels == k).tolist()) for k in set(labels)) == sorted(map(sorted, groups))
+    assert cl.singletons_as_noise(np.array([2, 0, 1, 2, 1])).tolist() == [1, -1, 0, 1, 0]
+
+
 def test_knee():
     assert cl.knee(np.arange(20, 0, -1.0)) == 1 and cl.knee(np.arange(5, 0, -1.0)) == 4
     assert cl.knee(np.concatenate([[100, 50, 20], np.linspace(3, 1, 60)])) in (2, 3, 4)
