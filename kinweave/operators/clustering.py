@@ -1,7 +1,8 @@
 """Community detection on DataFrames, and clustering of small groups of vectors inside tasks.
 
-Monthly themes are tens to hundreds of rows a period; ``density_clusters`` and ``linked_families`` take a period's rows
-in one group, and refuse groups over ``LARGEST`` rows, as their distance matrices grow with the square.
+Monthly themes are tens to hundreds of rows a period.  Groups of up to ``LARGEST`` rows are clustered in a task each;
+``density_clusters`` takes larger ones by blocks, ``linked_families`` and ``sweep`` refuse them, as their distance
+matrices grow with the square.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.operators.evolution import components
 from kinweave.operators.ordering import numbered
 from kinweave.scratch import discard, materialize
 
@@ -107,8 +109,11 @@ def _stack(pdf: pd.DataFrame, key: str, vector: str) -> tuple[pd.DataFrame, np.n
     if len(pdf) > LARGEST:
         raise ValueError(f"a group of {len(pdf)} vectors; at most {LARGEST} are clustered at once")
     pdf = pdf.sort_values(key, kind="stable").reset_index(drop=True)
-    x = np.stack(pdf[vector].to_numpy()).astype(np.float64)
-    return pdf, x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    return pdf, _unit(np.stack(pdf[vector].to_numpy()).astype(np.float64))
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
 def leaf_clusters(x: np.ndarray, least: int = 2, samples: int = 3) -> np.ndarray:
@@ -121,7 +126,7 @@ def leaf_clusters(x: np.ndarray, least: int = 2, samples: int = 3) -> np.ndarray
     n = len(x)
     if n < max(least, 2) + 1:
         return np.full(n, -1)
-    d = np.sqrt(np.maximum(0, 2 - 2 * (x @ x.T)))
+    d = _distances(x, x)
     np.fill_diagonal(d, 0)
     core = np.sort(d, axis=1)[:, min(samples, n) - 1]
     d = np.maximum(d, np.maximum(core[:, None], core[None, :]))
@@ -135,37 +140,149 @@ def leaf_clusters(x: np.ndarray, least: int = 2, samples: int = 3) -> np.ndarray
         inside[j] = True
         closer = d[j] < near
         near[closer], via[closer] = d[j][closer], j
-    tree.sort()
-    # merges from the shortest edge on; members of each part, and whether it already holds a split
-    part = {i: i for i in range(n)}
-    members: dict[int, list[int]] = {i: [i] for i in range(n)}
-    leaves: dict[int, list[list[int]]] = {i: [] for i in range(n)}
-    for _, a, b in tree:
-        a, b = part[a], part[b]
-        big_a, big_b = len(members[a]) >= least, len(members[b]) >= least
-        if big_a and big_b:
-            found = (leaves[a] or [list(members[a])]) + (leaves[b] or [list(members[b])])
+    return leaves_of_tree(n, tree, least)
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0, 2 - 2 * (x @ y.T)))
+
+
+def leaves_of_tree(n: int, tree: list[tuple[float, int, int]], least: int) -> np.ndarray:
+    """Leaf clusters of a spanning tree (distance, end, end): merges from the shortest edge on."""
+    up, size = list(range(n)), [1] * n
+    leaves: list[list[int]] = [[] for _ in range(n)]  # of each part, a member of each leaf below it
+    first, nxt, last = list(range(n)), [-1] * n, list(range(n))  # members of each part as a chain
+    closed: dict[int, list[int]] = {}
+
+    def find(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    def members(part: int) -> list[int]:
+        out, i = [], first[part]
+        while i != -1:
+            out.append(i)
+            i = nxt[i]
+        return out
+
+    for _, a, b in sorted(tree):
+        a, b = find(a), find(b)
+        if size[a] < size[b]:
+            a, b = b, a
+        if size[a] >= least and size[b] >= least:
+            found = []
+            for part in (a, b):
+                if not leaves[part]:
+                    closed[part] = members(part)
+                    leaves[part] = [part]
+                found += leaves[part]
         else:
             found = leaves[a] or leaves[b]
-        members[a] += members.pop(b)
-        leaves[a], _ = found, leaves.pop(b)
-        for i in members[a]:
-            part[i] = a
+        up[b], size[a] = a, size[a] + size[b]
+        nxt[last[a]], last[a] = first[b], last[b]
+        leaves[a] = found
     labels = np.full(n, -1)
-    for k, group in enumerate(sorted(leaves[part[0]], key=min)):
+    for k, group in enumerate(sorted((closed[leaf] for leaf in leaves[find(0)]), key=min)):
         labels[group] = k
     return labels
 
 
-def density_clusters(rows: DataFrame, group: str, key: str, vector: str, least: int = 2, samples: int = 3) -> DataFrame:
-    """group, key and cluster of every row, clustered within its group; -1 is noise."""
+def density_clusters(rows: DataFrame, group: str, key: str, vector: str, least: int = 2, samples: int = 3, largest: int = LARGEST) -> DataFrame:
+    """group, key and cluster of every row, clustered within its group; -1 is noise.
+
+    Groups of up to ``largest`` rows are a task each.  Larger ones are dealt out in blocks; pairs of blocks meet in tasks
+    that give each row's nearest distances and, in rounds, each part's shortest edge to another part, until one tree is
+    left, and only the tree, an edge for each row, is one task's.  Keys are unique within a group.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = f"{group} {kinds[group]}, {key} {kinds[key]}, cluster int"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, x = _stack(pdf, key, vector)
         return pdf[[group, key]].assign(cluster=leaf_clusters(x, least, samples).astype("int32"))
 
-    return rows.select(group, key, vector).groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {key} {kinds[key]}, cluster int")
+    rows = rows.select(group, key, vector)
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
+    large = materialize(sizes.where(F.col("__n") > largest), "large")
+    if large.isEmpty():
+        return rows.groupBy(group).applyInPandas(run, schema)
+    small = rows.join(large, group, "left_anti").groupBy(group).applyInPandas(run, schema)
+    tree = _spanning_tree(rows.join(large, group), group, key, vector, samples, largest)
+
+    def condense(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys = np.unique(np.concatenate([pdf["a"].to_numpy(), pdf["b"].to_numpy()]))
+        ends = [np.searchsorted(keys, pdf[c].to_numpy()) for c in ("a", "b")]
+        labels = leaves_of_tree(len(keys), list(zip(pdf["distance"].tolist(), ends[0].tolist(), ends[1].tolist(), strict=True)), least)
+        return pd.DataFrame({group: pdf[group].iloc[0], key: keys, "cluster": labels.astype("int32")})
+
+    return small.unionByName(tree.groupBy(group).applyInPandas(condense, schema))
+
+
+def _spanning_tree(rows: DataFrame, group: str, key: str, vector: str, samples: int, block: int) -> DataFrame:
+    """group, a, b and distance of the minimum spanning tree of each group under mutual distances, by Boruvka's rounds.
+
+    ``rows`` has ``__n``, the size of the group.  Ties go to the smaller keys, so that the tree is one and the same.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    n = F.ceil(F.col("__n") / block).cast("int")
+    dealt = rows.withColumn("__b", F.pmod(F.xxhash64(key), n).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), n - 1))
+    paired = dealt.select(group, F.col(key).alias("k"), F.col(vector).alias("v"), F.col("__b").alias("own"), other.alias("o"))
+    paired = materialize(paired.select(group, "k", "v", "own", F.least("own", "o").alias("lo"), F.greatest("own", "o").alias("hi")), "blocks")
+
+    def sides(pdf: pd.DataFrame):
+        pdf = pdf.sort_values("k", kind="stable")
+        a, b = pdf[pdf["own"] == pdf["lo"]], pdf[pdf["own"] == pdf["hi"]]
+        unit = lambda p: _unit(np.stack(p["v"].to_numpy()).astype(np.float64)) if len(p) else np.zeros((0, 1))
+        return a, b, (_distances(unit(a), unit(b)) if len(a) and len(b) else np.zeros((len(a), len(b))))
+
+    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b, d = sides(pdf)
+        within = pdf["lo"].iloc[0] == pdf["hi"].iloc[0]
+        if within:
+            np.fill_diagonal(d, 0)
+        parts = [(a, d)] if within else [(a, d), (b, d.T)]
+        out = [pd.DataFrame({group: pdf[group].iloc[0], "k": np.repeat(p["k"].to_numpy(), min(samples, m.shape[1])), "d": np.sort(m, axis=1)[:, :samples].ravel()}) for p, m in parts]
+        return pd.concat(out)
+
+    close = paired.groupBy(group, "lo", "hi").applyInPandas(nearest, f"{group} {kinds[group]}, k {kinds[key]}, d double")
+    ordered = F.array_sort(F.collect_list("d"))  # ``samples`` for each block at most
+    core = close.groupBy(group, "k").agg(F.element_at(ordered, F.least(F.lit(samples), F.size(ordered))).alias("core"))
+    state = materialize(core.withColumn("part", F.col("k")), "parts")
+    tree = None
+
+    def shortest(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b, d = sides(pdf)
+        d = np.maximum(d, np.maximum(a["core"].to_numpy()[:, None], b["core"].to_numpy()[None, :]))
+        d[a["part"].to_numpy()[:, None] == b["part"].to_numpy()[None, :]] = np.inf
+        out = []
+        for p, q, m in ((a, b, d), (b, a, d.T)):
+            if m.size:
+                at = m.argmin(axis=1)  # the first of equal distances has the smaller key
+                found = pd.DataFrame({"part": p["part"].to_numpy(), "x": p["k"].to_numpy(), "y": q["k"].to_numpy()[at], "to": q["part"].to_numpy()[at], "d": m[np.arange(len(p)), at]})
+                found = found[np.isfinite(found["d"])]
+                found["a"], found["b"] = found[["x", "y"]].min(axis=1), found[["x", "y"]].max(axis=1)
+                out.append(found.sort_values(["d", "a", "b"]).groupby("part", as_index=False).first())
+        found = pd.concat(out) if out else pd.DataFrame({c: [] for c in ("part", "to", "a", "b", "d")})
+        return found.assign(**{group: pdf[group].iloc[0]})[[group, "part", "to", "a", "b", "d"]]
+
+    kind = kinds[key]
+    while True:
+        met = paired.join(state, [group, "k"]).groupBy(group, "lo", "hi").applyInPandas(shortest, f"{group} {kinds[group]}, part {kind}, to {kind}, a {kind}, b {kind}, d double")
+        best = materialize(met.groupBy(group, "part").agg(F.min(F.struct("d", "a", "b", "to")).alias("e")), "edges")
+        if best.isEmpty():
+            return tree
+        found = best.select(group, F.col("e.a").alias("a"), F.col("e.b").alias("b"), F.col("e.d").alias("distance")).distinct()
+        tree = found if tree is None else tree.unionByName(found)
+        name = lambda c: F.concat_ws("|", F.col(group).cast("string"), F.col(c).cast("string"))
+        links = best.select(name("part").alias("source_node"), F.concat_ws("|", F.col(group).cast("string"), F.col("e.to").cast("string")).alias("target_node"))
+        joined = components(links).select(F.col("node").alias("__part"), F.col("component").alias("__to"))
+        whole = state.withColumn("__part", name("part")).join(joined, "__part", "left")
+        merged = whole.groupBy(group, F.coalesce("__to", "__part").alias("__to")).agg(F.min("part").alias("part"))
+        after = whole.select(group, "k", "core", F.coalesce("__to", "__part").alias("__to")).join(merged, [group, "__to"]).select(group, "k", "core", "part")
+        state = materialize(after, "parts")
 
 
 def linkage(x: np.ndarray, cut: float = 0.35, average: bool = False) -> np.ndarray:

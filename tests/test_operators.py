@@ -245,6 +245,33 @@ def test_density_clusters():
     assert (cl.leaf_clusters(x[:2]) == -1).all()
 
 
+def test_large_groups_are_clustered_like_small_ones(spark):
+    """Without ties the clusters are the same; with the ties of mutual distances the tree's lengths are."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for g, n in (("a", 70), ("b", 12), ("c", 45)):
+        centres = rng.normal(size=(6, 5))
+        rows += [(g, i, (centres[i % 6] + rng.normal(0, 0.15, 5)).tolist()) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, k int, v array<double>")
+    clusters = lambda **kw: {(r.g, r.k): r.cluster for r in cl.density_clusters(df, "g", "k", "v", samples=1, **kw).collect()}
+    want = clusters()
+    assert len(set(want.values())) > 3 and clusters(largest=16) == want
+    tree = cl._spanning_tree(df.join(df.groupBy("g").agg(F.count(F.lit(1)).alias("__n")), "g"), "g", "k", "v", 3, 16).collect()
+    for g in "abc":
+        x = np.array([v for h, _, v in rows if h == g])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        d = np.sqrt(np.maximum(0, 2 - 2 * x @ x.T))
+        np.fill_diagonal(d, 0)
+        core = np.sort(d, axis=1)[:, 2]
+        edges = sorted((max(d[i, j], core[i], core[j]), i, j) for i in range(len(x)) for j in range(i))
+        part, lengths = list(range(len(x))), []
+        for w, i, j in edges:
+            if part[i] != part[j]:
+                part = [part[i] if q == part[j] else q for q in part]
+                lengths.append(w)
+        assert np.allclose(sorted(r.distance for r in tree if r.g == g), lengths)
+
+
 def test_complete_linkage_builds_no_chains():
     x = np.array([[math.cos(a), math.sin(a)] for a in (0, 0.7, 1.4)])
     assert len(set(cl.complete_linkage(x))) == 2
