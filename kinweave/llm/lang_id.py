@@ -146,16 +146,22 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     def grams(batch):
         texts = batch.column(1).to_pylist()
         lang = np.array([number[x] for x in batch.column(0).to_pylist()], dtype=np.int64)
-        hashes, at = ngrams(texts)
-        doc = np.repeat(np.arange(len(texts)), np.diff(at))
-        order = np.lexsort((hashes, doc))
-        h, d = hashes[order], doc[order]
-        new = np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])]) if len(h) else np.zeros(0, bool)
-        h, of = h[new], lang[d[new]]
         out_l, out_h, out_n = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for i in np.unique(of):
-            u, c = np.unique(h[of == i], return_counts=True)
-            out_l.append(np.full(len(u), i)), out_h.append(u), out_n.append(c)
+        begin, size = 0, 0
+        for k, t in enumerate(texts):
+            size += len(t)
+            if size <= CHARS and k + 1 < len(texts):
+                continue
+            hashes, at = ngrams(texts[begin : k + 1])
+            doc = np.repeat(np.arange(begin, k + 1), np.diff(at))
+            order = np.lexsort((hashes, doc))
+            h, d = hashes[order], doc[order]
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])]) if len(h) else np.zeros(0, bool)
+            h, of = h[new], lang[d[new]]
+            for i in np.unique(of):
+                u, c = np.unique(h[of == i], return_counts=True)
+                out_l.append(np.full(len(u), i)), out_h.append(u), out_n.append(c)
+            begin, size = k + 1, 0
         return {"lang": np.concatenate(out_l), "gram": np.concatenate(out_h).view(np.int64), "n": np.concatenate(out_n)}
 
     counted = map_arrow(picked, grams, "lang bigint, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -196,7 +202,8 @@ def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col
     """One row per row of ``docs``: doc_id, lang_pred, score (0 to 1).
 
     A null text and one without a letter are ``und`` with score 0; a text whose n-grams no filter holds is given the
-    most frequent language with score 0, as are texts too short for an n-gram.  With no labelled document all are
+    most frequent language with score 0, as are texts too short for an n-gram; of languages with equal counts the first in
+    order of their names is given.  With no labelled document all are
     ``und``.  Rows that repeat have equal results; columns other than the two named are not read; an empty table gives
     no rows.
     """
