@@ -135,14 +135,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words_of(texts: list[bytes], between: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """All words of a block of texts at once.
 
-    Words are maximal runs without [\\x20\\x09-\\x0D].  Gives the joined bytes, each word's start and end in them, and
+    Words are maximal runs without bytes that are true in ``between`` ([\\x20\\x09-\\x0D] if not given; a newline is one
+    always).  Gives the joined bytes, each word's start and end in them, and
     for each text the number of its first word (one entry more than texts).
     """
     joined = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
-    space = IS_SPACE[joined]
+    space = between[joined]
     inside = ~space
     edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     if inside.size and inside[0]:
