@@ -97,6 +97,8 @@ LOWER_AZ = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: 1 where a byte is one of [\x20\x09-\x0D].
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: True for bytes outside words of letters and digits, once A-Z are lower-cased: all of ASCII but those.
+NOT_ALNUM = np.array([b < 128 and not (48 <= b <= 57 or 97 <= b <= 122) for b in range(256)])
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _PINV = np.uint64(pow(int(_P), -1, 1 << 64))

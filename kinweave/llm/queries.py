@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontam, exact_dedup, lang_id, lm_score, quality, resample, simhash, substring_dedup, token_count, url_filter
+from . import bpe, common, decontam, exact_dedup, lang_id, lm_score, quality, resample, simhash, substring_dedup, token_count, toxicity, url_filter
 
 #: Rules of op3 (fixed values): host, path, verdict.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -74,6 +74,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    out = common.remainder(F.col("doc_id"), 4) == 2
+    model = toxicity.fit(docs, labels.where(~out))
+    found = toxicity.score_toxicity(docs, model)
+    return found.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "neighbours", "similarities")
+
+
 def op13_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -89,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_decontamination": op9_decontamination,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_toxicity": op11_toxicity,
     "op13_importance_resample": op13_importance_resample,
 }
 

@@ -20,15 +20,13 @@ from kinweave.operators.ordering import numbered
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, blocks, discard, map_arrow, materialize, utf8, words_of
+from .common import LOWER_AZ, NOT_ALNUM, blocks, discard, map_arrow, materialize, utf8, words_of
 
 BUCKETS, LONGEST, SEED = 10_000, 3, 42
 #: Words that a document needs to be drawn; the share that is drawn, in percent.
 LEAST_WORDS, PERCENT = 20, 5
 #: Lines with more than this share of all occurrences are broadcast: there are fewer than its inverse, whatever the corpus.
 HOT_SHARE = 1 / 4096
-#: True for bytes outside words, once A-Z are lower-cased: all of ASCII but digits and letters.
-BETWEEN = np.array([b < 128 and not (48 <= b <= 57 or 97 <= b <= 122) for b in range(256)])
 
 _CRC = np.array([zlib.crc32(bytes([b ^ 255])) ^ 0xFF000000 for b in range(256)], dtype=np.uint32)
 _TABLED = 64
@@ -129,7 +127,7 @@ class Block:
     """The words of some texts, and which n-grams lie inside a line and which cross from one into another."""
 
     def __init__(self, texts: list[bytes]) -> None:
-        self.joined, self.starts, self.ends, first = words_of([t.translate(LOWER_AZ) for t in texts], BETWEEN)
+        self.joined, self.starts, self.ends, first = words_of([t.translate(LOWER_AZ) for t in texts], NOT_ALNUM)
         self.words = np.diff(first)
         self.text = np.repeat(np.arange(len(texts)), self.words)
         self.line = np.cumsum(self.joined == 10)[self.starts] if len(self.starts) else np.zeros(0, dtype=np.int64)
