@@ -1,4 +1,4 @@
-"""Community detection on DataFrames, and clustering of small groups of vectors inside tasks.
+"""Clustering of vectors within groups.
 
 Monthly themes are tens to hundreds of rows a period.  Groups of up to ``LARGEST`` rows are clustered in a task each;
 ``density_clusters`` takes larger ones by blocks, ``linked_families`` and ``sweep`` refuse them, as their distance
@@ -13,93 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.operators.evolution import components
-from kinweave.operators.ordering import numbered
-from kinweave.scratch import discard, materialize
+from kinweave.scratch import materialize
 
 LARGEST = 4000
-#: Moves and contractions go on while modularity grows by so much; rounds that may bring less before a level ends.
-LEAST_GAIN, PATIENCE = 1e-4, 2
-
-
-# --- modularity
-
-
-def modularity_communities(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
-    """node and community_number by local moves on directed, weighted modularity, then contraction, until it stops growing.
-
-    In each round every node computes the gain of joining each neighbouring community from sums over its edges, and the
-    nodes whose turn it is (by a hash of node and round, so that neighbours don't swap for ever) move to the best one.
-    Once that brings nothing more communities become nodes, and once contracted communities stay as they are all is done.
-    The state of each round is a written table.  Communities are named by their smallest member, then numbered.
-    """
-    current = materialize(edges.groupBy("source", "target").agg(F.sum("weight").alias("weight")), "edges")
-    assigned = None
-    while True:
-        labels = _move_all(current, resolution)
-        merged = labels.where("node <> label").limit(1).count() > 0
-        if assigned is None:
-            assigned = labels
-        elif merged:
-            renamed = labels.select(F.col("node").alias("label"), F.col("label").alias("upper"))
-            assigned = materialize(assigned.join(renamed, "label").select("node", F.col("upper").alias("label")), "assigned")
-        if not merged:
-            break
-        a, b = labels.toDF("source", "ls"), labels.toDF("target", "lt")
-        current = materialize(current.join(a, "source").join(b, "target").groupBy(F.col("ls").alias("source"), F.col("lt").alias("target")).agg(F.sum("weight").alias("weight")), "edges")
-    first = assigned.groupBy("label").agg(F.min("node").alias("first"))
-    return assigned.join(numbered(first, "first", name="community_number"), "label").select("node", "community_number")
-
-
-def _move_all(edges: DataFrame, resolution: float) -> DataFrame:
-    """node and label once no node wants to move, or modularity has not grown by LEAST_GAIN in PATIENCE rounds.
-
-    Nodes that move together may each be right and both be wrong, so modularity can fall in a round: the labels of the
-    round with the highest are what is given back.
-    """
-    total = edges.agg(F.sum("weight").alias("m"))
-    both = edges.select(F.col("source").alias("node"), F.col("target").alias("other"), "weight").unionByName(edges.select(F.col("target").alias("node"), F.col("source").alias("other"), "weight"))
-    links = materialize(both.where("node <> other").groupBy("node", "other").agg(F.sum("weight").alias("weight")), "links")
-    ends = edges.select(F.explode(F.array(F.struct(F.col("source").alias("node"), F.col("weight").alias("o"), F.lit(0.0).alias("i")), F.struct(F.col("target").alias("node"), F.lit(0.0).alias("o"), F.col("weight").alias("i")))).alias("x"))
-    degree = ends.groupBy(F.col("x.node").alias("node")).agg(F.sum("x.o").alias("out_w"), F.sum("x.i").alias("in_w"))
-    state = materialize(degree.withColumn("label", F.col("node")), "state")
-    best_state, highest, stalled, r = state, None, 0, 0
-    while True:
-        sums = state.groupBy("label").agg(F.sum("out_w").alias("com_out"), F.sum("in_w").alias("com_in"))
-        own = state.select("node", F.col("label").alias("own"), "out_w", "in_w")
-        near = links.join(state.select(F.col("node").alias("other"), "label"), "other").select("node", "label", F.col("weight").alias("w"))
-        options = near.unionByName(state.select("node", "label", F.lit(0.0).alias("w"))).groupBy("node", "label").agg(F.sum("w").alias("w"))
-        joined = options.join(own, "node").join(sums, "label").crossJoin(F.broadcast(total))
-        mine = F.col("label") == F.col("own")
-        rest_in = F.col("com_in") - F.when(mine, F.col("in_w")).otherwise(0.0)
-        rest_out = F.col("com_out") - F.when(mine, F.col("out_w")).otherwise(0.0)
-        gain = F.col("w") / F.col("m") - F.lit(resolution) * (F.col("out_w") * rest_in + F.col("in_w") * rest_out) / (F.col("m") * F.col("m"))
-        scored = joined.withColumn("gain", F.round(gain, 12))
-        # what a node adds to modularity as things are: half of its links inside, and its part in its community's squares
-        part = F.when(mine, F.col("w") / F.col("m") / 2 - F.lit(resolution) * F.col("out_w") * F.col("com_in") / (F.col("m") * F.col("m")))
-        best = scored.groupBy("node").agg(F.min_by("label", F.struct(-F.col("gain"), F.col("label"))).alias("best"), F.max("gain").alias("top"), F.max(F.when(mine, F.col("gain"))).alias("stay"), F.max(part).alias("part"))
-        wants = F.col("top") > F.col("stay")
-        turn = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0
-        moved = state.join(best, "node").select("node", "out_w", "in_w", F.when(turn & wants, F.col("best")).otherwise(F.col("label")).alias("label"), wants.alias("wants"), "part")
-        moved, r = materialize(moved, "state"), r + 1
-        now = moved.agg(F.sum("part").alias("q"), F.count_if("wants").alias("n")).first()
-        stalled = 0 if highest is None or now["q"] > highest + LEAST_GAIN else stalled + 1
-        if highest is None or now["q"] >= highest:
-            highest, best_state = now["q"], state
-        if now["n"] == 0 or stalled >= PATIENCE:
-            discard(links)
-            return best_state.select("node", "label")
-        state = moved.drop("wants", "part")
-
-
-def modularity(edges: DataFrame, membership: DataFrame, resolution: float = 1.0) -> DataFrame:
-    """Directed modularity of a partition, one row."""
-    a = membership.select(F.col("node").alias("source"), F.col("community_number").alias("cs"))
-    b = membership.select(F.col("node").alias("target"), F.col("community_number").alias("ct"))
-    e = edges.join(a, "source").join(b, "target")
-    inside = e.agg(F.sum(F.when(F.col("cs") == F.col("ct"), F.col("weight")).otherwise(0.0)).alias("inside"), F.sum("weight").alias("m"))
-    k = e.select(F.explode(F.array(F.struct(F.col("cs").alias("c"), F.col("weight").alias("o"), F.lit(0.0).alias("i")), F.struct(F.col("ct").alias("c"), F.lit(0.0).alias("o"), F.col("weight").alias("i")))).alias("x"))
-    null = k.groupBy("x.c").agg(F.sum("x.o").alias("o"), F.sum("x.i").alias("i")).agg(F.sum(F.col("o") * F.col("i")).alias("oi"))
-    return inside.crossJoin(null).select((F.col("inside") / F.col("m") - resolution * F.col("oi") / (F.col("m") * F.col("m"))).alias("modularity"))
 
 
 # --- groups of vectors

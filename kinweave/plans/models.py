@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions import text as T
 from kinweave.operators import clustering as cl
+from kinweave.operators import modularity as mod
 from kinweave.operators import topics
 from kinweave.plans.network import kept
 from kinweave.registry import query, table
@@ -14,13 +15,13 @@ from kinweave.streaming import monthly_activity, windowed_activity
 
 @query("g02_label_communities")
 def communities(spark, sf_dir):
-    return cl.modularity_communities(kept(spark, sf_dir).select("source", "target", F.col("weighted_post").alias("weight")))
+    return mod.modularity_communities(kept(spark, sf_dir).select("source", "target", F.col("weighted_post").alias("weight")))
 
 
 @query("g02_modularity")
 def modularity(spark, sf_dir):
     e = kept(spark, sf_dir).select("source", "target", F.col("weighted_post").alias("weight"))
-    return cl.modularity(e, cl.modularity_communities(e))
+    return mod.modularity(e, mod.modularity_communities(e))
 
 
 @query("m05_density_clusters")
