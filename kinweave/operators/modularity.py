@@ -18,7 +18,7 @@ from kinweave.operators.ordering import numbered
 from kinweave.scratch import discard, materialize
 
 #: A level ends once all moves that are left would bring less than this by themselves, or PATIENCE rounds less together.
-LEAST_GAIN, PATIENCE = 5e-4, 4
+LEAST_GAIN, PATIENCE = 1e-3, 3
 #: Moves are worth making above this gain.
 EPSILON = 1e-10
 
