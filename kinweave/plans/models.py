@@ -61,14 +61,12 @@ def _words(spark, sf_dir):
 
 @query("m04_topics")
 def dominant_topics(spark, sf_dir):
-    _, model, counts = topics.fit(_words(spark, sf_dir))
-    return topics.dominant(model, counts, "doc_id")
+    return topics.dominant(topics.fit(_words(spark, sf_dir)))
 
 
 @query("m01_topic_keywords_to_knee")
 def topic_keywords(spark, sf_dir):
-    vectorizer, model, _ = topics.fit(_words(spark, sf_dir))
-    return cl.keep_to_knee(topics.keywords(vectorizer, model), "topic", "word", "weight")
+    return cl.keep_to_knee(topics.keywords(topics.fit(_words(spark, sf_dir))), "topic", "word", "weight")
 
 
 @query("t02_greedy_edges")

@@ -198,18 +198,17 @@ def bigram_topics(spark, sf_dir):
     """Topics over words and the phrases of two and of three words."""
     words = F.filter(F.split(T.clean(F.col("text")), " "), lambda w: F.length(w) > 2)
     d = topics.with_phrases(table(spark, sf_dir, "documents").select("doc_id", words.alias("words")))
-    _, model, counts = topics.fit(d)
-    return topics.dominant(model, counts, "doc_id")
+    return topics.dominant(topics.fit(d))
 
 
 @query("m03_topic_scores")
 def topic_scores(spark, sf_dir):
-    """The bound of the log likelihood a word, and the coherence of the topics' first words, one row."""
+    """The negative log likelihood a word, and the coherence of the topics' first words, one row."""
     words = F.filter(F.split(T.clean(F.col("text")), " "), lambda w: F.length(w) > 2)
     d = table(spark, sf_dir, "documents").select("doc_id", words.alias("words"))
-    vectorizer, model, counts = topics.fit(d)
-    coherent = topics.coherence(counts, topics.keywords(vectorizer, model, 20)).agg(F.avg("coherence").alias("coherence"))
-    return coherent.select(F.lit(model.logPerplexity(counts)).alias("log_perplexity"), "coherence", F.lit(model.vocabSize()).alias("vocabulary"))
+    model = topics.fit(d)
+    coherent = topics.coherence(d, topics.keywords(model, 20)).agg(F.avg("coherence").alias("coherence"))
+    return coherent.select(F.lit(-model.likelihood[-1]).alias("log_perplexity"), "coherence", F.lit(model.vocabulary).alias("vocabulary"))
 
 
 @query("g11_circular_layout", f"WITH {KEPT}, v AS (SELECT source AS node FROM k UNION SELECT target FROM k), p AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS i, count(*) OVER () AS n FROM v) SELECT node, round(cos(2 * pi() * i / n), 6) + 0.0 AS x, round(sin(2 * pi() * i / n), 6) + 0.0 AS y FROM p")

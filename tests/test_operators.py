@@ -201,6 +201,37 @@ def test_phrases_and_coherence(spark):
         assert abs(got[topic] - np.mean(v @ s / (np.linalg.norm(v, axis=1) * np.linalg.norm(s) + 1e-12))) < 1e-6
 
 
+def test_topics_see_every_document_and_word(spark, monkeypatch):
+    """Every pass meets all documents; likelihood rises, to no less than that of Spark's LDA with the same topics."""
+    from kinweave.operators import topics
+    from pyspark.ml.clustering import LDA
+    from pyspark.ml.feature import CountVectorizer
+
+    rng = np.random.default_rng(5)
+    rows = [(i, [f"t{i % 4}_{k}" for k in rng.integers(0, 25, 30)] + [f"c{k}" for k in rng.integers(0, 10, 15)]) for i in range(300)] + [(300, []), (301, None), (302, ["once"])]
+    docs = spark.createDataFrame(rows, "doc_id int, words array<string>").repartition(3)
+    monkeypatch.setattr(topics, "BLOCK_DOCS", 40)
+    monkeypatch.setattr(topics, "LEAST_GAIN", -1.0)
+    model = topics.fit(docs, topics=4, passes=12)
+    assert model.seen == [303] * 12 and model.vocabulary == len({w for _, ws in rows for w in ws or []})
+    assert all(b > a - 1e-6 for a, b in zip(model.likelihood, model.likelihood[1:], strict=False))
+    found = {r.doc_id: r.topic for r in topics.dominant(model).collect()}
+    assert len(found) == 303 and found[300] == found[301] == -1 and found[302] >= 0
+    assert all(len({found[i] for i in range(k, 300, 4)}) == 1 for k in range(4)) and len(set(found.values())) == 5
+    heavy = topics.keywords(model, 5).toPandas()
+    assert len(heavy) == 20 and (heavy["weight"] > 0).all() and abs(sum(model.totals) - sum(len(w or []) for _, w in rows)) < 1e-6
+    counted = CountVectorizer(inputCol="words", outputCol="counts").fit(docs.dropna())
+    lda = LDA(featuresCol="counts", k=4, maxIter=40, optimizer="em", seed=1).fit(counted.transform(docs.dropna()))
+    phi = lda.topicsMatrix().toArray()
+    at = {w: i for i, w in enumerate(counted.vocabulary)}
+    counts = [sorted((at[w], ws.count(w)) for w in set(ws)) for _, ws in rows if ws]
+    flat = np.array([p for c in counts for p in c])
+    theirs = topics.shares(phi / phi.sum(axis=0), np.array([len(c) for c in counts]), flat[:, 0], flat[:, 1])[2] / flat[:, 1].sum()
+    assert model.likelihood[-1] > theirs - 0.01
+    with pytest.raises(ValueError, match="no document"):
+        topics.fit(docs.where("doc_id = 300"))
+
+
 def test_bundles_tell_what_has_changed(spark, tmp_path):
     path = str(tmp_path / "topics")
     docs = spark.createDataFrame([(1, ["a", "b, c"]), (2, []), (3, None)], "id int, words array<string>")
