@@ -1,19 +1,19 @@
 """Clustering of vectors within groups.
 
-Monthly themes are tens to hundreds of rows a period.  Groups of up to ``LARGEST`` rows are clustered in a task each;
-``density_clusters`` takes larger ones by blocks, ``linked_families`` and ``sweep`` refuse them, as their distance
-matrices grow with the square.
+Groups of up to ``LARGEST`` rows are clustered in a task each.  Larger ones go by blocks: pairs of blocks meet in tasks
+that give shortest edges, or the pairs within reach, and rounds on tables build a spanning tree, or merge mutual nearest
+clusters.  Both ways order equal distances by the smaller keys, so they give the same clusters.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.operators.evolution import components
-from kinweave.scratch import materialize
+from kinweave.scratch import discard, materialize
 
 LARGEST = 4000
 
@@ -21,11 +21,15 @@ LARGEST = 4000
 # --- groups of vectors
 
 
-def _stack(pdf: pd.DataFrame, key: str, vector: str) -> tuple[pd.DataFrame, np.ndarray]:
-    if len(pdf) > LARGEST:
-        raise ValueError(f"a group of {len(pdf)} vectors; at most {LARGEST} are clustered at once")
+def _stack(pdf: pd.DataFrame, key: str, vector: str, geometry: str = "unit") -> tuple[pd.DataFrame, np.ndarray]:
     pdf = pdf.sort_values(key, kind="stable").reset_index(drop=True)
-    return pdf, _unit(np.stack(pdf[vector].to_numpy()).astype(np.float64))
+    return pdf, _placed(pdf[vector], geometry)
+
+
+def _placed(vectors: pd.Series, geometry: str) -> np.ndarray:
+    """The vectors as rows, of length one but in the raw geometry."""
+    x = np.stack(vectors.to_numpy()).astype(np.float64) if len(vectors) else np.zeros((0, 1))
+    return x if geometry == "raw" else _unit(x)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -33,42 +37,62 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def leaf_clusters(x: np.ndarray, least: int = 2, samples: int = 3) -> np.ndarray:
-    """Leaves of the density hierarchy of unit vectors: a label for each row, -1 for noise.
+    """Leaves of the density hierarchy of unit vectors: a label for each row, -1 for noise."""
+    return density_labels(x, least, samples)[0]
+
 
-    Distances are made mutual (no less than either end's distance to its ``samples``-th neighbour), a minimum spanning
-    tree is cut from its longest edge on, parts of less than ``least`` rows fall out as noise, and a cluster is a part
-    that never splits again into two that are large enough.  The whole is never a cluster.
+def density_labels(x: np.ndarray, least: int = 2, samples: int = 3, geometry: str = "unit", selection: str = "leaf", single: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Label (-1 for noise) and membership probability of each row by the density hierarchy.
+
+    Distances (Euclidean for the raw and unit geometries, else 1 - cosine) are made mutual: no less than either end's
+    distance to its ``samples``-th neighbour, itself counted.  What the spanning tree makes of them, see
+    ``clusters_of_tree``.  Less than ``least`` + 1 rows are noise.
     """
     n = len(x)
     if n < max(least, 2) + 1:
-        return np.full(n, -1)
-    d = _distances(x, x)
+        return np.full(n, -1), np.zeros(n)
+    d = _distances(x, x, geometry)
     np.fill_diagonal(d, 0)
     core = np.sort(d, axis=1)[:, min(samples, n) - 1]
     d = np.maximum(d, np.maximum(core[:, None], core[None, :]))
-    # minimum spanning tree, grown from row 0
+    # minimum spanning tree, grown from row 0; of equal edges that with the smaller ends comes first
+    rows = np.arange(n)
     near, via, inside = d[0].copy(), np.zeros(n, int), np.zeros(n, bool)
     inside[0] = True
     tree = []
     for _ in range(n - 1):
-        j = int(np.argmin(np.where(inside, np.inf, near)))
-        tree.append((near[j], int(via[j]), j))
+        open_ = np.flatnonzero(~inside & (near == near[~inside].min()))
+        j = int(min(open_, key=lambda k: (min(via[k], k), max(via[k], k))))
+        tree.append((near[j], *sorted((int(via[j]), j))))
         inside[j] = True
-        closer = d[j] < near
+        first, now = (np.minimum(j, rows), np.maximum(j, rows)), (np.minimum(via, rows), np.maximum(via, rows))
+        closer = (d[j] < near) | (d[j] == near) & ((first[0] < now[0]) | (first[0] == now[0]) & (first[1] < now[1]))
         near[closer], via[closer] = d[j][closer], j
-    return leaves_of_tree(n, tree, least)
+    return clusters_of_tree(n, tree, least, selection, single)
 
 
-def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(0, 2 - 2 * (x @ y.T)))
+def _distances(x: np.ndarray, y: np.ndarray, geometry: str = "unit") -> np.ndarray:
+    """Rounded to nine places, so that blocks of any shape give the same."""
+    if geometry == "raw":
+        square = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * (x @ y.T)
+        return np.round(np.sqrt(np.maximum(0, square)), 9)
+    if geometry == "cosine":
+        return np.round(np.maximum(0, 1 - x @ y.T), 9)
+    return np.round(np.sqrt(np.maximum(0, 2 - 2 * (x @ y.T))), 9)
 
 
-def leaves_of_tree(n: int, tree: list[tuple[float, int, int]], least: int) -> np.ndarray:
-    """Leaf clusters of a spanning tree (distance, end, end): merges from the shortest edge on."""
-    up, size = list(range(n)), [1] * n
-    leaves: list[list[int]] = [[] for _ in range(n)]  # of each part, a member of each leaf below it
-    first, nxt, last = list(range(n)), [-1] * n, list(range(n))  # members of each part as a chain
-    closed: dict[int, list[int]] = {}
+def clusters_of_tree(n: int, tree: list[tuple[float, int, int]], least: int, selection: str = "leaf", single: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Label and probability of each of ``n`` rows from a spanning tree (distance, end, end).
+
+    The tree is cut from its longest edge on.  A part that splits into two of ``least`` rows or more each ends and two
+    begin; smaller parts fall out of the one they were in.  Density is 1 / distance, and a cluster's stability the sum
+    over its rows of the density at which each leaves it less that at which it began.  ``leaf`` chooses the clusters
+    that never split, ``mass`` those with more stability than all that were chosen below them.  The whole is none
+    unless ``single``; if it is the only one, it holds the rows that stay to the last.  A row's probability is the
+    density at which it left its cluster by the highest of any row that did.
+    """
+    left, right, size, level = [], [], [1] * n, []
+    up = list(range(n))
 
     def find(i: int) -> int:
         while up[i] != i:
@@ -76,83 +100,134 @@ def leaves_of_tree(n: int, tree: list[tuple[float, int, int]], least: int) -> np
             i = up[i]
         return i
 
-    def members(part: int) -> list[int]:
-        out, i = [], first[part]
-        while i != -1:
-            out.append(i)
-            i = nxt[i]
-        return out
-
-    for _, a, b in sorted(tree):
+    part = list(range(n))  # of each root, its node
+    for distance, a, b in sorted(tree):
         a, b = find(a), find(b)
-        if size[a] < size[b]:
-            a, b = b, a
-        if size[a] >= least and size[b] >= least:
-            found = []
-            for part in (a, b):
-                if not leaves[part]:
-                    closed[part] = members(part)
-                    leaves[part] = [part]
-                found += leaves[part]
-        else:
-            found = leaves[a] or leaves[b]
-        up[b], size[a] = a, size[a] + size[b]
-        nxt[last[a]], last[a] = first[b], last[b]
-        leaves[a] = found
-    labels = np.full(n, -1)
-    for k, group in enumerate(sorted((closed[leaf] for leaf in leaves[find(0)]), key=min)):
-        labels[group] = k
-    return labels
-
-
-def density_clusters(rows: DataFrame, group: str, key: str, vector: str, least: int = 2, samples: int = 3, largest: int = LARGEST) -> DataFrame:
-    """group, key and cluster of every row, clustered within its group; -1 is noise.
+        left.append(part[a]), right.append(part[b]), level.append(1 / max(distance, 1e-12))
+        size.append(size[part[a]] + size[part[b]])
+        up[b] = a
+        part[a] = len(size) - 1
+
+    parent, birth, end, weight, leaves_at = [-1], [0.0], [0.0], [0.0], np.zeros(n)
+    own = np.zeros(n, int)
+
+    def fall(node: int, cluster: int, density: float) -> None:
+        todo = [node]
+        while todo:
+            k = todo.pop()
+            if k < n:
+                own[k], leaves_at[k] = cluster, density
+            else:
+                todo += [left[k - n], right[k - n]]
+        weight[cluster] += size[node] * (density - birth[cluster])
+        end[cluster] = max(end[cluster], density)
+
+    todo = [(len(size) - 1, 0)]
+    while todo:
+        node, cluster = todo.pop()
+        if node < n:  # the whole is one row
+            continue
+        density, below = level[node - n], (left[node - n], right[node - n])
+        large = [size[k] >= least for k in below]
+        for k, is_large in zip(below, large, strict=True):
+            if all(large):
+                parent.append(cluster), birth.append(density), end.append(density), weight.append(0.0)
+                weight[cluster] += size[k] * (density - birth[cluster])
+                end[cluster] = max(end[cluster], density)
+                todo.append((k, len(parent) - 1))
+            elif is_large and k >= n:
+                todo.append((k, cluster))
+            else:
+                fall(k, cluster, density)
+    count = len(parent)
+    children: list[list[int]] = [[] for _ in range(count)]
+    for c in range(1, count):
+        children[parent[c]].append(c)
+    chosen, best = [False] * count, [0.0] * count
+    for c in range(count - 1, -1, -1):
+        below = sum(best[k] for k in children[c])
+        whole = c == 0 and not single
+        chosen[c] = not whole and (not children[c] if selection == "leaf" else weight[c] >= below)
+        best[c] = weight[c] if chosen[c] else below
+    top = [-1] * count  # the uppermost chosen cluster that holds each
+    for c in range(count):
+        above = top[parent[c]] if c else -1
+        top[c] = above if above >= 0 else c if chosen[c] else -1
+    labels = np.array([top[c] for c in own], dtype=int) if n else np.zeros(0, int)
+    if single and labels.size and (labels == 0).any():
+        labels[leaves_at < max(leaves_at[own == 0], default=0.0)] = -1
+        labels[own != 0] = 0
+    highest = np.array(end)
+    with np.errstate(invalid="ignore"):
+        probability = np.where(labels >= 0, np.minimum(leaves_at, highest[labels]) / np.where(highest[labels] > 0, highest[labels], 1), 0.0)
+    order = {c: k for k, c in enumerate(dict.fromkeys(labels[labels >= 0].tolist()))}
+    return np.array([order.get(c, -1) for c in labels.tolist()], dtype=int), probability
+
+
+def density_clusters(rows: DataFrame, group: str, key: str, vector: str, least: int = 2, samples: int = 3, largest: int = LARGEST, geometry: str = "unit", selection: str = "leaf", single: bool = False) -> DataFrame:
+    """group, key, cluster (-1 for noise) and membership probability of every row, clustered within its group.
 
     Groups of up to ``largest`` rows are a task each.  Larger ones are dealt out in blocks; pairs of blocks meet in tasks
     that give each row's nearest distances and, in rounds, each part's shortest edge to another part, until one tree is
     left, and only the tree, an edge for each row, is one task's.  Keys are unique within a group.
     """
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = f"{group} {kinds[group]}, {key} {kinds[key]}, cluster int"
+    schema = f"{group} {kinds[group]}, {key} {kinds[key]}, cluster int, probability double"
+    named = lambda labels, p: {"cluster": labels.astype("int32"), "probability": np.round(p, 8)}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, x = _stack(pdf, key, vector)
-        return pdf[[group, key]].assign(cluster=leaf_clusters(x, least, samples).astype("int32"))
+        pdf, x = _stack(pdf, key, vector, geometry)
+        return pdf[[group, key]].assign(**named(*density_labels(x, least, samples, geometry, selection, single)))
 
-    rows = rows.select(group, key, vector)
-    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
-    large = materialize(sizes.where(F.col("__n") > largest), "large")
-    if large.isEmpty():
-        return rows.groupBy(group).applyInPandas(run, schema)
-    small = rows.join(large, group, "left_anti").groupBy(group).applyInPandas(run, schema)
-    tree = _spanning_tree(rows.join(large, group), group, key, vector, samples, largest)
+    small, large = _by_size(rows.select(group, key, vector), group, largest)
+    found = small.groupBy(group).applyInPandas(run, schema)
+    if large is None:
+        return found
+    tree = _spanning_tree(large, group, key, vector, samples, largest, geometry)
 
     def condense(pdf: pd.DataFrame) -> pd.DataFrame:
         keys = np.unique(np.concatenate([pdf["a"].to_numpy(), pdf["b"].to_numpy()]))
         ends = [np.searchsorted(keys, pdf[c].to_numpy()) for c in ("a", "b")]
-        labels = leaves_of_tree(len(keys), list(zip(pdf["distance"].tolist(), ends[0].tolist(), ends[1].tolist(), strict=True)), least)
-        return pd.DataFrame({group: pdf[group].iloc[0], key: keys, "cluster": labels.astype("int32")})
+        edges = list(zip(pdf["distance"].tolist(), ends[0].tolist(), ends[1].tolist(), strict=True))
+        return pd.DataFrame({group: pdf[group].iloc[0], key: keys} | named(*clusters_of_tree(len(keys), edges, least, selection, single)))
 
-    return small.unionByName(tree.groupBy(group).applyInPandas(condense, schema))
+    return found.unionByName(tree.groupBy(group).applyInPandas(condense, schema))
 
 
-def _spanning_tree(rows: DataFrame, group: str, key: str, vector: str, samples: int, block: int) -> DataFrame:
+def _by_size(rows: DataFrame, group: str, largest: int) -> tuple[DataFrame, DataFrame | None]:
+    """``rows`` in groups of up to ``largest``, and those in larger ones with the group's size as ``__n`` (None if there are none)."""
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
+    large = materialize(sizes.where(F.col("__n") > largest), "large")
+    if large.isEmpty():
+        return rows, None
+    return rows.join(large, group, "left_anti"), rows.join(large, group)
+
+
+def _paired(rows: DataFrame, group: str, key: str, vector: str, block: int) -> DataFrame:
+    """Each row (``k``, ``v``) once for each pair of blocks of its group (``lo``, ``hi``) that its ``own`` block is in."""
+    n = F.ceil(F.col("__n") / block).cast("int")
+    dealt = rows.withColumn("__b", F.pmod(F.xxhash64(key), n).cast("int"))
+    paired = dealt.select(group, F.col(key).alias("k"), F.col(vector).alias("v"), F.col("__b").alias("own"), F.explode(F.sequence(F.lit(0), n - 1)).alias("o"))
+    return paired.select(group, "k", "v", "own", F.least("own", "o").alias("lo"), F.greatest("own", "o").alias("hi"))
+
+
+def _sides(pdf: pd.DataFrame, geometry: str) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray]:
+    """The rows of both blocks of a pair, by key, and their distances."""
+    pdf = pdf.sort_values("k", kind="stable")
+    a, b = pdf[pdf["own"] == pdf["lo"]], pdf[pdf["own"] == pdf["hi"]]
+    return a, b, (_distances(_placed(a["v"], geometry), _placed(b["v"], geometry), geometry) if len(a) and len(b) else np.zeros((len(a), len(b))))
+
+
+def _spanning_tree(rows: DataFrame, group: str, key: str, vector: str, samples: int, block: int, geometry: str = "unit") -> DataFrame:
     """group, a, b and distance of the minimum spanning tree of each group under mutual distances, by Boruvka's rounds.
 
     ``rows`` has ``__n``, the size of the group.  Ties go to the smaller keys, so that the tree is one and the same.
     """
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    n = F.ceil(F.col("__n") / block).cast("int")
-    dealt = rows.withColumn("__b", F.pmod(F.xxhash64(key), n).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), n - 1))
-    paired = dealt.select(group, F.col(key).alias("k"), F.col(vector).alias("v"), F.col("__b").alias("own"), other.alias("o"))
-    paired = materialize(paired.select(group, "k", "v", "own", F.least("own", "o").alias("lo"), F.greatest("own", "o").alias("hi")), "blocks")
+    paired = materialize(_paired(rows, group, key, vector, block), "blocks")
 
     def sides(pdf: pd.DataFrame):
-        pdf = pdf.sort_values("k", kind="stable")
-        a, b = pdf[pdf["own"] == pdf["lo"]], pdf[pdf["own"] == pdf["hi"]]
-        unit = lambda p: _unit(np.stack(p["v"].to_numpy()).astype(np.float64)) if len(p) else np.zeros((0, 1))
-        return a, b, (_distances(unit(a), unit(b)) if len(a) and len(b) else np.zeros((len(a), len(b))))
+        return _sides(pdf, geometry)
 
     def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b, d = sides(pdf)
@@ -207,7 +282,7 @@ def linkage(x: np.ndarray, cut: float = 0.35, average: bool = False) -> np.ndarr
     The distance of two clusters is the largest between their members (complete linkage), or the mean of all (average).
     """
     n = len(x)
-    d = 1 - x @ x.T
+    d = _distances(x, x, "cosine")
     np.fill_diagonal(d, np.inf)
     label, size = np.arange(n), np.ones(n)
     while n > 1:
@@ -236,35 +311,118 @@ def singletons_as_noise(labels: np.ndarray) -> np.ndarray:
     return np.where(out >= 0, np.searchsorted(kept, out), -1)
 
 
-def linked_families(rows: DataFrame, group: str, key: str, vector: str, cut: float = 0.35) -> DataFrame:
-    """group, key and family by complete linkage within each group, numbered by their smallest key."""
+def linked_families(rows: DataFrame, group: str, key: str, vector: str, cut: float = 0.35, average: bool = False, largest: int = LARGEST) -> DataFrame:
+    """group, key and family by complete (or average) linkage within each group, numbered by their smallest key.
+
+    Groups of up to ``largest`` rows are a task each, larger ones are merged in rounds on tables.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = f"{group} {kinds[group]}, {key} {kinds[key]}, family int"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, x = _stack(pdf, key, vector)
-        return pdf[[group, key]].assign(family=complete_linkage(x, cut).astype("int32"))
+        return pdf[[group, key]].assign(family=linkage(x, cut, average).astype("int32"))
 
-    return rows.select(group, key, vector).groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {key} {kinds[key]}, family int")
+    small, large = _by_size(rows.select(group, key, vector), group, largest)
+    found = small.groupBy(group).applyInPandas(run, schema)
+    if large is None:
+        return found
+    merged = _merged(large, group, key, vector, cut, average, largest)
+    number = merged.select(group, "family").distinct().withColumn("n", (F.row_number().over(Window.partitionBy(group).orderBy("family")) - 1).cast("int"))
+    return found.unionByName(merged.join(number, [group, "family"]).select(group, key, F.col("n").alias("family")))
 
 
-def sweep(rows: DataFrame, variants: DataFrame, group: str, key: str, vector: str) -> DataFrame:
-    """Every variant of a parameter table over every group, each in a task of its own: clusters, noise and largest share.
+def _merged(rows: DataFrame, group: str, key: str, vector: str, cut: float, average: bool, block: int) -> DataFrame:
+    """group, key and family (its smallest key), by rounds that merge all clusters that are each other's nearest.
 
-    ``variants`` has variant, method (density, complete or average), least, samples and cut; it is a table of settings.
-    Clusters of one that linkage leaves count as noise.
+    Merging mutual nearest clusters gives what merging the closest pair one by one does, as neither linkage brings a
+    merged cluster closer to others than the nearer part was.  Complete linkage needs only the pairs of rows within
+    ``cut``: two clusters may merge if all pairs of their members are among them.  Average linkage needs all pairs, as
+    many as the square of the group.  Equal vectors are one row here, as complete linkage merges them first; for the
+    average they count apart.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+    same = Window.partitionBy(group, vector)
+    held = materialize(rows.select(group, key, vector, "__n", (F.col(key) if average else F.min(key).over(same)).alias("family")), "rows")
+    alone = held.where(F.col(key) == F.col("family")).select(group, key, vector, "__n")
+
+    def near(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b, d = _sides(pdf, "cosine")
+        fits = np.ones(d.shape, dtype=bool) if average else d <= cut
+        if pdf["lo"].iloc[0] == pdf["hi"].iloc[0]:
+            fits = np.triu(fits, 1)
+        i, j = np.nonzero(fits)
+        ends = np.stack([a["k"].to_numpy()[i], b["k"].to_numpy()[j]]) if len(i) else np.zeros((2, 0), dtype=a["k"].to_numpy().dtype)
+        return pd.DataFrame({group: [pdf[group].iloc[0]] * len(i), "a": ends.min(axis=0), "b": ends.max(axis=0), "d": d[i, j], "n": np.ones(len(i), dtype=np.int64)})
+
+    schema = f"{group} {rows.schema[group].dataType.simpleString()}, a {kind}, b {kind}, d double, n bigint"
+    pairs = materialize(_paired(alone, group, key, vector, block).groupBy(group, "lo", "hi").applyInPandas(near, schema), "pairs")
+    sizes = materialize(alone.select(group, F.col(key).alias("c"), F.lit(1).cast("long").alias("size")), "sizes")
+    names = held.select(group, key, "family")
+    while True:
+        sided = pairs.join(sizes.toDF(group, "a", "na"), [group, "a"]).join(sizes.toDF(group, "b", "nb"), [group, "b"])
+        distance = F.round(F.col("d") / F.col("n"), 9) if average else F.col("d")
+        ready = sided.where(F.col("n") == F.col("na") * F.col("nb")).withColumn("d", distance).where(F.col("d") <= cut)
+        each = ready.select(group, "a", "b", "d", F.explode(F.array("a", "b")).alias("c"))
+        best = each.groupBy(group, "c").agg(F.min(F.struct("d", "a", "b")).alias("e"))
+        merges = materialize(best.groupBy(group, F.col("e.a").alias("to"), F.col("e.b").alias("c")).count().where("count = 2").select(group, "c", "to"), "merges")
+        if merges.isEmpty():
+            discard(pairs, sizes, merges)
+            return names
+        into = lambda df, c: df.join(merges.select(group, F.col("c").alias(c), F.col("to").alias("__to")), [group, c], "left").withColumn(c, F.coalesce("__to", c)).drop("__to")
+        names = materialize(into(names, "family"), "families")
+        after = materialize(into(sizes, "c").groupBy(group, "c").agg(F.sum("size").alias("size")), "sizes")
+        moved = into(into(pairs, "a"), "b").where("a <> b").groupBy(group, F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+        left = materialize(moved.agg((F.sum("d") if average else F.max("d")).alias("d"), F.sum("n").alias("n")).withColumnsRenamed({"x": "a", "y": "b"}), "pairs")
+        discard(pairs, sizes)
+        pairs, sizes = left, after
+
+
+def sweep(rows: DataFrame, variants: DataFrame, group: str, key: str, vector: str, largest: int = LARGEST) -> DataFrame:
+    """Every variant of a parameter table over every group: clusters, noise, largest share and mean probability.
+
+    ``variants`` is a table of settings: variant, method (density, complete or average), least, samples, cut, geometry,
+    selection and single.  Groups of up to ``largest`` rows are a task for each variant, larger ones go by tables.
+    Clusters of one that linkage leaves count as noise; members that linkage keeps have probability 1.
     """
     kind = rows.schema[group].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, x = _stack(pdf, key, vector)
         v = pdf.iloc[0]
-        labels = leaf_clusters(x, int(v["least"]), int(v["samples"])) if v["method"] == "density" else singletons_as_noise(linkage(x, float(v["cut"]), v["method"] == "average"))
+        pdf, x = _stack(pdf, key, vector, v["geometry"] if v["method"] == "density" else "unit")
+        if v["method"] == "density":
+            labels, probability = density_labels(x, int(v["least"]), int(v["samples"]), v["geometry"], v["selection"], bool(v["single"]))
+        else:
+            labels = singletons_as_noise(linkage(x, float(v["cut"]), v["method"] == "average"))
+            probability = (labels >= 0).astype(float)
         sizes = np.bincount(labels[labels >= 0]) if (labels >= 0).any() else np.zeros(0, int)
-        found = {"variant": v["variant"], group: v[group], "observations": len(x), "clusters": len(sizes), "noise": int((labels < 0).sum()), "largest_share": round(float(sizes.max(initial=0)) / len(x), 6)}
-        return pd.DataFrame([found])
-
-    every = rows.select(group, key, vector).crossJoin(F.broadcast(variants))
-    return every.groupBy("variant", group).applyInPandas(run, f"variant string, {group} {kind}, observations long, clusters long, noise long, largest_share double")
+        mean = round(float(np.round(probability, 8)[labels >= 0].mean()), 6) if len(sizes) else None
+        return pd.DataFrame([{"variant": v["variant"], group: v[group], "observations": len(x), "clusters": len(sizes), "noise": int((labels < 0).sum()), "largest_share": round(float(sizes.max(initial=0)) / len(x), 6), "mean_probability": mean}])
+
+    schema = f"variant string, {group} {kind}, observations long, clusters long, noise long, largest_share double, mean_probability double"
+    small, large = _by_size(rows.select(group, key, vector), group, largest)
+    found = small.crossJoin(F.broadcast(variants)).groupBy("variant", group).applyInPandas(run, schema)
+    for v in variants.collect() if large is not None else []:
+        if v["method"] == "density":
+            labels = density_clusters(large, group, key, vector, v["least"], v["samples"], largest, v["geometry"], v["selection"], v["single"])
+        else:
+            linked = linked_families(large, group, key, vector, v["cut"], v["method"] == "average", largest)
+            many = F.count(F.lit(1)).over(Window.partitionBy(group, "family")) > 1
+            labels = linked.select(group, F.when(many, F.col("family")).otherwise(-1).alias("cluster"), F.when(many, 1.0).otherwise(0.0).alias("probability"))
+        found = found.unionByName(quality(labels, group).withColumn("variant", F.lit(v["variant"])).select("variant", group, "observations", "clusters", "noise", "largest_share", "mean_probability"))
+    return found
+
+
+def quality(labels: DataFrame, group: str) -> DataFrame:
+    """For each group of clustered rows (``cluster``, -1 for noise, and ``probability``): sizes, noise and mean probability."""
+    own = F.col("cluster") >= 0
+    each = labels.groupBy(group, "cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("probability").alias("p"))
+    size = F.when(own, F.col("n"))
+    return each.groupBy(group).agg(
+        F.sum("n").alias("observations"), F.count(size).alias("clusters"), F.coalesce(F.sum(F.when(~own, F.col("n"))), F.lit(0)).alias("noise"),
+        F.coalesce(F.round(F.max(size) / F.sum("n"), 6), F.lit(0.0)).alias("largest_share"), F.round(F.sum(F.when(own, F.col("p"))) / F.sum(size), 6).alias("mean_probability"),
+        F.avg(size).alias("mean_size"), F.percentile(size, 0.5).alias("median_size"),
+    )
 
 
 # --- cutoffs and selections

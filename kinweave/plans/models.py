@@ -38,22 +38,41 @@ def families(spark, sf_dir):
 
 def _sweep(spark, sf_dir, rows: str):
     e = table(spark, sf_dir, "embeddings").withColumn("period", F.col("vec_id") % 8)
-    variants = spark.sql(f"SELECT * FROM VALUES {rows} AS t(variant, method, least, samples, cut)")
+    variants = spark.sql(f"SELECT * FROM VALUES {rows} AS t(variant, method, least, samples, cut, geometry, selection, single)")
     return cl.sweep(e, variants, "period", "vec_id", "embedding")
 
 
 @query("m12_density_sweep")
 def density_sweep(spark, sf_dir):
-    rows = ", ".join(f"('size {n}, samples {m}', 'density', {n}, {m}, 0.0D)" for n in (2, 3) for m in (1, 2, 3))
+    """Three geometries, two selections and two densities, and once the whole may be a cluster: thirteen variants."""
+    settings = [(g, s, m, False) for g in ("raw", "unit", "cosine") for s in ("mass", "leaf") for m in (3, 2)] + [("raw", "mass", 3, True)]
+    rows = ", ".join(f"('{g} {s} {m}{' single' * one}', 'density', 2, {m}, 0.0D, '{g}', '{s}', {str(one).lower()})" for g, s, m, one in settings)
     return _sweep(spark, sf_dir, rows)
 
 
 @query("m11_linkage_sweep")
 def linkage_sweep(spark, sf_dir):
-    rows = ", ".join(f"('{m}, similarity {1 - c:.2f}', '{m}', 0, 0, {c}D)" for m in ("complete", "average") for c in (0.25, 0.3, 0.35, 0.4, 0.45))
+    """Two linkages at twenty thresholds of similarity."""
+    cuts = [(m, round(0.03 * k, 2)) for m in ("complete", "average") for k in range(1, 21)]
+    rows = ", ".join(f"('{m}, similarity {1 - c:.2f}', '{m}', 0, 0, {c}D, 'unit', 'leaf', false)" for m, c in cuts)
     return _sweep(spark, sf_dir, rows)
 
 
+@query("a32_density_quality")
+def density_quality(spark, sf_dir):
+    """Of each period's clusters by excess of mass: sizes, share of noise, mean membership probability."""
+    e = table(spark, sf_dir, "embeddings").withColumn("period", F.col("vec_id") % 8)
+    q = cl.quality(cl.density_clusters(e, "period", "vec_id", "embedding", selection="mass"), "period")
+    return q.withColumn("noise_share", F.round(F.col("noise") / F.col("observations"), 6))
+
+
+@query("a33_density_quality_over_periods")
+def density_quality_over_periods(spark, sf_dir):
+    """The means of those over all periods, one row."""
+    q = density_quality(spark, sf_dir)
+    return q.agg(F.count(F.lit(1)).alias("periods"), F.round(F.avg("noise_share"), 6).alias("noise_share"), F.round(F.avg("mean_probability"), 6).alias("mean_probability"), F.round(F.avg("largest_share"), 6).alias("largest_share"), F.max("clusters").alias("most"))
+
+
 def _words(spark, sf_dir):
     cleaned = T.clean(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", F.filter(F.split(cleaned, " "), lambda w: F.length(w) > 2).alias("words"))

@@ -288,16 +288,17 @@ def test_density_clusters():
 
 
 def test_large_groups_are_clustered_like_small_ones(spark):
-    """Without ties the clusters are the same; with the ties of mutual distances the tree's lengths are."""
+    """One order of equal distances: clusters and probabilities are the same on both sides of the bound."""
     rng = np.random.default_rng(8)
     rows = []
     for g, n in (("a", 50), ("b", 12)):
         centres = rng.normal(size=(6, 5))
         rows += [(g, i, (centres[i % 6] + rng.normal(0, 0.15, 5)).tolist()) for i in range(n)]
     df = spark.createDataFrame(rows, "g string, k int, v array<double>")
-    clusters = lambda **kw: {(r.g, r.k): r.cluster for r in cl.density_clusters(df, "g", "k", "v", samples=1, **kw).collect()}
-    want = clusters()
-    assert len(set(want.values())) > 3 and clusters(largest=16) == want
+    clusters = lambda **kw: {(r.g, r.k): (r.cluster, r.probability) for r in cl.density_clusters(df, "g", "k", "v", **kw).collect()}
+    for more in ({"samples": 1}, {"samples": 3}, {"samples": 3, "selection": "mass", "geometry": "raw"}):
+        want = clusters(**more)
+        assert len(set(want.values())) > 3 and clusters(largest=16, **more) == want
     tree = cl._spanning_tree(df.join(df.groupBy("g").agg(F.count(F.lit(1)).alias("__n")), "g"), "g", "k", "v", 3, 16).collect()
     for g in "ab":
         x = np.array([v for h, _, v in rows if h == g])
@@ -314,6 +315,88 @@ def test_large_groups_are_clustered_like_small_ones(spark):
         assert np.allclose(sorted(r.distance for r in tree if r.g == g), lengths)
 
 
+def plain_density(d, least, selection, single):
+    """Labels as sets of rows, from mutual distances: parts at every density, stabilities and the choice, in plain Python."""
+    n = len(d)
+    levels = sorted({d[i][j] for i in range(n) for j in range(i)})
+
+    def parts(rows, limit):
+        """Connected parts of ``rows`` by distances under ``limit``."""
+        rows, out = set(rows), []
+        while rows:
+            seen = todo = {min(rows)}
+            while todo:
+                todo = {j for i in todo for j in rows - seen if d[i][j] < limit}
+                seen = seen | todo
+            out.append(frozenset(seen))
+            rows -= seen
+        return out
+
+    def walk(rows, born):
+        """(own stability, chosen sets, their stability) of the cluster that begins with ``rows``."""
+        now, mass = set(rows), 0.0
+        for limit in reversed(levels):
+            split = parts(now, limit)
+            if len(split) == 1:
+                continue
+            density = 1 / max(limit, 1e-12)
+            large = [p for p in split if len(p) >= least]
+            if len(large) > 1:
+                mass += len(now) * (density - born)
+                below = [walk(p, density) for p in large]
+                chosen, total = [c for b in below for c in b[1]], sum(b[2] for b in below)
+                whole = born == 0 and not single
+                if not whole and selection == "mass" and mass >= total:
+                    return mass, [frozenset(rows)], mass
+                return mass, chosen, total
+            mass += (len(now) - (len(large[0]) if large else 0)) * (density - born)
+            if not large:
+                break
+            now = set(large[0])
+        return mass, ([] if born == 0 and not single else [frozenset(rows)]), mass
+
+    return {c for c in walk(range(n), 0.0)[1]}
+
+
+def test_density_labels_like_plain_python():
+    """Distances without ties, as splits into more than two parts at once have no one order."""
+    rng = np.random.default_rng(11)
+    for trial in range(12):
+        centres = rng.normal(size=(4, 3))
+        x = np.concatenate([centres[i] + rng.normal(0, 0.1 + 0.2 * (i % 2), (8, 3)) for i in range(4)])
+        for geometry in ("raw", "unit", "cosine"):
+            y = x if geometry == "raw" else x / np.linalg.norm(x, axis=1, keepdims=True)
+            d = cl._distances(y, y, geometry)
+            for selection in ("leaf", "mass"):
+                labels, probability = cl.density_labels(y, 3, 1, geometry, selection)
+                got = {frozenset(np.flatnonzero(labels == c).tolist()) for c in set(labels.tolist()) - {-1}}
+                assert got == plain_density(d.tolist(), 3, selection, False), (trial, geometry, selection)
+                assert ((probability > 0) == (labels >= 0)).all() and probability.max(initial=0) <= 1
+                assert all(probability[labels == c].max() == 1 for c in set(labels.tolist()) - {-1})
+    one = np.concatenate([rng.normal(0, 0.01, (6, 3)), [[5.0, 5, 5]]])
+    assert (cl.density_labels(one, 2, 3, "raw", "mass")[0] >= 0).sum() < 7
+    assert (cl.density_labels(one, 2, 3, "raw", "mass", True)[0] >= 0).any()
+
+
+def test_linkage_of_any_size(spark):
+    """By rounds on tables as in one task, equal vectors and small groups included."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for g, n in (("a", 130), ("b", 9)):
+        centres = rng.normal(size=(12, 4))
+        rows += [(g, i, (centres[i % 12] + rng.normal(0, 0.35, 4)).tolist()) for i in range(n)]
+    rows += [("a", 300 + i, rows[i % 3][2]) for i in range(12)]
+    df = spark.createDataFrame(rows, "g string, k int, v array<double>")
+    for average in (False, True):
+        found = lambda **kw: {(r.g, r.k): r.family for r in cl.linked_families(df, "g", "k", "v", 0.1, average, **kw).collect()}
+        want = found()
+        assert 12 < len({f for (g, _), f in want.items() if g == "a"}) < 100 and found(largest=64) == want
+    settings = "('d', 'density', 2, 3, 0.0D, 'cosine', 'mass', false), ('c', 'complete', 0, 0, 0.1D, 'unit', 'leaf', false)"
+    variants = spark.sql(f"SELECT * FROM VALUES {settings} AS t(variant, method, least, samples, cut, geometry, selection, single)")
+    swept = lambda **kw: sorted(map(tuple, cl.sweep(df, variants, "g", "k", "v", **kw).collect()))
+    assert swept(largest=64) == swept()
+
+
 def test_complete_linkage_builds_no_chains():
     x = np.array([[math.cos(a), math.sin(a)] for a in (0, 0.7, 1.4)])
     assert len(set(cl.complete_linkage(x))) == 2
