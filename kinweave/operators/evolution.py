@@ -62,6 +62,29 @@ def all_paths(transition_rows: DataFrame, periods: int) -> DataFrame:
     return found
 
 
+def best_paths(transition_rows: DataFrame, periods: int, k: int = 5) -> DataFrame:
+    """The ``k`` first of all paths from a start to an end: path_id, duration, retained_total, mean_jaccard and nodes.
+
+    Longer ones come first, then those that retain more members, then the higher mean similarity, then the nodes.  Of
+    paths of one length that meet in a node only the ``k`` first so far can be among the first in the end, as what
+    follows adds the same to each; so each step keeps those, and work grows with the links times ``k``, where all paths
+    together may be many more.  Paths that part later and tie in sums are told apart by their nodes.
+    """
+    kinds = materialize(starts_and_ends(transition_rows), "kinds")
+    ends = kinds.where("kind = 'end'").select("node")
+    step = transition_rows.select(F.col("source_node").alias("node"), F.col("target_node").alias("following"), F.col("retained").cast("long").alias("r"), F.col("jaccard").alias("j"))
+    grown = kinds.where("kind = 'start'").select("node", F.array("node").alias("nodes"), F.lit(0).cast("long").alias("retained"), F.lit(0.0).alias("jaccard"))
+    found = grown.where("false")
+    first = Window.partitionBy("node", F.size("nodes")).orderBy(F.desc("retained"), F.desc(F.round("jaccard", 9)), "nodes")
+    for _ in range(periods - 1):
+        longer = grown.join(step, "node").select(F.col("following").alias("node"), F.concat("nodes", F.array("following")).alias("nodes"), (F.col("retained") + F.col("r")).alias("retained"), (F.col("jaccard") + F.col("j")).alias("jaccard"))
+        grown = materialize(longer.withColumn("place", F.row_number().over(first)).where(F.col("place") <= k).drop("place"), "paths")
+        found = found.unionByName(grown.join(ends, "node", "left_semi"))
+    duration = F.size("nodes").cast("long")
+    rows = found.select(path_id(F.col("nodes")).alias("path_id"), duration.alias("duration"), F.col("retained").alias("retained_total"), F.round(F.col("jaccard") / (duration - 1), 6).alias("mean_jaccard"), "nodes")
+    return rows.orderBy(F.desc("duration"), F.desc("retained_total"), F.desc("mean_jaccard"), "nodes").limit(k)
+
+
 def path_id(path):
     """A stable id of a path: the first 16 hex digits of the SHA-256 of its nodes joined by the unit separator."""
     return F.concat(F.lit("path_"), F.substring(F.sha2(F.array_join(path, "\x1f").cast("binary"), 256), 1, 16))

@@ -113,6 +113,58 @@ def graph_info(edges: DataFrame) -> DataFrame:
     return n.crossJoin(m).withColumn("density", F.when(F.col("nodes") > 1, F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1))).otherwise(0.0))
 
 
+def strong_components(edges: DataFrame) -> DataFrame:
+    """node and component (its smallest node) of a directed graph.
+
+    Nodes without a way in or out are components of their own and are trimmed first.  Then the highest node that
+    leads to each node is its colour; the nodes of a colour that lead back to that highest node are a component.  They
+    are taken out, and what is left is coloured anew.  Each step of a colour is a join; rounds are as many as the
+    longest way that colours go.  Null ends are left out.
+    """
+    links = materialize(edges.where("source IS NOT NULL AND target IS NOT NULL").select("source", "target").distinct(), "links")
+    left = materialize(endpoints(links).select("node"), "left")
+    found = left.where("false").select("node", F.col("node").alias("component"))
+    links = links.where("source <> target")
+    while not left.isEmpty():
+        inner = left.join(links.select(F.col("target").alias("node")), "node", "left_semi").join(links.select(F.col("source").alias("node")), "node", "left_semi")
+        inner = materialize(inner, "left")
+        trimmed = left.join(inner, "node", "left_anti")
+        found = found.unionByName(trimmed.select("node", F.col("node").alias("component")))
+        if inner.count() == left.count():
+            colours = _spread(inner.select("node", F.col("node").alias("colour")), links)
+            ends = colours.toDF("source", "cs"), colours.toDF("target", "ct")
+            own = links.join(ends[0], "source").join(ends[1], "target").where("cs = ct")
+            back = own.select(F.col("target").alias("source"), F.col("source").alias("target"))
+            seeds = colours.select("node", F.when(F.col("node") == F.col("colour"), F.col("colour")).alias("colour"))
+            met = materialize(_spread(seeds, back).where("colour IS NOT NULL"), "met")
+            names = met.groupBy("colour").agg(F.min("node").alias("component"))
+            found = found.unionByName(met.join(names, "colour").select("node", "component"))
+            inner = materialize(inner.join(met, "node", "left_anti"), "left")
+        left = inner
+        kept = lambda c: left.select(F.col("node").alias(c))
+        links = materialize(links.join(kept("source"), "source", "left_semi").join(kept("target"), "target", "left_semi"), "links")
+    return found
+
+
+def _spread(state: DataFrame, links: DataFrame) -> DataFrame:
+    """node and the highest colour that reaches it along ``links``; null colours take any."""
+    state = materialize(state, "colours")
+    while True:
+        came = links.join(state.select(F.col("node").alias("source"), "colour"), "source").groupBy(F.col("target").alias("node")).agg(F.max("colour").alias("came"))
+        higher = F.col("came").isNotNull() & (F.col("colour").isNull() | (F.col("came") > F.col("colour")))
+        after = materialize(state.join(came, "node", "left").select("node", F.when(higher, F.col("came")).otherwise(F.col("colour")).alias("colour"), higher.alias("moved")), "colours")
+        discard(state)
+        if after.where("moved").isEmpty():
+            return after.select("node", "colour")
+        state = materialize(after.select("node", "colour"), "colours")
+        discard(after)
+
+
+def strongly_connected(edges: DataFrame) -> DataFrame:
+    """One row: whether every node leads to every other; false for an empty graph."""
+    return strong_components(edges).agg((F.count_distinct("component") == 1).alias("is_strongly_connected"))
+
+
 def daily_statistics(messages: DataFrame, day) -> DataFrame:
     """Messages a day over the days that occur: least, most, mean and sample deviation; the earliest day of a tie."""
     days = messages.groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("n")).where("day IS NOT NULL")

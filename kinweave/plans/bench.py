@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from kinweave.operators.chunking import greedy_chunks
 from kinweave.registry import query, table
 
 
@@ -102,16 +103,5 @@ r AS (SELECT conv_id, i, turn, c, 0 AS chunk, 1 AS items, c AS chars FROM m WHER
  FROM r JOIN m ON m.conv_id = r.conv_id AND m.i = r.i + 1)
 SELECT conv_id, chunk, count(*) AS items, sum(c)::BIGINT AS chars FROM r GROUP BY 1, 2""")
 def request_chunks(spark, sf_dir):
-    """Greedy chunks of a conversation's messages, 3 items and 2000 characters at most: a fold over its ordered turns."""
-    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.length("text").cast("bigint").alias("c")))), lambda s: s["c"]).alias("sizes"))
-    start = F.expr("named_struct('done', cast(array() as array<struct<items:bigint,chars:bigint>>), 'items', 0L, 'chars', 0L)")
-
-    def step(s, x):
-        full = (s["items"] + 1 > 3) | (s["chars"] + x > 2000)
-        close = full & (s["items"] > 0)
-        done = F.when(close, F.concat(s["done"], F.array(F.struct(s["items"].alias("items"), s["chars"].alias("chars"))))).otherwise(s["done"])
-        return F.struct(done.alias("done"), F.when(close, 1).otherwise(s["items"] + 1).cast("bigint").alias("items"), F.when(close, x).otherwise(s["chars"] + x).alias("chars"))
-
-    folded = c.withColumn("f", F.aggregate("sizes", start, step))
-    chunks = F.concat(F.col("f.done"), F.array(F.struct(F.col("f.items").alias("items"), F.col("f.chars").alias("chars"))))
-    return folded.select("conv_id", F.posexplode(chunks).alias("chunk", "x")).select("conv_id", "chunk", F.col("x.items").alias("items"), F.col("x.chars").alias("chars"))
+    """Greedy chunks of a conversation's messages, 3 items and 2000 characters at most."""
+    return greedy_chunks(table(spark, sf_dir, "conversations"), "conv_id", "turn", F.length("text"), 3, 2000)

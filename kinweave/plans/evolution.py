@@ -157,3 +157,8 @@ def jaccard(spark, sf_dir):
     both = t.join(sets.toDF("source_node", "a"), "source_node").join(sets.toDF("target_node", "b"), "target_node")
     j = F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b"))
     return both.select("source_node", "target_node", F.round(j, 6).alias("jaccard")).where("jaccard < 1")
+
+
+@query("g13_best_paths", f"WITH RECURSIVE {PATH_TABLE} SELECT path_id, duration, retained_total, mean_jaccard, nodes FROM pt ORDER BY duration DESC, retained_total DESC, mean_jaccard DESC, nodes LIMIT 5")
+def best_paths(spark, sf_dir):
+    return ev.best_paths(transition_rows(spark, sf_dir), PERIODS)

@@ -223,3 +223,27 @@ def identifiers(spark, sf_dir):
 @query("w06_first_record", "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1")
 def first_record(spark, sf_dir):
     return net.first_per_key(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts"), ["user_id"], ["ts", "event_id"]).drop("ts")
+
+
+#: Edges from larger to smaller keys, so that ways lead back.
+RETURNING = KEPT + ", b AS (SELECT source, target FROM k UNION SELECT target, source FROM k WHERE target % 3 = 0)"
+
+
+def returning(spark, sf_dir):
+    k = kept(spark, sf_dir).select("source", "target")
+    return k.unionByName(k.where("target % 3 = 0").select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
+
+
+@query("a11_strong_components", f"""WITH RECURSIVE {RETURNING}, v AS (SELECT source AS node FROM b UNION SELECT target FROM b),
+r(x, y) AS (SELECT source, target FROM b UNION SELECT r.x, b.target FROM r JOIN b ON r.y = b.source),
+m AS (SELECT p.x AS node, min(p.y) AS other FROM r p JOIN r q ON q.x = p.y AND q.y = p.x GROUP BY 1)
+SELECT node, coalesce(least(node, other), node) AS component FROM v LEFT JOIN m USING (node)""")
+def strong_components(spark, sf_dir):
+    return net.strong_components(returning(spark, sf_dir))
+
+
+@query("a11_strongly_connected", f"""WITH RECURSIVE {RETURNING}, v AS (SELECT source AS node FROM b UNION SELECT target FROM b), o AS (SELECT min(node) AS o FROM v),
+f(n) AS (SELECT o FROM o UNION SELECT target FROM f JOIN b ON source = n), g(n) AS (SELECT o FROM o UNION SELECT source FROM g JOIN b ON target = n)
+SELECT (SELECT count(*) FROM f) = (SELECT count(*) FROM v) AND (SELECT count(*) FROM g) = (SELECT count(*) FROM v) AS is_strongly_connected""")
+def strongly_connected(spark, sf_dir):
+    return net.strongly_connected(returning(spark, sf_dir))

@@ -129,10 +129,12 @@ def verified(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame
     """Files below ``folder`` held against a manifest of (path, sha256, byte_size): path and status of each entry.
 
     Paths are those below the folder, so that equal names in different folders are told apart.  Statuses: ok, changed,
-    missing.
+    missing, and unchecked for files of the right size that are over ``HASHED`` bytes, or without a hash in the manifest.
     """
     found = files(spark, folder).select("path", F.col("sha256").alias("found_sha256"), F.col("byte_size").alias("found_size"))
-    status = F.when(F.col("found_size").isNull(), "missing").when(F.col("found_sha256").eqNullSafe(F.col("sha256")) & (F.col("found_size") == F.col("byte_size")), "ok").otherwise("changed")
+    same = F.col("found_size") == F.col("byte_size")
+    unknown = F.col("sha256").isNull() | F.col("found_sha256").isNull()
+    status = F.when(F.col("found_size").isNull(), "missing").when(same & unknown, "unchecked").when(same & (F.col("found_sha256") == F.col("sha256")), "ok").otherwise("changed")
     return manifest.join(found, "path", "left").select("path", status.alias("status"))
 
 

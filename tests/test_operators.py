@@ -481,3 +481,46 @@ def test_components_of_a_long_zigzag(spark):
     names = [f"{'AB'[i % 2]}_{i * 37 % 101:03d}" for i in range(60)]
     e = spark.createDataFrame([(names[i + i % 2], names[i + 1 - i % 2]) for i in range(59)], "source_node string, target_node string")
     assert {r.node: r.component for r in ev.components(e).collect()} == dict.fromkeys(names, min(names))
+
+
+def test_chunks_of_one_long_list(spark):
+    """One list that holds nearly all rows, sizes over the limit, none, and items of one chunk as many as allowed."""
+    from kinweave.operators.chunking import greedy_chunks
+
+    rng = np.random.default_rng(2)
+    rows = [("long", i, int(n)) for i, n in enumerate(rng.choice([0, 1, 5, 30, 120], 400))] + [("b", 1, 500), ("b", 2, 1), ("c", 1, None), (None, 1, 3)]
+    df = spark.createDataFrame(rows, "g string, i int, n int")
+    for most, size in ((3, 100), (1, 50), (8, 60), (100, 10**6)):
+        want = []
+        for g in ("long", "b", "c"):
+            chunks = [[]]
+            for _, _, n in sorted(r for r in rows if r[0] == g):
+                if chunks[-1] and (len(chunks[-1]) >= most or sum(chunks[-1]) + (n or 0) > size):
+                    chunks.append([])
+                chunks[-1].append(n or 0)
+            want += [(g, k, len(c), sum(c)) for k, c in enumerate(chunks)]
+        assert sorted(map(tuple, greedy_chunks(df, "g", "i", F.col("n"), most, size).collect())) == sorted(want)
+
+
+def test_strong_components(spark):
+    """A cycle, a chain, a loop, two components that share a way, and random graphs against reachability."""
+    rng = np.random.default_rng(6)
+    graphs = [[(i, (i + 1) % 9) for i in range(9)], [(1, 2), (2, 3), (3, 3)], [(1, 2), (2, 1), (2, 5), (5, 6), (6, 5)], [tuple(e) for e in rng.integers(0, 14, (20, 2)).tolist()]]
+    for edges in graphs:
+        nodes = sorted({n for e in edges for n in e})
+        reach = {n: {n} for n in nodes}
+        for _ in nodes:
+            reach = {n: r | {b for a, b in edges if a in r} for n, r in reach.items()}
+        want = {n: min(m for m in nodes if m in reach[n] and n in reach[m]) for n in nodes}
+        e = spark.createDataFrame(edges, "source int, target int")
+        assert {r.node: r.component for r in net.strong_components(e).collect()} == want
+    assert not net.strongly_connected(e.where("false")).first()[0] and net.strongly_connected(spark.createDataFrame(graphs[0], "source int, target int")).first()[0]
+
+
+def test_best_paths_are_the_first_of_all(spark):
+    rng = np.random.default_rng(9)
+    rows = [(f"{p}_{a}", f"{p + 1}_{b}", int(rng.integers(1, 4)), float(rng.integers(1, 4)) / 4) for p in range(4) for a in range(5) for b in range(5) if rng.random() < 0.5]
+    t = spark.createDataFrame(rows, "source_node string, target_node string, retained int, jaccard double")
+    table = ev.path_table(ev.all_paths(t, 5), t)
+    want = sorted((-r.duration, -r.retained_total, -r.mean_jaccard, r.nodes) for r in table.collect())[:7]
+    assert [(-r.duration, -r.retained_total, -r.mean_jaccard, r.nodes) for r in ev.best_paths(t, 5, 7).collect()] == want
