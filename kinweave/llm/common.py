@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from kinweave.scratch import discard as discard
 from kinweave.scratch import materialize as materialize
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows and bytes that an Arrow batch may hold on its way to a Python worker; a batch is closed when either is reached.
@@ -62,6 +62,37 @@ def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return left if stay is None else stay.unionByName(left)
 
 
+def drawn(rows: DataFrame, bound: int, within: str | None = None, totals: dict | int | None = None) -> DataFrame:
+    """At most ``bound`` rows of ``rows`` (of each value of ``within``, not null), picked by a hash of all columns.
+
+    Rows that are equal in all columns are one here, so neither null nor repeated ids bring more rows.  ``totals``: the
+    number of rows, by value if ``within`` is given; counted if not.  A threshold of the hash leaves about ``bound``
+    rows, of which the first are taken by its order.
+    """
+    if totals is None:
+        totals = {r[0]: r[1] for r in rows.groupBy(within).count().collect()} if within else rows.count()
+    draw, most = fresh(rows, "__draw"), 1 << 62
+    hashed = rows.withColumn(draw, F.pmod(F.xxhash64(*rows.columns, F.lit(17)), F.lit(most)))
+    share = lambda n: int(most * min(1.0, 1.1 * bound / max(1, n)))
+    edge = F.coalesce(*(F.when(F.col(within) == x, F.lit(share(n))) for x, n in totals.items()), F.lit(0)) if within else F.lit(share(totals))
+    some = hashed.where(F.col(draw) <= edge).dropDuplicates(rows.columns)
+    place = fresh(some, "__place")
+    window = Window.partitionBy(within if within else F.lit(0)).orderBy(draw, *rows.columns)
+    return some.withColumn(place, F.row_number().over(window)).where(F.col(place) <= bound).drop(place, draw)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int) -> DataFrame:
+    """draw, id, y and text of at most ``sample`` labelled ids, drawn by a hash of the id, one row for each.
+
+    Labels that contradict each other for an id, null labels and null ids are not learned from; of rows that share an
+    id the one whose text has the smallest hash is.  Ids and labels of the sample are broadcast.
+    """
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("y"), F.max(label_col).alias("top"))
+    picked = known.where("y = top").select("id", "y", F.xxhash64(F.col("id").cast("string"), F.lit(11)).alias("draw")).orderBy("draw", "id").limit(sample)
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(picked), "id")
+    return rows.groupBy("id").agg(F.min("y").alias("y"), F.min("draw").alias("draw"), F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
 def remainder(doc_id: Column, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(mod)

@@ -17,9 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, mix
+from .common import discard, drawn, map_arrow, materialize, mix
 
 N = 4
+#: Share of what a language explains of its own documents that it has to explain of a text.
+LEAST_EXPLAINED = 0.2
 #: Bound of the sample: documents of each language that the filters are learned from.
 SAMPLE = 1500
 #: Positions of the table (a power of two) and hash functions.
@@ -90,8 +92,14 @@ class Filters:
     rates: np.ndarray
     hashes: int = HASHES
     fallback: int = 0
+    #: Mean share of n-grams that each filter holds of the documents it was learned from.
+    typical: np.ndarray | None = None
     _width: int = field(default=64, repr=False)
 
+    def __post_init__(self) -> None:
+        if self.typical is None:
+            self.typical = np.ones(len(self.languages))
+
     def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """n-grams of each text, and how many of them each language's filter holds."""
         code, begin = _codes(texts)
@@ -112,10 +120,19 @@ class Filters:
         return total, held
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        """Language and score of each text."""
+        return self.judge(texts)[:2]
+
+    def judge(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score, and how much of the text the language explains, by what it explains of its own documents.
+
+        That is the share of n-grams that its filter holds, over the mean share of the documents it was learned from; 1
+        for a text without an n-gram, and where filters hold nothing of their own documents.
+        """
         total, held = self.counts(texts)
         corrected = np.maximum(0.0, (held - total[:, None] * self.rates) / (1 - self.rates))
         if not self.languages:
-            return [UND] * len(texts), np.zeros(len(texts))
+            return [UND] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         best = corrected.argmax(axis=1)
         top = corrected[np.arange(len(texts)), best]
         best = np.where(top > 0, best, self.fallback)
@@ -123,13 +140,16 @@ class Filters:
         second = np.partition(corrected, -2, axis=1)[:, -2] if len(self.languages) > 1 else np.zeros(len(texts))
         score = np.where(top > 0, top / np.maximum(top + second, 1e-9), 0.0)
         names = [self.languages[i] if _LETTER.search(t) else UND for i, t in zip(best, texts, strict=True)]
-        return names, np.where([n == UND for n in names], 0.0, score)
+        usual = self.typical[best]
+        explained = np.where((total > 0) & (usual > 0), top / np.maximum(1, total) / np.maximum(usual, 1e-9), 1.0)
+        return names, np.where([n == UND for n in names], 0.0, score), explained
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> Filters:
-    """Learn filters from labelled documents: about ``sample`` of each language, picked by a hash of the id.
+    """Learn filters from labelled documents: at most ``sample`` of each language, picked by a hash of the row.
 
-    Null languages and null texts are not learned from.  More than ``LANGUAGES`` different values are an error.
+    Null languages and null texts are not learned from, rows that repeat count once, and an n-gram needs two documents
+    at least, so a language with one document is never given.  More than ``LANGUAGES`` different values are an error.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     per = {r[0]: r[1] for r in known.groupBy(lang_col).count().limit(LANGUAGES + 1).collect()}
@@ -138,9 +158,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     languages = sorted(per)
     if not languages:
         return Filters([], [np.zeros(2, dtype=np.uint8)], np.zeros(0))
-    share = F.coalesce(*(F.when(F.col(lang_col) == x, F.lit(min(1.0, sample / per[x]))) for x in languages))
-    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    picked = known.where(draw < share).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    rows = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
+    picked = materialize(drawn(rows, sample, "lang", per).drop("id"), "sample")
     number = {x: i for i, x in enumerate(languages)}
 
     def grams(batch):
@@ -182,20 +201,39 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
         mine = plane == p
         entries[position[mine]] = mask[mine].view(np.uint64).astype(kind)
     fill = np.array([((planes[i // 64] >> kind(i % 64)) & kind(1)).mean() for i in range(len(languages))])
-    return Filters(languages, planes, np.minimum(fill**HASHES, 0.99), fallback=int(np.argmax([per[x] for x in languages])))
+    filters = Filters(languages, planes, np.minimum(fill**HASHES, 0.99), fallback=int(np.argmax([per[x] for x in languages])))
+    shared = docs.sparkSession.sparkContext.broadcast(filters)
 
+    def shares(batch):
+        lang, share = batch.column(0).to_pylist(), [np.zeros(0)]
+        for lo, hi in _parts(texts := batch.column(1).to_pylist()):
+            total, held = shared.value.counts(texts[lo:hi])
+            own = np.array([number[x] for x in lang[lo:hi]])
+            share.append(np.where(total > 0, (held[np.arange(hi - lo), own] - total * shared.value.rates[own]) / (1 - shared.value.rates[own]) / np.maximum(1, total), np.nan))
+        return {"lang": [number[x] for x in lang], "share": np.concatenate(share)}
 
-def _predicted(filters: Filters, texts: list[str]) -> tuple[list[str], np.ndarray]:
-    """Language and score of each text, some texts at a time."""
-    names, scores, begin, size = [], [np.zeros(0)], 0, 0
+    means = map_arrow(picked, shares, "lang int, share double").where("NOT isnan(share)").groupBy("lang").agg(F.avg("share").alias("share"))
+    for r in means.collect():
+        filters.typical[r["lang"]] = max(0.0, r["share"])
+    discard(picked)
+    return filters
+
+
+def _parts(texts: list[str]) -> list[tuple[int, int]]:
+    """Ranges of texts of about ``CHARS`` together."""
+    out, begin, size = [], 0, 0
     for i, t in enumerate(texts):
         size += len(t)
         if size > CHARS or i + 1 == len(texts):
-            found, score = filters.predict(texts[begin : i + 1])
-            names += found
-            scores.append(score)
+            out.append((begin, i + 1))
             begin, size = i + 1, 0
-    return names, np.concatenate(scores)
+    return out
+
+
+def _judged(filters: Filters, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """What ``judge`` says of each text, some texts at a time."""
+    found = [filters.judge(texts[lo:hi]) for lo, hi in _parts(texts)]
+    return [n for f in found for n in f[0]], *(np.concatenate([np.zeros(0), *(f[i] for f in found)]) for i in (1, 2))
 
 
 def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,24 +250,27 @@ def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col
     shared = docs.sparkSession.sparkContext.broadcast(filters)  # POSITIONS entries a plane, whatever the corpus
 
     def run(batch):
-        names, scores = _predicted(shared.value, batch.column(1).to_pylist())
+        names, scores, _ = _judged(shared.value, batch.column(1).to_pylist())
         return {"doc_id": batch.column(0), "lang_pred": names, "score": scores}
 
     return map_arrow(rows, run, f"doc_id {kind}, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataFrame:
-    """The documents that are not ``und``, with all columns: those with a letter in their text.
+    """The documents in a language that the filters know, with all columns.
 
-    Null and empty texts go; rows that repeat and rows with a null id are judged each; with no labelled document to
-    learn from all go; an empty table gives no rows.
+    ``und`` goes, and so does a text of which the best language explains less than ``LEAST_EXPLAINED`` of what it
+    explains of its own documents on average: another language, or none.  Texts too short for an n-gram stay if they have
+    a letter.  Null and empty texts go; rows that repeat and rows with a null id are judged each; with no labelled
+    document to learn from all go; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(filters)
     at = docs.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
-            keep = [n != UND for n in _predicted(shared.value, [t or "" for t in batch.column(at).to_pylist()])[0]]
+            names, _, explained = _judged(shared.value, [t or "" for t in batch.column(at).to_pylist()])
+            keep = np.array([n != UND for n in names], dtype=bool) & (explained >= LEAST_EXPLAINED)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

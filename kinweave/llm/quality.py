@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, blocks, map_arrow, materialize, mix, utf8, word_hashes, words_of
+from .common import IS_SPACE, blocks, labelled_sample, map_arrow, materialize, mix, utf8, word_hashes, words_of
 
 #: Bound of the sample: labelled documents that the model is learned from.
 SAMPLE = 12_000
@@ -128,18 +128,8 @@ def _train(x: np.ndarray, y: np.ndarray, seed: int = 7) -> tuple[np.ndarray, np.
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
-    """Learn from about ``sample`` labelled documents, picked by a hash of the id.
-
-    Only ids and labels of the sample are broadcast (``sample`` bounds them); labels that contradict each other for an
-    id, null labels and null ids are not learned from.
-    """
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).alias("y"), F.max(label_col).alias("top"))
-    known = known.where("y = top")
-    total = known.count()
-    draw = F.pmod(F.xxhash64(F.col("__id").cast("string")), F.lit(1 << 20))
-    picked = known.where(draw < int((1 << 20) * min(1.0, sample / max(1, total)))).select("__id", "y", draw.alias("draw"))
-    rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(picked), "__id")
-    held = materialize(rows.select("draw", "y", "text").repartition(8, "draw"), "sample")
+    """Learn from at most ``sample`` labelled documents, as ``labelled_sample`` draws them."""
+    held = materialize(labelled_sample(docs, labels, id_col, text_col, label_col, sample).select("draw", "y", "text").repartition(8, "draw"), "sample")
 
     index = index_vectors()
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, NOT_ALNUM, blocks, map_arrow, materialize, utf8, word_hashes, words_of
+from .common import LOWER_AZ, NOT_ALNUM, blocks, labelled_sample, map_arrow, materialize, utf8, word_hashes, words_of
 
 #: Bounds of what is learned from: examples, terms, and nonzero weights of all examples together.
 SAMPLE, TERMS, WEIGHTS = 16_384, 4_096, 1 << 21
@@ -168,19 +168,6 @@ class Model:
         return score, [[i for i, _ in row] for row in near], [[c for _, c in row] for row in near]
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int) -> DataFrame:
-    """draw, id, y and text of at most ``sample`` labelled ids, drawn by a hash of the id, one row for each, written.
-
-    Labels that contradict each other for an id, null labels and null ids are not learned from; of rows that share an
-    id the one whose text has the smallest hash is.
-    """
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("y"), F.max(label_col).alias("top"))
-    picked = known.where("y = top").select("id", "y", F.xxhash64(F.col("id").cast("string"), F.lit(11)).alias("draw")).orderBy("draw", "id").limit(sample)
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(picked), "id")
-    one = rows.groupBy("id").agg(F.min("y").alias("y"), F.min("draw").alias("draw"), F.min_by("text", F.xxhash64("text")).alias("text"))
-    return materialize(one, "examples")
-
-
 def choose_terms(held: DataFrame, most: int = TERMS, least: int = LEAST, chi_square: float = CHI_SQUARE) -> list[bytes]:
     """At most ``most`` words by the chi-square of occurring in an example and its label, highest first."""
     totals = held.groupBy("y").count().collect()
@@ -218,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, id_
 
     The index comes to the driver and is broadcast: the two bounds, and TERMS, hold its size.
     """
-    held = labelled_sample(docs, labels, id_col, text_col, label_col, sample)
+    held = materialize(labelled_sample(docs, labels, id_col, text_col, label_col, sample), "examples")
     terms = Terms(choose_terms(held))
     n, rows = document_frequencies(docs if corpus is None else corpus, terms, text_col)
     model = Model(terms, np.log((rows + 1) / (n + 1)) + 1)

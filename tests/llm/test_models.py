@@ -74,8 +74,9 @@ def test_language_edge_cases(frame, odd_rows, clashing):
     assert lang_id.identify(frame([]), filters).count() == 0
     none = lang_id.fit(frame([]))
     assert {r.lang_pred for r in lang_id.identify(clashing, none).collect()} == {"und"}
-    kept = lang_id.keep_known(frame(odd_rows), filters)
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id) == [5, 5, 6, 7, 8]
+    # no text of another language stays, nor of none; one of known words does, and one too short to tell
+    kept = lang_id.keep_known(frame([*odd_rows, (31, "old river"), (32, "alte fluss"), (33, "日"), (34, "123 !?")]), filters)
+    assert sorted(r.doc_id for r in kept.collect()) == [31, 32, 33]
 
 
 # --- language model
@@ -360,3 +361,40 @@ def test_common_subsequence():
             for j in range(len(b)):
                 best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
         assert decontam.lcs(np.array(a, np.uint64), np.array(b, np.uint64)) == best[-1][-1]
+
+
+# --- samples are bounded by rows
+
+
+@pytest.mark.parametrize("ids", [lambda i: None, lambda i: 7, lambda i: i, lambda i: None if i % 2 else i])
+def test_samples_never_exceed_their_bounds(spark, frame, monkeypatch, ids):
+    """Null ids, one id for all rows, unlike ids: as many rows as the bound, and repeated rows are one."""
+    rows = [(ids(i), f"text number {i} of many words", "en" if i % 3 else "de") for i in range(400)]
+    df = frame(rows + rows[:150])
+    key = df.select("doc_id", "text")
+    assert 20 <= common.drawn(key, 40).count() <= 40 and common.drawn(key, 10**6).count() == 400
+    per = {r[0]: r[1] for r in common.drawn(df.select("lang", "text", "doc_id"), 30, "lang").groupBy("lang").count().collect()}
+    assert set(per) == {"en", "de"} and all(15 <= n <= 30 for n in per.values())
+    same = frame([(i % 2, "the same text") for i in range(300)])
+    assert common.drawn(same.select("doc_id", "text"), 10).count() <= 2
+    monkeypatch.setattr(decontam, "SAMPLE", 25)
+    bench = spark.createDataFrame([(1, "some words of an item that is long enough to be found in a text")], "item_id bigint, text string")
+    assert 10 <= decontam.fit(df, bench).sample.count() <= 25
+    labels = spark.createDataFrame([(r[0], n % 2) for n, r in enumerate(rows)], "doc_id bigint, quality int")
+    assert common.labelled_sample(df, labels, "doc_id", "text", "quality", 35).count() <= 35
+
+
+def test_registered_queries_hold_rows_out(spark):
+    """What the thin queries add to the operators: columns, types, splits by crc32, and one row a document."""
+    from kinweave.llm import queries
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    expected = {
+        "op5_language_id": (4, 2, ["doc_id", "held_out", "lang_pred", "score"]), "op8_quality": (5, 0, ["doc_id", "held_out", "score", "predicted"]),
+        "op6_lm_score": (10, 0, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]),
+    }
+    for name, (mod, rest, columns) in expected.items():
+        df = queries.QUERIES[name](spark, SF)
+        rows = df.collect()
+        assert df.columns[: len(columns)] == columns and sorted(r.doc_id for r in rows) == sorted(docs), name
+        assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % mod == rest) for r in rows), name

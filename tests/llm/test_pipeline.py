@@ -1,18 +1,37 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import corpus_pipeline
 import public_tokenizers
 from llm_texts import prose
-from kinweave.llm import bpe
+from kinweave.llm import bpe, lang_id
 from pyspark.sql import functions as F
 from test_simhash import brute_fingerprint
 
 
+def grams(text):
+    text = re.sub(" +", " ", " " + "".join(c if c.isalpha() or ord(c) > 0xFFFF else " " for c in text.lower()) + " ")
+    return [text[i : i + 4] for i in range(len(text) - 3)]
+
+
+def share(known, text):
+    return sum(g in known for g in grams(text)) / len(grams(text))
+
+
+def language(texts):
+    """The n-grams of the one language, and the mean share of n-grams that they are of its documents."""
+    n = Counter(g for t in texts for g in set(grams(t)))
+    known = {g for g, k in n.items() if k >= max(2, lang_id.LEAST_SHARE * len(texts))}
+    return known, sum(share(known, t) for t in texts if grams(t)) / sum(bool(grams(t)) for t in texts)
+
+
 def brute(rows, items):
     """(id, text) of the rows that all filtering stages leave; ids that are null come last."""
     left = [(d is None, d or 0, n, t) for n, (d, t) in enumerate(rows) if t and re.search(r"[^\W\d_]", t)]
+    known, typical = language([t for _, t in {(d, t) for d, t in rows if t is not None}])
+    left = [x for x in left if not grams(x[3]) or share(known, x[3]) >= 0.2 * typical]
     best = {}
     for none, d, n, t in left:
         key = re.sub(r"[\x20\x09-\x0D]", "", t)
@@ -39,6 +58,11 @@ def test_pipeline_like_brute_force(spark, frame, tmp_path):
     two, three, four = (prose(rng, 90) for _ in range(3))
     rows += [(3, two), (4, two), (5, three), (5, three + "   "), (None, four), (None, four), (None, prose(rng, 50)), (7, rows[8][1]), (300, "long text " * 20000), (301, ""), (None, None)]
     rows += [(400 + i, three) for i in range(50)]
+    # other scripts, and signs: no language explains them; one that is explained in part stays
+    foreign = [(500, "Съешь же ещё этих мягких булок да выпей чаю " * 3), (501, "xqzv jkwq zzxv qqwk vvkj " * 9), (502, "Съешь чаю. " + prose(rng, 60))]
+    rows += foreign
+    left = {d for d, _ in brute(rows, items)}
+    assert left & {500, 501, 502} == {502}
     frame(rows).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(items, "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     found = corpus_pipeline.run(spark, str(tmp_path)).collect()

@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
-from kinweave.llm import queries, toxicity
+from kinweave.llm import common, queries, toxicity
 from llm_texts import prose
 from pyspark.sql import functions as F
 
@@ -124,9 +124,9 @@ def test_sample_never_over_its_bound(spark, frame):
     """All labelled ids equal or null: one row or none is learned from."""
     same = frame([(1, f"text {i}") for i in range(300)])
     known = spark.createDataFrame([(1, 1)] * 300 + [(None, 0)] * 300, "doc_id bigint, toxic int")
-    assert toxicity.labelled_sample(same, known, "doc_id", "text", "toxic", 50).count() == 1
+    assert common.labelled_sample(same, known, "doc_id", "text", "toxic", 50).count() == 1
     nulls = frame([(None, f"text {i}") for i in range(300)])
-    assert toxicity.labelled_sample(nulls, known, "doc_id", "text", "toxic", 50).count() == 0
+    assert common.labelled_sample(nulls, known, "doc_id", "text", "toxic", 50).count() == 0
 
 
 def test_nothing_to_learn(spark, frame, clashing):
