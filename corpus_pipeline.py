@@ -14,7 +14,7 @@ from kinweave.llm import bpe, common, decontam, exact_dedup, lang_id, queries, s
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language that can be told (no text, or no letter in it) go.
+    """Documents in no language that the labelled ones teach go: no text, no letter in it, or n-grams that no language's filter holds.
 
     So null and empty texts go; a null id or language, repeated rows and very long texts make no difference.
     """
