@@ -10,9 +10,10 @@ words, each together with the class.  Words outside the shortlist have their smo
 class, in which an unseen word has an equal part of the smoothing mass; so the probabilities of all words, known and
 unseen, sum to one in every context.
 
-Training is distributed: in each round every partition runs mini-batches of AdaGrad over its share of the tokens of each
-of its training documents, from the same weights, and the moved weights are averaged by use, in levels of ``FAN``
-partitions each; the rounds together take every token of every training document once.
+Training is distributed: documents take turns in ``ROUNDS`` rounds, by a hash of their text.  In a round tasks of
+``TOGETHER`` partitions run mini-batches of AdaGrad over all tokens of their documents, from the same weights and
+gradient squares; the moves are averaged by use, in levels of ``FAN`` tasks each, and enlarged as ``_round`` says.  So
+every token of every training document is learned from once, and how rows are dealt out matters little.
 
 Counts of all training words are needed exactly.  Words are counted by a 64-bit hash.  Words with at least
 1 / ``HEAVY`` of the tokens (so at most ``HEAVY`` of them) are broadcast; the others of a document meet their counts in
@@ -38,7 +39,9 @@ HEAVY = 100_000
 CLASSES, SLOTS, ENDS = 64, 64, 16
 #: Features of either factor, and rows of weights of each feature (a power of two; together at most 2^16).
 FEATURES, BUCKETS = (3, 2), (1 << 12, 1 << 13)
-ROUNDS, BATCH, RATE = 2, 8192, 0.3
+ROUNDS, BATCH, RATE = 16, 8192, 0.3
+#: Partitions whose documents of a round one task learns from.
+TOGETHER = 8
 #: Rows of weights that move as one record, and partitions whose moves one group adds up.
 BLOCK, FAN = 256, 32
 #: The hash of the end token.
@@ -80,6 +83,8 @@ class Model:
     place: np.ndarray  # of each broadcast word, class * SLOTS + slot, or -1 outside the shortlist
     bias: list[np.ndarray]  # log P0 of the classes, and of the slots of each class
     weights: list[np.ndarray] = field(default_factory=lambda: [np.zeros((f * b, w), np.float32) for f, b, w in zip(FEATURES, BUCKETS, (CLASSES + ENDS, SLOTS), strict=True)])
+    #: Sums of squared gradients of each row of weights so far.
+    squares: list[np.ndarray] = field(default_factory=lambda: [np.zeros(f * b, np.float32) for f, b in zip(FEATURES, BUCKETS, strict=True)])
     tokens: int = 0
     distinct: int = 0
 
@@ -247,12 +252,6 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     return model, counts.select("h", "c")
 
 
-def round_of(t: Tokens) -> np.ndarray:
-    """The round whose gradients each token takes part in, by its place in its text."""
-    place = np.arange(len(t.hashes)) - t.first[t.text]
-    return (place + 5 * (place // ROUNDS)) % ROUNDS
-
-
 class _Learner:
     """What one partition moves in a round."""
 
@@ -260,7 +259,7 @@ class _Learner:
         self.model = model
         self.weights = [w.copy() for w in model.weights]
         self.used = [np.zeros(len(w), np.float32) for w in self.weights]
-        self.squares = [np.zeros(len(w), np.float32) for w in self.weights]
+        self.squares = [q.copy() for q in model.squares]
         self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.size = 0
 
@@ -293,29 +292,36 @@ class _Learner:
         for factor, (new, old, used) in enumerate(zip(self.weights, self.model.weights, self.used, strict=True)):
             for b in range(0, len(new), BLOCK):
                 if used[b : b + BLOCK].any():
-                    out.append((factor, b // BLOCK, partition, (new[b : b + BLOCK] - old[b : b + BLOCK]).astype(np.float16).tobytes(), used[b : b + BLOCK].tobytes()))
-        columns = list(zip(*out, strict=True)) if out else [[]] * 5
-        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=["factor", "block", "salt", "moved", "used"])
+                    out.append((factor, b // BLOCK, partition, (new[b : b + BLOCK] - old[b : b + BLOCK]).astype(np.float16).tobytes(), used[b : b + BLOCK].tobytes(), (used[b : b + BLOCK] ** 2).tobytes(), (self.squares[factor][b : b + BLOCK] - self.model.squares[factor][b : b + BLOCK]).tobytes()))
+        columns = list(zip(*out, strict=True)) if out else [[]] * 7
+        kinds = (pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 4)
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=["factor", "block", "salt", "moved", "used", "squares", "steep"])
 
 
-_MOVES = "factor int, block int, salt int, moved binary, used binary"
+_MOVES = "factor int, block int, salt int, moved binary, used binary, squares binary, steep binary"
 
 
 def _mean(group: pd.DataFrame) -> pd.DataFrame:
-    """The moves of a block, averaged by use."""
-    used = np.zeros(BLOCK, np.float32)
+    """The moves of a block, averaged by use, with the sums of the uses, of their squares, and of squared gradients."""
+    used, squares, steep = np.zeros((3, BLOCK), np.float32)
     moved = 0.0
-    for m, u in zip(group["moved"], group["used"], strict=True):
+    for m, u, q, s in zip(group["moved"], group["used"], group["squares"], group["steep"], strict=True):
+        steep += np.frombuffer(s, np.float32)
         u = np.frombuffer(u, np.float32)
+        squares += np.frombuffer(q, np.float32)
         moved = moved + np.frombuffer(m, np.float16).astype(np.float32).reshape(BLOCK, -1) * u[:, None]
         used += u
     moved = (moved / np.maximum(used, 1)[:, None]).astype(np.float16)
-    return group.iloc[:1].assign(moved=[moved.tobytes()], used=[used.tobytes()])
+    return group.iloc[:1].assign(moved=[moved.tobytes()], used=[used.tobytes()], squares=[squares.tobytes()], steep=[steep.tobytes()])
 
 
 def _round(docs: DataFrame, model: Model, number: int) -> None:
-    """Every partition moves the weights by its mini-batches; the moves are averaged, each row by its use.
+    """Every partition moves the weights by its mini-batches; the moves are averaged, each row by its use, and enlarged.
+
+    After m steps of AdaGrad a weight has moved in proportion to the square root of m.  A row that k partitions used
+    alike would, in one partition, have had k times as many steps; so its mean move is multiplied by the square root of
+    k, here the square of the sum of uses by the sum of their squares.  What is learned then hardly depends on how the
+    rows are dealt out.
 
     A partition gives at most the whole tables, and a group adds up the blocks of at most FAN partitions; the levels
     grow with the logarithm of the partitions.  The averaged tables, of fixed size, come to the driver.
@@ -328,12 +334,12 @@ def _round(docs: DataFrame, model: Model, number: int) -> None:
             texts = utf8(batch.column(0))
             for lo, hi in blocks(texts):
                 t = tokens_of(texts[lo:hi])
-                learner.add(t, np.flatnonzero(round_of(t) == number))
+                learner.add(t, np.arange(len(t.hashes)))
         learner.learn()
         yield learner.moves(TaskContext.get().partitionId())
 
-    rows = docs.select("text")
-    left = rows.rdd.getNumPartitions()
+    left = max(1, -(-docs.rdd.getNumPartitions() // TOGETHER))
+    rows = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == number).coalesce(left)
     moves = rows.mapInArrow(run, _MOVES)
     while True:
         moves = moves.withColumn("salt", F.floor(F.col("salt") / FAN).cast("int")).groupBy("factor", "block", "salt").applyInPandas(_mean, _MOVES)
@@ -342,7 +348,10 @@ def _round(docs: DataFrame, model: Model, number: int) -> None:
             break
     for r in moves.toLocalIterator():
         table = model.weights[r["factor"]]
-        table[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] += np.frombuffer(r["moved"], np.float16).astype(np.float32).reshape(BLOCK, -1)
+        used, squares = np.frombuffer(r["used"], np.float32), np.frombuffer(r["squares"], np.float32)
+        model.squares[r["factor"]][r["block"] * BLOCK : (r["block"] + 1) * BLOCK] += np.frombuffer(r["steep"], np.float32)
+        alike = np.sqrt(used * used / np.maximum(squares, 1e-9))[:, None]
+        table[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] += alike * np.frombuffer(r["moved"], np.float16).astype(np.float32).reshape(BLOCK, -1)
     shared.unpersist()
 
 

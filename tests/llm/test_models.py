@@ -363,6 +363,20 @@ def test_common_subsequence():
         assert decontam.lcs(np.array(a, np.uint64), np.array(b, np.uint64)) == best[-1][-1]
 
 
+# --- training and partitions
+
+
+def test_learning_hardly_depends_on_partitions(spark):
+    """Held-out log10 a token with the training rows in 1, 4 and 32 partitions."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = common.remainder(F.col("doc_id"), 10) == 0
+    found = {}
+    for n in (1, 4, 32):
+        r = lm_score.score(docs.where(out), docs.where(~out).repartition(n)).agg(F.sum("score") / F.sum("n_tokens"), F.sum("base_score") / F.sum("n_tokens")).first()
+        found[n] = r[0] - r[1]
+    assert min(found.values()) > 0.15 and max(found.values()) - min(found.values()) < 0.05, found
+
+
 # --- samples are bounded by rows
 
 
