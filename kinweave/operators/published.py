@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinweave.operators import clustering as cl
 from kinweave.operators import vectors as vec
+from kinweave.sources import pages
 
 
 def cross_similarity(steps: DataFrame, similarity: DataFrame) -> DataFrame:
@@ -76,6 +77,19 @@ def user_graph(edges: DataFrame, membership: DataFrame, least: float = 0.0, max_
     return {"edges": shown.select("source", "target", "weight"), "nodes": nodes, "coverage": coverage.withColumn("truncated", F.col("all_edges") > F.col("edges"))}
 
 
+def evidence_page(rows: DataFrame, period: str, theme: str, order: list, offset: int = 0, limit: int = 100) -> DataFrame:
+    """A page of the observations (period, theme and others) of one theme in one period, with the ``total`` of them.
+
+    An error if the theme is blank or the period has no observation of any theme; a theme that is not there gives no rows.
+    """
+    if not (theme or "").strip():
+        raise ValueError("a theme is required")
+    of_period = rows.where(F.col("period") == period)
+    if of_period.isEmpty():
+        raise ValueError(f"no evidence for the period {period}")
+    return pages([of_period.where(F.col("theme") == theme.strip())], order, offset, limit).drop("table_number")
+
+
 def one_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """A left join on a key that may be in no side twice; a row that repeats it is an error when the result is read."""
     def once(df: DataFrame) -> DataFrame:

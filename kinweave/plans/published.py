@@ -189,3 +189,18 @@ def response_cache(spark, sf_dir):
 @query("v12_percentile", "SELECT o_orderpriority, quantile_cont(o_totalprice, 0.9) AS p90, quantile_cont(o_totalprice, 0.25) AS p25 FROM orders GROUP BY 1")
 def percentile(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.percentile("o_totalprice", 0.9).alias("p90"), F.percentile("o_totalprice", 0.25).alias("p25"))
+
+
+@query("s08_file_page", "SELECT event_id, event_type, user_id FROM events LIMIT 100 OFFSET 250")
+def file_page(spark, sf_dir):
+    """A page in the order of files and rows, from the files that hold it."""
+    from kinweave.sources import file_page as one_page
+
+    return one_page(spark, f"{sf_dir}/events.parquet", 250, 100).select("event_id", "event_type", "user_id")
+
+
+@query("theme_evidence_page", f"WITH {th.ROWS}, e AS (SELECT period, label AS theme, pair_key, seq FROM ob WHERE period = '2017-03' AND label = 'STANDARD') SELECT *, (SELECT count(*) FROM e) AS total FROM e ORDER BY seq, pair_key LIMIT 20 OFFSET 5")
+def theme_evidence(spark, sf_dir):
+    """The second page of one theme's observations in one period, with their number."""
+    o = th.observations(spark, sf_dir).select("period", F.col("label").alias("theme"), "pair_key", "seq")
+    return pub.evidence_page(o, "2017-03", "STANDARD", ["seq", "pair_key"], 5, 20)

@@ -88,6 +88,31 @@ def page(df: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def file_page(spark: SparkSession, path: str, offset: int, limit: int) -> DataFrame:
+    """Rows ``offset`` to ``offset`` + ``limit`` of a Parquet table in the order of its files and the rows in them.
+
+    The rows of each file are counted from footers, a row for each file comes to the driver, and only files that hold
+    part of the page are read; within them row groups before and behind it are read past.  Nothing but the page is
+    sorted.  Negative numbers count as 0; beyond the last row there are no rows.
+    """
+    whole = spark.read.parquet(path)
+    start, stop = max(0, offset), max(0, offset) + max(0, limit)
+    place, begins = 0, {}
+    for r in whole.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n")).orderBy("file").collect():
+        if place < stop and place + r["n"] > start:
+            begins[r["file"]] = place
+        place += r["n"]
+    if not begins:
+        return whole.limit(0)
+    reader = spark.read.schema(whole.schema)
+    if list(begins)[0].rpartition("/")[2] != path.rstrip("/").rpartition("/")[2]:  # a folder, whose partitions are columns
+        reader = reader.option("basePath", path)
+    few = reader.parquet(*begins)
+    first = F.create_map(*[F.lit(x) for pair in begins.items() for x in pair])
+    at = F.element_at(first, F.col("_metadata.file_path")) + F.col("_metadata.row_index")
+    return few.withColumn("__at", at).where((F.col("__at") >= start) & (F.col("__at") < stop)).orderBy("__at").drop("__at")
+
+
 def pages(tables: list[DataFrame], order: list, offset: int, limit: int) -> DataFrame:
     """A page over several tables, one after the other, each in a stated order, with the total of all rows."""
     numbered = [t.withColumn("table_number", F.lit(i)) for i, t in enumerate(tables)]

@@ -524,3 +524,25 @@ def test_best_paths_are_the_first_of_all(spark):
     table = ev.path_table(ev.all_paths(t, 5), t)
     want = sorted((-r.duration, -r.retained_total, -r.mean_jaccard, r.nodes) for r in table.collect())[:7]
     assert [(-r.duration, -r.retained_total, -r.mean_jaccard, r.nodes) for r in ev.best_paths(t, 5, 7).collect()] == want
+
+
+def test_pages_of_files(spark, tmp_path):
+    """Every page is the slice of all files one after the other, and only files that hold it are read."""
+    path = str(tmp_path / "t")
+    spark.range(0, 1000, 1, 7).selectExpr("id", "id % 3 AS k").write.parquet(path)
+    whole = [r.id for r in spark.read.parquet(path).withColumn("f", F.col("_metadata.file_path")).withColumn("i", F.col("_metadata.row_index")).orderBy("f", "i").collect()]
+    for offset, limit in ((0, 10), (140, 10), (0, 2000), (995, 50), (1000, 5), (3, 0), (-4, 6)):
+        page = sources.file_page(spark, path, offset, limit)
+        assert [r.id for r in page.collect()] == whole[max(0, offset) : max(0, offset) + limit], (offset, limit)
+    assert len(sources.file_page(spark, path, 140, 10).inputFiles()) <= 2
+
+
+def test_evidence_needs_a_theme_and_a_period(spark):
+    from kinweave.operators import published as pub
+
+    rows = spark.createDataFrame([("2017-01", "a", i) for i in range(9)], "period string, theme string, seq int")
+    assert [(r.seq, r.total) for r in pub.evidence_page(rows, "2017-01", " a ", ["seq"], 7, 5).collect()] == [(7, 9), (8, 9)]
+    assert pub.evidence_page(rows, "2017-01", "b", ["seq"]).count() == 0
+    for period, theme in (("2017-01", " "), ("2017-02", "a")):
+        with pytest.raises(ValueError):
+            pub.evidence_page(rows, period, theme, ["seq"])
