@@ -33,8 +33,17 @@ def edge_metrics(messages: DataFrame, author: str = "from_id", spreader: str = "
     ``total_post`` counts every message of the author, those without spreader and to oneself included; such messages
     make no edge.  Totals are sums of the pre-aggregated pair counts, so messages are shuffled once.
     """
+    return edges_of_counts(pair_counts(messages, author, spreader))
+
+
+def pair_counts(messages: DataFrame, author: str = "from_id", spreader: str = "forwarder_id") -> DataFrame:
+    """source, target, shared_post: messages of each pair, with those of no spreader (null target) and to oneself."""
     known = messages.where(F.col(author).isNotNull())
-    pairs = known.groupBy(F.col(author).alias("source"), F.col(spreader).alias("target")).agg(F.count(F.lit(1)).alias("shared_post"))
+    return known.groupBy(F.col(author).alias("source"), F.col(spreader).alias("target")).agg(F.count(F.lit(1)).alias("shared_post"))
+
+
+def edges_of_counts(pairs: DataFrame) -> DataFrame:
+    """The edges of ``pair_counts``, which may have been added up over time."""
     totals = pairs.groupBy("source").agg(F.sum("shared_post").alias("total_post"))
     return (
         pairs.where("target IS NOT NULL AND source <> target")
@@ -68,6 +77,11 @@ def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     """Interactions merged by pair: counts add up, the weight follows, 0 where the total is 0; no edges to oneself."""
     both = old.select("source", "target", "total_post", "shared_post").unionByName(new.select("source", "target", "total_post", "shared_post"))
     sums = both.where("source <> target").groupBy("source", "target").agg(F.sum("total_post").alias("total_post"), F.sum("shared_post").alias("shared_post"))
+    return weighted(sums)
+
+
+def weighted(sums: DataFrame) -> DataFrame:
+    """With the weight of each pair's counts, 0 where the total is 0."""
     return sums.withColumn("weighted_post", F.when(F.col("total_post") == 0, 0.0).otherwise(F.col("shared_post") / F.col("total_post")))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("network", "communities", "evolution", "text", "vectors", "themes", "bench", "models", "published", "more", "bundles", "readside", "generation")
+MODULES = ("network", "communities", "evolution", "text", "vectors", "themes", "bench", "models", "published", "more", "bundles", "readside", "generation", "streams")
 
 
 def load() -> None:

@@ -101,6 +101,18 @@ def verified_read(spark, sf_dir):
     return status.join(counts[0].unionByName(counts[1]), "artifact", "left").select("artifact", "status", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+@query("s11_tree_verified_read", "SELECT 'customer' AS artifact, 'ok' AS status UNION ALL SELECT 'supplier', 'changed' UNION ALL SELECT 'part', 'missing'")
+def tree_verified_read(spark, sf_dir):
+    """As above by hash trees, which hold for files of any size; the manifest names another hash for the supplier's."""
+    path = place(spark, "artifacts")
+    for name in ("customer", "supplier"):
+        sinks.table(table(spark, sf_dir, name).coalesce(1), f"{path}/{name}.parquet")
+    told = sources.tree_hashes(spark, path)
+    told = told.withColumn("tree_sha256", F.when(F.col("path").startswith("supplier"), F.lit("other")).otherwise(F.col("tree_sha256")))
+    gone = spark.createDataFrame([("part.parquet/part-0", 1, "x")], "path string, byte_size long, tree_sha256 string")
+    return sources.verified(spark, path, told.unionByName(gone)).select(F.split_part("path", F.lit("."), F.lit(1)).alias("artifact"), "status").distinct()
+
+
 @query("s13_run_catalog", "SELECT 'run' || n_nationkey % 20 AS run_id, 'completed' AS status, any_value('2017-01-' || lpad((n_nationkey + 1)::VARCHAR, 2, '0')) AS created_at FROM nation GROUP BY 1, 2 HAVING count(*) = 1")
 def run_catalog(spark, sf_dir):
     """A manifest for each nation; run ids that two of them claim are left out."""

@@ -69,8 +69,9 @@ def relations(spark, sf_dir):
     return made.unionByName(spread)
 
 
-@query("j01_creator_spreader_join", f"""WITH {RELATIONS} SELECT c.message_id, c.user_id AS from_id, s.user_id AS forwarder_id FROM r c JOIN r s USING (message_id)
-WHERE c.relation = 'PRODUCED' AND s.relation = 'FORWARDED_BY'""")
+@query("j01_creator_spreader_join", """WITH c AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey AS from_id FROM lineitem),
+s AS (SELECT l_orderkey * 10 + l_linenumber AS id, o_custkey AS forwarder_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber <> 2)
+SELECT id::VARCHAR AS message_id, from_id, forwarder_id FROM c JOIN s USING (id)""")
 def creator_spreader(spark, sf_dir):
     return net.join_relations(relations(spark, sf_dir), "PRODUCED", "FORWARDED_BY")
 

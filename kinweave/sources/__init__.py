@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from functools import reduce
+from urllib.parse import quote
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +47,22 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found.getFileSystem(context._jsc.hadoopConfiguration()).exists(found)
 
 
+def children(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder, sorted; none if there is no such folder."""
+    if not exists(spark, folder):
+        return []
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    return sorted(s.getPath().getName() for s in path.getFileSystem(context._jsc.hadoopConfiguration()).listStatus(path))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or a folder with all it holds."""
+    context = spark.sparkContext
+    found = context._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(context._jsc.hadoopConfiguration()).delete(found, True)
+
+
 def by_suffix(spark: SparkSession, path: str) -> DataFrame:
     """CSV or Parquet, as the path ends."""
     end = path.rstrip("/").rpartition(".")[2].lower()
@@ -150,16 +170,69 @@ def files(spark: SparkSession, folder: str, hashes: bool = True) -> DataFrame:
     return small.unionByName(own.where(F.col("length") > HASHED).select("path", F.col("length").alias("byte_size"), F.lit(None).cast("string").alias("sha256")))
 
 
+#: Bytes of a range that is hashed at a time, children of a node of the hash tree, and ranges a task.
+RANGE, CHILDREN, RANGES_A_TASK = 1 << 26, 1024, 8
+
+
+def tree_hashes(spark: SparkSession, folder: str, size: int = RANGE, fan: int = CHILDREN) -> DataFrame:
+    """path (below ``folder``), byte_size and tree_sha256 of all files below a folder but Spark's own marks, of any size.
+
+    A file is cut into ranges of ``size`` bytes, hashed in tasks of their own by blocks of 1 MB.  The hexadecimal hashes
+    of ``fan`` neighbours, joined, are hashed again, level by level, until one is left.  A file of one range has the
+    SHA-256 of its bytes.  Spark lists no files of no bytes.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", F.col("length").alias("byte_size"))
+    own = found.select(F.col("path").alias("full"), _below(folder).alias("path"), "byte_size").where(~F.col("path").rlike("(^|/)[_.][^/]*$"))
+    last = F.greatest(F.ceil(F.col("byte_size") / size) - 1, F.lit(0)).cast("long")
+    ranges = own.select("*", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("place"))
+    total, most = own.agg(F.sum(last + 1), F.max(last + 1)).first()
+    out = "path string, byte_size long, place long, sha256 string"
+    nodes = ranges.repartition(max(1, -(-(total or 0) // RANGES_A_TASK))).mapInArrow(lambda batches: _hashed_ranges(batches, size), out)
+    most = most or 1
+    while most > 1:
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "sha256"))), lambda x: x["sha256"]), "")
+        nodes = nodes.groupBy("path", "byte_size", F.expr(f"place div {fan}").alias("place")).agg(F.count(F.lit(1)).alias("n"), F.first("sha256").alias("only"), joined.alias("all"))
+        nodes = nodes.select("path", "byte_size", "place", F.when((F.col("n") == 1) & (F.col("place") == 0), F.col("only")).otherwise(F.sha2(F.col("all").cast("binary"), 256)).alias("sha256"))
+        most = -(-most // fan)
+    return nodes.select("path", "byte_size", F.col("sha256").alias("tree_sha256"))
+
+
+def _hashed_ranges(batches, size: int):
+    for batch in batches:
+        rows = batch.to_pylist()
+        hashes = [_hash_range(r["full"], r["place"] * size, size) for r in rows]
+        yield pa.RecordBatch.from_pydict({"path": batch["path"], "byte_size": batch["byte_size"], "place": batch["place"], "sha256": pa.array(hashes, pa.string())})
+
+
+def _hash_range(path: str, start: int, size: int) -> str:
+    if path.startswith("file:"):
+        store, name = fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    else:
+        store, name = fs.FileSystem.from_uri(quote(path, safe="/:@"))
+    found = hashlib.sha256()
+    with store.open_input_file(name) as file:
+        file.seek(start)
+        while size > 0 and (block := file.read(min(size, 1 << 20))):
+            found.update(block)
+            size -= len(block)
+    return found.hexdigest()
+
+
 def verified(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """Files below ``folder`` held against a manifest of (path, sha256, byte_size): path and status of each entry.
+    """Files below ``folder`` held against a manifest of (path, byte_size) and tree_sha256 or sha256: path, status of each entry.
 
-    Paths are those below the folder, so that equal names in different folders are told apart.  Statuses: ok, changed,
-    missing, and unchecked for files of the right size that are over ``HASHED`` bytes, or without a hash in the manifest.
+    Paths are those below the folder, so that equal names in different folders are told apart.  A manifest with
+    tree_sha256 is held against ``tree_hashes``, whatever the files' sizes.  Statuses: ok, changed, missing, and unchecked
+    for files of the right size without a hash in the manifest, or, held against sha256, over ``HASHED`` bytes, and for
+    entries of no bytes, as Spark lists no such files.
     """
-    found = files(spark, folder).select("path", F.col("sha256").alias("found_sha256"), F.col("byte_size").alias("found_size"))
+    name = "tree_sha256" if "tree_sha256" in manifest.columns else "sha256"
+    found = tree_hashes(spark, folder) if name == "tree_sha256" else files(spark, folder)
+    found = found.select("path", F.col(name).alias("found_hash"), F.col("byte_size").alias("found_size"))
     same = F.col("found_size") == F.col("byte_size")
-    unknown = F.col("sha256").isNull() | F.col("found_sha256").isNull()
-    status = F.when(F.col("found_size").isNull(), "missing").when(same & unknown, "unchecked").when(same & (F.col("found_sha256") == F.col("sha256")), "ok").otherwise("changed")
+    unknown = F.col(name).isNull() | F.col("found_hash").isNull()
+    absent = F.when(F.col("byte_size") == 0, "unchecked").otherwise("missing")
+    status = F.when(F.col("found_size").isNull(), absent).when(same & unknown, "unchecked").when(same & (F.col("found_hash") == F.col(name)), "ok").otherwise("changed")
     return manifest.join(found, "path", "left").select("path", status.alias("status"))
 
 
