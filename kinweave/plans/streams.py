@@ -16,7 +16,7 @@ def arriving(df, by: str, batches: int = 4):
     path = place(df.sparkSession, "arrivals")
     df.write.partitionBy(by).parquet(path)
     n = len(df.sparkSession.read.parquet(path).inputFiles())
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", max(1, n // batches)).parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", max(1, -(-n // batches))).parquet(path)
 
 
 def taken(writer) -> None:
