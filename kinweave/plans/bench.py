@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from kinweave.operators import review
 from kinweave.operators.chunking import greedy_chunks
 from kinweave.registry import query, table
 
@@ -56,6 +57,16 @@ def blinded(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("provider_"), rank).alias("blinded"))
 
 
+@query("b08_review_problems", """WITH r AS (SELECT event_id // 2 AS review_id, value AS quality, user_id % 7 AS clarity, user_id FROM events),
+p AS (SELECT 'hidden' AS problem, 'user_id' AS "column", count(*) AS n FROM r UNION ALL SELECT 'repeated', 'review_id', count(review_id) - count(DISTINCT review_id) FROM r
+UNION ALL SELECT 'out of range', 'quality', count(*) FILTER (NOT coalesce(quality BETWEEN 1 AND 5, false)) FROM r UNION ALL SELECT 'out of range', 'clarity', count(*) FILTER (NOT coalesce(clarity BETWEEN 1 AND 5, false)) FROM r)
+SELECT * FROM p WHERE n > 0""")
+def review_problems(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    r = e.select(F.expr("event_id div 2").alias("review_id"), F.col("value").alias("quality"), (F.col("user_id") % 7).alias("clarity"), "user_id")
+    return review.problems(r, "review_id", ("quality", "clarity"), ("user_id", "provider"))
+
+
 @query("b08_review_validation", "SELECT count(*) AS rows, count(*) - count(DISTINCT event_id) AS repeated, count(*) FILTER (value IS NULL OR value < 1 OR value > 5) AS out_of_range FROM events")
 def review_validation(spark, sf_dir):
     v = F.col("value")

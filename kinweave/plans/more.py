@@ -180,6 +180,17 @@ def representative_required(spark, sf_dir):
     return chosen.join(recorded, "vec_id", "left").agg(F.count(F.lit(1)).alias("labels"), F.count_if(F.col("there").isNull()).alias("missing"))
 
 
+@query("j15_recorded_embedding", f"WITH {UNIT} SELECT l.label, vec_id, round(u[1], 9) AS first FROM (SELECT label, min(vec_id) AS vec_id FROM u GROUP BY 1) l JOIN u USING (vec_id)")
+def recorded_embedding(spark, sf_dir):
+    """Each cluster's representative with its recorded vector, where a missing one is an error."""
+    from kinweave.functions import vectors as V
+    from kinweave.operators import review
+
+    v = vectors(spark, sf_dir)
+    unit = v.select("vec_id", F.round(F.get(V.unit(F.col("embedding")), F.lit(0)), 9).alias("first"))
+    return review.recorded(v.groupBy("label").agg(F.min("vec_id").alias("vec_id")), unit, "vec_id").select("label", "vec_id", "first")
+
+
 @query("m15_deduplicated_inference", "WITH t AS (SELECT text, length(text) AS n, len(list_filter(string_split(text, ' '), lambda w: w <> '')) AS words FROM (SELECT DISTINCT text FROM conversations)) SELECT conv_id, turn, [n::DOUBLE, words::DOUBLE] AS vector FROM conversations JOIN t USING (text)")
 def inference(spark, sf_dir):
     """One call for each distinct text, in Arrow batches; the vectors are joined back to every row that has it."""
