@@ -546,3 +546,36 @@ def test_evidence_needs_a_theme_and_a_period(spark):
     for period, theme in (("2017-01", " "), ("2017-02", "a")):
         with pytest.raises(ValueError):
             pub.evidence_page(rows, period, theme, ["seq"])
+
+
+def test_topics_with_and_without_numbers_for_words(spark, monkeypatch):
+    """Words beyond the numbered ones take part by a join, with the same weights; a pass sends numbered words once a task."""
+    from kinweave.operators import topics
+
+    words = [[f"w{'ab'[i % 2]}{(i * 7 + j * j) % (9 + i % 30)}" for j in range(12)] for i in range(120)] + [None, []]
+    docs = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "doc_id long, words array<string>")
+    monkeypatch.setattr(topics, "BLOCK_DOCS", 10)
+    found = {}
+    for common in (1 << 18, 20, 0):
+        monkeypatch.setattr(topics, "COMMON", common)
+        model = topics.fit(docs, topics=3, passes=4)
+        weights = {r.word: r.w for r in model.weights.collect()}
+        assert len(weights) == model.vocabulary == len({w for d in words for w in d or []}) and model.seen[0] == 122
+        assert len(model.common) <= common
+        found[common] = ({w: [round(x, 3) for x in v] for w, v in weights.items()}, {r.doc_id: r.topic for r in topics.dominant(model).collect()})
+    assert found[20] == found[1 << 18] == found[0]
+
+
+def test_frequent_words_are_in_no_phrase(spark, monkeypatch):
+    """Leaving out runs with words that are too frequent changes no phrase, and most runs are left out."""
+    from kinweave.operators import topics
+
+    texts = [[w for i in range(30) for w in (("new", "york") if (i + d) % 5 == 0 else ("the", f"x{(i * d) % 400}"))] for d in range(40)]
+    docs = spark.createDataFrame([(d, w) for d, w in enumerate(texts)], "doc_id long, words array<string>")
+    counts = docs.selectExpr("explode(words) w").groupBy("w").count().withColumnRenamed("count", "n")
+    assert {r.w for r in topics.too_frequent(counts, "w", "n", 1.0).collect()} == {"the"}
+    phrases = lambda: sorted((r.doc_id, r.words) for r in topics.with_phrases(docs, least=2, score=1.0).collect())
+    found = phrases()
+    assert any("new_york" in w for _, w in found)
+    monkeypatch.setattr(topics, "FREQUENT", 2.0)
+    assert phrases() == found
