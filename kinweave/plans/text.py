@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kinweave.functions import text as T
+from kinweave.operators.topics import too_frequent
 from kinweave.registry import query, table
+from kinweave.scratch import materialize
 
 STOP = "[" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "]"
 #: The steps of ``functions.text.clean`` as SQL writes them.
@@ -45,10 +47,13 @@ def bigrams(spark, sf_dir):
     """Pairs of neighbours that score over 10: (n_ab - 5) * vocabulary / (n_a * n_b)."""
     words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: F.length(x) > 2)
     docs = table(spark, sf_dir, "documents").select(words.alias("t"))
-    unigrams = docs.select(F.explode("t").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    unigrams = materialize(docs.select(F.explode("t").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "unigrams")
     size = unigrams.agg(F.count(F.lit(1)).alias("v"))
     both = F.arrays_zip(F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0))).alias("a"), F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))).alias("b"))
-    pairs = docs.select(F.explode(both).alias("p")).groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count(F.lit(1)).alias("n")).where("n >= 5")
+    each, frequent = docs.select(F.explode(both).alias("p")), F.broadcast(materialize(too_frequent(unigrams, "word", "n", 10.0), "frequent"))
+    for end in ("p.a", "p.b"):
+        each = each.join(frequent, F.col(end) == F.col("word"), "left_anti")
+    pairs = each.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count(F.lit(1)).alias("n")).where("n >= 5")
     scored = pairs.join(unigrams.toDF("a", "na"), "a").join(unigrams.toDF("b", "nb"), "b").crossJoin(F.broadcast(size))
     score = (F.col("n") - 5) * F.col("v") / (F.col("na") * F.col("nb"))
     return scored.where(score > 10).select("a", "b", "n", F.round(score, 6).alias("score"))
