@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.operators.evolution import components
+from kinweave.operators.vectors import centre
 from kinweave.scratch import discard, materialize
 
 LARGEST = 4000
@@ -51,6 +52,12 @@ def density_labels(x: np.ndarray, least: int = 2, samples: int = 3, geometry: st
     n = len(x)
     if n < max(least, 2) + 1:
         return np.full(n, -1), np.zeros(n)
+    return clusters_of_tree(n, density_tree(x, samples, geometry), least, selection, single)
+
+
+def density_tree(x: np.ndarray, samples: int, geometry: str) -> list[tuple[float, int, int]]:
+    """The minimum spanning tree of the rows under mutual distances: distance and ends of each edge."""
+    n = len(x)
     d = _distances(x, x, geometry)
     np.fill_diagonal(d, 0)
     core = np.sort(d, axis=1)[:, min(samples, n) - 1]
@@ -68,7 +75,7 @@ def density_labels(x: np.ndarray, least: int = 2, samples: int = 3, geometry: st
         first, now = (np.minimum(j, rows), np.maximum(j, rows)), (np.minimum(via, rows), np.maximum(via, rows))
         closer = (d[j] < near) | (d[j] == near) & ((first[0] < now[0]) | (first[0] == now[0]) & (first[1] < now[1]))
         near[closer], via[closer] = d[j][closer], j
-    return clusters_of_tree(n, tree, least, selection, single)
+    return tree
 
 
 def _distances(x: np.ndarray, y: np.ndarray, geometry: str = "unit") -> np.ndarray:
@@ -186,17 +193,23 @@ def density_clusters(rows: DataFrame, group: str, key: str, vector: str, least:
     tree = _spanning_tree(large, group, key, vector, samples, largest, geometry)
 
     def condense(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = np.unique(np.concatenate([pdf["a"].to_numpy(), pdf["b"].to_numpy()]))
-        ends = [np.searchsorted(keys, pdf[c].to_numpy()) for c in ("a", "b")]
-        edges = list(zip(pdf["distance"].tolist(), ends[0].tolist(), ends[1].tolist(), strict=True))
-        return pd.DataFrame({group: pdf[group].iloc[0], key: keys} | named(*clusters_of_tree(len(keys), edges, least, selection, single)))
+        keys, labels = _condensed(pdf, [(least, selection, single)])
+        return pd.DataFrame({group: pdf[group].iloc[0], key: keys} | named(*labels[0]))
 
     return found.unionByName(tree.groupBy(group).applyInPandas(condense, schema))
 
 
-def _by_size(rows: DataFrame, group: str, largest: int) -> tuple[DataFrame, DataFrame | None]:
+def _condensed(tree: pd.DataFrame, settings: list[tuple[int, str, bool]]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """The keys of a tree (a, b, distance), and their labels and probabilities for each (least, selection, single)."""
+    keys = np.unique(np.concatenate([tree["a"].to_numpy(), tree["b"].to_numpy()]))
+    ends = [np.searchsorted(keys, tree[c].to_numpy()) for c in ("a", "b")]
+    edges = list(zip(tree["distance"].tolist(), ends[0].tolist(), ends[1].tolist(), strict=True))
+    return keys, [clusters_of_tree(len(keys), edges, *s) for s in settings]
+
+
+def _by_size(rows: DataFrame, group: str, largest: int, sizes: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
     """``rows`` in groups of up to ``largest``, and those in larger ones with the group's size as ``__n`` (None if there are none)."""
-    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("__n")) if sizes is None else sizes
     large = materialize(sizes.where(F.col("__n") > largest), "large")
     if large.isEmpty():
         return rows, None
@@ -211,91 +224,148 @@ def _paired(rows: DataFrame, group: str, key: str, vector: str, block: int) -> D
     return paired.select(group, "k", "v", "own", F.least("own", "o").alias("lo"), F.greatest("own", "o").alias("hi"))
 
 
-def _sides(pdf: pd.DataFrame, geometry: str) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray]:
-    """The rows of both blocks of a pair, by key, and their distances."""
+#: Rows of a block whose distances to another block are held at a time.
+STRIP = 256
+
+
+def _sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, bool]:
+    """The rows of both blocks of a pair, by key, and whether they are one block."""
     pdf = pdf.sort_values("k", kind="stable")
-    a, b = pdf[pdf["own"] == pdf["lo"]], pdf[pdf["own"] == pdf["hi"]]
-    return a, b, (_distances(_placed(a["v"], geometry), _placed(b["v"], geometry), geometry) if len(a) and len(b) else np.zeros((len(a), len(b))))
+    return pdf[pdf["own"] == pdf["lo"]], pdf[pdf["own"] == pdf["hi"]], bool(pdf["lo"].iloc[0] == pdf["hi"].iloc[0])
+
+
+def _strips(x: np.ndarray, y: np.ndarray, geometry: str):
+    """Distances in strips: the first row of each, and its distances to all of ``y``."""
+    for at in range(0, len(x), STRIP):
+        yield at, _distances(x[at : at + STRIP], y, geometry)
 
 
 def _spanning_tree(rows: DataFrame, group: str, key: str, vector: str, samples: int, block: int, geometry: str = "unit") -> DataFrame:
-    """group, a, b and distance of the minimum spanning tree of each group under mutual distances, by Boruvka's rounds.
+    return _spanning_trees(rows, group, key, vector, [(geometry, samples)], block).drop("setting")
 
-    ``rows`` has ``__n``, the size of the group.  Ties go to the smaller keys, so that the tree is one and the same.
+
+def _spanning_trees(rows: DataFrame, group: str, key: str, vector: str, settings: list[tuple[str, int]], block: int) -> DataFrame:
+    """setting, group, a, b and distance of the minimum spanning trees of each group under mutual distances.
+
+    ``settings`` are pairs of a geometry and a number of samples; ``setting`` is a place in the list.  Boruvka's rounds
+    build the trees of all settings at once.  ``rows`` has ``__n``, the size of the group.  Ties go to the smaller keys,
+    so that a tree is one and the same.
     """
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     paired = materialize(_paired(rows, group, key, vector, block), "blocks")
 
-    def sides(pdf: pd.DataFrame):
-        return _sides(pdf, geometry)
-
     def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b, d = sides(pdf)
-        within = pdf["lo"].iloc[0] == pdf["hi"].iloc[0]
-        if within:
-            np.fill_diagonal(d, 0)
-        parts = [(a, d)] if within else [(a, d), (b, d.T)]
-        out = [pd.DataFrame({group: pdf[group].iloc[0], "k": np.repeat(p["k"].to_numpy(), min(samples, m.shape[1])), "d": np.sort(m, axis=1)[:, :samples].ravel()}) for p, m in parts]
-        return pd.concat(out)
-
-    close = paired.groupBy(group, "lo", "hi").applyInPandas(nearest, f"{group} {kinds[group]}, k {kinds[key]}, d double")
+        a, b, within = _sides(pdf)
+        out = []
+        for s, (geometry, samples) in enumerate(settings):
+            x, y = _placed(a["v"], geometry), _placed(b["v"], geometry)
+            of_b = np.full((0, len(b)), np.inf)
+            for at, d in _strips(x, y, geometry) if len(b) else ():
+                i = np.arange(len(d))
+                if within:
+                    d[i, at + i] = 0
+                else:
+                    of_b = np.sort(np.concatenate([of_b, d]), axis=0)[:samples]
+                least = np.sort(d, axis=1)[:, :samples]
+                out.append(pd.DataFrame({"setting": s, "k": np.repeat(a["k"].to_numpy()[at : at + len(d)], least.shape[1]), "d": least.ravel()}))
+            out.append(pd.DataFrame({"setting": s, "k": np.tile(b["k"].to_numpy(), len(of_b)), "d": of_b.ravel()}))
+        return pd.concat(out).assign(**{group: pdf[group].iloc[0]})[["setting", group, "k", "d"]]
+
+    close = paired.groupBy(group, "lo", "hi").applyInPandas(nearest, f"setting int, {group} {kinds[group]}, k {kinds[key]}, d double")
     ordered = F.array_sort(F.collect_list("d"))  # ``samples`` for each block at most
-    core = close.groupBy(group, "k").agg(F.element_at(ordered, F.least(F.lit(samples), F.size(ordered))).alias("core"))
+    samples = F.element_at(F.array(*[F.lit(n) for _, n in settings]), F.col("setting") + 1)
+    core = close.groupBy("setting", group, "k").agg(ordered.alias("o")).select("setting", group, "k", F.element_at("o", F.least(samples, F.size("o"))).alias("core"))
     state = materialize(core.withColumn("part", F.col("k")), "parts")
     tree = None
 
     def shortest(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b, d = sides(pdf)
-        d = np.maximum(d, np.maximum(a["core"].to_numpy()[:, None], b["core"].to_numpy()[None, :]))
-        d[a["part"].to_numpy()[:, None] == b["part"].to_numpy()[None, :]] = np.inf
+        a, b, _ = _sides(pdf)
         out = []
-        for p, q, m in ((a, b, d), (b, a, d.T)):
-            if m.size:
-                at = m.argmin(axis=1)  # the first of equal distances has the smaller key
-                found = pd.DataFrame({"part": p["part"].to_numpy(), "x": p["k"].to_numpy(), "y": q["k"].to_numpy()[at], "to": q["part"].to_numpy()[at], "d": m[np.arange(len(p)), at]})
-                found = found[np.isfinite(found["d"])]
-                found["a"], found["b"] = found[["x", "y"]].min(axis=1), found[["x", "y"]].max(axis=1)
-                out.append(found.sort_values(["d", "a", "b"]).groupby("part", as_index=False).first())
-        found = pd.concat(out) if out else pd.DataFrame({c: [] for c in ("part", "to", "a", "b", "d")})
-        return found.assign(**{group: pdf[group].iloc[0]})[[group, "part", "to", "a", "b", "d"]]
+        for s, (geometry, _) in enumerate(settings) if len(a) and len(b) else ():
+            x, y = _placed(a["v"], geometry), _placed(b["v"], geometry)
+            (core, part), (core_b, part_b) = ([np.array([z[s] for z in side[c]]) for c in ("core", "part")] for side in (a, b))
+            key_a, key_b = a["k"].to_numpy(), b["k"].to_numpy()
+            near, via = np.full(len(b), np.inf), np.zeros(len(b), dtype=int)
+            best = []
+            for at, d in _strips(x, y, geometry):
+                strip = slice(at, at + len(d))
+                np.maximum(d, core[strip, None], out=d)
+                np.maximum(d, core_b, out=d)
+                d[part[strip, None] == part_b] = np.inf
+                to = d.argmin(axis=1)  # the first of equal distances has the smaller key
+                best.append((part[strip], key_a[strip], key_b[to], part_b[to], d[np.arange(len(d)), to]))
+                of = d.argmin(axis=0)
+                least = d[of, np.arange(len(b))]
+                closer = least < near
+                near[closer], via[closer] = least[closer], at + of[closer]
+            best.append((part_b, key_b, key_a[via], part[via], near))
+            found = pd.DataFrame(dict(zip(("part", "x", "y", "to", "d"), map(np.concatenate, zip(*best, strict=True)), strict=True)))
+            found = found[np.isfinite(found["d"])]
+            found["a"], found["b"] = found[["x", "y"]].min(axis=1), found[["x", "y"]].max(axis=1)
+            out.append(found.sort_values(["d", "a", "b"]).groupby("part", as_index=False).first().assign(setting=s))
+        found = pd.concat(out) if out else pd.DataFrame({c: [] for c in ("setting", "part", "to", "a", "b", "d")})
+        return found.assign(**{group: pdf[group].iloc[0]})[["setting", group, "part", "to", "a", "b", "d"]]
 
     kind = kinds[key]
     while True:
-        met = paired.join(state, [group, "k"]).groupBy(group, "lo", "hi").applyInPandas(shortest, f"{group} {kinds[group]}, part {kind}, to {kind}, a {kind}, b {kind}, d double")
-        best = materialize(met.groupBy(group, "part").agg(F.min(F.struct("d", "a", "b", "to")).alias("e")), "edges")
+        ordered = F.array_sort(F.collect_list(F.struct("setting", "core", "part")))
+        held = state.groupBy(group, "k").agg(ordered.alias("s")).select(group, "k", F.col("s.core").alias("core"), F.col("s.part").alias("part"))
+        met = paired.join(held, [group, "k"]).groupBy(group, "lo", "hi").applyInPandas(shortest, f"setting int, {group} {kinds[group]}, part {kind}, to {kind}, a {kind}, b {kind}, d double")
+        best = materialize(met.groupBy("setting", group, "part").agg(F.min(F.struct("d", "a", "b", "to")).alias("e")), "edges")
         if best.isEmpty():
+            discard(paired, state)
             return tree
-        found = best.select(group, F.col("e.a").alias("a"), F.col("e.b").alias("b"), F.col("e.d").alias("distance")).distinct()
+        found = best.select("setting", group, F.col("e.a").alias("a"), F.col("e.b").alias("b"), F.col("e.d").alias("distance")).distinct()
         tree = found if tree is None else tree.unionByName(found)
-        name = lambda c: F.concat_ws("|", F.col(group).cast("string"), F.col(c).cast("string"))
-        links = best.select(name("part").alias("source_node"), F.concat_ws("|", F.col(group).cast("string"), F.col("e.to").cast("string")).alias("target_node"))
+        name = lambda c: F.concat_ws("|", F.col("setting").cast("string"), F.col(group).cast("string"), F.col(c).cast("string"))
+        links = best.select(name("part").alias("source_node"), name("e.to").alias("target_node"))
         joined = components(links).select(F.col("node").alias("__part"), F.col("component").alias("__to"))
         whole = state.withColumn("__part", name("part")).join(joined, "__part", "left")
-        merged = whole.groupBy(group, F.coalesce("__to", "__part").alias("__to")).agg(F.min("part").alias("part"))
-        after = whole.select(group, "k", "core", F.coalesce("__to", "__part").alias("__to")).join(merged, [group, "__to"]).select(group, "k", "core", "part")
-        state = materialize(after, "parts")
+        merged = whole.groupBy("setting", group, F.coalesce("__to", "__part").alias("__to")).agg(F.min("part").alias("part"))
+        after = whole.select("setting", group, "k", "core", F.coalesce("__to", "__part").alias("__to")).join(merged, ["setting", group, "__to"]).select("setting", group, "k", "core", "part")
+        state, before = materialize(after, "parts"), state
+        discard(before)
 
 
-def linkage(x: np.ndarray, cut: float = 0.35, average: bool = False) -> np.ndarray:
-    """Clusters of unit vectors, merged closest first while their cosine distance is ``cut`` at most.
+def merge_order(d: np.ndarray, cut: float, average: bool, size: np.ndarray | None = None) -> list[tuple[float, int, int]]:
+    """Merges of clusters (distance, into, merged), closest first while the distance is ``cut`` at most; changes ``d``.
 
-    The distance of two clusters is the largest between their members (complete linkage), or the mean of all (average).
+    Of equal distances the one with the smaller ends comes first.  What the merges up to a smaller distance give is what
+    that distance as ``cut`` gives, as neither linkage brings a merged cluster closer to others than its parts were.
     """
-    n = len(x)
-    d = _distances(x, x, "cosine")
+    n, out = len(d), []
+    size = np.ones(n) if size is None else size.astype(float)
     np.fill_diagonal(d, np.inf)
-    label, size = np.arange(n), np.ones(n)
+    to = d.argmin(axis=1) if n else np.zeros(0, int)
+    near = d[np.arange(n), to]
     while n > 1:
-        i, j = divmod(int(np.argmin(d)), len(d))
-        if not d[i, j] <= cut:
+        i = int(near.argmin())
+        if not near[i] <= cut:
             break
-        i, j = min(i, j), max(i, j)
+        i, j = sorted((i, int(to[i])))
+        out.append((float(d[i, j]), i, j))
         far = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j]) if average else np.maximum(d[i], d[j])
         d[i], d[:, i] = far, far
         d[i, i] = np.inf
         d[j], d[:, j] = np.inf, np.inf
-        label[label == j] = i
         size[i] += size[j]
+        closer = (far < near) | (far == near) & (i < to)
+        near[closer], to[closer] = far[closer], i
+        again = np.flatnonzero(((to == i) | (to == j)) & ~closer)
+        again = np.union1d(again, [i, j]).astype(int)
+        to[again] = d[again].argmin(axis=1)
+        near[again] = d[again, to[again]]
+    return out
+
+
+def linkage(x: np.ndarray, cut: float = 0.35, average: bool = False) -> np.ndarray:
+    """Clusters of unit vectors, merged closest first while their cosine distance is ``cut`` at most.
+
+    The distance of two clusters is the largest between their members (complete linkage), or the mean of all (average).
+    """
+    label = np.arange(len(x))
+    for _, i, j in merge_order(_distances(x, x, "cosine"), cut, average):
+        label[label == j] = i
     return np.unique(label, return_inverse=True)[1]
 
 
@@ -327,89 +397,185 @@ def linked_families(rows: DataFrame, group: str, key: str, vector: str, cut: flo
     found = small.groupBy(group).applyInPandas(run, schema)
     if large is None:
         return found
-    merged = _merged(large, group, key, vector, cut, average, largest)
-    number = merged.select(group, "family").distinct().withColumn("n", (F.row_number().over(Window.partitionBy(group).orderBy("family")) - 1).cast("int"))
-    return found.unionByName(merged.join(number, [group, "family"]).select(group, key, F.col("n").alias("family")))
+    names, merges = _merged(large, group, key, vector, cut, average, largest)
+
+    def label(pdf: pd.DataFrame) -> pd.DataFrame:
+        leaves, merged = pdf[pdf["d"].isna()], pdf[pdf["d"].notna()]
+        (labels,) = _labels_at(leaves["c"].to_numpy(), merged, [cut])
+        return leaves[[group, "c"]].assign(family=pd.factorize(labels, sort=True)[0].astype("int32"))
+
+    leaves = names.select(group, F.col("family").alias("c")).distinct().select(group, F.lit(None).cast(kinds[key]).alias("to"), "c", F.lit(None).cast("double").alias("d"))
+    labels = leaves.unionByName(merges).groupBy(group).applyInPandas(label, f"{group} {kinds[group]}, c {kinds[key]}, family int")
+    return found.unionByName(names.join(labels.withColumnRenamed("family", "n"), (names[group] == labels[group]) & (names["family"] == labels["c"])).select(names[group], names[key], F.col("n").alias("family")))
+
+
+def _labels_at(leaves: np.ndarray, merges: pd.DataFrame, cuts: list[float]) -> list[np.ndarray]:
+    """For each of rising ``cuts`` the cluster (its smallest key) of each leaf, from a group's merges (d, to, c)."""
+    order = np.sort(leaves)
+    up = np.arange(len(order))
+    ends = [np.searchsorted(order, merges[c].to_numpy()) for c in ("to", "c")]
+    height, out = merges["d"].to_numpy(dtype=float), []
+    for cut in cuts:
+        now = height <= cut
+        up[ends[1][now]] = ends[0][now]  # a cluster is merged once, into one with a smaller key
+        root = up.copy()
+        while (root != root[root]).any():
+            root = root[root]
+        out.append(order[root[np.searchsorted(order, leaves)]])
+    return out
+
+
+def _merged(rows: DataFrame, group: str, key: str, vector: str, cut: float, average: bool, largest: int) -> tuple[DataFrame, DataFrame]:
+    """group, key and family (equal vectors under complete linkage are one), and all merges: group, to, c, d up to ``cut``.
+
+    Merging all clusters that are each other's nearest, in rounds, gives what merging the closest pair one by one does.
+    In a round blocks of clusters meet in tasks, which keep the nearest of each cluster and no pairs: the mean distance
+    of two clusters is that of their mean vectors, the largest is found from their members, a strip at a time.  A group
+    of ``largest`` clusters or fewer is merged to the end by one task.
+    """
+    kind, of = rows.schema[key].dataType.simpleString(), rows.schema[group].dataType.simpleString()
+    first = F.col(key) if average else F.min(key).over(Window.partitionBy(group, vector))
+    names = materialize(rows.select(group, key, vector, first.alias("family")), "rows")
+    alone = names.where(F.col(key) == F.col("family"))
 
+    def of_length_one(batches):
+        for pdf in batches:
+            yield pdf.assign(v=list(_placed(pdf["v"], "unit")), size=1.0)
 
-def _merged(rows: DataFrame, group: str, key: str, vector: str, cut: float, average: bool, block: int) -> DataFrame:
-    """group, key and family (its smallest key), by rounds that merge all clusters that are each other's nearest.
+    state = materialize(alone.select(group, F.col(key).alias("c"), F.col(vector).alias("v")).mapInPandas(of_length_one, f"{group} {of}, c {kind}, v array<double>, size double"), "clusters")
+    merges = None
 
-    Merging mutual nearest clusters gives what merging the closest pair one by one does, as neither linkage brings a
-    merged cluster closer to others than the nearer part was.  Complete linkage needs only the pairs of rows within
-    ``cut``: two clusters may merge if all pairs of their members are among them.  Average linkage needs all pairs, as
-    many as the square of the group.  Equal vectors are one row here, as complete linkage merges them first; for the
-    average they count apart.
-    """
-    kind = rows.schema[key].dataType.simpleString()
-    same = Window.partitionBy(group, vector)
-    held = materialize(rows.select(group, key, vector, "__n", (F.col(key) if average else F.min(key).over(same)).alias("family")), "rows")
-    alone = held.where(F.col(key) == F.col("family")).select(group, key, vector, "__n")
-
-    def near(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b, d = _sides(pdf, "cosine")
-        fits = np.ones(d.shape, dtype=bool) if average else d <= cut
-        if pdf["lo"].iloc[0] == pdf["hi"].iloc[0]:
-            fits = np.triu(fits, 1)
-        i, j = np.nonzero(fits)
-        ends = np.stack([a["k"].to_numpy()[i], b["k"].to_numpy()[j]]) if len(i) else np.zeros((2, 0), dtype=a["k"].to_numpy().dtype)
-        return pd.DataFrame({group: [pdf[group].iloc[0]] * len(i), "a": ends.min(axis=0), "b": ends.max(axis=0), "d": d[i, j], "n": np.ones(len(i), dtype=np.int64)})
-
-    schema = f"{group} {rows.schema[group].dataType.simpleString()}, a {kind}, b {kind}, d double, n bigint"
-    pairs = materialize(_paired(alone, group, key, vector, block).groupBy(group, "lo", "hi").applyInPandas(near, schema), "pairs")
-    sizes = materialize(alone.select(group, F.col(key).alias("c"), F.lit(1).cast("long").alias("size")), "sizes")
-    names = held.select(group, key, "family")
+    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b, within = _sides(pdf)
+        parts = []
+        if len(a) and len(b):
+            d, own, other = _between(a, b)
+            if within:
+                np.fill_diagonal(d, np.inf)
+            for near, p, q in ((d, own, other), (d.T, other, own)):
+                at = near.argmin(axis=1)
+                found = pd.DataFrame({"c": p, "x": q[at], "d": near[np.arange(len(p)), at]})
+                parts.append(found[found["d"] <= cut])
+        found = pd.concat(parts) if parts else pd.DataFrame({"c": [], "x": [], "d": []})
+        return pd.DataFrame({group: pdf[group].iloc[0], "c": found["c"], "d": found["d"], "a": found[["c", "x"]].min(axis=1), "b": found[["c", "x"]].max(axis=1)})
+
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.rename(columns={"c": "k"}).sort_values("k", kind="stable")
+        d, own, _ = _between(pdf, pdf)
+        size = pdf.groupby("k", sort=True)["size"].first().to_numpy()
+        found = merge_order(d, cut, average, size)
+        i, j = ([own[m[c]] for m in found] for c in (1, 2))
+        return pd.DataFrame({group: [pdf[group].iloc[0]] * len(found), "to": i, "c": j, "d": [m[0] for m in found]})
+
+    schema = f"{group} {of}, to {kind}, c {kind}, d double"
     while True:
-        sided = pairs.join(sizes.toDF(group, "a", "na"), [group, "a"]).join(sizes.toDF(group, "b", "nb"), [group, "b"])
-        distance = F.round(F.col("d") / F.col("n"), 9) if average else F.col("d")
-        ready = sided.where(F.col("n") == F.col("na") * F.col("nb")).withColumn("d", distance).where(F.col("d") <= cut)
-        each = ready.select(group, "a", "b", "d", F.explode(F.array("a", "b")).alias("c"))
-        best = each.groupBy(group, "c").agg(F.min(F.struct("d", "a", "b")).alias("e"))
-        merges = materialize(best.groupBy(group, F.col("e.a").alias("to"), F.col("e.b").alias("c")).count().where("count = 2").select(group, "c", "to"), "merges")
-        if merges.isEmpty():
-            discard(pairs, sizes, merges)
-            return names
-        into = lambda df, c: df.join(merges.select(group, F.col("c").alias(c), F.col("to").alias("__to")), [group, c], "left").withColumn(c, F.coalesce("__to", c)).drop("__to")
-        names = materialize(into(names, "family"), "families")
-        after = materialize(into(sizes, "c").groupBy(group, "c").agg(F.sum("size").alias("size")), "sizes")
-        moved = into(into(pairs, "a"), "b").where("a <> b").groupBy(group, F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-        left = materialize(moved.agg((F.sum("d") if average else F.max("d")).alias("d"), F.sum("n").alias("n")).withColumnsRenamed({"x": "a", "y": "b"}), "pairs")
-        discard(pairs, sizes)
-        pairs, sizes = left, after
+        sizes = state.groupBy(group).agg(F.count_distinct("c").alias("__n"))
+        small, large = _by_size(state.select(group, "c", "v", "size"), group, largest, sizes)
+        done = materialize(small.groupBy(group).applyInPandas(finish, schema), "merges")
+        merges = done if merges is None else merges.unionByName(done)
+        if large is None:
+            return names.select(group, key, "family"), merges
+        met = _paired(large, group, "c", "v", largest).groupBy(group, "lo", "hi").applyInPandas(nearest, f"{group} {of}, c {kind}, d double, a {kind}, b {kind}")
+        best = met.groupBy(group, "c").agg(F.min(F.struct("d", "a", "b")).alias("e"))
+        found = materialize(best.groupBy(group, F.col("e.a").alias("to"), F.col("e.b").alias("c")).agg(F.count(F.lit(1)).alias("n"), F.min("e.d").alias("d")).where("n = 2").select(group, "to", "c", "d"), "merges")
+        if found.isEmpty():
+            return names.select(group, key, "family"), merges
+        merges = merges.unionByName(found)
+        moved = large.join(found.select(group, "c", F.col("to").alias("__to")), [group, "c"], "left").withColumn("c", F.coalesce("__to", "c")).drop("__to", "__n")
+        if average:
+            each = moved.groupBy(F.struct(group, "c").alias("gc")).agg(centre(F.col("v"), F.col("size")).alias("v"), F.sum("size").alias("size"))
+            moved = each.select(F.col(f"gc.{group}").alias(group), F.col("gc.c").alias("c"), "v", "size")
+        state, before = materialize(moved, "clusters"), state
+        discard(before)
+
+
+def _between(a: pd.DataFrame, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Largest distances between the clusters (``k``) of two tables of vectors (``v``), by cluster, and both lists of clusters."""
+    x, y = _placed(a["v"], "raw"), _placed(b["v"], "raw")
+    (own, first), (other, begins) = (np.unique(t["k"].to_numpy(), return_index=True) for t in (a, b))
+    out = np.zeros((len(own), len(other)))
+    cluster = np.searchsorted(own, a["k"].to_numpy())
+    for at, d in _strips(x, y, "cosine"):
+        d = np.maximum.reduceat(d, begins, axis=1)
+        here, starts = np.unique(cluster[at : at + len(d)], return_index=True)
+        out[here] = np.maximum(out[here], np.maximum.reduceat(d, starts, axis=0))
+    return out, own, other
 
 
 def sweep(rows: DataFrame, variants: DataFrame, group: str, key: str, vector: str, largest: int = LARGEST) -> DataFrame:
     """Every variant of a parameter table over every group: clusters, noise, largest share and mean probability.
 
     ``variants`` is a table of settings: variant, method (density, complete or average), least, samples, cut, geometry,
-    selection and single.  Groups of up to ``largest`` rows are a task for each variant, larger ones go by tables.
-    Clusters of one that linkage leaves count as noise; members that linkage keeps have probability 1.
+    selection and single.  Variants that differ in what they make of a tree or where they cut it share the tree: one for
+    each geometry and number of samples, and one for each linkage.  Groups of up to ``largest`` rows are a task for each
+    tree, larger ones go by tables.  Clusters of one that linkage leaves count as noise; members that linkage keeps have
+    probability 1.
     """
-    kind = rows.schema[group].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf.iloc[0]
-        pdf, x = _stack(pdf, key, vector, v["geometry"] if v["method"] == "density" else "unit")
+    kind, of = rows.schema[group].dataType.simpleString(), rows.schema[key].dataType.simpleString()
+    chosen = variants.collect()  # a table of settings
+    schema = f"variant string, {group} {kind}, observations long, clusters long, noise long, largest_share double, mean_probability double"
+    dense: dict[tuple[str, int], list] = {}
+    linked: dict[str, list] = {}
+    for v in chosen:
         if v["method"] == "density":
-            labels, probability = density_labels(x, int(v["least"]), int(v["samples"]), v["geometry"], v["selection"], bool(v["single"]))
+            dense.setdefault((v["geometry"], v["samples"]), []).append((v["variant"], v["least"], v["selection"], bool(v["single"])))
         else:
-            labels = singletons_as_noise(linkage(x, float(v["cut"]), v["method"] == "average"))
-            probability = (labels >= 0).astype(float)
+            linked.setdefault(v["method"], []).append((v["cut"], v["variant"]))
+    trees = list(dense)
+
+    def row(variant: str, of_group, labels: np.ndarray, probability: np.ndarray) -> dict:
         sizes = np.bincount(labels[labels >= 0]) if (labels >= 0).any() else np.zeros(0, int)
         mean = round(float(np.round(probability, 8)[labels >= 0].mean()), 6) if len(sizes) else None
-        return pd.DataFrame([{"variant": v["variant"], group: v[group], "observations": len(x), "clusters": len(sizes), "noise": int((labels < 0).sum()), "largest_share": round(float(sizes.max(initial=0)) / len(x), 6), "mean_probability": mean}])
+        return {"variant": variant, group: of_group, "observations": len(labels), "clusters": len(sizes), "noise": int((labels < 0).sum()), "largest_share": round(float(sizes.max(initial=0)) / len(labels), 6), "mean_probability": mean}
+
+    def of_merges(of_group, leaves: np.ndarray, merges: pd.DataFrame, method: str) -> pd.DataFrame:
+        out, cuts = [], sorted(linked[method])
+        for (_, variant), labels in zip(cuts, _labels_at(leaves, merges, [c for c, _ in cuts]), strict=True):
+            labels = singletons_as_noise(np.unique(labels, return_inverse=True)[1])
+            out.append(row(variant, of_group, labels, (labels >= 0).astype(float)))
+        return pd.DataFrame(out)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        number, of_group = int(pdf["tree"].iloc[0]), pdf[group].iloc[0]
+        if number < len(trees):
+            geometry, samples = trees[number]
+            pdf, x = _stack(pdf, key, vector, geometry)
+            edges = density_tree(x, samples, geometry)
+            out = []
+            for variant, least, selection, single in dense[geometry, samples]:
+                found = clusters_of_tree(len(x), edges, least, selection, single) if len(x) > max(least, 2) else (np.full(len(x), -1), np.zeros(len(x)))
+                out.append(row(variant, of_group, *found))
+            return pd.DataFrame(out)
+        method = list(linked)[number - len(trees)]
+        pdf, x = _stack(pdf, key, vector)
+        found = merge_order(_distances(x, x, "cosine"), max(linked[method])[0], method == "average")
+        return of_merges(of_group, np.arange(len(x)), pd.DataFrame(found, columns=["d", "to", "c"]).astype({"to": int, "c": int}), method)
 
-    schema = f"variant string, {group} {kind}, observations long, clusters long, noise long, largest_share double, mean_probability double"
     small, large = _by_size(rows.select(group, key, vector), group, largest)
-    found = small.crossJoin(F.broadcast(variants)).groupBy("variant", group).applyInPandas(run, schema)
-    for v in variants.collect() if large is not None else []:
-        if v["method"] == "density":
-            labels = density_clusters(large, group, key, vector, v["least"], v["samples"], largest, v["geometry"], v["selection"], v["single"])
-        else:
-            linked = linked_families(large, group, key, vector, v["cut"], v["method"] == "average", largest)
-            many = F.count(F.lit(1)).over(Window.partitionBy(group, "family")) > 1
-            labels = linked.select(group, F.when(many, F.col("family")).otherwise(-1).alias("cluster"), F.when(many, 1.0).otherwise(0.0).alias("probability"))
-        found = found.unionByName(quality(labels, group).withColumn("variant", F.lit(v["variant"])).select("variant", group, "observations", "clusters", "noise", "largest_share", "mean_probability"))
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(len(trees) + len(linked) - 1)))
+    found = small.withColumn("tree", numbers).groupBy("tree", group).applyInPandas(run, schema)
+    if large is None:
+        return found
+    if trees:
+
+        def condense(pdf: pd.DataFrame) -> pd.DataFrame:
+            own = dense[trees[int(pdf["setting"].iloc[0])]]
+            _, labels = _condensed(pdf, [o[1:] for o in own])
+            return pd.DataFrame([row(o[0], pdf[group].iloc[0], *x) for o, x in zip(own, labels, strict=True)])
+
+        found = found.unionByName(_spanning_trees(large, group, key, vector, trees, largest).groupBy("setting", group).applyInPandas(condense, schema))
+
+    def cut_by(method: str):
+        def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+            leaves, merged = pdf[pdf["d"].isna()], pdf[pdf["d"].notna()]
+            return of_merges(pdf[group].iloc[0], leaves["c"].to_numpy(), merged, method)
+
+        return cut
+
+    for method, cuts in linked.items():
+        names, merges = _merged(large, group, key, vector, max(cuts)[0], method == "average", largest)
+        leaves = names.select(group, F.lit(None).cast(of).alias("to"), F.col("family").alias("c"), F.lit(None).cast("double").alias("d"))
+        found = found.unionByName(leaves.unionByName(merges).groupBy(group).applyInPandas(cut_by(method), schema))
     return found
 
 

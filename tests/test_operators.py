@@ -579,3 +579,25 @@ def test_frequent_words_are_in_no_phrase(spark, monkeypatch):
     assert any("new_york" in w for _, w in found)
     monkeypatch.setattr(topics, "FREQUENT", 2.0)
     assert phrases() == found
+
+
+def test_sweep_shares_trees_and_holds_strips(spark, monkeypatch):
+    """All density variants take one run of rounds and each linkage one, at any cut; distances are held in strips."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(9, 4))
+    df = spark.createDataFrame([("a", i, (centres[i % 9] + rng.normal(0, 0.3, 4)).tolist()) for i in range(60)], "g string, k int, v array<double>")
+    settings = "('d', 'density', 2, 3, 0.0D, 'cosine', 'mass', false), ('e', 'density', 2, 2, 0.0D, 'raw', 'leaf', false)"
+    settings += "".join(f", ('{m}{c}', '{m}', 0, 0, {c}D, 'unit', 'leaf', false)" for m in ("complete", "average") for c in (0.1, 0.2, 0.5))
+    variants = spark.sql(f"SELECT * FROM VALUES {settings} AS t(variant, method, least, samples, cut, geometry, selection, single)")
+    calls = []
+    for name in ("_spanning_trees", "_merged"):
+        monkeypatch.setattr(cl, name, lambda *a, real=getattr(cl, name), name=name: calls.append(name) or real(*a))
+    monkeypatch.setattr(cl, "STRIP", 7)
+    found = {r.variant: tuple(r) for r in cl.sweep(df, variants, "g", "k", "v", largest=40).collect()}
+    assert sorted(calls) == ["_merged", "_merged", "_spanning_trees"] and len(found) == 8
+    x = cl._unit(np.array([r.v for r in df.orderBy("k").collect()]))
+    for m in ("complete", "average"):
+        for c in (0.1, 0.2, 0.5):
+            labels = cl.singletons_as_noise(cl.linkage(x, c, m == "average"))
+            assert found[f"{m}{c}"][2:5] == (60, labels.max() + 1, (labels < 0).sum())
+    assert max(len(d) for _, d in cl._strips(x, x, "cosine")) == 7
