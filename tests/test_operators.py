@@ -581,6 +581,25 @@ def test_frequent_words_are_in_no_phrase(spark, monkeypatch):
     assert phrases() == found
 
 
+def test_neighbours_by_blocks_like_plain_cosines(spark):
+    """Copies, equal cosines, a zero and a null vector; blocks of any size; few pairs leave a task."""
+    from kinweave.operators import vectors
+
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(70)] + [(100 + i, [1.0] + [0.0] * 5) for i in range(40)] + [(200, [2.0] + [0.0] * 5), (201, [0.0] * 6), (202, None)]
+    df = spark.createDataFrame(rows, "k long, v array<double>")
+    asked = [0, 10, 110, 201]
+    for blocks in ({}, {"query_block": 2, "row_block": 20}):
+        found = vectors.neighbours(df.where(df.k.isin(asked)), df, "k", "v", 3, **blocks).orderBy("query", "place").collect()
+        for q in asked:
+            x, want = np.array(dict(rows)[q]), []
+            for k, v in rows:
+                if k != q:
+                    length = np.linalg.norm(x) * np.linalg.norm(v) if v else 0
+                    want.append((-round(float(x @ np.array(v) / length), 9) if length else 9, k))
+            assert [r.neighbour for r in found if r.query == q] == [k for _, k in sorted(want)[:3]], (q, blocks)
+
+
 def test_sweep_shares_trees_and_holds_strips(spark, monkeypatch):
     """All density variants take one run of rounds and each linkage one, at any cut; distances are held in strips."""
     rng = np.random.default_rng(6)
