@@ -1,8 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Benchmark items are taken in blocks of ``BLOCK``.  For a block, the terms of its items that are not too common get TF-IDF
-weights, with frequencies over the passages of all documents.  A randomised SVD of the TF-IDF passages (items and a
-bounded, hashed sample of the corpus) is found by subspace iteration, each step one distributed product over the sample.
+weights, with frequencies over the passages of all documents.  A randomised SVD of the TF-IDF passages (items and all
+passages of all documents) is found by subspace iteration, each step one distributed product.  The first steps go over a
+bounded, hashed sample, which only gives the last one a start: that goes over all documents, so all have their say in
+the latent space.
 Every passage of every document (windows of ``WINDOW`` words, half overlapping) that holds ``LEAST_TERMS`` different
 terms is projected, and its cosine with all items of the block taken at once; pairs over ``COSINE`` are candidates.
 They are verified on the words themselves: the longest common subsequence of the item and the passage with its
@@ -22,6 +24,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,10 +32,15 @@ from .common import LOWER_AZ, blocks, drawn, map_arrow, materialize, utf8, word_
 
 #: Items of a block; blocks that are searched in one pass over the documents.
 BLOCK, AT_ONCE = 256, 16
-#: Bound of the sample: documents that the latent space is fitted on.
+#: Bound of the sample: documents that give the fit over all documents its start.
 SAMPLE = 3000
 WINDOW, STRIDE = 48, 24
+#: Columns of the latent space and more while it is fitted; steps over the sample, before the one over all documents.
 RANK, OVER, STEPS = 160, 16, 2
+#: Passages that are projected at a time, terms whose sums move as one record, tasks whose sums one group adds up.
+ROWS, RANGE, FAN = 4096, 256, 32
+#: Terms of the blocks that are fitted in one pass, unless one block has more.
+TERMS = 1 << 16
 #: A term is left out if more than this share of passages has it, unless its item has hardly any other.
 COMMON, LEAST_TERMS = 0.003, 3
 COSINE = 0.4
@@ -82,16 +90,16 @@ class Block:
     table: np.ndarray  # term number by the low bits of a hash, -1 for none
     more: bool  # True if some terms share their low bits
     idf: np.ndarray | None = None
-    base: np.ndarray | None = None
+    base: np.ndarray | None = None  # the latent space, times the weight of each term
     latent: np.ndarray | None = None
 
     sets: dict[int, np.ndarray] = field(default_factory=dict, repr=False)
 
-    def held(self, item: int, region: np.ndarray) -> int:
-        """How many words of a region are words of an item."""
+    def held(self, item: int, region: np.ndarray) -> np.ndarray:
+        """Those words of a region that are words of an item, in their order."""
         if (own := self.sets.get(item)) is None:
             own = self.sets[item] = np.unique(self.words[item])
-        return int((own[np.minimum(np.searchsorted(own, region), len(own) - 1)] == region).sum())
+        return region[own[np.minimum(own.searchsorted(region), len(own) - 1)] == region]
 
     def number(self, hashes: np.ndarray) -> np.ndarray:
         """The term number of each word, -1 if it is none."""
@@ -133,15 +141,23 @@ def passages(block: Block, hashes: np.ndarray, first: np.ndarray, least: int) ->
     return head >> 32, head & ((1 << 32) - 1), renumber[row[keep]], term[keep]
 
 
-def _project(block: Block, row: np.ndarray, term: np.ndarray, n: int, matrix: np.ndarray) -> np.ndarray:
-    """TF-IDF rows times a matrix with a row for each term."""
+def _project(row: np.ndarray, term: np.ndarray, n: int, matrix: np.ndarray) -> np.ndarray:
+    """Passages times a matrix with a weighed row for each term; ``row`` is in order."""
     out = np.zeros((n, matrix.shape[1]), dtype=np.float32)
     if n:
         cuts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-        out[row[cuts]] = np.add.reduceat(matrix[term] * block.idf[term, None], cuts, axis=0)
+        out[row[cuts]] = np.add.reduceat(matrix[term], cuts, axis=0)
     return out
 
 
+def _back(out: np.ndarray, row: np.ndarray, term: np.ndarray, y: np.ndarray) -> None:
+    """Add to each term's row of ``out`` those of its passages in ``y``."""
+    order = np.argsort(term, kind="stable")
+    term = term[order]
+    cuts = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
+    out[term[cuts]] += np.add.reduceat(y[row[order]], cuts, axis=0)
+
+
 def _frequencies(docs: DataFrame, every: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
     """The words of the items, passages of ``docs`` (column text, no nulls) that hold each, and the number of passages.
 
@@ -169,28 +185,59 @@ def _frequencies(docs: DataFrame, every: list[np.ndarray]) -> tuple[np.ndarray,
     return words, count[:-1], int(count[-1])
 
 
-def _product(sample: DataFrame, block: Block, q: np.ndarray) -> np.ndarray:
-    """A^T A q over the passages of the sample: partitions give partial sums of the same small shape."""
+_SUMS = "block int, part int, salt int, value binary"
 
-    def run(batches):
-        out = np.zeros_like(q)
-        for batch in batches:
-            texts = utf8(batch.column(0))
-            for lo, hi in blocks(texts, 1 << 19):
-                text, _, row, term = passages(block, *hashed_words(texts[lo:hi]), LEAST_TERMS)
-                y = _project(block, row, term, len(text), q)
-                np.add.at(out, term, y[row] * block.idf[term, None])
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["k", "value"])
 
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"k": [0], "value": [np.sum([np.frombuffer(v, np.float32) for v in group["value"]], axis=0, dtype=np.float32).tobytes()]})
+def _sum(group: pd.DataFrame) -> pd.DataFrame:
+    total = np.zeros(len(group["value"].iloc[0]) // 4)
+    for v in group["value"]:
+        total += np.frombuffer(v, np.float32)
+    return group.iloc[:1].assign(value=[total.astype(np.float32).tobytes()])
+
 
-    found = sample.select("text").mapInArrow(run, "k int, value binary").groupBy("k").applyInPandas(add, "k int, value binary").collect()
-    return np.frombuffer(found[0]["value"], np.float32).reshape(q.shape) if found else np.zeros_like(q)
+def _products(docs: DataFrame, fitted: list[Block], bases: list[np.ndarray]) -> list[np.ndarray]:
+    """A^T A q of each block, with its q in ``bases``, over all passages of ``docs`` (column text, no nulls).
 
+    Tasks give their sums, of the shape of q, in ranges of ``RANGE`` terms; groups of at most ``FAN`` tasks add up a
+    range each, in levels that grow with the logarithm of the tasks.  Sums of fixed size come to the driver.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast([(b, q * b.idf[:, None]) for b, q in zip(fitted, bases, strict=True)])
 
-def fit_block(items: list[tuple], words: np.ndarray, count: np.ndarray, total: int, sample: DataFrame, drawn: int) -> Block | None:
-    """Terms, weights and latent space of one block of items (id, word hashes); ``drawn`` passages are in the sample."""
+    def run(batches):
+        sums = [np.zeros_like(q) for _, q in shared.value]
+        for batch in batches:
+            texts = utf8(batch.column(0))
+            for lo, hi in blocks(texts, 1 << 19):
+                hashes, first = hashed_words(texts[lo:hi])
+                for (block, q), out in zip(shared.value, sums, strict=True):
+                    text, _, row, term = passages(block, hashes, first, LEAST_TERMS)
+                    for begin in range(0, len(text), ROWS):
+                        part = slice(*np.searchsorted(row, (begin, begin + ROWS)))
+                        y = _project(row[part] - begin, term[part], min(ROWS, len(text) - begin), q)
+                        _back(out, row[part] - begin, term[part], y)
+        salt = TaskContext.get().partitionId()
+        for k, out in enumerate(sums):
+            found = [(k, i // RANGE, salt, out[i : i + RANGE].tobytes()) for i in range(0, len(out), RANGE) if out[i : i + RANGE].any()]
+            if found:
+                kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*found, strict=True), kinds, strict=True)], names=["block", "part", "salt", "value"])
+
+    left, rows = docs.rdd.getNumPartitions(), docs.select("text").mapInArrow(run, _SUMS)
+    while True:
+        rows = rows.withColumn("salt", F.floor(F.col("salt") / FAN).cast("int")).groupBy("block", "part", "salt").applyInPandas(_sum, _SUMS)
+        left = -(-left // FAN)
+        if left <= 1:
+            break
+    out = [np.zeros_like(q) for q in bases]
+    for r in rows.toLocalIterator():
+        value = np.frombuffer(r["value"], np.float32).reshape(-1, out[r["block"]].shape[1])
+        out[r["block"]][r["part"] * RANGE : r["part"] * RANGE + len(value)] = value
+    shared.unpersist()
+    return [x * b.idf[:, None] for x, b in zip(out, fitted, strict=True)]
+
+
+def _weigh(items: list[tuple], words: np.ndarray, count: np.ndarray, total: int) -> Block | None:
+    """Terms and weights of one block of items (id, word hashes)."""
     chosen = []
     for _, own in items:
         mine = np.unique(own)
@@ -202,26 +249,48 @@ def fit_block(items: list[tuple], words: np.ndarray, count: np.ndarray, total: i
         return None
     block = _block(items, terms)
     block.idf = np.log((1 + total) / (1 + count[np.searchsorted(words, terms)])).astype(np.float32) + 0.1
-    # items as rows, weighed to have as much say as the sample's passages
-    lengths = [len(w) for _, w in items]
-    hashes, first = np.concatenate([w for _, w in items]), np.concatenate([[0], np.cumsum(lengths)])
-    number = block.number(hashes)
-    at = np.flatnonzero(number >= 0)
-    pair = np.unique((np.searchsorted(first, at, side="right") - 1) * np.int64(len(terms)) + number[at])
-    row, term = pair // len(terms), pair % len(terms)
-    weight = np.float32(2 * np.sqrt(max(1, drawn) / len(items)))
-    q = np.random.default_rng(11).standard_normal((len(terms), min(len(terms), RANK + OVER))).astype(np.float32)
-    for _ in range(STEPS):
-        y = _project(block, row, term, len(items), q)
-        mine = np.zeros_like(q)
-        np.add.at(mine, term, y[row] * block.idf[term, None])
-        q = np.linalg.qr(_product(sample, block, q) + weight**2 * mine)[0].astype(np.float32)
-    block.base = np.ascontiguousarray(q[:, :RANK])
-    z = _project(block, row, term, len(items), block.base)
-    block.latent = z / (np.linalg.norm(z, axis=1, keepdims=True) + 1e-9)
     return block
 
 
+def _items(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """The items of a block as (row, term) pairs."""
+    first = np.concatenate([[0], np.cumsum([len(w) for w in block.words])])
+    number = block.number(np.concatenate(block.words))
+    at = np.flatnonzero(number >= 0)
+    pair = np.unique((np.searchsorted(first, at, side="right") - 1) * np.int64(len(block.terms)) + number[at])
+    return pair // len(block.terms), pair % len(block.terms)
+
+
+def _latent(fitted: list[Block], docs: DataFrame, total: int, sample: DataFrame, drawn: int) -> None:
+    """Find the latent spaces of blocks; ``total`` passages are in ``docs`` and ``drawn`` in the sample."""
+    own = [_items(b) for b in fitted]
+    bases = [np.random.default_rng(11).standard_normal((len(b.terms), min(len(b.terms), RANK + OVER))).astype(np.float32) for b in fitted]
+    for rows, n in [(sample, drawn)] * STEPS + [(docs, total)]:
+        found = _products(rows, fitted, bases)
+        for k, (block, (row, term), q) in enumerate(zip(fitted, own, bases, strict=True)):
+            mine = np.zeros_like(q)
+            _back(mine, row, term, _project(row, term, len(block.ids), q * block.idf[:, None]))
+            # items are weighed to have as much say as the passages
+            weight = 4 * max(1, n) / len(block.ids)
+            bases[k] = np.linalg.qr(found[k] + weight * block.idf[:, None] * mine)[0].astype(np.float32)
+    for block, (row, term), q in zip(fitted, own, bases, strict=True):
+        block.base = np.ascontiguousarray(q[:, :RANK] * block.idf[:, None])
+        z = _project(row, term, len(block.ids), block.base)
+        block.latent = z / (np.linalg.norm(z, axis=1, keepdims=True) + 1e-9)
+
+
+def fit_blocks(items: list[tuple], words: np.ndarray, count: np.ndarray, docs: DataFrame, total: int, sample: DataFrame, drawn: int) -> list[Block]:
+    """Blocks of the items (id, word hashes) with terms, weights and latent spaces; several blocks share a pass."""
+    found = [b for i in range(0, len(items), BLOCK) if (b := _weigh(items[i : i + BLOCK], words, count, total))]
+    held: list[Block] = []
+    for block in [*found, None]:
+        if held and (block is None or sum(len(b.terms) for b in held) + len(block.terms) > TERMS):
+            _latent(held, docs, total, sample, drawn)
+            held = []
+        held.append(block)
+    return found
+
+
 def _verify(item: np.ndarray, region: np.ndarray) -> tuple[float, float]:
     """Shares of the item in the common subsequence, and of its answer's words in the region."""
     common = lcs(item, region) / len(item)
@@ -238,18 +307,20 @@ def search(texts: list[bytes], block: Block) -> list[tuple[int, int, float, floa
         return []
     text, place, row, term = passages(block, hashes, first, LEAST_TERMS)
     best: dict[tuple[int, int], tuple] = {}
-    for lo in range(0, len(text), 4096):
-        part = (row >= lo) & (row < lo + 4096)
-        z = _project(block, row[part] - lo, term[part], min(4096, len(text) - lo), block.base)
+    for lo in range(0, len(text), ROWS):
+        part = slice(*np.searchsorted(row, (lo, lo + ROWS)))
+        z = _project(row[part] - lo, term[part], min(ROWS, len(text) - lo), block.base)
         z /= np.linalg.norm(z, axis=1, keepdims=True) + 1e-9
         cosine = z @ block.latent.T
         for w, k in zip(*np.nonzero(cosine >= COSINE), strict=True):
             t, item = int(text[lo + w]), block.words[k]
             begin = int(first[t] + place[lo + w] * STRIDE)
             a, b = max(int(first[t]), begin - len(item)), min(int(first[t + 1]), begin + WINDOW + len(item))
-            if block.held(k, hashes[a:b]) < LCS_WITH_ANSWER * len(item):
-                continue  # the common subsequence can't be longer than the words of the region that the item has
-            common, answer = _verify(item, hashes[a:b])
+            # other words of the region change neither the common subsequence, which can't be longer, nor the answer's share
+            region = block.held(k, hashes[a:b])
+            if len(region) < LCS_WITH_ANSWER * len(item):
+                continue
+            common, answer = _verify(item, region)
             if common >= LCS or common >= LCS_WITH_ANSWER and answer >= ANSWER:
                 found = (t, int(k), float(cosine[w, k]), common, answer, a - int(first[t]))
                 if (t, k) not in best or best[t, k][3:5] < found[3:5]:
@@ -314,8 +385,7 @@ class Fitted:
         found: list = [Short([i for i, _ in short], [w for _, w in short])] if short else []
         if long:
             words, count, n = _frequencies(self.docs, [w for _, w in long])
-            blocks_of = (fit_block(long[i : i + BLOCK], words, count, n, self.sample, self.drawn) for i in range(0, len(long), BLOCK))
-            found += [b for b in blocks_of if b]
+            found += fit_blocks(long, words, count, self.docs, n, self.sample, self.drawn)
         return found
 
 
@@ -323,7 +393,8 @@ def fit(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
     """The items, ready to be fitted in groups that one pass searches.
 
     Benchmark rows come to the driver a group at a time; what is held is bounded by BLOCK * AT_ONCE items.  Term
-    frequencies take a pass over all documents for each group.  Null items and items without a word are none.
+    frequencies and the latent spaces each take a pass over all documents for each group (latent spaces more than one if
+    its items have over ``TERMS`` terms).  Null items and items without a word are none.
     """
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
     sample = materialize(drawn(docs.select(F.col(id_col).alias("id"), text), SAMPLE).select("text").repartition(8, F.xxhash64("text")), "sample")

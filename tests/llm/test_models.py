@@ -340,6 +340,32 @@ def test_term_weights_cover_all_documents(spark, frame, odd_rows, monkeypatch):
     assert np.allclose(block.idf, want, atol=1e-4)
 
 
+def test_latent_space_covers_all_documents(spark, frame, odd_rows, monkeypatch):
+    """The space holds nearly as much of all passages as the best one of its rank does, however small the sample is."""
+    import numpy as np
+
+    for name, value in (("SAMPLE", 2), ("RANK", 12), ("OVER", 2), ("ROWS", 7), ("RANGE", 16), ("FAN", 2), ("COMMON", 1.0)):
+        monkeypatch.setattr(decontam, name, value, raising=False)
+    rng = random.Random(18)
+    items = [(i, prose(rng, 25)) for i in range(40)]
+    # passages mix the words of a few items, some mixtures more often than others
+    rows = [*odd_rows, *((100 + i, " ".join(rng.sample(" ".join(items[(7 * k + j) % 40][1] for j in range(4)).split(), 90))) for i in range(200) for k in [int(rng.random() ** 2 * 12)])]
+    ((block,),) = decontam.fit(frame(rows).repartition(9), spark.createDataFrame(items, "item_id bigint, text string"))
+    at = {t: n for n, t in enumerate(block.terms.tolist())}
+    texts = [decontam.hashed_words([(t or "").encode()])[0].tolist() for _, t in rows]
+    windows = [{at[w] for w in h[i : i + decontam.WINDOW] if w in at} for h in texts for i in range(0, len(h), decontam.STRIDE)]
+    total, windows = len(windows), [w for w in windows if len(w) >= decontam.LEAST_TERMS]
+    matrix = np.zeros((len(windows) + len(items), len(at)))
+    for n, w in enumerate(windows):
+        matrix[n, list(w)] = block.idf[list(w)]
+    for n, (_, text) in enumerate(items, len(windows)):
+        own = [at[w] for w in decontam.hashed_words([text.encode()])[0].tolist()]
+        matrix[n, own] = block.idf[own] * np.sqrt(4 * total / len(items))
+    space = np.linalg.qr(block.base / block.idf[:, None])[0]
+    best = (np.linalg.svd(matrix, compute_uv=False)[: space.shape[1]] ** 2).sum()
+    assert ((matrix @ space) ** 2).sum() > 0.9 * best
+
+
 def test_index_recall_against_brute_force(spark):
     """Every (document, item) pair with the item's words in order is found."""
     docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
