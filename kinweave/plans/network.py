@@ -19,8 +19,15 @@ e AS (SELECT s.from_id AS source, s.forwarder_id AS target, total_post, shared_p
 KEPT = EDGES + ", k AS (SELECT * FROM e WHERE total_post >= 5 AND shared_post >= 2)"
 
 
+#: Order lines that one task joins, in tables of over four times as many.
+LINES = 1_000_000
+
+
 def messages(spark, sf_dir):
+    """The number of parts grows with the lines: keys compress so well that a part of the usual bytes is ten times as large in memory."""
     lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    if (n := lines.count()) > 4 * LINES:
+        lines, orders = lines.repartition(-(-n // LINES), "l_orderkey"), orders.repartition(-(-n // LINES), "o_orderkey")
     return lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).select(
         F.col("l_suppkey").alias("from_id"), F.col("o_custkey").alias("forwarder_id"), F.col("o_orderdate").alias("created_at"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("unique_id"),
@@ -62,9 +69,11 @@ UNION ALL SELECT (l_orderkey * 10 + l_linenumber)::VARCHAR, o_custkey, 'FORWARDE
 
 
 def relations(spark, sf_dir):
+    """Who made each order line, with an order or without, and who spread it."""
     m = messages(spark, sf_dir)
     message = F.col("unique_id").cast("string").alias("message_id")
-    made = m.select(message, F.col("from_id").alias("user_id"), F.lit("PRODUCED").alias("relation"))
+    line = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string").alias("message_id")
+    made = table(spark, sf_dir, "lineitem").select(line, F.col("l_suppkey").alias("user_id"), F.lit("PRODUCED").alias("relation"))
     spread = m.where(F.col("unique_id") % 10 != 2).select(message, F.col("forwarder_id").alias("user_id"), F.lit("FORWARDED_BY").alias("relation"))
     return made.unionByName(spread)
 
