@@ -16,6 +16,10 @@ from kinweave.registry import query, table
 from kinweave.scratch import shared_dir
 
 
+#: Rows of a file of an export whose cells hold line breaks.
+FILE_ROWS = 200_000
+
+
 def place(spark, name: str) -> str:
     """A new folder among the shared ones."""
     return os.path.join(shared_dir(spark), "kinweave", f"{name}-{uuid.uuid4().hex}")
@@ -23,10 +27,13 @@ def place(spark, name: str) -> str:
 
 @query("s01_relationship_csv", f"WITH {RELATIONS} SELECT relation, count(*) AS n, count(DISTINCT message_id) AS messages, count(DISTINCT user_id) AS users FROM r GROUP BY 1")
 def relationship_csv(spark, sf_dir):
-    """Node cells with quotes, commas and line breaks, through CSV once and Parquet from then on."""
+    """Node cells with quotes, commas and line breaks, through CSV once and Parquet from then on.
+
+    No task can read a part of such a file, so files have at most ``FILE_ROWS`` rows, however large the export is.
+    """
     cell = F.concat(F.lit("{'user_id': "), F.col("user_id"), F.lit(',\n "name": "a, b"}'))
     path = place(spark, "export")
-    relations(spark, sf_dir).select(F.col("message_id").alias("source"), cell.alias("target"), "relation").write.csv(f"{path}/export.csv", header=True, quote='"', escape='"')
+    relations(spark, sf_dir).select(F.col("message_id").alias("source"), cell.alias("target"), "relation").write.option("maxRecordsPerFile", FILE_ROWS).csv(f"{path}/export.csv", header=True, quote='"', escape='"')
     r = sources.relationships_once(spark, f"{path}/export.csv", f"{path}/export.parquet")
     user = F.regexp_extract("target", r"(?s)^\{'user_id': (\d+),\n \"name\": \"a, b\"\}$", 1)
     return r.groupBy("relation").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source").alias("messages"), F.count_distinct(F.nullif(user, F.lit(""))).alias("users"))
