@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import LOWER_AZ, blocks, map_arrow, materialize, mix, utf8, word_hashes, words_of
 
 #: Bound of the broadcast words.
-HEAVY = 100_000
+HEAVY = 1_000_000
 #: Classes of the shortlist and words in each; classes of all other words, by hashed ends (a power of two).
 CLASSES, SLOTS, ENDS = 64, 64, 16
 #: Features of either factor, and rows of weights of each feature (a power of two; together at most 2^16).
@@ -246,9 +246,11 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     mass = np.concatenate([words.sum(axis=1), np.maximum(others, SMOOTH / ENDS)])
     with np.errstate(divide="ignore", invalid="ignore"):
         bias = [np.log(mass / mass.sum()), np.log(words / words.sum(axis=1, keepdims=True))]
-    model = Model(h, c, place, [np.where(np.isfinite(b), b, _NEVER).astype(np.float32) for b in bias], tokens=int(n), distinct=int(v))
+    # rounds only ask for words of the shortlist, so no others travel with them
+    model = Model(h[short], c[short], place[short], [np.where(np.isfinite(b), b, _NEVER).astype(np.float32) for b in bias], tokens=int(n), distinct=int(v))
     for r in range(ROUNDS):
         _round(docs, model, r)
+    model.heavy, model.counts, model.place = h, c, place
     return model, counts.select("h", "c")
 
 

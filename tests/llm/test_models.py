@@ -403,6 +403,16 @@ def test_learning_hardly_depends_on_partitions(spark):
     assert min(found.values()) > 0.15 and max(found.values()) - min(found.values()) < 0.05, found
 
 
+def test_rounds_carry_the_shortlist_only(spark, frame, monkeypatch):
+    """All frequent words are broadcast once, to score; what travels in each round is bounded by the shortlist."""
+    sizes = []
+    monkeypatch.setattr(lm_score, "_round", lambda docs, model, number: sizes.append((len(model.heavy), len(model.counts), int((model.place >= 0).sum()))))
+    docs = frame([(i, " ".join(f"w{(i * 300 + j) % 6000} x{j % 7}" for j in range(300))) for i in range(40)])
+    model, _ = lm_score.fit(docs.select("text"))
+    most = lm_score.CLASSES * lm_score.SLOTS
+    assert sizes == [(most, most, most)] * lm_score.ROUNDS and len(model.heavy) == len(model.counts) == 6008
+
+
 # --- samples are bounded by rows
 
 
