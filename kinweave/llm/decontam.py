@@ -2,9 +2,10 @@
 
 Benchmark items are taken in blocks of ``BLOCK``.  For a block, the terms of its items that are not too common get TF-IDF
 weights, with frequencies over the passages of all documents.  A randomised SVD of the TF-IDF passages (items and all
-passages of all documents) is found by subspace iteration, each step one distributed product.  The first steps go over a
-bounded, hashed sample, which only gives the last one a start: that goes over all documents, so all have their say in
-the latent space.
+passages of all documents) is found by subspace iteration, each step one distributed product.  One pass writes the
+passages of all documents as (passage, term) pairs, and ``FULL`` steps go over all of them, so that the space is that of
+all documents.  Steps over a bounded, hashed sample before them give a start and save some of them; what space comes out
+hardly depends on the sample, which may as well be two rows.
 Every passage of every document (windows of ``WINDOW`` words, half overlapping) that holds ``LEAST_TERMS`` different
 terms is projected, and its cosine with all items of the block taken at once; pairs over ``COSINE`` are candidates.
 They are verified on the words themselves: the longest common subsequence of the item and the passage with its
@@ -28,15 +29,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, blocks, drawn, map_arrow, materialize, utf8, word_hashes, words_of
+from .common import LOWER_AZ, blocks, discard, drawn, map_arrow, materialize, utf8, word_hashes, words_of
 
 #: Items of a block; blocks that are searched in one pass over the documents.
 BLOCK, AT_ONCE = 256, 16
-#: Bound of the sample: documents that give the fit over all documents its start.
+#: Bound of the sample: documents that give the steps over all documents their start.
 SAMPLE = 3000
 WINDOW, STRIDE = 48, 24
-#: Columns of the latent space and more while it is fitted; steps over the sample, before the one over all documents.
-RANK, OVER, STEPS = 160, 16, 2
+#: Columns of the latent space and more while it is fitted; steps over the sample, and after them over all documents.
+RANK, OVER, STEPS, FULL = 160, 16, 2, 3
 #: Passages that are projected at a time, terms whose sums move as one record, tasks whose sums one group adds up.
 ROWS, RANGE, FAN = 4096, 256, 32
 #: Terms of the blocks that are fitted in one pass, unless one block has more.
@@ -66,11 +67,17 @@ def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (word_hashes(joined, starts, ends) if len(starts) else np.zeros(0, np.uint64)), first
 
 
-def lcs(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence, in bit-parallel form."""
+def places_of(a: np.ndarray) -> dict[int, int]:
+    """The places of each word, as bits."""
     places: dict[int, int] = {}
     for i, x in enumerate(a.tolist()):
         places[x] = places.get(x, 0) | 1 << i
+    return places
+
+
+def lcs(a: np.ndarray, b: np.ndarray, places: dict[int, int] | None = None) -> int:
+    """Length of the longest common subsequence, in bit-parallel form; ``places`` are those of ``a``."""
+    places = places_of(a) if places is None else places
     full = (1 << len(a)) - 1
     row = full
     for x in b.tolist():
@@ -94,6 +101,7 @@ class Block:
     latent: np.ndarray | None = None
 
     sets: dict[int, np.ndarray] = field(default_factory=dict, repr=False)
+    places: dict[int, dict[int, int]] = field(default_factory=dict, repr=False)
 
     def held(self, item: int, region: np.ndarray) -> np.ndarray:
         """Those words of a region that are words of an item, in their order."""
@@ -122,23 +130,20 @@ def passages(block: Block, hashes: np.ndarray, first: np.ndarray, least: int) ->
     number = block.number(hashes)
     at = np.flatnonzero(number >= 0)
     text = np.searchsorted(first, at, side="right") - 1
+    base = np.concatenate([[0], np.cumsum(-(-np.diff(first) // STRIDE))])  # windows of the texts before
     place = (at - first[text]) // STRIDE
-    term = number[at].astype(np.int64)
+    window, bits = base[text] + place, np.int64(len(block.terms)).item().bit_length()
     # a word stands in the window that begins with its stride and in the one before
-    text, place, term = (np.concatenate(x) for x in ((text, text), (place, place - 1), (term, term)))
-    ok = place >= 0
-    text, place, term = text[ok], place[ok], term[ok]
-    key = text * np.int64(1 << 32) + place
-    order = np.lexsort((term, key))
-    key, term = key[order], term[order]
-    new = np.concatenate([[True], (key[1:] != key[:-1]) | (term[1:] != term[:-1])]) if len(key) else np.zeros(0, bool)
-    key, term = key[new], term[new]
-    head, row, count = np.unique(key, return_inverse=True, return_counts=True)
+    pair = (window << bits) + number[at]
+    pair = np.sort(np.concatenate([pair, pair[place > 0] - (1 << bits)]))
+    pair = pair[np.concatenate([[True], pair[1:] != pair[:-1]])] if len(pair) else pair
+    key = pair >> bits
+    cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    count = np.diff(np.append(cuts, len(key)))
     good = count >= least
-    keep = good[row]
-    renumber = np.cumsum(good) - 1
-    head = head[good]
-    return head >> 32, head & ((1 << 32) - 1), renumber[row[keep]], term[keep]
+    head, count = key[cuts[good]], count[good]
+    text = np.searchsorted(base, head, side="right") - 1
+    return text, head - base[text], np.repeat(np.arange(len(head)), count), (pair & ((1 << bits) - 1))[np.repeat(good, np.diff(np.append(cuts, len(key))))]
 
 
 def _project(row: np.ndarray, term: np.ndarray, n: int, matrix: np.ndarray) -> np.ndarray:
@@ -195,26 +200,49 @@ def _sum(group: pd.DataFrame) -> pd.DataFrame:
     return group.iloc[:1].assign(value=[total.astype(np.float32).tobytes()])
 
 
-def _products(docs: DataFrame, fitted: list[Block], bases: list[np.ndarray]) -> list[np.ndarray]:
-    """A^T A q of each block, with its q in ``bases``, over all passages of ``docs`` (column text, no nulls).
+def _passages(docs: DataFrame, fitted: list[Block]) -> DataFrame:
+    """The passages of ``docs`` (column text, no nulls) with ``LEAST_TERMS`` terms of a block, written once for all steps.
 
-    Tasks give their sums, of the shape of q, in ranges of ``RANGE`` terms; groups of at most ``FAN`` tasks add up a
-    range each, in levels that grow with the logarithm of the tasks.  Sums of fixed size come to the driver.
+    A row has passages of one block: the number of terms of each, and the terms.  A row is bounded as blocks of texts are.
     """
-    shared = docs.sparkSession.sparkContext.broadcast([(b, q * b.idf[:, None]) for b, q in zip(fitted, bases, strict=True)])
+    shared = docs.sparkSession.sparkContext.broadcast(fitted)
 
     def run(batches):
-        sums = [np.zeros_like(q) for _, q in shared.value]
         for batch in batches:
-            texts = utf8(batch.column(0))
+            texts, found = utf8(batch.column(0)), []
             for lo, hi in blocks(texts, 1 << 19):
                 hashes, first = hashed_words(texts[lo:hi])
-                for (block, q), out in zip(shared.value, sums, strict=True):
+                for k, block in enumerate(shared.value):
                     text, _, row, term = passages(block, hashes, first, LEAST_TERMS)
-                    for begin in range(0, len(text), ROWS):
-                        part = slice(*np.searchsorted(row, (begin, begin + ROWS)))
-                        y = _project(row[part] - begin, term[part], min(ROWS, len(text) - begin), q)
-                        _back(out, row[part] - begin, term[part], y)
+                    if len(text):
+                        found.append((k, np.bincount(row, minlength=len(text)).astype(np.uint16).tobytes(), term.astype(np.int32).tobytes()))
+            if found:
+                kinds = (pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*found, strict=True), kinds, strict=True)], names=["block", "count", "term"])
+
+    out = materialize(docs.select("text").mapInArrow(run, "block int, count binary, term binary"), "passages")
+    shared.unpersist()
+    return out
+
+
+def _products(rows: DataFrame, fitted: list[Block], bases: list[np.ndarray]) -> list[np.ndarray]:
+    """A^T A q of each block, with its q in ``bases``, over all passages that ``_passages`` gave.
+
+    Tasks give their sums, of the shape of q, in ranges of ``RANGE`` terms; groups of at most ``FAN`` tasks add up a
+    range each, in levels that grow with the logarithm of the tasks.  Sums of fixed size come to the driver.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast([q * b.idf[:, None] for b, q in zip(fitted, bases, strict=True)])
+
+    def run(batches):
+        sums = [np.zeros_like(q) for q in shared.value]
+        for batch in batches:
+            for k, count, terms in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                count, term = np.frombuffer(count, np.uint16), np.frombuffer(terms, np.int32)
+                row = np.repeat(np.arange(len(count)), count)
+                for begin in range(0, len(count), ROWS):
+                    part = slice(*np.searchsorted(row, (begin, begin + ROWS)))
+                    y = _project(row[part] - begin, term[part], min(ROWS, len(count) - begin), shared.value[k])
+                    _back(sums[k], row[part] - begin, term[part], y)
         salt = TaskContext.get().partitionId()
         for k, out in enumerate(sums):
             found = [(k, i // RANGE, salt, out[i : i + RANGE].tobytes()) for i in range(0, len(out), RANGE) if out[i : i + RANGE].any()]
@@ -222,14 +250,14 @@ def _products(docs: DataFrame, fitted: list[Block], bases: list[np.ndarray]) ->
                 kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*found, strict=True), kinds, strict=True)], names=["block", "part", "salt", "value"])
 
-    left, rows = docs.rdd.getNumPartitions(), docs.select("text").mapInArrow(run, _SUMS)
+    left, sums = rows.rdd.getNumPartitions(), rows.mapInArrow(run, _SUMS)
     while True:
-        rows = rows.withColumn("salt", F.floor(F.col("salt") / FAN).cast("int")).groupBy("block", "part", "salt").applyInPandas(_sum, _SUMS)
+        sums = sums.withColumn("salt", F.floor(F.col("salt") / FAN).cast("int")).groupBy("block", "part", "salt").applyInPandas(_sum, _SUMS)
         left = -(-left // FAN)
         if left <= 1:
             break
     out = [np.zeros_like(q) for q in bases]
-    for r in rows.toLocalIterator():
+    for r in sums.toLocalIterator():
         value = np.frombuffer(r["value"], np.float32).reshape(-1, out[r["block"]].shape[1])
         out[r["block"]][r["part"] * RANGE : r["part"] * RANGE + len(value)] = value
     shared.unpersist()
@@ -265,7 +293,8 @@ def _latent(fitted: list[Block], docs: DataFrame, total: int, sample: DataFrame,
     """Find the latent spaces of blocks; ``total`` passages are in ``docs`` and ``drawn`` in the sample."""
     own = [_items(b) for b in fitted]
     bases = [np.random.default_rng(11).standard_normal((len(b.terms), min(len(b.terms), RANK + OVER))).astype(np.float32) for b in fitted]
-    for rows, n in [(sample, drawn)] * STEPS + [(docs, total)]:
+    start, every = _passages(sample, fitted), _passages(docs, fitted)
+    for rows, n in [(start, drawn)] * STEPS + [(every, total)] * FULL:
         found = _products(rows, fitted, bases)
         for k, (block, (row, term), q) in enumerate(zip(fitted, own, bases, strict=True)):
             mine = np.zeros_like(q)
@@ -273,6 +302,7 @@ def _latent(fitted: list[Block], docs: DataFrame, total: int, sample: DataFrame,
             # items are weighed to have as much say as the passages
             weight = 4 * max(1, n) / len(block.ids)
             bases[k] = np.linalg.qr(found[k] + weight * block.idf[:, None] * mine)[0].astype(np.float32)
+    discard(start, every)
     for block, (row, term), q in zip(fitted, own, bases, strict=True):
         block.base = np.ascontiguousarray(q[:, :RANK] * block.idf[:, None])
         z = _project(row, term, len(block.ids), block.base)
@@ -291,9 +321,9 @@ def fit_blocks(items: list[tuple], words: np.ndarray, count: np.ndarray, docs: D
     return found
 
 
-def _verify(item: np.ndarray, region: np.ndarray) -> tuple[float, float]:
+def _verify(item: np.ndarray, region: np.ndarray, places: dict[int, int]) -> tuple[float, float]:
     """Shares of the item in the common subsequence, and of its answer's words in the region."""
-    common = lcs(item, region) / len(item)
+    common = lcs(item, region, places) / len(item)
     if common < LCS_WITH_ANSWER:
         return common, 0.0
     answer = set(item[-max(3, len(item) // 4) :].tolist())
@@ -320,7 +350,9 @@ def search(texts: list[bytes], block: Block) -> list[tuple[int, int, float, floa
             region = block.held(k, hashes[a:b])
             if len(region) < LCS_WITH_ANSWER * len(item):
                 continue
-            common, answer = _verify(item, region)
+            if k not in block.places:
+                block.places[k] = places_of(item)
+            common, answer = _verify(item, region, block.places[k])
             if common >= LCS or common >= LCS_WITH_ANSWER and answer >= ANSWER:
                 found = (t, int(k), float(cosine[w, k]), common, answer, a - int(first[t]))
                 if (t, k) not in best or best[t, k][3:5] < found[3:5]:
@@ -393,7 +425,7 @@ def fit(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
     """The items, ready to be fitted in groups that one pass searches.
 
     Benchmark rows come to the driver a group at a time; what is held is bounded by BLOCK * AT_ONCE items.  Term
-    frequencies and the latent spaces each take a pass over all documents for each group (latent spaces more than one if
+    frequencies and the passages of all documents each take a pass over them for each group (passages more than one if
     its items have over ``TERMS`` terms).  Null items and items without a word are none.
     """
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")

@@ -366,6 +366,30 @@ def test_latent_space_covers_all_documents(spark, frame, odd_rows, monkeypatch):
     assert ((matrix @ space) ** 2).sum() > 0.9 * best
 
 
+@pytest.mark.parametrize("sample", [2, 10**6])
+def test_latent_space_hardly_depends_on_the_sample(spark, frame, odd_rows, monkeypatch, sample):
+    """Two rows or all of them as the start: the space holds as much of all passages as the best one of its rank does."""
+    import numpy as np
+
+    for name, value in (("SAMPLE", sample), ("RANK", 12), ("OVER", 0), ("COMMON", 1.0)):
+        monkeypatch.setattr(decontam, name, value)
+    rng = random.Random(19)
+    items = [(i, prose(rng, 25)) for i in range(40)]
+    rows = [*odd_rows, *((100 + i, " ".join(rng.sample(" ".join(items[(7 * k + j) % 40][1] for j in range(4)).split(), 90))) for i in range(200) for k in [int(rng.random() ** 2 * 12)])]
+    ((block,),) = decontam.fit(frame(rows).repartition(3), spark.createDataFrame(items, "item_id bigint, text string"))
+    hashes = [decontam.hashed_words([(t or "").encode()])[0] for _, t in rows]
+    windows = [w for h in hashes for i in range(0, len(h), decontam.STRIDE) if len(w := np.flatnonzero(np.isin(block.terms, h[i : i + decontam.WINDOW]))) >= decontam.LEAST_TERMS]
+    total = sum(-(-len(h) // decontam.STRIDE) for h in hashes)
+    own = [np.flatnonzero(np.isin(block.terms, decontam.hashed_words([text.encode()])[0])) for _, text in items]
+    matrix = np.zeros((len(windows) + len(own), len(block.terms)))
+    for n, w in enumerate([*windows, *own]):
+        matrix[n, w] = block.idf[w] * (1 if n < len(windows) else np.sqrt(4 * total / len(items)))
+    space = np.linalg.qr(block.base / block.idf[:, None])[0]
+    best = (np.linalg.svd(matrix, compute_uv=False)[:12] ** 2).sum()
+    share = ((matrix @ space) ** 2).sum() / best
+    assert share > 0.975, share
+
+
 def test_index_recall_against_brute_force(spark):
     """Every (document, item) pair with the item's words in order is found."""
     docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
