@@ -15,9 +15,8 @@ Training is distributed: documents take turns in ``ROUNDS`` rounds, by a hash of
 gradient squares; the moves are averaged by use, in levels of ``FAN`` tasks each, and enlarged as ``_round`` says.  So
 every token of every training document is learned from once, and how rows are dealt out matters little.
 
-Counts of all training words are needed exactly.  Words are counted by a 64-bit hash.  Words with at least
-1 / ``HEAVY`` of the tokens (so at most ``HEAVY`` of them) are broadcast; the others of a document meet their counts in
-a shuffle, pre-aggregated per document.
+Counts of all training words are needed exactly.  Words are counted by a 64-bit hash.  The at most ``HEAVY`` most
+frequent words are broadcast; the others of a document meet their counts in a shuffle, pre-aggregated per document.
 """
 
 from __future__ import annotations
@@ -34,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import LOWER_AZ, blocks, map_arrow, materialize, mix, utf8, word_hashes, words_of
 
 #: Bound of the broadcast words.
-HEAVY = 1_000_000
+HEAVY = 1 << 19
 #: Classes of the shortlist and words in each; classes of all other words, by hashed ends (a power of two).
 CLASSES, SLOTS, ENDS = 64, 64, 16
 #: Features of either factor, and rows of weights of each feature (a power of two; together at most 2^16).
@@ -56,6 +55,7 @@ class Tokens:
 
     hashes: np.ndarray
     ends: np.ndarray  # a hash of the last two bytes
+    tails: np.ndarray  # the last two bytes
     text: np.ndarray
     first: np.ndarray
 
@@ -72,8 +72,8 @@ def tokens_of(texts: list[bytes]) -> Tokens:
     if len(starts):
         hashes[at] = word_hashes(joined, starts, ends)
         last = joined[ends - 1].astype(np.uint64)
-        tail[at] = mix(last * np.uint64(256) + joined[np.maximum(ends - 2, starts)])
-    return Tokens(hashes, tail, text, begin)
+        tail[at] = last * np.uint64(256) + joined[np.maximum(ends - 2, starts)]
+    return Tokens(hashes, mix(tail), tail, text, begin)
 
 
 @dataclass
@@ -87,6 +87,7 @@ class Model:
     squares: list[np.ndarray] = field(default_factory=lambda: [np.zeros(f * b, np.float32) for f, b in zip(FEATURES, BUCKETS, strict=True)])
     tokens: int = 0
     distinct: int = 0
+    least: int = 1  # the count of a word from which on it is broadcast
 
     @property
     def total(self) -> float:
@@ -136,21 +137,41 @@ def _row(h: np.ndarray, factor: int, feature: int) -> np.ndarray:
     return (mix(h + salt) % np.uint64(BUCKETS[factor])).astype(np.int64) + feature * BUCKETS[factor]
 
 
-def probabilities(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Softmax for tokens with the given weight rows; ``bias`` is one row, or a row for each token."""
+def _softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, label: np.ndarray | None = None, axis: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """For tokens with the given weight rows: exponentials of shifted logits, their sums, and the shifted logit of the label.
+
+    The largest logit of all is the shift of every token, unless that leaves a sum too small to be exact.
+    """
     z = weights.take(rows[0], axis=0)
     for r in rows[1:]:
         z += weights.take(r, axis=0)
     z += bias
-    z -= z.max(axis=1, keepdims=True)
+    z -= z.max(axis=axis, keepdims=True, initial=_NEVER)
+    own = None if label is None else z[np.arange(len(label)), label]
     np.exp(z, out=z)
-    z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
+    total = z @ np.ones(z.shape[1], z.dtype)
+    if axis is None and len(total) and total.min() < 1e-12:
+        return _softmax(weights, bias, rows, label, 1)
+    return z, total, own
+
+
+def probabilities(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Softmax for tokens with the given weight rows; ``bias`` is one row, or a row for each token."""
+    z, total, _ = _softmax(weights, bias, rows)
+    z *= (1 / total)[:, None]
     return z
 
 
+def log_probabilities(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Logarithm of the probability of each token's label."""
+    _, total, own = _softmax(weights, bias, rows, label)
+    return own - np.log(total)
+
+
 def update(weights: np.ndarray, bias: np.ndarray, used: np.ndarray, squares: np.ndarray, rows: np.ndarray, label: np.ndarray) -> None:
     """One mini-batch of AdaGrad on the log loss, with one rate for each row of weights."""
-    error = -probabilities(weights, bias, rows)
+    error = probabilities(weights, bias, rows)
+    np.negative(error, out=error)
     error[np.arange(len(label)), label] += 1
     for r in rows:
         row, times, sums = _sums(r, error)
@@ -184,7 +205,7 @@ def _sums(r: np.ndarray, error: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """hash, tail and count of every word of all texts, and of the end token."""
+    """hash, last two bytes (tail) and count of every word of all texts, and of the end token."""
 
     def run(batches):
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -200,7 +221,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             for lo, hi in blocks(texts):
                 t = tokens_of(texts[lo:hi])
                 u, at, c = np.unique(t.hashes, return_index=True, return_counts=True)
-                held.append((u, t.ends[at], c))
+                held.append((u, t.tails[at], c))
                 size += len(u)
             if size > 1_500_000:
                 held = [flush()]
@@ -226,12 +247,34 @@ def shortlist(h: np.ndarray, c: np.ndarray, tail: np.ndarray) -> np.ndarray:
     return place
 
 
+def _least(counts: DataFrame, tokens: int) -> int:
+    """The smallest count that at most ``HEAVY`` words reach.
+
+    Words of each count are counted for the counts up to tokens / HEAVY, which at most HEAVY words exceed, in 4,096 ranges
+    at a time, until a range is a single count.
+    """
+    low, high = 1, tokens // HEAVY + 1  # low - 1 is reached by too many words, high is not
+    while low < high:
+        step = -(-(high - low) // 4096)
+        above = counts.where(F.col("c") >= high).count()
+        found = counts.where((F.col("c") >= low) & (F.col("c") < high)).groupBy(F.floor((F.col("c") - low) / step).alias("k")).count().collect()
+        for k, n in sorted(((r["k"], r["count"]) for r in found), reverse=True):
+            if above + n > HEAVY:
+                low, high = (low + k * step + 1, min(high, low + (k + 1) * step))
+                break
+            above += n
+        else:
+            return low
+    return high
+
+
 def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     """The model of all texts of ``docs`` (column text, no nulls) and the table of word counts (h, c)."""
     counts = materialize(word_counts(docs), "counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    heavy = counts.where(F.col("c") >= max(1.0, n / HEAVY)).select("h", "c", "tail").toArrow()
-    h, c, tail = heavy.column(0).to_numpy().view(np.uint64), heavy.column(1).to_numpy(), heavy.column(2).to_numpy().view(np.uint64)
+    least = _least(counts, n)
+    heavy = counts.where(F.col("c") >= least).select("h", "c", "tail").toArrow()
+    h, c, tail = heavy.column(0).to_numpy().view(np.uint64), heavy.column(1).to_numpy(), mix(heavy.column(2).to_numpy().view(np.uint64))
     order = np.argsort(h)
     h, c, tail = h[order], c[order], tail[order]
     place = shortlist(h, c, tail)
@@ -240,14 +283,14 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     words = np.full((CLASSES, SLOTS), 0.0)
     words.reshape(-1)[place[short]] = c[short] + SMOOTH
     others = np.full(ENDS, SMOOTH / ENDS)
-    for r in counts.groupBy(F.col("tail").bitwiseAND(F.lit(ENDS - 1)).alias("end")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():
-        others[r["end"]] += r["c"] + SMOOTH * r["v"]
+    for r in counts.groupBy("tail").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():  # at most 2^16 tails
+        others[int(mix(np.array([r["tail"]], np.uint64))[0]) % ENDS] += r["c"] + SMOOTH * r["v"]
     others -= np.bincount((tail[short] % np.uint64(ENDS)).astype(np.int64), weights=c[short] + SMOOTH, minlength=ENDS)
     mass = np.concatenate([words.sum(axis=1), np.maximum(others, SMOOTH / ENDS)])
     with np.errstate(divide="ignore", invalid="ignore"):
         bias = [np.log(mass / mass.sum()), np.log(words / words.sum(axis=1, keepdims=True))]
     # rounds only ask for words of the shortlist, so no others travel with them
-    model = Model(h[short], c[short], place[short], [np.where(np.isfinite(b), b, _NEVER).astype(np.float32) for b in bias], tokens=int(n), distinct=int(v))
+    model = Model(h[short], c[short], place[short], [np.where(np.isfinite(b), b, _NEVER).astype(np.float32) for b in bias], tokens=int(n), distinct=int(v), least=least)
     for r in range(ROUNDS):
         _round(docs, model, r)
     model.heavy, model.counts, model.place = h, c, place
@@ -364,16 +407,14 @@ def gains(m: Model, t: Tokens, at: np.ndarray) -> np.ndarray:
     """
     label, slot = m.labels(t, at)
     contexts, out = contexts_of(t), np.empty(len(label))
-    for i in range(0, len(out), 1 << 14):
-        part = slice(i, i + (1 << 14))
+    for i in range(0, len(out), 1 << 13):
+        part = slice(i, i + (1 << 13))
         mine, own = label[part], slot[part]
-        p = probabilities(m.weights[0], m.bias[0], class_rows(contexts[:, part]))
-        gain = np.log(p[np.arange(len(mine)), mine]) - m.bias[0][mine]
+        gain = log_probabilities(m.weights[0], m.bias[0], class_rows(contexts[:, part]), mine) - m.bias[0][mine]
         short = np.flatnonzero(own >= 0)
         if len(short):
             c, k = mine[short], own[short]
-            p = probabilities(m.weights[1], m.bias[1][c], slot_rows(contexts[:, part][:, short], c))
-            gain[short] += np.log(p[np.arange(len(k)), k]) - m.bias[1][c, k]
+            gain[short] += log_probabilities(m.weights[1], m.bias[1][c], slot_rows(contexts[:, part][:, short], c), k) - m.bias[1][c, k]
         out[part] = gain / np.log(10)
     return out
 
@@ -421,7 +462,7 @@ def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: s
     schema = f"doc_id {kind}, n_tokens bigint, n_known bigint, base double, gain double, rare array<bigint>, times array<int>"
     scored = materialize(map_arrow(rows, run, schema).withColumn("tag", F.monotonically_increasing_id()), "scored")
     rare = scored.select("tag", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("tag", F.col("x.rare").alias("h"), F.col("x.times").alias("n"))
-    found = rare.join(counts.where(F.col("c") < max(1.0, model.tokens / HEAVY)), "h", "left")
+    found = rare.join(counts.where(F.col("c") < model.least), "h", "left")
     sums = found.groupBy("tag").agg(
         F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("more_known"),
         F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(SMOOTH))).alias("more"),

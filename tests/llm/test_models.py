@@ -228,6 +228,39 @@ def test_every_training_token_enters_one_gradient(spark, frame, odd_rows, monkey
     assert (used == np.bincount(lm_score.class_rows(lm_score.contexts_of(tokens)).ravel(), minlength=len(used))).all()
 
 
+def test_most_frequent_words_are_broadcast(spark, frame, monkeypatch):
+    """As many words as the bound lets in, however rare they are; words of one count are all in or all out."""
+    import numpy as np
+
+    rng = random.Random(21)
+    df = spark.createDataFrame([(i, int(rng.paretovariate(0.4)) % 10**7 + 1) for i in range(3000)], "h bigint, c bigint")
+    found = np.sort([r.c for r in df.collect()])[::-1]
+    for bound in (1, 5, 700, 2000, 2999, 3000, 5000):
+        monkeypatch.setattr(lm_score, "HEAVY", bound)
+        least = lm_score._least(df, int(found.sum()))
+        assert (found >= least).sum() <= bound and (least == 1 or (found >= least - 1).sum() > bound)
+    monkeypatch.setattr(lm_score, "HEAVY", 6008)
+    docs = frame([(i, " ".join(f"w{(i * 300 + j) % 6000} " + "x%d " % (j % 7) * 40 for j in range(300))) for i in range(40)])
+    assert len(lm_score.fit(docs.select("text").limit(0))[0].heavy) == 0
+    monkeypatch.setattr(lm_score, "_round", lambda docs, model, number: None)
+    assert len(lm_score.fit(docs.select("text"))[0].heavy) == 6008  # before: 7, those over 1/6008 of the tokens
+
+
+def test_softmax_of_unlike_tokens():
+    """One token's logits may lie far below another's."""
+    import numpy as np
+
+    w = np.array([[0, 1, 2], [300, 290, 280], [-200, -201, -203]], np.float32)
+    rows = np.array([[0, 1, 2]])
+    for part in (rows, rows[:, :1], rows[:, :0]):
+        z = w[part[0]].astype(float)
+        want = np.exp(z - z.max(axis=1, keepdims=True))
+        want /= want.sum(axis=1, keepdims=True)
+        assert np.allclose(lm_score.probabilities(w, np.zeros(3, np.float32), part), want, atol=1e-6)
+        label = np.arange(part.shape[1])
+        assert np.allclose(lm_score.log_probabilities(w, np.zeros(3, np.float32), part, label), np.log(want[label, label]), atol=1e-4)
+
+
 def test_model_without_training_or_documents(frame, clashing):
     (row,) = lm_score.score(frame([(1, "a b")]), frame([])).collect()
     assert (row.n_tokens, row.n_known, row.train_tokens) == (3, 0, 0) and abs(row.base_score) < 1e-9
