@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from kinweave.operators.evolution import components
 from kinweave.operators.vectors import centre
@@ -240,6 +242,92 @@ def _strips(x: np.ndarray, y: np.ndarray, geometry: str):
         yield at, _distances(x[at : at + STRIP], y, geometry)
 
 
+#: Rows of a packed block.
+PACKED = 8192
+
+
+def _packed(rows: DataFrame, group: str, size: int) -> DataFrame:
+    """``rows`` (c: key, v: vector of doubles) of each group by key in blocks of about ``size`` rows: b, n, keys, and vectors as bytes.
+
+    ``n`` is the number of the group's blocks.  Rows of one key are in one block.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    blocks = rows.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("n"))
+    dealt = rows.select(group, "c", "v").join(blocks, group).withColumn("b", F.pmod(F.xxhash64("c"), "n").cast("int"))
+    schema = f"{group} {kinds[group]}, b int, n int, keys array<{kinds['c']}>, v binary"
+    out = to_arrow_schema(rows.sparkSession.createDataFrame([], schema).schema)
+
+    def pack(t: pa.Table) -> pa.Table:
+        t = t.sort_by("c")
+        v = t["v"].combine_chunks().flatten().to_numpy().tobytes()
+        return pa.table([t[group][:1], t["b"][:1], t["n"][:1], pa.array([t["c"].to_pylist()], out.field("keys").type), pa.array([v], out.field("v").type)], schema=out)
+
+    return materialize(dealt.groupBy(group, "b").applyInArrow(pack, schema), "packed")
+
+
+def _facing(sought: DataFrame, blocks: DataFrame, group: str) -> DataFrame:
+    """Every block of ``sought`` (p_keys, p_v) beside every one of ``blocks`` (keys, v) of its group."""
+    left = sought.select(group, F.col("b").alias("p"), F.col("n").alias("parts"), F.col("keys").alias("p_keys"), F.col("v").alias("p_v"))
+    parts = left.groupBy(group).agg(F.max("parts").alias("parts"))
+    right = blocks.join(parts, group).select(group, "keys", "v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"))
+    return right.join(left.drop("parts"), [group, "p"]).select(group, "p_keys", "p_v", "keys", "v")
+
+
+def _blocks_of(batches):
+    """Group, then keys and vectors of both blocks, of each row of ``_facing``."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            p, q = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("p_keys", "keys"))
+            yield batch.column(0)[i], p, np.frombuffer(batch.column("p_v")[i].as_buffer()).reshape(len(p), -1), q, np.frombuffer(batch.column("v")[i].as_buffer()).reshape(len(q), -1)
+
+
+def nearest_clusters(p: np.ndarray, x: np.ndarray, q: np.ndarray, y: np.ndarray, cut: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each cluster of ``x`` the nearest other one of ``y`` within ``cut``: cluster, other, distance; none for those without.
+
+    ``p`` and ``q`` are the clusters of the rows, in order; rows have a length of one at most.  The distance of two
+    clusters is the largest cosine distance of their members, rounded; of equal ones the smaller key is the nearer.
+    Products of 32 bits pick those that may be nearest, within twice the error that such sums can have, and only these
+    are computed with 64.
+    """
+    (own, first), (other, begins) = (np.unique(k, return_index=True) for k in (p, q))
+    many = len(other) < len(q)
+    ends, stops = np.append(first, len(p)), np.append(begins, len(q))
+    error = (x.shape[1] + 4) * 2.0**-22
+    x32, y32 = x.astype(np.float32), y.astype(np.float32).T
+    places = np.searchsorted(other, own)
+    same = np.flatnonzero((places < len(other)) & (other[np.minimum(places, len(other) - 1)] == own))
+    found = [], [], []
+    at = 0
+    while at < len(own):
+        stop = max(at + 1, int(np.searchsorted(ends, ends[at] + STRIP, side="right")) - 1)
+        near = None
+        for lo in range(ends[at], ends[stop], STRIP):  # a strip, or a cluster of more rows
+            hi = min(lo + STRIP, ends[stop])
+            part = x32[lo:hi] @ y32
+            if many:
+                part = np.minimum.reduceat(part, begins, axis=1)
+            if hi - lo > stop - at:
+                part = np.minimum.reduceat(part, np.maximum(ends[at:stop], lo) - lo if stop - at > 1 else [0], axis=0)
+            near = part if near is None else np.minimum(near, part)
+        self_ = same[(same >= at) & (same < stop)]
+        near[self_ - at, places[self_]] = -np.inf
+        i, j = np.nonzero(near >= np.maximum(near.max(axis=1, initial=-np.inf), 1 - cut)[:, None] - error)
+        i += at
+        exact = np.einsum("ij,ij->i", x[first[i]], y[begins[j]])
+        for k in np.flatnonzero((ends[i + 1] - ends[i] > 1) | (stops[j + 1] - stops[j] > 1)):
+            sides = x[ends[i[k]] : ends[i[k] + 1]], y[stops[j[k]] : stops[j[k] + 1]]
+            left, right = sides if own[i[k]] < other[j[k]] else sides[::-1]  # so that both find the same
+            exact[k] = (left @ right.T).min()
+        d = np.round(np.maximum(0, 1 - exact), 9)
+        order = np.lexsort((j, d, i))
+        i, j, d = i[order], j[order], d[order]
+        best = np.append(True, i[1:] != i[:-1])[: len(i)] & (d <= cut)
+        for out, values in zip(found, (own[i[best]], other[j[best]], d[best]), strict=True):
+            out.append(values)
+        at = stop
+    return tuple(map(np.concatenate, found))
+
+
 def _spanning_tree(rows: DataFrame, group: str, key: str, vector: str, samples: int, block: int, geometry: str = "unit") -> DataFrame:
     return _spanning_trees(rows, group, key, vector, [(geometry, samples)], block).drop("setting")
 
@@ -430,8 +518,10 @@ def _merged(rows: DataFrame, group: str, key: str, vector: str, cut: float, aver
 
     Merging all clusters that are each other's nearest, in rounds, gives what merging the closest pair one by one does.
     In a round blocks of clusters meet in tasks, which keep the nearest of each cluster and no pairs: the mean distance
-    of two clusters is that of their mean vectors, the largest is found from their members, a strip at a time.  A group
-    of ``largest`` clusters or fewer is merged to the end by one task.
+    of two clusters is that of their mean vectors, the largest is found from their members, a strip at a time.  No
+    merged cluster is closer to others than its parts were, so a nearest stays until either end is merged, only clusters
+    that lost theirs look for one, and clusters that have none within ``cut`` are done.  A group of ``largest`` clusters
+    or fewer is merged to the end by one task.
     """
     kind, of = rows.schema[key].dataType.simpleString(), rows.schema[group].dataType.simpleString()
     first = F.col(key) if average else F.min(key).over(Window.partitionBy(group, vector))
@@ -445,19 +535,13 @@ def _merged(rows: DataFrame, group: str, key: str, vector: str, cut: float, aver
     state = materialize(alone.select(group, F.col(key).alias("c"), F.col(vector).alias("v")).mapInPandas(of_length_one, f"{group} {of}, c {kind}, v array<double>, size double"), "clusters")
     merges = None
 
-    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b, within = _sides(pdf)
-        parts = []
-        if len(a) and len(b):
-            d, own, other = _between(a, b)
-            if within:
-                np.fill_diagonal(d, np.inf)
-            for near, p, q in ((d, own, other), (d.T, other, own)):
-                at = near.argmin(axis=1)
-                found = pd.DataFrame({"c": p, "x": q[at], "d": near[np.arange(len(p)), at]})
-                parts.append(found[found["d"] <= cut])
-        found = pd.concat(parts) if parts else pd.DataFrame({"c": [], "x": [], "d": []})
-        return pd.DataFrame({group: pdf[group].iloc[0], "c": found["c"], "d": found["d"], "a": found[["c", "x"]].min(axis=1), "b": found[["c", "x"]].max(axis=1)})
+    kinds = f"{group} {of}, c {kind}, x {kind}, d double"
+    arrow = to_arrow_schema(rows.sparkSession.createDataFrame([], kinds).schema)
+
+    def nearest(batches):
+        for name, *blocks in _blocks_of(batches):
+            c, x, d = nearest_clusters(*blocks, cut)
+            yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(c), arrow.field(0).type), *(pa.array(v, arrow.field(k + 1).type) for k, v in enumerate((c, x, d)))], schema=arrow)
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.rename(columns={"c": "k"}).sort_values("k", kind="stable")
@@ -468,16 +552,26 @@ def _merged(rows: DataFrame, group: str, key: str, vector: str, cut: float, aver
         return pd.DataFrame({group: [pdf[group].iloc[0]] * len(found), "to": i, "c": j, "d": [m[0] for m in found]})
 
     schema = f"{group} {of}, to {kind}, c {kind}, d double"
+    sought, kept = state, None
     while True:
-        sizes = state.groupBy(group).agg(F.count_distinct("c").alias("__n"))
-        small, large = _by_size(state.select(group, "c", "v", "size"), group, largest, sizes)
+        blocks = _packed(state, group, PACKED)
+        seekers = blocks if sought is state else _packed(sought, group, PACKED)
+        met = _facing(seekers, blocks, group).mapInArrow(nearest, kinds)
+        closest = F.min(F.struct("d", F.least("c", "x").alias("a"), F.greatest("c", "x").alias("b"), "x")).alias("e")  # ties as everywhere
+        found = met.groupBy(group, "c").agg(closest).select(group, "c", F.col("e.x").alias("x"), F.col("e.d").alias("d"))
+        near = materialize(found if kept is None else found.unionByName(kept), "near")
+        discard(blocks, *([] if sought is state else [seekers]))
+        state, before = materialize(state.join(near.select(group, "c"), [group, "c"], "left_semi"), "clusters"), state
+        discard(before)
+        small, large = _by_size(state, group, largest, near.groupBy(group).agg(F.count(F.lit(1)).alias("__n")))
         done = materialize(small.groupBy(group).applyInPandas(finish, schema), "merges")
         merges = done if merges is None else merges.unionByName(done)
         if large is None:
+            discard(state, near)
             return names.select(group, key, "family"), merges
-        met = _paired(large, group, "c", "v", largest).groupBy(group, "lo", "hi").applyInPandas(nearest, f"{group} {of}, c {kind}, d double, a {kind}, b {kind}")
-        best = met.groupBy(group, "c").agg(F.min(F.struct("d", "a", "b")).alias("e"))
-        found = materialize(best.groupBy(group, F.col("e.a").alias("to"), F.col("e.b").alias("c")).agg(F.count(F.lit(1)).alias("n"), F.min("e.d").alias("d")).where("n = 2").select(group, "to", "c", "d"), "merges")
+        near = near.join(large.select(group).distinct(), group, "left_semi")
+        ends = near.groupBy(group, F.least("c", "x").alias("to"), F.greatest("c", "x").alias("c")).agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("d"))
+        found = materialize(ends.where("n = 2").select(group, "to", "c", "d"), "merges")
         if found.isEmpty():
             return names.select(group, key, "family"), merges
         merges = merges.unionByName(found)
@@ -485,8 +579,13 @@ def _merged(rows: DataFrame, group: str, key: str, vector: str, cut: float, aver
         if average:
             each = moved.groupBy(F.struct(group, "c").alias("gc")).agg(centre(F.col("v"), F.col("size")).alias("v"), F.sum("size").alias("size"))
             moved = each.select(F.col(f"gc.{group}").alias(group), F.col("gc.c").alias("c"), "v", "size")
-        state, before = materialize(moved, "clusters"), state
+        # those that were merged, and those whose nearest was, look for one in the next round
+        merged = found.select(group, F.explode(F.array("to", "c")).alias("m"))
+        kept = near.join(merged.withColumnRenamed("m", "c"), [group, "c"], "left_anti").join(merged.withColumnRenamed("m", "x"), [group, "x"], "left_anti").select(group, "c", "x", "d")
+        kept, before = materialize(kept, "kept"), state
+        state = materialize(moved, "clusters")
         discard(before)
+        sought = state.join(kept.select(group, "c"), [group, "c"], "left_anti")
 
 
 def _between(a: pd.DataFrame, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
