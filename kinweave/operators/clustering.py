@@ -311,7 +311,7 @@ def nearest_clusters(p: np.ndarray, x: np.ndarray, q: np.ndarray, y: np.ndarray,
             near = part if near is None else np.minimum(near, part)
         self_ = same[(same >= at) & (same < stop)]
         near[self_ - at, places[self_]] = -np.inf
-        i, j = np.nonzero(near >= np.maximum(near.max(axis=1, initial=-np.inf), 1 - cut)[:, None] - error)
+        i, j = np.divmod(np.flatnonzero(near >= (np.maximum(near.max(axis=1, initial=-np.inf), 1 - cut) - error).astype(np.float32)[:, None]), len(other))
         i += at
         exact = np.einsum("ij,ij->i", x[first[i]], y[begins[j]])
         for k in np.flatnonzero((ends[i + 1] - ends[i] > 1) | (stops[j + 1] - stops[j] > 1)):
@@ -332,87 +332,245 @@ def _spanning_tree(rows: DataFrame, group: str, key: str, vector: str, samples:
     return _spanning_trees(rows, group, key, vector, [(geometry, samples)], block).drop("setting")
 
 
+#: Nearest rows that each row's list holds.
+NEAREST = 16
+
+
+def _squares(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Two matrices of 32 bits whose product has the squared distances of rows, and a bound of twice its error."""
+    a, b = (np.einsum("ij,ij->i", z, z)[:, None] for z in (x, y))
+    left, right = np.concatenate([x, np.ones_like(a), a], axis=1), np.concatenate([-2 * y, b, np.ones_like(b)], axis=1)
+    scale = a.max(initial=0) + b.max(initial=0)
+    return left.astype(np.float32), right.astype(np.float32).T, float(scale * (x.shape[1] + 6) * 2.0**-21)
+
+
+def _distance_of(x: np.ndarray, y: np.ndarray, geometry: str) -> np.ndarray:
+    """The distance of each row of ``x`` to that of ``y``, as ``_distances`` gives it."""
+    product = np.einsum("ij,ij->i", x, y)
+    if geometry == "raw":
+        return np.round(np.sqrt(np.maximum(0, np.einsum("ij,ij->i", x, x) + np.einsum("ij,ij->i", y, y) - 2 * product)), 9)
+    return np.round(np.maximum(0, 1 - product) if geometry == "cosine" else np.sqrt(np.maximum(0, 2 - 2 * product)), 9)
+
+
+def _square_of(d: np.ndarray, geometry: str) -> np.ndarray:
+    """Squared Euclidean distances of rows that are as far apart as ``d`` says."""
+    return 2 * d if geometry == "cosine" else d * d
+
+
+def _first_of(i: np.ndarray, keys: np.ndarray, d: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``most`` nearest of each row ``i``, ties to the smaller key."""
+    order = np.lexsort((np.unique(keys, return_inverse=True)[1], d, i))
+    i, keys, d = i[order], keys[order], d[order]
+    first = np.arange(len(i)) - np.searchsorted(i, i) < most
+    return i[first], keys[first], d[first]
+
+
+def nearest_rows(held: tuple | None, p: np.ndarray, x: np.ndarray, q: np.ndarray, y: np.ndarray, geometry: str, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``held`` (place in ``p``, key, distance; None: nothing) with those of ``y`` that are among the ``most`` nearest of a row of ``x``.
+
+    Products of 32 bits pick the rows that may be among them, and only these are computed with 64.
+    """
+    x, y = (z if geometry == "raw" else _unit(z) for z in (x, y))
+    left, right, error = _squares(x, y)
+    bound = np.full(len(x), np.inf)
+    found = [] if held is None else [held]
+    if held is not None:
+        i, _, d = held
+        full = np.flatnonzero(np.arange(len(i)) - np.searchsorted(i, i) == most - 1)
+        bound[i[full]] = _square_of(d[full], geometry) + error
+    parts = 4 * most
+    for lo in range(0, len(x), STRIP):
+        near = left[lo : lo + STRIP] @ right
+        limit = bound[lo : lo + STRIP]
+        if held is None and near.shape[1] >= 4 * parts:  # the row itself is one of them
+            least = near[:, : near.shape[1] // parts * parts].reshape(len(near), -1, parts).min(axis=1)
+            limit = np.partition(least, most, axis=1)[:, most] + error
+        i, j = np.divmod(np.flatnonzero(near <= limit.astype(np.float32)[:, None]), near.shape[1])
+        other = p[lo + i] != q[j]
+        i, j = lo + i[other], j[other]
+        found.append((i, q[j], _distance_of(x[i], y[j], geometry)))
+    return _first_of(*map(np.concatenate, zip(*found, strict=True)), most)
+
+
+def nearest_parts(p: np.ndarray, x: np.ndarray, core: np.ndarray, part: np.ndarray, q: np.ndarray, y: np.ndarray, core_y: np.ndarray, part_y: np.ndarray, geometry: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of ``x`` the nearest of another part under mutual distances: place in ``p``, key, distance; none if there is no other part."""
+    x, y = (z if geometry == "raw" else _unit(z) for z in (x, y))
+    left, right, error = _squares(x, y)
+    floor, floor_y = (_square_of(c, geometry).astype(np.float32) for c in (core, core_y))
+    found = [(np.zeros(0, int), q[:0], np.zeros(0))]
+    for lo in range(0, len(x), STRIP):
+        strip = slice(lo, lo + STRIP)
+        near = left[strip] @ right
+        np.maximum(near, floor_y, out=near)
+        np.maximum(near, floor[strip, None], out=near)
+        near[part[strip, None] == part_y] = np.inf
+        least = near.min(axis=1)
+        i, j = np.divmod(np.flatnonzero(near <= np.where(np.isinf(least), -np.inf, least * (1 + 1e-6) + error).astype(np.float32)[:, None]), near.shape[1])
+        d = np.maximum(_distance_of(x[lo + i], y[j], geometry), np.maximum(core[lo + i], core_y[j]))
+        found.append(_first_of(lo + i, q[j], d, 1))
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+
+def grown_forest(part: np.ndarray, least: np.ndarray, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple, tuple]:
+    """Parts joined by their shortest edges as far as the known edges (ends a and b, distance d) prove these to be shortest.
+
+    ``least``: every edge of a row that is not known is as long or longer.  Returns each row's part, which rows have to
+    look for an edge (those whose unknown edges may be shorter, of all parts but the largest), the edges taken and the
+    known ones between parts.
+    """
+    lo, hi = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((hi, lo, d))
+    edges = lo[order], hi[order], d[order]
+    n, taken, part = len(part), [], part.copy()
+    while True:
+        ends = part[edges[0]], part[edges[1]]
+        between = ends[0] != ends[1]
+        edges, ends = tuple(e[between] for e in edges), [e[between] for e in ends]
+        m = len(edges[0])
+        best = np.full((2, n), m)
+        for k in (0, 1):
+            best[k, ends[k][::-1]] = np.arange(m)[::-1]  # the last that is written is the shortest
+        best = best.min(axis=0)
+        length = np.append(edges[2], np.inf)[best]
+        known = np.full(n, np.inf)
+        np.minimum.at(known, part, least)
+        sure = (best < m) & (length < known)
+        if not sure.any():
+            break
+        of = np.flatnonzero(sure)
+        to = np.arange(n)
+        to[of] = np.where(ends[0][best[of]] == of, ends[1][best[of]], ends[0][best[of]])
+        mutual = (to[to] == np.arange(n)) & (np.arange(n) < to)
+        to[mutual] = np.flatnonzero(mutual)
+        while (to != to[to]).any():
+            to = to[to]
+        chosen = np.unique(best[of])
+        taken.append(tuple(e[chosen] for e in edges))
+        part = to[part]
+    seek = (least <= length[part]) & (part != np.bincount(part, minlength=1).argmax()) if n else np.zeros(0, bool)
+    return part, seek, tuple(map(np.concatenate, zip(*taken, strict=True))) if taken else tuple(e[:0] for e in edges), edges
+
+
 def _spanning_trees(rows: DataFrame, group: str, key: str, vector: str, settings: list[tuple[str, int]], block: int) -> DataFrame:
     """setting, group, a, b and distance of the minimum spanning trees of each group under mutual distances.
 
-    ``settings`` are pairs of a geometry and a number of samples; ``setting`` is a place in the list.  Boruvka's rounds
-    build the trees of all settings at once.  ``rows`` has ``__n``, the size of the group.  Ties go to the smaller keys,
-    so that a tree is one and the same.
+    ``settings`` are pairs of a geometry and a number of samples; ``setting`` is a place in the list.  One run over all
+    pairs of blocks gives each row's nearest, for each geometry.  Their edges build most of a tree: a part's shortest
+    edge is known if no row of it can have a shorter one that is not among its nearest.  Rows of other parts, except the
+    largest, look for theirs among all rows, in rounds that join every such part to another.  Ties go to the smaller
+    keys, so that a tree is one and the same.  ``block`` bounds the rows of a block; a group's lists are one task's.
     """
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    paired = materialize(_paired(rows, group, key, vector, block), "blocks")
+    kind, of, spark = kinds[key], kinds[group], rows.sparkSession
+    geometries = list(dict.fromkeys(g for g, _ in settings))
+    most = max(NEAREST, *(m for _, m in settings))
+    size = min(PACKED, 2 * block)
+    vectors = rows.select(group, F.col(key).alias("c"), F.col(vector).cast("array<double>").alias("v"))
+    blocks = _packed(vectors, group, size)
+    arrow = lambda schema: to_arrow_schema(spark.createDataFrame([], schema).schema)
+    near = f"geometry int, {group} {of}, k {kind}, near array<{kind}>, d array<double>"
+    near_arrow = arrow(near)
 
-    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b, within = _sides(pdf)
-        out = []
-        for s, (geometry, samples) in enumerate(settings):
-            x, y = _placed(a["v"], geometry), _placed(b["v"], geometry)
-            of_b = np.full((0, len(b)), np.inf)
-            for at, d in _strips(x, y, geometry) if len(b) else ():
-                i = np.arange(len(d))
-                if within:
-                    d[i, at + i] = 0
-                else:
-                    of_b = np.sort(np.concatenate([of_b, d]), axis=0)[:samples]
-                least = np.sort(d, axis=1)[:, :samples]
-                out.append(pd.DataFrame({"setting": s, "k": np.repeat(a["k"].to_numpy()[at : at + len(d)], least.shape[1]), "d": least.ravel()}))
-            out.append(pd.DataFrame({"setting": s, "k": np.tile(b["k"].to_numpy(), len(of_b)), "d": of_b.ravel()}))
-        return pd.concat(out).assign(**{group: pdf[group].iloc[0]})[["setting", group, "k", "d"]]
-
-    close = paired.groupBy(group, "lo", "hi").applyInPandas(nearest, f"setting int, {group} {kinds[group]}, k {kinds[key]}, d double")
-    ordered = F.array_sort(F.collect_list("d"))  # ``samples`` for each block at most
-    samples = F.element_at(F.array(*[F.lit(n) for _, n in settings]), F.col("setting") + 1)
-    core = close.groupBy("setting", group, "k").agg(ordered.alias("o")).select("setting", group, "k", F.element_at("o", F.least(samples, F.size("o"))).alias("core"))
-    state = materialize(core.withColumn("part", F.col("k")), "parts")
-    tree = None
-
-    def shortest(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b, _ = _sides(pdf)
+    def nearest(batches):
+        held: dict = {}
+
+        def lists(name, first):
+            p, found = held.pop((name, first))
+            for g, (i, keys, d) in enumerate(found):
+                at = pa.array(np.searchsorted(i, np.arange(len(p) + 1)), pa.int32())
+                columns = [pa.array(v, near_arrow.field(c).type) for c, v in ((0, [g] * len(p)), (1, [name] * len(p)), (2, p))]
+                lists = [pa.ListArray.from_arrays(at, pa.array(v, near_arrow.field(c).type.value_type)).cast(near_arrow.field(c).type) for c, v in ((3, keys), (4, d))]
+                yield pa.RecordBatch.from_arrays(columns + lists, schema=near_arrow)
+
+        for name, p, x, q, y in _blocks_of(batches):
+            at = name.as_py(), p[0]
+            if at not in held and len(held) >= 4:  # parts of lists are put together where trees are built
+                yield from lists(*next(iter(held)))
+            before = held.get(at, (p, [None] * len(geometries)))[1]
+            held[at] = p, [nearest_rows(b, p, x, q, y, g, most) for b, g in zip(before, geometries, strict=True)]
+        while held:
+            yield from lists(*next(iter(held)))
+
+    # rows (0) with part, core, least and whether they seek; edges of the tree (1) and known edges between parts (2)
+    fields = f"setting int, {group} {of}, kind int, a {kind}, b {kind}, d double, part {kind}, core double, least double, seek boolean"
+
+    def table(setting: int, name, keys: np.ndarray, core: np.ndarray, least: np.ndarray, grown: tuple) -> pd.DataFrame:
+        part, seek, taken, between = grown
+        out = [pd.DataFrame({"kind": 0, "a": keys, "b": keys, "d": 0.0, "part": keys[part], "core": core, "least": least, "seek": seek})]
+        for what, (a, b, d) in ((1, taken), (2, between)):
+            out.append(pd.DataFrame({"kind": what, "a": keys[a], "b": keys[b], "d": d, "part": keys[a], "core": 0.0, "least": 0.0, "seek": False}))
+        return pd.concat(out, ignore_index=True).assign(**{"setting": setting, group: name})[[f.split()[0] for f in fields.split(", ")]]
+
+    def begin(pdf: pd.DataFrame) -> pd.DataFrame:
+        name, geometry = pdf[group].iloc[0], geometries[int(pdf["geometry"].iloc[0])]
+        keys = np.unique(pdf["k"].to_numpy())
+        a = np.repeat(np.searchsorted(keys, pdf["k"].to_numpy()), pdf["near"].str.len())
+        b, d = np.searchsorted(keys, np.concatenate(pdf["near"].to_numpy())), np.concatenate(pdf["d"].to_numpy())
+        a, b, d = _first_of(a, b, d, most)
+        begins, count = np.searchsorted(a, np.arange(len(keys))), np.bincount(a, minlength=len(keys))
+        last = np.where(count < most, np.inf, np.append(d, 0)[begins + count - 1])  # who has less has all
         out = []
-        for s, (geometry, _) in enumerate(settings) if len(a) and len(b) else ():
-            x, y = _placed(a["v"], geometry), _placed(b["v"], geometry)
-            (core, part), (core_b, part_b) = ([np.array([z[s] for z in side[c]]) for c in ("core", "part")] for side in (a, b))
-            key_a, key_b = a["k"].to_numpy(), b["k"].to_numpy()
-            near, via = np.full(len(b), np.inf), np.zeros(len(b), dtype=int)
-            best = []
-            for at, d in _strips(x, y, geometry):
-                strip = slice(at, at + len(d))
-                np.maximum(d, core[strip, None], out=d)
-                np.maximum(d, core_b, out=d)
-                d[part[strip, None] == part_b] = np.inf
-                to = d.argmin(axis=1)  # the first of equal distances has the smaller key
-                best.append((part[strip], key_a[strip], key_b[to], part_b[to], d[np.arange(len(d)), to]))
-                of = d.argmin(axis=0)
-                least = d[of, np.arange(len(b))]
-                closer = least < near
-                near[closer], via[closer] = least[closer], at + of[closer]
-            best.append((part_b, key_b, key_a[via], part[via], near))
-            found = pd.DataFrame(dict(zip(("part", "x", "y", "to", "d"), map(np.concatenate, zip(*best, strict=True)), strict=True)))
-            found = found[np.isfinite(found["d"])]
-            found["a"], found["b"] = found[["x", "y"]].min(axis=1), found[["x", "y"]].max(axis=1)
-            out.append(found.sort_values(["d", "a", "b"]).groupby("part", as_index=False).first().assign(setting=s))
-        found = pd.concat(out) if out else pd.DataFrame({c: [] for c in ("setting", "part", "to", "a", "b", "d")})
-        return found.assign(**{group: pdf[group].iloc[0]})[["setting", group, "part", "to", "a", "b", "d"]]
-
-    kind = kinds[key]
+        for s, (g, samples) in enumerate(settings):
+            if g == geometry:
+                core = np.append(d, 0)[begins + np.minimum(samples - 1, count) - 1] if samples > 1 else np.zeros(len(keys))
+                least = np.maximum(last, core)
+                mutual = np.maximum(d, np.maximum(core[a], core[b]))
+                out.append(table(s, name, keys, core, least, grown_forest(np.arange(len(keys)), least, a, b, mutual)))
+        return pd.concat(out, ignore_index=True)
+
+    def resume(pdf: pd.DataFrame) -> pd.DataFrame:
+        each = pdf[pdf["kind"] == 0].sort_values("a", kind="stable")
+        keys, core, least = (each[c].to_numpy().copy() for c in ("a", "core", "least"))
+        edges, sought = pdf[pdf["kind"] >= 2], pdf[pdf["kind"] == 3]
+        # an edge that was looked for is the row's shortest out of its part, now and later
+        least[np.searchsorted(keys, sought["a"].to_numpy())] = np.nextafter(sought["d"].to_numpy(), np.inf)
+        a, b = (np.searchsorted(keys, edges[c].to_numpy()) for c in ("a", "b"))
+        grown = grown_forest(np.searchsorted(keys, each["part"].to_numpy()), least, a, b, edges["d"].to_numpy())
+        return table(int(pdf["setting"].iloc[0]), pdf[group].iloc[0], keys, core, least, grown)
+
+    lists = materialize(_facing(blocks, blocks, group).mapInArrow(nearest, near), "lists")
+    state = materialize(lists.groupBy("geometry", group).applyInPandas(begin, fields), "forest")
+    discard(lists, blocks)
+    edge = ["setting", group, "a", "b", F.col("d").alias("distance")]
+    tree = state.where("kind = 1").select(*edge)
+    met_schema = f"setting int, {group} {of}, a {kind}, b {kind}, d double"
+    met_arrow = arrow(met_schema)
+
+    def shortest(t: pa.Table) -> pa.Table:
+        """Of one block of rows that seek and one of all rows of a group."""
+        own = t["own"].to_numpy()
+        sides = []
+        for side in (t.filter(pa.array(own)), t.filter(pa.array(~own))):
+            side = side.sort_by("a")
+            k, core, part = (side[c].to_numpy() for c in ("a", "core", "part"))
+            sides.append((k, side["v"].combine_chunks().flatten().to_numpy().reshape(len(k), -1), core, part))
+        if not len(sides[0][0]) or not len(sides[1][0]):
+            return met_arrow.empty_table()
+        setting = t["setting"][0].as_py()
+        i, x, d = nearest_parts(*sides[0], *sides[1], settings[setting][0])
+        return pa.table([pa.array(v, met_arrow.field(c).type) for c, v in enumerate(([setting] * len(i), [t[group][0].as_py()] * len(i), sides[0][0][i], x, d))], schema=met_arrow)
+
     while True:
-        ordered = F.array_sort(F.collect_list(F.struct("setting", "core", "part")))
-        held = state.groupBy(group, "k").agg(ordered.alias("s")).select(group, "k", F.col("s.core").alias("core"), F.col("s.part").alias("part"))
-        met = paired.join(held, [group, "k"]).groupBy(group, "lo", "hi").applyInPandas(shortest, f"setting int, {group} {kinds[group]}, part {kind}, to {kind}, a {kind}, b {kind}, d double")
-        best = materialize(met.groupBy("setting", group, "part").agg(F.min(F.struct("d", "a", "b", "to")).alias("e")), "edges")
-        if best.isEmpty():
-            discard(paired, state)
+        each = state.where("kind = 0").select("setting", group, "a", "part", "core", "seek")
+        seekers = materialize(each.where("seek").groupBy("setting", group).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("parts")), "seekers")
+        if seekers.isEmpty():
             return tree
-        found = best.select("setting", group, F.col("e.a").alias("a"), F.col("e.b").alias("b"), F.col("e.d").alias("distance")).distinct()
-        tree = found if tree is None else tree.unionByName(found)
-        name = lambda c: F.concat_ws("|", F.col("setting").cast("string"), F.col(group).cast("string"), F.col(c).cast("string"))
-        links = best.select(name("part").alias("source_node"), name("e.to").alias("target_node"))
-        joined = components(links).select(F.col("node").alias("__part"), F.col("component").alias("__to"))
-        whole = state.withColumn("__part", name("part")).join(joined, "__part", "left")
-        merged = whole.groupBy("setting", group, F.coalesce("__to", "__part").alias("__to")).agg(F.min("part").alias("part"))
-        after = whole.select("setting", group, "k", "core", F.coalesce("__to", "__part").alias("__to")).join(merged, ["setting", group, "__to"]).select("setting", group, "k", "core", "part")
-        state, before = materialize(after, "parts"), state
-        discard(before)
+        placed = vectors.withColumnRenamed("c", "a")
+        sizes = each.groupBy("setting", group).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("n"))
+        open_ = each.join(seekers, ["setting", group]).join(sizes, ["setting", group]).join(placed, [group, "a"])
+        dealt = lambda n: F.pmod(F.xxhash64("a"), n).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        columns = ["setting", group, "a", "v", "part", "core"]
+        sought = open_.where("seek").select(*columns, F.lit(True).alias("own"), dealt(F.col("parts")).alias("p"), every("n").alias("b"))
+        among = open_.select(*columns, F.lit(False).alias("own"), dealt(F.col("n")).alias("b"), every("parts").alias("p"))
+        met = sought.unionByName(among).groupBy("setting", group, "p", "b").applyInArrow(shortest, met_schema)
+        best = F.min(F.struct("d", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), "b")).alias("e")
+        found = met.groupBy("setting", group, "a").agg(best).select("setting", group, F.lit(3).alias("kind"), "a", F.col("e.b").alias("b"), F.col("e.d").alias("d"))
+        nothing = {"part": F.col("a"), "core": F.lit(0.0), "least": F.lit(0.0), "seek": F.lit(False)}
+        going = state.join(seekers.select("setting", group), ["setting", group], "left_semi").where("kind <> 1")
+        after = going.unionByName(found.withColumns(nothing)).groupBy("setting", group).applyInPandas(resume, fields)
+        state = materialize(after, "forest")
+        tree = tree.unionByName(state.where("kind = 1").select(*edge))
 
 
 def merge_order(d: np.ndarray, cut: float, average: bool, size: np.ndarray | None = None) -> list[tuple[float, int, int]]:

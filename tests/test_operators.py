@@ -620,3 +620,55 @@ def test_sweep_shares_trees_and_holds_strips(spark, monkeypatch):
             labels = cl.singletons_as_noise(cl.linkage(x, c, m == "average"))
             assert found[f"{m}{c}"][2:5] == (60, labels.max() + 1, (labels < 0).sum())
     assert max(len(d) for _, d in cl._strips(x, x, "cosine")) == 7
+
+
+def test_trees_from_short_lists_and_rows_that_seek(spark, monkeypatch):
+    """Most of a tree comes from lists of a few nearest rows; what they don't prove is looked for, with the same clusters."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(7, 4))
+    rows = [("a", i, (centres[i % 7] + rng.normal(0, 0.05, 4)).tolist()) for i in range(90)]
+    rows += [("a", 200 + i, rows[i % 2][2]) for i in range(8)]
+    df = spark.createDataFrame(rows, "g string, k int, v array<double>")
+    monkeypatch.setattr(cl, "NEAREST", 4)
+    monkeypatch.setattr(cl, "STRIP", 7)
+    written, real = [], cl.materialize
+    monkeypatch.setattr(cl, "materialize", lambda t, name: written.append(name) or real(t, name))
+    found = lambda **kw: {(r.g, r.k): (r.cluster, r.probability) for r in cl.density_clusters(df, "g", "k", "v", geometry="cosine", **kw).collect()}
+    want = found()
+    assert found(largest=16) == want
+    assert written.count("lists") == 1 and 2 < written.count("forest") + written.count("seekers") < 12
+
+
+def test_kernels_of_32_bits_give_exact_neighbours():
+    rng = np.random.default_rng(13)
+    x, keys = rng.normal(size=(300, 8)), rng.permutation(300)
+    x[40:44] = x[7]
+    for geometry in ("raw", "unit", "cosine"):
+        z = x if geometry == "raw" else cl._unit(x)
+        held = None
+        for part in (slice(0, 140), slice(140, 300)):
+            held = cl.nearest_rows(held, keys, x, keys[part], x[part], geometry, 3)
+        d = np.array([cl._distance_of(np.tile(z[i], (300, 1)), z, geometry) for i in range(300)])
+        np.fill_diagonal(d, np.inf)
+        want = [(i, keys[j], d[i, j]) for i in range(300) for j in np.lexsort((keys, d[i]))[:3]]
+        assert list(zip(*map(np.ndarray.tolist, held), strict=True)) == want
+    z, of = cl._unit(x), np.sort(rng.integers(0, 120, 300))
+    got = {c: (o, e) for c, o, e in zip(*cl.nearest_clusters(of, z, of, z, 0.2), strict=True)}
+    for c in np.unique(of):
+        far = {o: round(max(0.0, float((1 - z[of == c] @ z[of == o].T).max())), 9) for o in np.unique(of) if o != c}
+        near = min(far, key=lambda o: (far[o], o))
+        assert got.get(c, (None, 9))[0] == (near if far[near] <= 0.2 else None)
+
+
+def test_linkage_looks_again_only_where_the_nearest_was_merged(spark, monkeypatch):
+    """Rows without any within the cut are done after the first round, others keep their nearest while it stands."""
+    rng = np.random.default_rng(14)
+    x = cl._unit(np.concatenate([rng.normal(size=(60, 12)), np.repeat(rng.normal(size=(4, 12)), 10, axis=0) + rng.normal(0, 0.05, (40, 12))]))
+    df = spark.createDataFrame([("a", i, v.tolist()) for i, v in enumerate(x)], "g string, k int, v array<double>")
+    sizes, real = [], cl._packed
+    monkeypatch.setattr(cl, "_packed", lambda rows, *a: sizes.append(rows.count()) or real(rows, *a))
+    for average in (False, True):
+        sizes.clear()
+        found = {r.k: r.family for r in cl.linked_families(df, "g", "k", "v", 0.1, average, largest=8).collect()}
+        assert [found[i] for i in range(100)] == cl.linkage(x, 0.1, average).tolist()
+        assert sizes[0] == 100 and max(sizes[1:]) <= 50
