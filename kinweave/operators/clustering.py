@@ -218,24 +218,10 @@ def _by_size(rows: DataFrame, group: str, largest: int, sizes: DataFrame | None
     return rows.join(large, group, "left_anti"), rows.join(large, group)
 
 
-def _paired(rows: DataFrame, group: str, key: str, vector: str, block: int) -> DataFrame:
-    """Each row (``k``, ``v``) once for each pair of blocks of its group (``lo``, ``hi``) that its ``own`` block is in."""
-    n = F.ceil(F.col("__n") / block).cast("int")
-    dealt = rows.withColumn("__b", F.pmod(F.xxhash64(key), n).cast("int"))
-    paired = dealt.select(group, F.col(key).alias("k"), F.col(vector).alias("v"), F.col("__b").alias("own"), F.explode(F.sequence(F.lit(0), n - 1)).alias("o"))
-    return paired.select(group, "k", "v", "own", F.least("own", "o").alias("lo"), F.greatest("own", "o").alias("hi"))
-
-
 #: Rows of a block whose distances to another block are held at a time.
 STRIP = 256
 
 
-def _sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, bool]:
-    """The rows of both blocks of a pair, by key, and whether they are one block."""
-    pdf = pdf.sort_values("k", kind="stable")
-    return pdf[pdf["own"] == pdf["lo"]], pdf[pdf["own"] == pdf["hi"]], bool(pdf["lo"].iloc[0] == pdf["hi"].iloc[0])
-
-
 def _strips(x: np.ndarray, y: np.ndarray, geometry: str):
     """Distances in strips: the first row of each, and its distances to all of ``y``."""
     for at in range(0, len(x), STRIP):
